@@ -128,13 +128,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int],
         if not batch.num_rows:
             continue
         key, part, query, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "query", "fp"))
+        fp = np.ascontiguousarray(fp).view(np.uint64)
         edge = np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0) | (np.diff(query) != 0)) + 1
         starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
         wanted = (ends - starts > 1) | (query[starts] > 0)
         wanted[:-1] |= query[starts[1:]] > 0
         wanted[[0, -1]] = True  # it may go on in another batch
         for a, b in zip(starts[wanted].tolist(), ends[wanted].tolist(), strict=True):
-            yield (int(key[a]), int(part[a])), bool(query[a]), fp[a:b].tolist()
+            yield (int(key[a]), int(part[a])), bool(query[a]), fp[a:b].tolist()  # without signs, so that xor has none
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +164,8 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _as_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    ends = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, k])) for k in (0, 1)], names=["a", "b"])
 
 
 def near_links(prints: DataFrame, limit: int = TREE_LIMIT) -> DataFrame:
