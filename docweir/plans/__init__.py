@@ -28,6 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    from . import catalog, changes, retrieval  # noqa: F401
+    from . import catalog, changes, evaluation, retrieval, texts  # noqa: F401
 
     return QUERIES
