@@ -27,7 +27,7 @@ SAMPLE_ROWS = 20_000
 BRANCHES = 12
 LEAF_SAMPLES = 40
 CHUNK = 20_000
-CALIBRATION, TARGET = 200, 0.97
+CALIBRATION, TARGET = 300, 0.985
 
 
 def matrix(column: pa.Array) -> np.ndarray:

@@ -15,6 +15,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -45,67 +46,80 @@ class Look:
         self.n = len(self.words)
         self.letters = sum(map(len, re.findall(r"[^\W\d_]+", t)))
         self.counts = Counter(self.words)
+        self.again = sum(map(eq, self.words, self.words[1:]))
         self.lines = [x for x in t.split("\n") if x.strip()]
 
     def share(self, part: float) -> float:
         return part / max(1, self.n)
 
 
-def _vote(bad: bool, good: bool) -> str:
-    return BAD if bad else GOOD if good else NONE
+def _bad(fires: bool) -> str:
+    """A detector of one kind of junk: where it is silent it says nothing, since the text may be junk of another kind."""
+    return BAD if fires else NONE
 
 
 def _symbols(x: Look) -> str:
-    odd = x.share(sum(x.text.count(c) for c in "#$%&*<>{}~^\\"))
-    return _vote(odd > 0.15, odd < 0.02)
+    return _bad(x.share(sum(x.text.count(c) for c in "#$%&*<>{}~^\\")) > 0.15)
+
+
+def _marked_words(x: Look) -> str:
+    return _bad(x.share(sum(1 for w in x.words if len(w) > 1 and w[-1] == w[-2] and not w[-1].isalnum())) > 0.1)
+
+
+def _few_letters(x: Look) -> str:
+    return _bad(x.letters / max(1, len(x.text) - x.text.count(" ")) < 0.75)
 
 
 def _shouting(x: Look) -> str:
-    upper = sum(map(len, re.findall(r"[A-ZÀ-ÖØ-Þ]{2,}", x.text))) / max(1, x.letters)
-    return _vote(upper > 0.3, upper < 0.05)
+    return _bad(sum(map(len, UPPER.findall(x.text))) > 0.2 * x.letters)
 
 
 def _exclaiming(x: Look) -> str:
-    marks = x.share(x.text.count("!"))
-    return _vote(marks > 0.2, marks < 0.02)
+    return _bad(x.share(x.text.count("!")) > 0.1)
 
 
 def _cells(x: Look) -> str:
-    bars = x.share(x.text.count("|"))
-    return _vote(bars > 0.1, bars == 0)
+    return _bad(x.share(x.text.count("|")) > 0.05)
 
 
-def _lines(x: Look) -> str:
-    if len(x.lines) < 4:
-        return NONE
-    again = 1 - len(set(x.lines)) / len(x.lines)
-    return _vote(again > 0.3, again == 0)
+def _lone_signs(x: Look) -> str:
+    return _bad(x.share(sum(1 for w in x.words if len(w) == 1 and not w.isalnum())) > 0.05)
 
 
-def _words(x: Look) -> str:
-    if x.n < 30:
-        return NONE
-    most = max(x.counts.values()) / x.n
-    return _vote(most > 0.2 or len(x.counts) / x.n < 0.1 and x.n < 2000, most < 0.1)
+def _stutter(x: Look) -> str:
+    return _bad(x.n >= 10 and x.share(x.again) > 0.1)
 
 
-def _function_words(x: Look) -> str:
-    if x.n < 20:
-        return NONE
-    plain = sum(n for w, n in x.counts.items() if w.lower() in FUNCTION_WORDS) / x.n
-    return _vote(plain < 0.03, plain > 0.1)
+def _few_words(x: Look) -> str:
+    return _bad(x.n >= 30 and (max(x.counts.values()) > 0.2 * x.n or len(x.counts) < 0.1 * min(x.n, 2000)))
+
+
+def _lines_again(x: Look) -> str:
+    return _bad(len(x.lines) >= 4 and len(set(x.lines)) < 0.7 * len(x.lines))
+
 
+def _packs(x: Look) -> str:
+    return _bad(x.n >= 30 and len(zlib.compress(x.text.encode(), 1)) < 0.25 * len(x.text))
 
-def _letters(x: Look) -> str:
-    share = x.letters / max(1, len(x.text) - x.text.count(" "))
-    return _vote(share < 0.7, share > 0.9)
+
+def _function_words(x: Look) -> str:
+    if x.n < 20 or x.again > 0.1 * x.n:  # repeated words say nothing of running text
+        return NONE
+    plain = x.share(sum(n for w, n in x.counts.items() if w.lower() in FUNCTION_WORDS))
+    return BAD if plain < 0.03 else GOOD if plain > 0.1 else NONE
 
 
-def _length(x: Look) -> str:
-    return _vote(x.n < 3, 20 <= x.n)
+def _sentences(x: Look) -> str:
+    if x.n < 20 or x.again > 0.1 * x.n:
+        return NONE
+    ends = x.share(sum(n for w, n in x.counts.items() if w[-1] in ".?"))
+    return BAD if ends < 0.005 else GOOD if 0.03 < ends < 0.4 else NONE
 
 
-LABELLERS: list[Callable[[Look], str]] = [_symbols, _shouting, _exclaiming, _cells, _lines, _words, _function_words, _letters, _length]
+UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}")
+LABELLERS: list[Callable[[Look], str]] = [
+    _symbols, _marked_words, _few_letters, _shouting, _exclaiming, _cells, _lone_signs, _stutter, _few_words, _lines_again, _packs, _function_words, _sentences,
+]
 
 
 def votes(text: str | None) -> str:
@@ -116,25 +130,25 @@ def votes(text: str | None) -> str:
 def estimate(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, float], list[float], float]:
     """Posterior of each pattern, accuracy of each labeller, share of good rows, by EM over independent labellers.
 
-    Accuracies are (sensitivity on good, on bad) pairs averaged for the report; a labeller that never votes stays at its
-    start. Without rows the share is one half.
+    An accuracy is how often a labeller's vote, when it gives one, is right. A labeller that never votes stays near its
+    start. Most documents are taken to be good, so the share is at least one half; without rows it is that.
     """
     names = sorted(patterns)
     m = len(names[0]) if names else 0
     n = np.array([patterns[p] for p in names], float)
     vote = np.array([[{GOOD: 1, BAD: 0, NONE: -1}[c] for c in p] for p in names]).reshape(len(names), m)
-    good, bad, share = np.full(m, 0.8), np.full(m, 0.8), 0.8
+    share = 0.8
     post = np.full(len(names), share)
+    accuracy = np.full(m, 0.9)
     for _ in range(rounds):
-        up = np.where(vote == 1, np.log(good), np.where(vote == 0, np.log(1 - good), 0)).sum(1) + math.log(share)
-        down = np.where(vote == 0, np.log(bad), np.where(vote == 1, np.log(1 - bad), 0)).sum(1) + math.log(1 - share)
-        post = 1 / (1 + np.exp(np.clip(down - up, -50, 50)))
-        w = (n * post)[:, None], (n * (1 - post))[:, None]
-        # two pseudo-votes each way keep labellers off certainty and the classes from changing places
-        good = np.clip(((w[0] * (vote == 1)).sum(0) + 8) / ((w[0] * (vote >= 0)).sum(0) + 10), 0.5, 0.999)
-        bad = np.clip(((w[1] * (vote == 0)).sum(0) + 8) / ((w[1] * (vote >= 0)).sum(0) + 10), 0.05, 0.999)
-        share = float(np.clip((n * post).sum() / max(1.0, n.sum()), 0.01, 0.99)) if len(names) else 0.5
-    return dict(zip(names, post.tolist(), strict=True)), ((good + bad) / 2).tolist(), share
+        odds = np.log(accuracy / (1 - accuracy))
+        z = math.log(share / (1 - share)) + np.where(vote == 1, odds, np.where(vote == 0, -odds, 0.0)).sum(1)
+        post = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        right = (n[:, None] * np.where(vote == 1, post[:, None], np.where(vote == 0, 1 - post[:, None], 0.0))).sum(0)
+        # ten pseudo-votes, nine of them right, keep a labeller from certainty and the classes from changing places
+        accuracy = np.clip((right + 9) / ((n[:, None] * (vote >= 0)).sum(0) + 10), 0.55, 0.995)
+        share = float(np.clip((n * post).sum() / max(1.0, n.sum()), 0.5, 0.95)) if len(names) else 0.5
+    return dict(zip(names, post.tolist(), strict=True)), accuracy.tolist(), share
 
 
 def _shape(word: str) -> str:
@@ -147,6 +161,16 @@ def features(word: str) -> tuple[int, int]:
     return zlib.crc32(b"w" + word.lower().encode()) & mask, zlib.crc32(b"s" + _shape(word).encode()) & mask
 
 
+#: The weight of a word that is the one before it again.
+AGAIN = zlib.crc32(b"again") & ((1 << HASH_BITS) - 1)
+
+
+def places(text: str | None) -> list[int]:
+    """All features of a text; repeated words add one more each."""
+    words = (text or "").split()
+    return [p for w in words for p in features(w)] + [AGAIN] * sum(map(eq, words, words[1:]))
+
+
 class Scorer:
     def __init__(self, weights: np.ndarray, bias: float) -> None:
         self.weights, self.bias, self.known = weights, bias, {}
@@ -155,7 +179,7 @@ class Scorer:
         words = (text or "").split()
         if not words:
             return 0.0
-        known, total = self.known, 0.0
+        known, total = self.known, float(self.weights[AGAIN]) * sum(map(eq, words, words[1:]))
         for w in words:
             v = known.get(w)
             if v is None:
@@ -167,15 +191,18 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.bias + total / len(words)))))
 
 
-def train(rows: list[tuple[float, list[int]]], rounds: int = 60, rate: float = 40.0, decay: float = 1e-5) -> Scorer:
-    """Logistic regression of posteriors on mean hashed features, by full gradients with a step scaled by each feature's use."""
+def train(rows: list[tuple[float, list[int], int]], rounds: int = 60, rate: float = 40.0, decay: float = 1e-5) -> Scorer:
+    """Logistic regression of posteriors on hashed features a word, from rows of (posterior, places, words).
+
+    By full gradients, with a step scaled by each feature's use.
+    """
     weights, bias = np.zeros(1 << HASH_BITS), 0.0
     if rows:
         y = np.array([r[0] for r in rows])
         sizes = np.array([len(r[1]) for r in rows])
         own = np.repeat(np.arange(len(rows)), sizes)
         place = np.concatenate([np.asarray(r[1], np.int64) for r in rows])
-        value = np.repeat(2.0 / np.maximum(sizes, 1), sizes)
+        value = np.repeat(1.0 / np.maximum([r[2] for r in rows], 1), sizes)
         bias = math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
         scale = np.sqrt(np.bincount(place, value * value, 1 << HASH_BITS)) + 1e-3
         for _ in range(rounds):
@@ -200,11 +227,13 @@ def classify(docs: DataFrame) -> DataFrame:
     chosen = voted.filter("doc_id is not null").select("doc_id", "votes").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).dropDuplicates(["doc_id"])
 
     def featured(batch: pa.RecordBatch) -> dict[str, object]:
-        places = [[p for w in (t or "").split() for p in features(w)] for t in batch.column("text").to_pylist()]
-        return {"label": [own.value[v] for v in batch.column("votes").to_pylist()], "places": places}
+        texts = batch.column("text").to_pylist()
+        label = [own.value[v] for v in batch.column("votes").to_pylist()]
+        return {"label": label, "places": [places(t) for t in texts], "words": [len((t or "").split()) for t in texts]}
 
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # the sample is bounded
-    rows = [(r.label, r.places) for r in arrow_map(sample, featured, "label double, places array<int>", []).collect()]
+    learnt = arrow_map(sample, featured, "label double, places array<int>, words int", [])
+    rows = [(r.label, r.places, r.words) for r in learnt.collect()]
     sent = spark.sparkContext.broadcast(train(rows))
 
     def score(batch: pa.RecordBatch) -> dict[str, object]:
