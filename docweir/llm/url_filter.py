@@ -56,7 +56,7 @@ def template_verdicts(pages: DataFrame) -> DataFrame:
     leaves = cut(
         pages.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     )
-    rate = leaves.agg((F.sum("bad") / F.sum("labelled")).alias("rate")).select(F.coalesce("rate", F.lit(0.0))).first()[0]
+    rate = leaves.agg(F.try_divide(F.sum("bad"), F.sum("labelled")).alias("rate")).select(F.coalesce("rate", F.lit(0.0))).first()[0]
     tree = leaves.withColumn("template", F.array().cast("array<string>"))
     for level in range(1, DEPTH + 2):
         own = F.get("segments", F.lit(level - 1))
@@ -74,7 +74,7 @@ def template_verdicts(pages: DataFrame) -> DataFrame:
     parent = F.when(at > 0, F.transform("template", lambda s, i: F.when(i == at - 1, F.lit("{*}")).otherwise(s))).otherwise(F.col("template"))
     nodes = nodes.withColumn("parent", parent)
     family = W.partitionBy("host", "parent")
-    shared = F.sum("bad").over(family) / F.sum("labelled").over(family)
+    shared = F.coalesce(F.try_divide(F.sum("bad").over(family), F.sum("labelled").over(family)), F.lit(0.0))
     spread = F.sqrt(F.col("labelled") * shared * (1 - shared))
     similar = (F.col("labelled") == 0) | (spread == 0) | (F.abs(F.col("bad") - F.col("labelled") * shared) < SIMILAR_Z * spread)
     nodes = nodes.withColumn("merged", F.when(similar, F.col("parent")).otherwise(F.col("template")))
