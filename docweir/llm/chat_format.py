@@ -85,7 +85,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bo
     kind = F.when(F.coalesce(is_call, F.lit(False)), "call").when(F.coalesce(is_result, F.lit(False)), "result").otherwise("message")
     rows = cut(rows.withColumn("kind", kind))
     out = rows.filter("kind = 'message'").withColumns({
-        "anchor": F.col("turn").cast("long"), "level": F.lit(None).cast("int"), "status": F.lit(None).cast("string"),
+        "anchor": F.col("turn").cast("long"), "depth": F.lit(0), "level": F.lit(None).cast("int"), "status": F.lit(None).cast("string"),
         "problems": F.array().cast("array<string>"), "calls": F.lit(None).cast("array<struct<arguments:string,id:string,name:string>>"), "answers": F.lit(None).cast("string"),
     })
     if not rows.filter("kind <> 'message'").isEmpty():
@@ -95,7 +95,6 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bo
     called = F.concat(F.lit('{"role":"assistant","tool_calls":['), F.array_join(asked, ","), F.lit("]}"))
     answered = F.to_json(F.struct(result["content"].alias("content"), "role", F.col("answers").alias("tool_call_id")), {"ignoreNullFields": "false"})
     out = out.withColumn("json", F.when(F.col("kind") == "call", called).when(F.col("kind") == "result", answered).otherwise(plain))
-    out = out.withColumn("depth", 2 * F.coalesce("level", F.lit(0)) + (F.col("kind") == "result").cast("int"))
     numbered = gapless(out, ["conv_id"], ["anchor", "depth", "turn", "role", "row"], "position")
     return numbered.select("conv_id", "turn", "position", "role", "kind", "level", "status", "problems", "json")
 
@@ -116,16 +115,16 @@ def _linked(rows: DataFrame, call: Column, result: Column, schemas: dict) -> Dat
     order = F.when(F.col("status") == "circular", 0).when(F.col("status") == "duplicate", 1).when(F.col("status") == "unanswered", 2).otherwise(3)
     # a message's own calls come together again; a message is one row of bounded size
     asked = placed.withColumn("worst", order).groupBy("conv_id", "turn", "row").agg(
-        F.max("anchor").alias("anchor"), F.max("level").alias("level"), F.min(F.struct("worst", "status"))["status"].alias("status"),
+        F.max("anchor").alias("anchor"), (2 * F.coalesce(F.min("level"), F.lit(0))).alias("depth"), F.max("level").alias("level"), F.min(F.struct("worst", "status"))["status"].alias("status"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("problems")))).alias("problems"), F.transform(F.array_sort(F.array_distinct(F.collect_list(one))), lambda x: x["c"]).alias("calls"),
     )
     met = asked.withColumnsRenamed({"conv_id": "v", "turn": "t", "row": "r"})
     ours = rows.filter("kind = 'call'")
     ours = ours.join(met, ours["conv_id"].eqNullSafe(met["v"]) & ours["turn"].eqNullSafe(met["t"]) & (ours["row"] == met["r"]))
-    ours = ours.select(*rows.columns, "anchor", "level", "status", "problems", "calls", F.lit(None).cast("string").alias("answers"))
+    ours = ours.select(*rows.columns, "anchor", "depth", "level", "status", "problems", "calls", F.lit(None).cast("string").alias("answers"))
     first = placed.groupBy("conv_id", "id").agg(F.max("anchor").alias("call_at"), F.max("level").alias("level"))
     theirs = results.join(first, ["conv_id", "id"], "left").select(
-        *rows.columns, F.coalesce("call_at", F.col("turn").cast("long")).alias("anchor"), "level", F.when(F.col("call_at").isNull(), "orphan").otherwise("linked").alias("status"),
+        *rows.columns, F.coalesce("call_at", F.col("turn").cast("long")).alias("anchor"), (2 * F.coalesce("level", F.lit(0)) + 1).alias("depth"), "level", F.when(F.col("call_at").isNull(), "orphan").otherwise("linked").alias("status"),
         F.array().cast("array<string>").alias("problems"), F.lit(None).cast("array<struct<arguments:string,id:string,name:string>>").alias("calls"), F.col("id").alias("answers"),
     )
     return ours.unionByName(theirs)
