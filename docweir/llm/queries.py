@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import ORACLE as CHATS_SQL
 from .chat_format import op8_chats
+from .decontaminate import ORACLE as DECONTAMINATE_SQL
 from .decontaminate import op1_decontaminate
 from .neighbours import op7_neighbours
 from .pieces import op6_sentencepiece
@@ -31,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_shards": op10_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_chats": CHATS_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": DECONTAMINATE_SQL, "op8_chats": CHATS_SQL}
