@@ -44,7 +44,7 @@ def string_list(text: Column) -> Column:
         .when(F.contains(text, F.lit(";")), F.split(text, ";"))
         .otherwise(F.split(text, ","))
     )
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def like_pattern(query: Column) -> Column:
@@ -79,12 +79,12 @@ def loose_key(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences and lines, trimmed, in order; blank ones stay as empty strings so that positions hold."""
-    return F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), F.trim)
+    return F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x))
 
 
 def units(text: Column) -> Column:
     """Lines that aren't blank."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def citation_numbers(text: Column) -> Column:
