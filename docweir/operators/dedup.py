@@ -30,11 +30,11 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("h").alias("digest"))
 
 
-def near_pairs(vectors: DataFrame, k: int = 5, limit: float = 0.05) -> DataFrame:
-    """Pairs (query_id, id, distance) among each row's k nearest others that are within the distance limit."""
+def near_pairs(vectors: DataFrame, queries: DataFrame, k: int = 5, limit: float = 0.05) -> DataFrame:
+    """Pairs (query_id, id, distance) among each query's k nearest others that are within the distance limit."""
     from .search import batch_knn
 
-    found = batch_knn(vectors, vectors.select(F.col("id").alias("query_id"), "embedding"), k, exclude_self=True)
+    found = batch_knn(vectors, queries, k, exclude_self=True)
     return found.filter(F.col("distance") <= limit)
 
 

@@ -49,6 +49,12 @@ def bm25(docs: DataFrame, terms: DataFrame, k1: float = 1.2, b: float = 0.75) ->
     return weighed.join(terms, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score")).filter("score > 0")
 
 
+def overlap(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, id, overlap): how many of a query's terms (query_id, term) each row of docs (id, text) holds."""
+    held = docs.select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    return held.join(terms, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("overlap"))
+
+
 def fuse(rankings: dict[str, DataFrame], constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion of rankings (query_id, id, rank): rrf_score, n_sources, and each source's rank.
 
@@ -105,3 +111,41 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool
         out = search(rows) if out is None else out.unionByName(search(rows))
     ranked = out.withColumn("distance", F.round("distance", 6))
     return top_k(ranked, ["query_id"], [F.col("distance"), F.col("id")], k)
+
+
+def nearest_of(vectors: DataFrame, few: DataFrame) -> DataFrame:
+    """(query_id, id, distance): for each of many vectors (query_id, embedding) the nearest of a few (id, embedding).
+
+    The few go to the tasks in blocks of QUERY_BLOCK, and every vector hands on one row for each block.
+    """
+    spark = vectors.sparkSession
+    kinds = dict(few.dtypes)["id"], dict(vectors.dtypes)["query_id"]
+
+    def best(block: list) -> DataFrame:
+        sent = spark.sparkContext.broadcast(([r.id for r in block], np.array([r.embedding for r in block], np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, centres = sent.value
+            length = np.linalg.norm(centres, axis=1)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                size = np.outer(np.linalg.norm(x, axis=1), length)
+                far = np.round(1 - np.divide(x @ centres.T, size, out=np.zeros_like(size), where=size > 0), 6)
+                own = far.argmin(axis=1)  # the first of equals; the few come in order of id
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("query_id"), pa.array(np.array(ids)[own]), pa.array(far[np.arange(len(own)), own])], names=["query_id", "id", "distance"]
+                )
+
+        return vectors.select("query_id", "embedding").mapInArrow(run, f"query_id {kinds[1]}, id {kinds[0]}, distance double")
+
+    out, rows = None, []
+    for row in few.select("id", "embedding").orderBy("id").toLocalIterator():
+        rows.append(row)
+        if len(rows) == QUERY_BLOCK:
+            out, rows = (best(rows) if out is None else out.unionByName(best(rows))), []
+    if out is None:
+        return best(rows) if rows else vectors.limit(0).selectExpr("query_id", f"cast(null as {kinds[0]}) as id", "cast(null as double) as distance")
+    out = out.unionByName(best(rows)) if rows else out
+    return top_k(out, ["query_id"], ["distance", "id"], 1).drop("rank")

@@ -51,20 +51,20 @@ def url_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _crawled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A state of three quarters of the pages, one in five of them with an older hash, and a batch of the later half."""
-    pages = table(spark, sf_dir, "pages").select(F.col("url"), F.col("page_id").alias("ordinal"), F.lit(None).cast("string").alias("title"), F.left("html", F.lit(200)).alias("markdown"))
-    first = merge.first_of_batch(pages)
-    old = F.pmod(F.length("canonical_url"), F.lit(5))
-    state = first.filter(old < 4).select(
-        "canonical_url", "title", F.when(old == 0, F.lit("older")).otherwise(F.col("content_hash")).alias("content_hash"), F.lit(1).alias("current_version"),
+    """A state of the pages with https, those of mobile hosts with an older hash, and a batch of the pages that aren't Spanish."""
+    pages = table(spark, sf_dir, "pages").select("url", F.col("page_id").alias("ordinal"), F.lit(None).cast("string").alias("title"), F.col("html").alias("markdown"))
+    first = merge.first_of_batch(pages.filter(F.startswith("url", F.lit("https:"))))
+    mobile = F.contains("canonical_url", F.lit("://m."))
+    state = first.select(
+        "canonical_url", "title", F.when(mobile, F.lit("older")).otherwise(F.col("content_hash")).alias("content_hash"), F.lit(1).alias("current_version"),
         F.lit("ACTIVE").alias("status"), F.lit("2024-01-01").cast("timestamp").alias("last_seen"), F.lit(None).cast("timestamp").alias("missing_since"),
     )
-    return state, pages.filter("ordinal % 2 = 1 or ordinal % 3 = 1")
+    return state, pages.filter(~F.contains("url", F.lit("/es/")))
 
 
-_STATE = f"""f AS (SELECT c, arg_min(html, page_id) AS h FROM (SELECT {_CANON} AS c, page_id, left(html, 200) AS html FROM {_PAGES}) GROUP BY 1),
- b AS (SELECT c, arg_min(html, page_id) AS h FROM (SELECT {_CANON} AS c, page_id, left(html, 200) AS html FROM {_PAGES} WHERE page_id % 2 = 1 OR page_id % 3 = 1) GROUP BY 1),
- s AS (SELECT c, CASE WHEN length(c) % 5 = 0 THEN 'older' ELSE h END AS h FROM f WHERE length(c) % 5 < 4),
+_STATE = f"""f AS (SELECT c, arg_min(html, page_id) AS h FROM (SELECT {_CANON} AS c, page_id, html FROM {_PAGES} WHERE starts_with(url, 'https:')) GROUP BY 1),
+ b AS (SELECT c, arg_min(html, page_id) AS h FROM (SELECT {_CANON} AS c, page_id, html FROM {_PAGES} WHERE NOT contains(url, '/es/')) GROUP BY 1),
+ s AS (SELECT c, CASE WHEN contains(c, '://m.') THEN 'older' ELSE h END AS h FROM f),
  m AS (SELECT coalesce(s.c, b.c) AS canonical_url, CASE WHEN s.c IS NULL THEN 'added' WHEN b.c IS NULL THEN 'missing' WHEN s.h <> b.h THEN 'updated' ELSE 'unchanged' END AS change FROM s FULL JOIN b ON s.c = b.c)"""
 
 
@@ -89,35 +89,40 @@ def version_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.new_versions(merge.sync(state, batch, F.lit("2024-06-01").cast("timestamp"))).select("canonical_url", "version")
 
 
-@query("SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.lang, o.lang) AS lang, coalesce(n.n, o.n) AS n FROM (SELECT doc_id, lang, n_chars AS n FROM documents WHERE doc_id % 3 > 0) o FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN 'xx' END AS lang, -n_chars AS n FROM documents WHERE doc_id % 2 = 0) n ON o.doc_id = n.doc_id")
-def upsert_keep_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An upsert in which null changes nothing."""
+_NEW = "(SELECT doc_id, CASE WHEN toxic = 1 THEN 'xx' END AS lang, quality AS n FROM labels)"
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("n_chars").alias("n"))
-    new = docs.filter("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 4 > 0, "xx").alias("lang"), (-F.col("n")).alias("n"))
-    return merge.upsert(docs.filter("doc_id % 3 > 0"), new, ["doc_id"], keep_empty=True)
+    return docs, table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "xx").alias("lang"), F.col("quality").cast("long").alias("n"))
+
+
+@query(f"SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.lang, o.lang) AS lang, coalesce(n.n, o.n_chars) AS n FROM documents o FULL JOIN {_NEW} n ON o.doc_id = n.doc_id")
+def upsert_keep_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upsert of the labels into the documents in which null changes nothing."""
+    docs, new = _labelled(spark, sf_dir)
+    return merge.upsert(docs, new, ["doc_id"], keep_empty=True)
 
 
-@query("SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN n.doc_id IS NOT NULL THEN n.lang ELSE o.lang END AS lang FROM (SELECT doc_id, lang FROM documents WHERE doc_id % 3 > 0) o FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN 'xx' END AS lang FROM documents WHERE doc_id % 2 = 0) n ON o.doc_id = n.doc_id")
+@query(f"SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN n.doc_id IS NOT NULL THEN n.lang ELSE o.lang END AS lang, CASE WHEN n.doc_id IS NOT NULL THEN n.n ELSE o.n_chars END AS n FROM documents o FULL JOIN {_NEW} n ON o.doc_id = n.doc_id")
 def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An upsert in which every new value wins, nulls too."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    new = docs.filter("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 4 > 0, "xx").alias("lang"))
-    return merge.upsert(docs.filter("doc_id % 3 > 0"), new, ["doc_id"])
+    docs, new = _labelled(spark, sf_dir)
+    return merge.upsert(docs, new, ["doc_id"])
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 10 > 0 UNION ALL SELECT DISTINCT -o_orderkey, o_custkey FROM orders WHERE o_custkey % 10 = 0 AND o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 10 = 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 10 = 0 AND o_orderkey % 2 = 0)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT DISTINCT -o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def replace_group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of the groups that the new rows mention give way to them."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    new = orders.filter("o_custkey % 10 = 0 and o_orderkey % 2 = 0").select((-F.col("o_orderkey")).alias("o_orderkey"), "o_custkey")
-    return merge.replace_groups(orders, new, "o_custkey").select("o_orderkey", "o_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    new = orders.filter("o_orderstatus = 'P'").select((-F.col("o_orderkey")).alias("o_orderkey"), "o_custkey")
+    return merge.replace_groups(orders.drop("o_orderstatus"), new, "o_custkey").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 3 > 0 UNION ALL SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 > 0)")
+@query("SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def insert_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that the current table doesn't have are added; the others stay."""
-    current = table(spark, sf_dir, "documents").filter("doc_id % 3 > 0").select("doc_id")
-    return merge.insert_unseen(current, table(spark, sf_dir, "labels").select("doc_id"), ["doc_id"])
+    return merge.insert_unseen(table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
 
 
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
@@ -128,8 +133,8 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT n.doc_id AS id, coalesce(u.id, h.id) AS existing_id, CASE WHEN u.id IS NOT NULL THEN 'url' WHEN h.id IS NOT NULL THEN 'hash' ELSE 'none' END AS matched_by FROM documents n LEFT JOIN (SELECT source AS s, min(doc_id) AS id FROM documents WHERE doc_id % 7 = 0 AND lang = 'es' GROUP BY 1) u ON n.source = u.s AND n.lang = 'es' LEFT JOIN (SELECT sha256(text) AS s, min(doc_id) AS id FROM documents WHERE doc_id % 7 = 0 GROUP BY 1) h ON sha256(n.text) = h.s WHERE n.doc_id % 7 > 0")
+@query("SELECT n.doc_id AS id, coalesce(u.id, h.id) AS existing_id, CASE WHEN u.id IS NOT NULL THEN 'url' WHEN h.id IS NOT NULL THEN 'hash' ELSE 'none' END AS matched_by FROM documents n LEFT JOIN (SELECT lang || n_chars AS s, min(doc_id) AS id FROM documents WHERE source = 'src0' GROUP BY 1) u ON n.lang || n.n_chars = u.s LEFT JOIN (SELECT sha256(text) AS s, min(doc_id) AS id FROM documents WHERE source = 'src0' GROUP BY 1) h ON sha256(n.text) = h.s WHERE n.source <> 'src0'")
 def import_dedup_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each imported row repeats: by address first, then by content."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "es", F.col("source")).alias("url"), F.sha2("text", 256).alias("hash"))
-    return dedup.import_matches(docs.filter("id % 7 > 0"), docs.filter("id % 7 = 0")).select("id", "existing_id", "matched_by")
+    """What the rows of other sources repeat of the first one's: by address (language and length) first, then by content."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat("lang", F.col("n_chars").cast("string")).alias("url"), F.sha2("text", 256).alias("hash"), "source")
+    return dedup.import_matches(docs.filter("source <> 'src0'"), docs.filter("source = 'src0'")).select("id", "existing_id", "matched_by")

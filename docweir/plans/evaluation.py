@@ -40,7 +40,7 @@ def label_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.groupBy(F.col("ql").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce("hit_5", F.lit(0))), 9).alias("recall_5"), F.round(F.avg(F.coalesce("rr_10", F.lit(0.0))), 9).alias("mrr"))
 
 
-@query("SELECT b.item_id AS quote_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text) AND d.doc_id BETWEEN 0 AND 100000000")
+@query("SELECT b.item_id AS quote_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def anchor_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item word for word."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("corpus").alias("document"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), "text")
@@ -63,10 +63,10 @@ def label_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.margins(ranked).select("query_id", "top1", F.round("margin", 5).alias("margin"))
 
 
-@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' ELSE 'unexpected' END AS problem FROM (SELECT doc_id FROM documents WHERE doc_id % 5 > 0) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL")
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' ELSE 'unexpected' END AS problem FROM documents a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL")
 def membership_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that one of two tables lacks."""
-    return metrics.mismatches(table(spark, sf_dir, "documents").filter("doc_id % 5 > 0"), table(spark, sf_dir, "labels"), "doc_id")
+    return metrics.mismatches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("SELECT sha256(text) AS leakage_group, count(DISTINCT source) AS n_splits FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1")
@@ -80,7 +80,7 @@ def nearest_label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector's nearest label, a label being its first vector; labels are a fixed few."""
     v = _vectors(spark, sf_dir)
     first = v.groupBy("label").agg(F.min_by("embedding", "id").alias("embedding")).select(F.col("label").alias("id"), "embedding")
-    found = search.batch_knn(first, v.select(F.col("id").alias("query_id"), "embedding"), 1)
+    found = search.nearest_of(v.select(F.col("id").alias("query_id"), "embedding"), first)
     return found.select("query_id", F.col("id").alias("label"), "distance")
 
 

@@ -3,67 +3,73 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import dedup, search, selection
 from . import query, table
 
 STOP = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
-#: Items that ask: a stated set of queries.
-ASKED = 12
 
 
-def _bm25_sql(text: str, k: int) -> str:
+def _bm25_sql() -> str:
     return f"""
     SELECT query_id, id, round(sum(part), 6) AS score FROM (
       SELECT q.query_id, tf.id, ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * tf.length / s.mean)) AS part
-      FROM (SELECT id, length, term, count(*) AS tf FROM (SELECT id, len(words) AS length, unnest(words) AS term FROM w{k}) GROUP BY ALL) tf
-      JOIN (SELECT term, count(DISTINCT id) AS df FROM (SELECT id, unnest(words) AS term FROM w{k}) GROUP BY term) d USING (term)
-      JOIN q USING (term), (SELECT count(*) AS n, avg(len(words)) AS mean FROM w{k}) s
+      FROM (SELECT id, length, term, count(*) AS tf FROM (SELECT id, len(words) AS length, unnest(words) AS term FROM w) GROUP BY ALL) tf
+      JOIN (SELECT term, count(DISTINCT id) AS df FROM (SELECT id, unnest(words) AS term FROM w) GROUP BY term) d USING (term)
+      JOIN q USING (term), (SELECT count(*) AS n, avg(len(words)) AS mean FROM w) s
     ) GROUP BY ALL"""
 
 
-_TERMS = f"q AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id < {ASKED}) WHERE term NOT IN ({STOP}))"
-_WHOLE = "w0 AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents)"
-_START = "w1 AS (SELECT doc_id AS id, regexp_extract_all(lower(left(text, 300)), '[a-z0-9]+') AS words FROM documents)"
+_TERMS = f"q AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) WHERE term NOT IN ({STOP}))"
+_WORDS = "w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents)"
 
 
-def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").filter(F.col("item_id") < ASKED).select(F.col("item_id").alias("query_id"), "text")
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-def _lexical(spark: SparkSession, sf_dir: str, size: int | None, k: int) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text") if size is None else F.left("text", F.lit(size)).alias("text"))
-    scored = search.bm25(docs, search.query_terms(asked(spark, sf_dir))).withColumn("score", F.round("score", 6))
-    return search.top_k(scored, ["query_id"], [F.desc("score"), "id"], k)
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.query_terms(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
-@query(f"WITH {_TERMS}, {_WHOLE}, s AS ({_bm25_sql('text', 0)}) SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 20")
+def _by_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = search.bm25(_docs(spark, sf_dir), _terms(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return search.top_k(scored, ["query_id"], [F.desc("score"), "id"], 20)
+
+
+def _by_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(search.overlap(_docs(spark, sf_dir), _terms(spark, sf_dir)), ["query_id"], [F.desc("overlap"), "id"], 20)
+
+
+@query(f"WITH {_TERMS}, {_WORDS}, s AS ({_bm25_sql()}) SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 20")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 best documents for each asking item by BM25."""
-    return _lexical(spark, sf_dir, None, 20).select("query_id", "id", "score", "rank")
+    """The 20 best documents for each benchmark item by BM25."""
+    return _by_bm25(spark, sf_dir).select("query_id", "id", "score", "rank")
 
 
-_FUSED = f"""WITH {_TERMS}, {_WHOLE}, {_START},
- a AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_bm25_sql('text', 0)})),
- b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_bm25_sql('text', 1)})),
- f AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score, count(*) AS n_sources, max(CASE WHEN src = 0 THEN rank END) AS whole_rank, max(CASE WHEN src = 1 THEN rank END) AS start_rank
+_FUSED = f"""WITH {_TERMS}, {_WORDS},
+ a AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_bm25_sql()})),
+ o AS (SELECT query_id, id, count(*) AS overlap FROM (SELECT DISTINCT id, unnest(words) AS term FROM w) JOIN q USING (term) GROUP BY ALL),
+ b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, id) AS rank FROM o),
+ f AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score, count(*) AS n_sources, max(CASE WHEN src = 0 THEN rank END) AS bm25_rank, max(CASE WHEN src = 1 THEN rank END) AS overlap_rank
        FROM (SELECT 0 AS src, * FROM a WHERE rank <= 20 UNION ALL SELECT 1, * FROM b WHERE rank <= 20) GROUP BY ALL)"""
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = search.fuse({"whole": _lexical(spark, sf_dir, None, 20), "start": _lexical(spark, sf_dir, 300, 20)})
+    both = search.fuse({"bm25": _by_bm25(spark, sf_dir), "overlap": _by_overlap(spark, sf_dir)})
     return both.withColumn("rrf_score", F.round("rrf_score", 9))
 
 
 @query(f"{_FUSED} SELECT * FROM f")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two lexical rankings, of whole texts and of their beginnings, fused by reciprocal ranks."""
+    """Two lexical rankings for each benchmark item, by BM25 and by distinct terms held, fused by reciprocal ranks."""
     return fused(spark, sf_dir)
 
 
 @query(
-    f"""{_FUSED}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(whole_rank, 1000), id) AS position FROM f),
+    f"""{_FUSED}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(bm25_rank, 1000), id) AS position FROM f),
  p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, position) AS rrf_rank FROM c WHERE position <= 15),
  s AS (SELECT *, round(0.25 / position + 0.75 / rrf_rank, 9) AS blend FROM p),
  t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY blend DESC, position, id DESC) AS n FROM s)
@@ -71,9 +77,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rank_blend_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five of each item's first fifteen candidates by a blend of their ranks."""
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("query_id").orderBy(F.coalesce("whole_rank", F.lit(1000)), "id")
+    order = W.partitionBy("query_id").orderBy(F.coalesce("bm25_rank", F.lit(1000)), "id")
     candidates = fused(spark, sf_dir).withColumn("position", F.row_number().over(order))
     return selection.blend_ranks(candidates, 5, 15).select("query_id", "id", "rerank_rank", "rrf_rank", "blend", "rank")
 
@@ -104,10 +108,12 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.orderBy("distance", "id").limit(25)
 
 
-@query(f"SELECT query_id, id, distance FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, {_COS} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS}, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id <> v.vec_id) WHERE rank <= 5 AND distance <= 0.6")
+@query(f"SELECT query_id, id, distance FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, {_COS} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS}, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id <> v.vec_id AND q.vec_id % 20 = 0) WHERE rank <= 5 AND distance <= 0.6")
 def near_vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector's five nearest others that are within a distance."""
-    return dedup.near_pairs(_vectors(spark, sf_dir).select("id", "embedding"), 5, 0.6).select("query_id", "id", "distance")
+    """Of every twentieth vector the five nearest others that are within a distance."""
+    v = _vectors(spark, sf_dir)
+    asking = v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return dedup.near_pairs(v, asking, 5, 0.6).select("query_id", "id", "distance")
 
 
 @query(
@@ -153,5 +159,5 @@ def pack_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backfilled_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused documents, the first few protected, then one of each source not seen yet; greedy, so without SQL."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("unit"))
-    found = fused(spark, sf_dir).withColumn("position", F.coalesce("whole_rank", F.lit(1000)) * 100 + F.coalesce("start_rank", F.lit(99)))
+    found = fused(spark, sf_dir).withColumn("position", F.coalesce("bm25_rank", F.lit(1000)) * 100 + F.coalesce("overlap_rank", F.lit(99)))
     return selection.protected_backfill(found.join(docs, "id"), 10)

@@ -23,6 +23,8 @@ def test_knn_in_blocks(spark, monkeypatch):
     rows = search.batch_knn(v, q, 2, exclude_self=True).collect()
     assert len(rows) == 10
     assert {r.id for r in rows if r.query_id == 0} == {3, 6}
+    few = v.filter("id < 3")
+    assert {r.query_id: r.id for r in search.nearest_of(v.select(F.col("id").alias("query_id"), "embedding"), few).collect()} == {k: k % 3 for k in range(9)}
 
 
 def test_sync_rules(spark):
