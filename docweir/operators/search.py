@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import words
 
@@ -77,6 +78,7 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool
     """
     spark, out = vectors.sparkSession, None
     rows: list = []
+    asked = to_arrow_type(queries.schema["query_id"].dataType)
 
     def search(block: list) -> DataFrame:
         sent = spark.sparkContext.broadcast(([r.query_id for r in block], np.array([r.embedding for r in block], np.float64)))
@@ -97,7 +99,7 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool
                 worst = -np.sort(-near, axis=1)[:, m - 1]
                 a, b = np.nonzero((near >= worst[:, None] - 1e-12) & (near > -np.inf))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(ids)[a]), batch.column("id").take(pa.array(b)), pa.array(1 - near[a, b])], names=["query_id", "id", "distance"]
+                    [pa.array(np.array(ids)[a].tolist(), asked), batch.column("id").take(pa.array(b)), pa.array(1 - near[a, b])], names=["query_id", "id", "distance"]
                 )
 
         kinds = dict(vectors.dtypes)["id"], dict(queries.dtypes)["query_id"]
@@ -120,6 +122,7 @@ def nearest_of(vectors: DataFrame, few: DataFrame) -> DataFrame:
     """
     spark = vectors.sparkSession
     kinds = dict(few.dtypes)["id"], dict(vectors.dtypes)["query_id"]
+    kind = to_arrow_type(few.schema["id"].dataType)
 
     def best(block: list) -> DataFrame:
         sent = spark.sparkContext.broadcast(([r.id for r in block], np.array([r.embedding for r in block], np.float64)))
@@ -135,7 +138,7 @@ def nearest_of(vectors: DataFrame, few: DataFrame) -> DataFrame:
                 far = np.round(1 - np.divide(x @ centres.T, size, out=np.zeros_like(size), where=size > 0), 6)
                 own = far.argmin(axis=1)  # the first of equals; the few come in order of id
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("query_id"), pa.array(np.array(ids)[own]), pa.array(far[np.arange(len(own)), own])], names=["query_id", "id", "distance"]
+                    [batch.column("query_id"), pa.array([ids[i] for i in own], kind), pa.array(far[np.arange(len(own)), own])], names=["query_id", "id", "distance"]
                 )
 
         return vectors.select("query_id", "embedding").mapInArrow(run, f"query_id {kinds[1]}, id {kinds[0]}, distance double")
