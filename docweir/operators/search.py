@@ -111,7 +111,7 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool
             out, rows = (search(rows) if out is None else out.unionByName(search(rows))), []
     if rows or out is None:
         out = search(rows) if out is None else out.unionByName(search(rows))
-    ranked = out.withColumn("distance", F.round("distance", 6))
+    ranked = out.withColumn("distance", F.round("distance", 6) + F.lit(0.0))
     return top_k(ranked, ["query_id"], [F.col("distance"), F.col("id")], k)
 
 
@@ -135,7 +135,7 @@ def nearest_of(vectors: DataFrame, few: DataFrame) -> DataFrame:
                     continue
                 x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 size = np.outer(np.linalg.norm(x, axis=1), length)
-                far = np.round(1 - np.divide(x @ centres.T, size, out=np.zeros_like(size), where=size > 0), 6)
+                far = np.round(1 - np.divide(x @ centres.T, size, out=np.zeros_like(size), where=size > 0), 6) + 0.0
                 own = far.argmin(axis=1)  # the first of equals; the few come in order of id
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("query_id"), pa.array([ids[i] for i in own], kind), pa.array(far[np.arange(len(own)), own])], names=["query_id", "id", "distance"]

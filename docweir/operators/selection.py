@@ -136,3 +136,38 @@ def number_citations(citations: DataFrame) -> DataFrame:
     first = citations.groupBy("answer_id", "source").agg(F.min("position").alias("first"))
     numbered = first.withColumn("number", F.row_number().over(W.partitionBy("answer_id").orderBy("first", "source"))).drop("first")
     return citations.join(numbered, ["answer_id", "source"])
+
+
+def allocate_aspects(candidates: DataFrame, aspects: DataFrame, limit: int, most: float, least: float, depth: int = 2) -> DataFrame:
+    """(query_id, id, rank, reserved): the first eligible chunks of each aspect, then the others in their order, limit in all.
+
+    candidates has query_id, id, position, distance, score; aspects has query_id, aspect, id, position. Only candidates
+    within the gate are eligible. First every aspect's best, then every aspect's second, up to depth; a chunk that two
+    aspects reserve counts once.
+    """
+    fit = candidates.filter(gate(F.col("distance"), F.col("score"), most, least))
+    own = aspects.join(fit.select("query_id", "id"), ["query_id", "id"], "left_semi")
+    held = top_k(own, ["query_id", "aspect"], ["position", "id"], depth, "round")
+    first = held.groupBy("query_id", "id").agg(F.min(F.struct("round", "aspect")).alias("turn"))
+    both = fit.join(first, ["query_id", "id"], "left")
+    order = [F.col("turn").isNull(), F.col("turn.round"), F.col("turn.aspect"), F.col("position"), F.col("id")]
+    return top_k(both, ["query_id"], order, limit).select("query_id", "id", "rank", F.col("turn").isNotNull().alias("reserved"))
+
+
+def merge_parents(calls: DataFrame) -> DataFrame:
+    """(query_id, context_id, score, children): parents of several calls (call, query_id, context_id, score, children) joined.
+
+    The best score counts; children keep the order in which the calls brought them, each once.
+    """
+    each = calls.select("query_id", "context_id", "score", "call", F.posexplode("children").alias("at", "child"))
+    once = each.groupBy("query_id", "context_id", "child").agg(F.min(F.struct("call", "at")).alias("first"), F.max("score").alias("s"))
+    kids = F.transform(F.array_sort(F.collect_list(F.struct("first", "child"))), lambda x: x["child"])  # a context's few chunks
+    return once.groupBy("query_id", "context_id").agg(F.max("s").alias("score"), kids.alias("children"))
+
+
+def uncovered(facets: DataFrame, packed: DataFrame) -> DataFrame:
+    """(query_id, facet) of which no bundle was packed whole: facets has query_id, facet, bundles, packed has query_id, id."""
+    held = packed.groupBy("query_id").agg(F.collect_set("id").alias("ids"))  # a context's few chunks
+    met = facets.join(held, "query_id", "left")
+    whole = F.exists("bundles", lambda b: (F.size(b) > 0) & (F.size(F.array_except(b, F.coalesce("ids", F.array()))) == 0))
+    return met.filter(~F.coalesce(whole, F.lit(False))).select("query_id", "facet")

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from docweir.operators import chunking, evidence, html, merge, metrics, search, selection, structure
+from docweir.operators import chunking, evidence, html, merge, metrics, search, selection, stemming, structure
 
 
 def test_fuse_counts_first_ranks(spark):
@@ -119,3 +119,51 @@ def test_html_to_markdown(spark):
     assert row[0].title == "A T" and row[0].links == ["http://h/x?a=1"]
     assert row[0].markdown == "## Head\n\none **two** [link](http://h/x?a=1)\nthree\n\n- i\n- j\n\n1. k\n\n| 1 | 2 |"
     assert (row[1].title, row[1].markdown, row[1].links) == (None, "", [])
+
+
+WORDS = """caresses ponies ties cats feed agreed plastered motoring sing conflated troubled sized hopping falling hissing failing filing happy sky relational
+conditional rational valenci digitizer conformabli radicalli differentli vileli analogousli vietnamization predication operator feudalism decisiveness hopefulness
+callousness formaliti sensitiviti sensibiliti triplicate formative formalize electriciti electrical hopeful goodness revival allowance inference airliner gyroscopic
+adjustable defensible irritant replacement adjustment dependent adoption communism activate angulariti homologous effective bowdlerize probate rate cease controll
+roll yes by flies dying generalizations oscillators policy policies university universe running runner""".split()
+
+
+def test_stems_are_those_of_the_full_text_index():
+    import sqlite3
+
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table t using fts5(x, tokenize='porter unicode61')")
+    db.execute("create virtual table v using fts5vocab(t, 'instance')")
+    db.execute("insert into t values (?)", (" ".join(WORDS),))
+    want = [r[0] for r in db.execute("select term from v order by offset")]
+    assert [stemming.stem(w) for w in WORDS] == want
+
+
+def test_stemmed_scores_are_those_of_the_full_text_index(spark):
+    import sqlite3
+
+    rng = random.Random(5)
+    texts = {k: " ".join(rng.choices(WORDS, k=rng.randrange(3, 60))) for k in range(60)}
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table t using fts5(x, tokenize='porter unicode61')")
+    db.executemany("insert into t(rowid, x) values (?, ?)", texts.items())
+    asked = ["the running policies of universities", "Hopping and happy"]
+    docs = spark.createDataFrame([*texts.items()], "id long, text string")
+    got = stemming.stemmed_bm25(docs, spark.createDataFrame([*enumerate(asked)], "query_id long, text string"))
+    found = {(r.query_id, r.id): r.score for r in got.collect()}
+    for k, q in enumerate(["running OR policies OR universities", "hopping OR happy"]):
+        want = {i: -s for i, s in db.execute("select rowid, bm25(t) from t where t match ?", (q,))}
+        assert {i for a, i in found if a == k} == want.keys()
+        assert all(found[k, i] == pytest.approx(s, rel=1e-6) for i, s in want.items())
+
+
+def test_aspects_and_merges(spark):
+    c = spark.createDataFrame([(1, x, k, 0.1 * k, None) for k, x in enumerate("abcdef")], "query_id int, id string, position int, distance double, score double")
+    a = spark.createDataFrame([(1, "p", "f", 0), (1, "p", "e", 1), (1, "p", "d", 2), (1, "q", "e", 0), (1, "q", "c", 1)], "query_id int, aspect string, id string, position int")
+    rows = selection.allocate_aspects(c, a, 4, 0.45, 0.0).orderBy("rank").collect()
+    assert [(r.id, r.reserved) for r in rows] == [("e", True), ("d", True), ("c", True), ("a", False)]
+    calls = spark.createDataFrame([(1, 1, "s", 0.5, ["x", "y"]), (2, 1, "s", 0.9, ["z", "x"])], "call int, query_id int, context_id string, score double, children array<string>")
+    assert [tuple(r) for r in selection.merge_parents(calls).collect()] == [(1, "s", 0.9, ["x", "y", "z"])]
+    facets = spark.createDataFrame([(1, "f", [["a", "b"], ["c"]]), (1, "g", [["a", "z"]]), (2, "h", [["a"]])], "query_id int, facet string, bundles array<array<string>>")
+    packed = spark.createDataFrame([(1, "a"), (1, "c")], "query_id int, id string")
+    assert sorted((r.query_id, r.facet) for r in selection.uncovered(facets, packed).collect()) == [(1, "g"), (2, "h")]
