@@ -57,3 +57,26 @@ def page_numbers(total: Column, size: int, first: int = 1) -> Column:
     """Numbers of the result pages after the first: up to first + ceil(total / size) - 1."""
     last = F.lit(first) + F.ceil(total / size).cast("int") - 1
     return F.when(last > first, F.sequence(F.lit(first + 1), last)).otherwise(F.array().cast("array<int>"))
+
+
+def _as_regex(pattern: str) -> str:
+    """A pattern that is no regular expression is a glob."""
+    import fnmatch
+    import re
+
+    try:
+        re.compile(pattern)
+        return pattern
+    except re.error:
+        return fnmatch.translate(pattern).replace("\\Z", "$").replace("(?s:", "(?s)(?:")
+
+
+def matches(url: Column, include: list[str], exclude: list[str]) -> Column:
+    """Some include pattern is found in the url (any url, if there are none), and no exclude pattern is."""
+    found = lambda patterns: [F.regexp_like(url, F.lit(_as_regex(p))) for p in patterns]
+    wanted, barred = F.lit(not include), F.lit(False)
+    for c in found(include):
+        wanted = wanted | c
+    for c in found(exclude):
+        barred = barred | c
+    return F.coalesce(wanted & ~barred, F.lit(False))

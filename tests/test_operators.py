@@ -167,3 +167,29 @@ def test_aspects_and_merges(spark):
     facets = spark.createDataFrame([(1, "f", [["a", "b"], ["c"]]), (1, "g", [["a", "z"]]), (2, "h", [["a"]])], "query_id int, facet string, bundles array<array<string>>")
     packed = spark.createDataFrame([(1, "a"), (1, "c")], "query_id int, id string")
     assert sorted((r.query_id, r.facet) for r in selection.uncovered(facets, packed).collect()) == [(1, "g"), (2, "h")]
+
+
+def test_crawls(spark):
+    from docweir.functions import urls
+    from docweir.operators import crawl
+
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y")], "source string, target string")
+    seeds = spark.createDataFrame([("a",)], "url string")
+    assert sorted((r.url, r.depth) for r in crawl.reachable(seeds, links, 2).collect()) == [("a", 0), ("b", 1), ("c", 2)]
+    u = spark.createDataFrame([("http://h/docs/a.pdf",), ("http://h/x",), (None,)], "u string")
+    got = [r[0] for r in u.select(urls.matches(F.col("u"), ["/docs/", "*.pdf"], ["secret"])).collect()]
+    assert got == [True, False, False]
+    chunks = spark.createDataFrame([("o", "p", 0.5, 0), ("o", "q", 0.3, 1), ("o", "r", 0.3, 2)], "owner string, id string, distance double, position int")
+    assert [tuple(r) for r in crawl.best_per_owner(chunks).collect()] == [("o", "q", 0.3)]
+
+
+def test_layout_hints(spark):
+    from docweir.operators import crawl
+
+    rows = []
+    for page in range(1, 5):
+        rows += [(1, page, 0, f"Journal {page}", 8.0, False, 50.0, 1000.0), (1, page, 1, "A Heading", 14.0, True, 100.0, 1000.0), (1, page, 2, "body text " * 9, 10.0, False, 300.0, 1000.0), (1, page, 3, "a note", 8.0, False, 800.0, 1000.0)]
+    spans = spark.createDataFrame(rows, "doc int, page int, line int, text string, size double, bold boolean, y double, page_height double")
+    got = {r.line: r for r in crawl.layout_hints(spans).filter("page = 2").collect()}
+    assert got[1].bold and got[1].large and got[1].heading_level == 1 and not got[2].large and got[2].heading_level == 2
+    assert got[0].margin and not got[0].footnote and got[3].footnote and not got[3].margin
