@@ -36,8 +36,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], added: str, keep: list[str]) -> DataFrame:
-    """Add columns by a function of one Arrow batch.
+#: Rows that a Python function handles at once: Arrow batches may hold ten thousand long texts.
+SLICE_ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, which bounds the Python objects alive at once; slicing copies nothing."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], added: str, keep: list[str], rows: int = SLICE_ROWS) -> DataFrame:
+    """Add columns by a function of a slice of an Arrow batch.
 
     fn returns the new columns, one value per row; keep names the input columns that stay. An added column replaces a
     kept one of the same name.
@@ -51,7 +62,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]],
     target = to_arrow_schema(schema, timestamp_utc=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, rows):
             made = fn(batch)
             columns = []
             for field in target:

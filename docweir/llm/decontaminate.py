@@ -1,6 +1,6 @@
 """Benchmark decontamination: an FM-index for each training shard, searched backwards for the benchmark's windows.
 
-A shard is one Arrow batch of documents. Its words become symbols of the benchmark's vocabulary; a word outside that
+A shard is up to SHARD_ROWS documents of one Arrow batch. Its words become symbols of the benchmark's vocabulary; a word outside that
 vocabulary ends a run, and runs shorter than the shortest window hold no window, so they stay out of the index. The
 suffixes of the remaining runs are sorted in full, the Burrows-Wheeler transform goes into a wavelet tree, all windows
 are searched backwards by its ranks at once, and occurrences are located by walking back to sampled suffix positions.
@@ -24,6 +24,8 @@ WINDOW = 13
 #: Bytes of benchmark text that one broadcast holds; a larger benchmark is searched in several passes.
 BLOCK_BYTES = 16_000_000
 SAMPLE_EVERY = 16
+#: Documents of a training shard at most.
+SHARD_ROWS = 2048
 #: The word class of UTF-8 bytes after A-Z are lower-cased: digits, letters and whatever is not ASCII.
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+").findall
 FOUND = "_dw_n_words long, _dw_spans array<struct<start:long,end:long>>, _dw_items array<string>"
@@ -214,9 +216,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] |
 
         if passes:
             again = [*columns, "_dw_spans", "_dw_items"]
-            out = arrow_map(out.select(*again), search, FOUND, again)
+            out = arrow_map(out.select(*again), search, FOUND, again, SHARD_ROWS)
         else:
-            out = arrow_map(docs.select(*columns), search, FOUND, columns)
+            out = arrow_map(docs.select(*columns), search, FOUND, columns, SHARD_ROWS)
         passes += 1
     return out.select(*keep, "_dw_n_words", "_dw_spans", "_dw_items")
 

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import arrow_map, table
 
 SPACE = "▁"
-#: Segments that a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Segments that a worker remembers before the older half makes room; a worker outlives its task, so this bounds later stages too.
+REMEMBERED = 120_000
 #: Characters of a segment up to which the agenda is a plain list.
 SHORT = 48
 

@@ -28,7 +28,7 @@ from .common import arrow_map, cut, table
 TRAIN_ROWS = 6_000
 HASH_BITS = 18
 KEEP = 0.5
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 GOOD, BAD, NONE = "1", "0", "-"
 #: Function words of the corpus's languages.
 FUNCTION_WORDS = frozenset("the of and to in a is that for it as with was on be by der die und das den von zu mit sich auf für nicht le la les de et des un une est que en el los las y del se por con para".split())

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, blocks, cut, table
+from .common import arrow_map, blocks, cut, slices, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 8
@@ -99,7 +99,7 @@ def _mentions(docs: DataFrame) -> DataFrame:
     """(entity, term, context): the terms of each distinct context of each entity; contexts repeated by copies are one."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: dict[tuple[str, str], list[str]] = {}
             for text in batch.column("text").to_pylist():
                 if spans := base_spans(text):
@@ -120,7 +120,7 @@ def _term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = sent.value.__contains__
         total: Counter[str] = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 if text:
                     total.update(filter(wanted, WORD.findall(text.lower())))
