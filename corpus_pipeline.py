@@ -27,7 +27,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the row with the smallest doc_id stays; rows without a doc_id, once for each text."""
     kept = near_duplicates(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_dw_n"))
     kept = cut(kept.withColumnRenamed("doc_id", "_dw_kept"))
-    out = docs.join(kept.select("_dw_kept"), docs["doc_id"] == kept["_dw_kept"], "left_semi")
+    # the kept ids grow with the documents, so they are never broadcast, however few they are
+    out = docs.join(kept.select("_dw_kept").hint("merge"), docs["doc_id"] == F.col("_dw_kept"), "left_semi")
     if not kept.filter("_dw_n > 1").isEmpty():  # repeated rows
         out = out.dropDuplicates(["doc_id"])
     nameless = docs.filter("doc_id is null")
