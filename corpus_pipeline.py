@@ -13,7 +13,7 @@ from docweir.llm.common import cut, table
 from docweir.llm.decontaminate import find_contamination, judged
 from docweir.llm.pieces import encode_documents
 from docweir.llm.sanitise import sanitise
-from docweir.llm.simhash import near_duplicates
+from docweir.llm.simhash import near_copies
 from docweir.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 
 
@@ -24,8 +24,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the row with the smallest doc_id stays; rows without a doc_id, once for each text."""
-    kept = near_duplicates(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_dw_n"))
+    """Of each class of near copies (three bits or similarity 0.8) the row with the smallest doc_id stays; rows without a doc_id, once for each text."""
+    kept = near_copies(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_dw_n"))
     kept = cut(kept.withColumnRenamed("doc_id", "_dw_kept"))
     # the kept ids grow with the documents, so they are never broadcast, however few they are
     out = docs.join(kept.select("_dw_kept").hint("merge"), docs["doc_id"] == F.col("_dw_kept"), "left_semi")

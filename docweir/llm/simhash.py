@@ -7,6 +7,10 @@ linked fingerprints share one, and of four 12-bit parts of the other 48 bits the
 distinct fingerprints with one such pair of values, has its own tree, and is searched with its own members only. A
 shard with more than TREE_LIMIT members is split into several trees; each is sent to every other part's members as
 queries. Trees travel by the shuffle's key and never through the driver.
+
+near_copies() adds the links of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, most of
+which lie outside three bits. Candidates share one of BANDS bands of ROWS least hashes each, and every candidate is
+checked on the shingles themselves. A pair at 0.8 shares no band with a chance of (1 - 0.8 ** 4) ** 20 < 0.00003.
 """
 
 from __future__ import annotations
@@ -25,28 +29,56 @@ from .components import connected_components
 SHINGLE = 3
 RADIUS = 3
 TREE_LIMIT = 20_000
+#: Of near_copies(): words of a shingle, the least similarity, bands and their least hashes, bits of a sketch and how many may differ.
+WORDS, SIMILAR = 5, 0.8
+BANDS, ROWS = 20, 4
+SKETCH, SKETCH_RADIUS = 128, 32
+FACTORS = np.random.default_rng(42).integers(1 << 62, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
+def digests_of(words: list[bytes], size: int) -> bytes:
+    """XXH64 with seed 42 of each run of so many words, in order; of all words if they are fewer."""
+    joined = b" ".join(words)
+    if len(words) < size:
+        return xxhash.xxh64_digest(joined, 42)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: len(words) - size + 1].tolist()
+    digest = xxhash.xxh64_digest
+    return b"".join([digest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)])
+
+
 def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
     """64 bits, as a signed integer; a bit is set if it is set in over half of the shingles' XXH64 with seed 42."""
     words = text.lower().split() if text else []
     if not words:
         return 0
-    joined = b" ".join(words)
-    if len(words) < size:
-        digests = xxhash.xxh64_digest(joined, 42)
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[: len(words) - size + 1].tolist()
-        digest = xxhash.xxh64_digest
-        digests = b"".join([digest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)])
-    table_ = np.frombuffer(digests, np.uint8).reshape(-1, 8)
+    table_ = np.frombuffer(digests_of(words, size), np.uint8).reshape(-1, 8)
     ones = np.stack([np.bincount(table_[:, k], minlength=256) for k in range(8)]) @ BITS_OF_BYTE
     return int.from_bytes(np.packbits(2 * ones.ravel() > len(table_)).tobytes(), "big", signed=True)
 
 
+def shingle_set(text: bytes | None, size: int = WORDS) -> np.ndarray:
+    """The distinct shingles' hashes, sorted; none for a text without words."""
+    words = text.lower().split() if text else []
+    return np.unique(np.frombuffer(digests_of(words, size) if words else b"", ">u8")).astype(np.uint64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two shingle sets; 1 if both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def least_hashes(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH least hashes of a shingle set that isn't empty."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 1024):  # bounds the memory that a long text takes
+        np.minimum(least, (FACTORS[:, None] * shingles[at : at + 1024]).min(axis=1), out=least)
+    return least
+
+
 class BKTree:
     """Nodes are (value, children by distance)."""
 
@@ -195,6 +227,11 @@ def fingerprints(docs: DataFrame, keep: list[str], size: int = SHINGLE) -> DataF
     return arrow_map(docs.select(*dict.fromkeys([*keep, "text"])), add, "fp long", keep)
 
 
+def _roots(prints: DataFrame) -> DataFrame:
+    """(fp, root): each fingerprint with a link within RADIUS bits, and the smallest that its links reach."""
+    return cut(connected_components(near_links(prints.select("fp"))).toDF("fp", "root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): the class of each row among fingerprints linked at RADIUS or fewer differing bits.
 
@@ -203,14 +240,106 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prints = cut(fingerprints(docs, ["doc_id"]))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    roots = cut(connected_components(near_links(distinct.select("fp"))))
-    labelled = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", "root")
+    return _classed(prints, distinct, _roots(distinct)).select("doc_id", "fp", "component_id")
+
+
+def _classed(prints: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """prints with component_id, the smallest doc_id among the fingerprints of one root."""
+    labelled = distinct.join(roots, "fp", "left").select("fp", "least", "n", "root")
     least = labelled.filter("root is not null").groupBy("root").agg(F.min("least").alias("_dw_least"))
     # a fingerprint that one row has and that has no link needs no lookup
     classes = labelled.filter("root is not null or n > 1").join(least, "root", "left")
     classes = cut(classes.select(F.col("fp").alias("_dw_fp"), F.coalesce("_dw_least", "least").alias("_dw_class")))
     joined = prints.join(classes, prints["fp"] == classes["_dw_fp"], "left")
-    return joined.select("doc_id", "fp", F.coalesce("_dw_class", "doc_id").alias("component_id"))
+    return joined.select(*(prints[c] for c in prints.columns), F.coalesce("_dw_class", "doc_id").alias("component_id"))
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    """Each row's doc_id, fingerprint, digests of the text and of its shingle set, the set's size, sketch and bands."""
+
+    def add(batch: pa.RecordBatch) -> dict[str, object]:
+        out: dict[str, list] = {c: [] for c in ("fp", "set", "size", "low", "high", "bands")}
+        for text in batch.column("text").cast(pa.binary()).to_pylist():
+            shingles = shingle_set(text)
+            out["fp"].append(fingerprint(text))
+            out["set"].append(int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 42)).view(np.int64)))
+            out["size"].append(len(shingles))
+            least = least_hashes(shingles) if len(shingles) else np.zeros(SKETCH, np.uint64)
+            bits = np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(bool)).view(np.int64)
+            out["low"].append(int(bits[0]))
+            out["high"].append(int(bits[1]))
+            bands = [xxhash.xxh64_digest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)] if len(shingles) else []
+            out["bands"].append(np.frombuffer(b"".join(bands), np.int64).tolist())
+        return out
+
+    read = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    return arrow_map(read, add, "fp long, set long, size int, low long, high long, bands array<long>", ["doc_id", "digest"])
+
+
+def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): of pairs (a, b, set_a, set_b) those whose shingle sets are as similar as SIMILAR."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def shingles(key: int, text: str) -> np.ndarray:
+            if key not in known:
+                if len(known) > 64:
+                    known.clear()
+                known[key] = shingle_set(text.encode())
+            return known[key]
+
+        for batch in batches:
+            links = [
+                (a, b)
+                for a, b, set_a, set_b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b", "x", "y")), strict=True)
+                if jaccard(shingles(set_a, x), shingles(set_b, y)) >= SIMILAR
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    first, second = texts.toDF("set_a", "x").hint("merge"), texts.toDF("set_b", "y").hint("merge")
+    return pairs.join(first, "set_a").join(second, "set_b").select("a", "b", "set_a", "set_b", "x", "y").mapInArrow(check, "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id): the classes of near_duplicates(), joined where texts are as similar as SIMILAR.
+
+    Links are looked for between classes only: first each member of a band against the band's first one, which joins
+    large groups of copies by as many checks as they have members, and then all members whose classes still differ.
+    """
+    prints = cut(_sketches(docs))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    roots = _roots(distinct)
+    marks = F.struct("size", "low", "high", "bands", "digest")  # a set's texts differ in order or case at most
+    of_set = prints.groupBy("set", "fp").agg(F.min(marks).alias("m")).join(roots, "fp", "left")
+    of_set = cut(of_set.select("set", F.coalesce("root", "fp").alias("node"), "m"))
+    sets = cut(of_set.groupBy("set").agg(F.min("node").alias("node"), F.max("node").alias("far"), F.min("m").alias("m")).select("set", "node", "far", "m.*"))
+    links = of_set.join(sets.filter("node < far").select("set", F.col("node").alias("b")), "set").select(F.col("node").alias("a"), "b").filter("a <> b")
+    members = sets.select("set", "node", "size", "low", "high", "digest", F.explode("bands").alias("band"))
+    crowded = members.groupBy("band").agg(F.min(F.struct("node", "set", "size", "low", "high")).alias("head"), F.max("node").alias("far"))
+    members = cut(members.join(crowded.filter("head.node < far").select("band", "head"), "band"))
+    if members.isEmpty() and links.isEmpty():
+        return _classed(prints.select("doc_id", "fp"), distinct, roots)
+    wanted = members.select("set", "digest").distinct()
+    texts = docs.select("text", F.xxhash64("text").alias("digest")).join(wanted.hint("merge"), "digest")
+    texts = cut(texts.groupBy("set").agg(F.min("text").alias("text")))
+    bits = lambda a, b: F.bit_count(F.col(f"{a}low").bitwiseXOR(F.col(f"{b}low"))) + F.bit_count(F.col(f"{a}high").bitwiseXOR(F.col(f"{b}high")))
+    near = lambda a, b: (F.least(f"{a}size", f"{b}size") >= F.greatest(f"{a}size", f"{b}size") * SIMILAR - 0.001) & (bits(a, b) <= SKETCH_RADIUS)
+    first = members.filter((F.col("node") != F.col("head.node")) & near("", "head."))
+    first = cut(first.select(F.col("node").alias("a"), F.col("head.node").alias("b"), F.col("set").alias("set_a"), F.col("head.set").alias("set_b")).distinct())
+    links = cut(links.unionByName(_alike(first, texts)))
+    joined = cut(connected_components(links).toDF("node", "top"))
+    members = members.select("band", "set", "node", "size", "low", "high").join(joined, "node", "left").withColumn("top", F.coalesce("top", "node"))
+    open_ = members.groupBy("band").agg(F.min("top").alias("low_top"), F.max("top").alias("high_top")).filter("low_top < high_top").select("band")
+    members = cut(members.join(open_, "band"))
+    x, y = members.alias("x"), members.alias("y")
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.top") < F.col("y.top")) & near("x.", "y."))
+    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.set").alias("set_a"), F.col("y.set").alias("set_b")).distinct()
+    links = links.unionByName(_alike(cut(rest), texts))
+    # fingerprints of one class share a node; the new links join nodes
+    joined = cut(connected_components(links).toDF("root", "top"))
+    classes = distinct.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")).join(joined, "root", "left")
+    return _classed(prints.select("doc_id", "fp"), distinct, cut(classes.select("fp", F.coalesce("top", "root").alias("root"))))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

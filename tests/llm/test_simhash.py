@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from docweir.llm import simhash as s
 from docweir.llm.components import connected_components
 
@@ -69,3 +70,33 @@ def test_empty_table_and_null_ids(spark):
     rows = [(r.doc_id, r.component_id) for r in s.near_duplicates(docs).collect()]
     assert sorted(rows, key=str) == [(4, 4), (None, 4), (None, None)]
     assert s.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_near_copies_at_similarity(spark):
+    rng = random.Random(4)
+    words = [f"word{k}" for k in range(3000)]
+    rows, n = [], 300
+    for _ in range(30):  # far apart in bits, near and not quite near in shingles; a chain among them
+        base = rng.choices(words, k=n)
+        rows.append(base)
+        for changed in (1, 3, 5, 6, 8, 20):
+            copy = list(base)
+            for k in range(changed):
+                copy[(k + 1) * n // (changed + 1)] = rng.choice(words)
+            rows.append(copy)
+    rows += [rows[1][::-1], [], ["a", "b"], ["A", "B"]]
+    texts = {k: " ".join(r) for k, r in enumerate(rows)} | {len(rows): None}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for k, t in texts.items()}
+    prints = {k: s.fingerprint(t and t.encode()) for k, t in texts.items()}
+    pairs = [(a, b) for a in texts for b in texts if a < b]
+    bits = {p for p in pairs if (prints[p[0]] ^ prints[p[1]]).bit_count() <= 3 or prints[p[0]] == prints[p[1]]}
+    shared = {p for p in pairs if len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]])}
+    assert len(shared - bits) > 30
+    least = {k: k for k in texts}
+    for _ in texts:
+        for a, b in bits | shared:
+            least[a] = least[b] = min(least[a], least[b])
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in s.near_copies(docs).collect()} == least
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert {r.doc_id for r in kept} == {*least.values()}
