@@ -2,8 +2,9 @@
 
 The patterns find e-mail addresses, IP addresses, card and phone numbers. Each distinct value found is a protected
 entity. How much a term t reveals of an entity e is the share of e's information that t carries,
-pmi(e; t) / -log2 p(e), with p estimated over contexts: a context is the CONTEXT words on either side of an entity's
-mention, and p(t) counts t over every text of the corpus. A term that carries at least DISCLOSURE of the information
+pmi(e; t) / -log2 p(e), with p estimated over distinct contexts: a context is the CONTEXT words on either side of an
+entity's mention, and elsewhere of the term. p(t) counts both over every text of the corpus, so copies count once on
+either side. A term that carries at least DISCLOSURE of the information
 and was seen with e in SUPPORT distinct contexts or more is hidden wherever it occurs.
 """
 
@@ -11,9 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -86,13 +86,28 @@ def entity(text: str, span: Span) -> str:
     return f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:{re.sub('[^0-9]+', '', value)}"
 
 
+def _telling(words: list[str]) -> list[str]:
+    """The distinct words, sorted, that can be terms."""
+    return sorted({w.lower() for w in words if len(w) > 2 and not w.isdigit()})
+
+
+def _around(text: str, span: Span) -> tuple[list[str], int, int]:
+    """The words around a mention, and where the first begins and the last ends."""
+    start, end, _ = span
+    at = max(0, start - 40 * CONTEXT)
+    left = [*WORD.finditer(text[at:start])][-CONTEXT:]
+    right = [*islice(WORD.finditer(text[end : end + 40 * CONTEXT]), CONTEXT)]
+    return [m[0] for m in left + right], at + left[0].start() if left else start, end + right[-1].end() if right else end
+
+
 def contexts(text: str, spans: list[Span]) -> Iterator[tuple[str, list[str]]]:
     """Each mention's entity and the distinct words around it that are no part of a mention."""
     for span in spans:
-        start, end, _ = span
-        left, right = text[max(0, start - 40 * CONTEXT) : start], text[end : end + 40 * CONTEXT]
-        words = WORD.findall(left)[-CONTEXT:] + WORD.findall(right)[:CONTEXT]
-        yield entity(text, span), sorted({w.lower() for w in words if len(w) > 2 and not w.isdigit()})
+        yield entity(text, span), _telling(_around(text, span)[0])
+
+
+def _digest(words: list[str]) -> str:
+    return hashlib.md5(" ".join(words).encode()).hexdigest()[:16]
 
 
 def _mentions(docs: DataFrame) -> DataFrame:
@@ -104,7 +119,7 @@ def _mentions(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 if spans := base_spans(text):
                     for who, words in contexts(text, spans):
-                        rows[who, hashlib.md5(" ".join(words).encode()).hexdigest()[:16]] = words
+                        rows[who, _digest(words)] = words
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.string()), pa.array([*rows.values()], pa.list_(pa.string()))],
                 names=["entity", "context", "terms"],
@@ -113,20 +128,32 @@ def _mentions(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(find, "entity string, context string, terms array<string>")
 
 
-def _term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(term, n): occurrences of each of some terms over all texts."""
+def elsewhere(text: str, wanted: frozenset[str]) -> Iterator[tuple[str, str]]:
+    """Each occurrence of a wanted term outside all mentions and their contexts, with the digest of the words around it."""
+    if wanted.isdisjoint(map(str.lower, WORD.findall(text))):
+        return
+    taken = [_around(text, span)[1:] for span in base_spans(text)]
+    found = [*WORD.finditer(text)]
+    words = [m[0] for m in found]
+    far, edges, k = -1, sorted(taken), 0
+    for i, m in enumerate(found):
+        while k < len(edges) and edges[k][0] <= m.start():
+            far, k = max(far, edges[k][1]), k + 1
+        if m.start() >= far and (term := m[0].lower()) in wanted:
+            yield term, _digest(_telling(words[max(0, i - CONTEXT) : i + CONTEXT + 1]))
+
+
+def _elsewhere_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(term, n_out): distinct contexts, outside those of mentions, of each of some terms over all texts."""
     sent = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = sent.value.__contains__
-        total: Counter[str] = Counter()
         for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
-                if text:
-                    total.update(filter(wanted, WORD.findall(text.lower())))
-        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.string()), pa.array([*total.values()], pa.int64())], names=["term", "n"])
+            rows = {x for text in batch.column("text").to_pylist() if text for x in elsewhere(text, sent.value)}
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.string()) for k in (0, 1)], names=["term", "around"])
 
-    return docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(count, "term string, around string").distinct()
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("n_out"))
 
 
 def disclosing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -135,13 +162,18 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float
     total = found.count()
     seen = found.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
     pairs = found.join(seen, "entity").select("entity", "n_e", F.explode("terms").alias("term"))
-    joint = cut(pairs.groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support))
+    joint = pairs.groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
+    inside = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_in"))
+    # p(e|t) over all distinct contexts of t, held against p(e) over all contexts of mentions
+    share = lambda n: 1 + F.log2(F.least(F.lit(1.0), F.col("n_et") / n)) / -F.log2(F.col("n_e") / F.lit(total + 1.0))
+    # what fails by the contexts of mentions alone fails by all
+    joint = cut(joint.join(inside, "term").filter(share(F.col("n_in")) >= disclosure))
     out = None
     for block in blocks(joint.select("term").distinct(), lambda _: 1, BLOCK_TERMS):
-        counts = _term_counts(docs, [r.term for r in block])
-        # p(e|t) over all occurrences of t, held against p(e) over all contexts
-        share = 1 + F.log2(F.least(F.lit(1.0), F.col("n_et") / F.col("n"))) / -F.log2(F.col("n_e") / F.lit(total + 1.0))
-        own = joint.join(counts, "term").filter(share >= disclosure).select("term")
+        terms = [r.term for r in block]
+        own = joint.join(docs.sparkSession.createDataFrame([(t,) for t in terms], "term string"), "term", "left_semi")
+        own = own.join(_elsewhere_counts(docs, terms), "term", "left").fillna(0, ["n_out"])
+        own = own.filter(share(F.col("n_in") + F.col("n_out")) >= disclosure).select("term")
         out = own if out is None else out.unionByName(own)
     return cut(out.distinct()) if out is not None else joint.select("term").limit(0)
 

@@ -56,3 +56,17 @@ def test_sanitise(spark):
         assert s.base_spans(r.text) == [] and (r.text is None or r.n_chars == len(r.text))
     assert s.sanitise(docs.limit(0)).count() == 0
     assert s.redact("ab cd", [(0, 2, "ip"), (1, 4, "card")]) == "[IP]d"
+
+
+def test_disclosing_terms_among_copies(spark):
+    rng = random.Random(6)
+    filler = [f"filler{k}" for k in range(2000)]
+    rows = []
+    for k in range(200):
+        near = f"nickname{k % 5}" if k < 40 else rng.choice(filler)
+        who = f"boss{k % 5}@corp.example" if k < 40 else f"p{k}@corp.example"
+        often = "common" if k < 40 and k % 5 == 0 else rng.choice(filler)
+        rows.append(f"{' '.join(rng.choices(filler, k=12))} {near} {often} {who} wrote {' '.join(rng.choices(filler, k=12))}")
+    rows += [f"{' '.join(rng.choices(filler, k=9))} common {' '.join(rng.choices(filler, k=9))}" for _ in range(20)]
+    docs = spark.createDataFrame([(t,) for t in rows * 20], "text string")  # twenty of each text
+    assert {r.term for r in s.disclosing_terms(docs).collect()} == {f"nickname{k}" for k in range(5)}
