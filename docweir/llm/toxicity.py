@@ -42,8 +42,13 @@ EDGE = "".join(SEPARATORS) + "!$|+…«»“”„¡¿"
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100)))
 SIGN, SAME, AGAIN, GAP = math.log(0.05), 0.0, math.log(0.3), math.log(0.05)
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]{1,2}\S){2,}(?!\S)")
+#: What stands between two of the signs that join tokens, and letters or look-alike signs spelt out between them.
+JOINED = re.compile(r"[^\s._*~·/\\,'`^=#&%:;?()\[\]{}<>\"-]+")
+SPELT = re.compile(r"(?<![^._/-])[^\s._/-](?:[._/-]{1,2}[^\s._/-]){2,}(?![^._/-])")
 PARTS = re.compile(r"[^\W\d_]+")
-REMEMBERED = 50_000
+REMEMBERED, REMEMBERED_LENGTH = 50_000, 200
+#: Letters of a run that are looked at from each of its letters on; tokens above it are taken apart at the signs that join them too.
+LONG = 40
 
 
 @dataclass
@@ -90,21 +95,38 @@ def readings(sign: str) -> Iterator[tuple[str, float]]:
 
 
 def restore(token: str, model: LetterModel) -> str:
-    """The likeliest letters behind a token: a Viterbi pass over states of the last two letters."""
-    best: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
+    """The likeliest letters behind a token: a Viterbi pass over states of the last two letters.
+
+    Letters that all paths share are written out as soon as one state is left, so time and memory are linear.
+    """
+    done: list[str] = []
+    best: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}  # a path is (path before, letter)
     for k, sign in enumerate(token):
         again = sign * 3 in token[max(0, k - 2) : k + 3]  # in a run of three or more
-        after: dict[str, tuple[float, str]] = {}
+        after: dict[str, tuple[float, tuple | None]] = {}
         for state, (score, made) in best.items():
             for letter, cost in readings(sign):
-                steps = [(state, score + cost, made)] if not letter else [(state[1] + letter, score + cost + model.log(state + letter), made + letter)]
+                steps = [(state, score + cost, made)] if not letter else [(state[1] + letter, score + cost + model.log(state + letter), (made, letter))]
                 if again and letter and letter == state[1]:  # the same letter written again
                     steps.append((state, score + cost + AGAIN, made))
-                for to, s, text in steps:
+                for to, s, path in steps:
                     if to not in after or s > after[to][0]:
-                        after[to] = s, text
+                        after[to] = s, path
         best = after or best
-    return max(((s + model.log(state + "$"), text) for state, (s, text) in best.items()), default=(0.0, ""))[1]
+        if len(best) == 1:
+            ((state, (score, path)),) = best.items()
+            done += _spelt(path)
+            best = {state: (score, None)}
+    _, last = max((s + model.log(state + "$"), "".join(_spelt(path))) for state, (s, path) in best.items())
+    return "".join(done) + last
+
+
+def _spelt(path: tuple | None) -> list[str]:
+    out = []
+    while path:
+        path, letter = path
+        out.append(letter)
+    return out[::-1]
 
 
 def letter_counts(docs: DataFrame) -> dict[str, int]:
@@ -142,10 +164,15 @@ class Reader:
             core = token.lstrip(START).rstrip(EDGE)
             if core.isalpha() and not any(c * 3 in core for c in set(core)):
                 found = (core,)
-            elif len(core) > 40 or not any(c.isalpha() for c in core):
+            elif not any(c.isalpha() for c in core):
                 found = tuple(PARTS.findall(core))
+            elif len(core) > LONG:
+                pieces = dict.fromkeys([core, *PARTS.findall(core), *JOINED.findall(core)])
+                found = (*(restore(p, self.model) for p in pieces), *(w for m in SPELT.finditer(core) for w in endings(restore(m[0], self.model))))
             else:
                 found = tuple(dict.fromkeys([restore(core, self.model), *(restore(p, self.model) for p in PARTS.findall(core))]))
+            if len(token) > REMEMBERED_LENGTH:
+                return found
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             self.known[token] = found
@@ -163,11 +190,17 @@ class Reader:
             elif len(token) > 1:
                 out.update(self._decoded(token))
         for m in SPACED.finditer(low):
-            word = restore(m[0], self.model) if len(m[0]) <= 200 else "".join(PARTS.findall(m[0]))
-            out.update(word[k:] for k in range(max(1, len(word) - 3)))
+            out.update(w for w in endings(restore(m[0], self.model)) if heads is None or w[:3] in heads)
         return out
 
 
+def endings(word: str) -> Iterator[str]:
+    """What letters without word edges can hold: all from each letter on, cut after LONG letters, and the whole."""
+    yield word
+    for k in range(max(1, len(word) - 3)):
+        yield word[k : k + LONG]
+
+
 def evidence_of(words: Iterable[str]) -> set[str]:
     """A word's beginnings, and the whole of it with an edge."""
     out = set()

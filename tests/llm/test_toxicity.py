@@ -83,3 +83,27 @@ def test_beginnings_of_one_word():
     found = [("loser$", 100, 100), ("loser", 100, 100), ("lose", 110, 100), ("lowe", 90, 90), ("lowei", 90, 90), ("loweia", 20, 20), ("loweib", 30, 30), ("the$", 900, 500)]
     assert t.weigh(found, 1000, 200).keys() == {"loser$", "loser", "lowe", "lowei", "loweia", "loweib"}
     assert t.weigh(found, 0, 0) == {}
+
+
+LONG_PLAIN = "the quick brown fox jumps over lazy dogs while seven wizards mix potions near quiet rivers and tall green hills"
+
+
+@pytest.mark.parametrize("word", ["1d10t", "m0r0n", "5cum"])
+def test_long_runs_and_tokens(fitted, word):
+    _, model = fitted
+    heads = frozenset(e[:3] for e in model.evidence)
+    score = lambda text: model.score(t.Reader(t.LetterModel(model.counts)).words(text, heads))
+    plain = LONG_PLAIN.split()
+    for sign in "-._":
+        assert score(sign.join([*plain[:9], word, *plain[9:]])) >= t.THRESHOLD > score(sign.join(plain))
+    spelt = "".join([*plain[:9], word, *plain[9:], *plain[:9]])
+    for sign in " -.":
+        assert len(sign.join(spelt)) > 200 and score(sign.join(spelt)) >= t.THRESHOLD
+
+
+def test_long_runs_are_linear(fitted):
+    _, model = fitted
+    reader = t.Reader(t.LetterModel(model.counts))
+    words = reader.words(" ".join("quietriver" * 2_000))
+    assert sum(map(len, words)) < 2_000_000
+    assert len(t.restore("1" * 2_000 + "6a!", model=t.LetterModel(model.counts))) > 0
