@@ -15,15 +15,19 @@ from pyspark.sql import functions as F
 
 from .common import cut, gapless, table
 
-#: Tools and their arguments: the type of each, and whether it must be there.
-SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {
-    "search": {"query": ("string", True), "limit": ("integer", False)},
+#: What an argument can be: a type's name, {field: (kind, needed)} of an object, or [kind] of an array.
+Kind = str | dict[str, tuple["Kind", bool]] | list["Kind"]
+#: Tools and their arguments: the kind of each, and whether it must be there.
+SCHEMAS: dict[str, dict[str, tuple[Kind, bool]]] = {
+    "search": {"query": ("string", True), "limit": ("integer", False), "filters": ([{"field": ("string", True), "value": ("string", False)}], False)},
     "fetch": {"url": ("string", True)},
     "calculate": {"expression": ("string", True), "digits": ("integer", False)},
 }
 CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
-TYPES = {"string": "STRING", "integer": "BIGINT", "number": "^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*"}
+TYPES = {"string": "STRING", "number": "^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*"}
+#: An object whose only field is $ref.
+REFERENCE = r"^OBJECT<`?\$ref`?: STRING>$"
 
 
 def canonical(text: Column) -> Column:
@@ -31,52 +35,95 @@ def canonical(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
 
 
-def problems(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
+def is_reference(value: Column) -> Column:
+    return F.schema_of_variant(value).rlike(REFERENCE)
+
+
+def faults(value: Column, kind: Kind, path: str) -> Column:
+    """What is wrong with a variant that isn't missing, as an array of strings; a reference to another call fits any kind."""
+    found = F.schema_of_variant(value)
+    if isinstance(kind, dict):
+        inner = _fields(value, kind, f"{path}.")
+        wrong = F.when(found.startswith("OBJECT"), inner).otherwise(F.array(F.lit(f"{path} is no object")))
+    elif isinstance(kind, list):
+        parts = F.flatten(F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: faults(x, kind[0], f"{path}[]")))
+        wrong = F.when(found.startswith("ARRAY"), F.array_distinct(parts)).otherwise(F.array(F.lit(f"{path} is no array")))
+    else:
+        if kind == "integer":  # 3.0 is one, as it is written 3
+            number = F.try_variant_get(value, "$", "double")
+            fits = (found == "BIGINT") | (found.rlike("^(DOUBLE|DECIMAL.*)$") & (number == F.floor(number)))
+        else:
+            fits = found.rlike(f"^({TYPES[kind]})$")
+        wrong = F.when(F.coalesce(fits, F.lit(False)), F.array().cast("array<string>")).otherwise(F.array(F.lit(f"{path} is no {kind}")))
+    return F.when(is_reference(value), F.array().cast("array<string>")).otherwise(wrong)
+
+
+def _fields(value: Column, fields: dict[str, tuple[Kind, bool]], before: str) -> Column:
+    out = [F.array().cast("array<string>")]
+    for field, (kind, needed) in fields.items():
+        part = F.try_variant_get(value, f"$['{field}']", "variant")
+        missing = F.array(F.lit(f"missing {before}{field}")) if needed else F.array().cast("array<string>")
+        out.append(F.when(part.isNull(), missing).otherwise(faults(part, kind, before + field)))
+    extra = F.array_sort(F.array_except(F.json_object_keys(F.to_json(value)), F.array(*map(F.lit, fields)).cast("array<string>")))
+    return F.concat(*out, F.transform(extra, lambda x: F.concat(F.lit(f"unexpected {before}"), x)))
+
+
+def problems(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[Kind, bool]]]) -> Column:
     """What is wrong with a call's arguments, as an array of strings. schemas is a short dictionary stated by the caller."""
     value = F.try_parse_json(arguments)
     is_object = F.schema_of_variant(value).startswith("OBJECT")
     out = F.array(F.lit("unknown tool"))
     for tool, fields in schemas.items():
-        checks = []
-        for field, (kind, needed) in fields.items():
-            part = F.try_variant_get(value, f"$.{field}", "variant")
-            reference = F.try_variant_get(value, f"$.{field}['$ref']", "string").isNotNull()
-            fits = F.schema_of_variant(part).rlike(f"^({TYPES[kind]})$")
-            if needed:
-                checks.append(F.when(part.isNull(), f"missing {field}"))
-            checks.append(F.when(part.isNotNull() & ~fits & ~reference, f"{field} is no {kind}"))
-        extra = F.array_except(F.json_object_keys(arguments), F.array(*map(F.lit, fields)))
-        own = F.concat(F.array_compact(F.array(*checks)), F.transform(extra, lambda x: F.concat(F.lit("unexpected "), x)))
-        out = F.when(name == tool, own).otherwise(out)
+        out = F.when(name == tool, _fields(value, fields, "")).otherwise(out)
     return F.when(value.isNull() | ~is_object, F.array(F.lit("arguments are no object"))).otherwise(out)
 
 
+def _needs(calls: DataFrame) -> DataFrame:
+    """(conv_id, id, other): the other calls that a call's arguments refer to, by any object with $ref alone in them."""
+    # canonical JSON has no spare space, and a brace inside a string can't stand before its quotation mark unescaped
+    inside = F.expr(r"""regexp_extract_all(to_json(try_parse_json(arguments)), '[:,\\[]\\{"\\$ref":"((?:[^"\\\\]|\\\\.)*)"\\}', 1)""")
+    text = F.from_json(F.concat(F.lit('["'), F.array_join(F.array_distinct(inside), '","'), F.lit('"]')), "array<string>")
+    return calls.filter("id is not null").select("conv_id", "id", F.explode(F.when(F.size(inside) > 0, text)).alias("other")).distinct()
+
+
 def _levels(calls: DataFrame) -> DataFrame:
-    """calls with level and the turn after which each can stand (anchor); level is null in or behind a circle."""
-    needs = calls.select("conv_id", "id", F.explode(F.expr(r"""regexp_extract_all(arguments, '"\\$ref"\\s*:\\s*"([^"]+)"', 1)""")).alias("other")).distinct()
-    needs = needs.join(calls.select("conv_id", F.col("id").alias("other")).distinct(), ["conv_id", "other"])
-    if needs.isEmpty():
-        return calls.withColumn("level", F.lit(0)).withColumn("anchor", F.col("turn").cast("long"))
-    needs = cut(needs)
-    known = calls.join(needs, ["conv_id", "id"], "left_anti").groupBy("conv_id", "id").agg(F.lit(0).alias("level"), F.max("turn").cast("long").alias("anchor"))
-    known, n = cut(known), -1
+    """calls with level, the turn after which each can stand (anchor), and the references that no call answers (dangling).
+
+    level is null in or behind a circle. calls has one row for each distinct call.
+    """
+    asked = _needs(calls)
+    if asked.isEmpty():
+        return calls.withColumns({"level": F.lit(0), "anchor": F.col("turn").cast("long"), "dangling": F.array().cast("array<string>")})
+    asked = cut(asked)
+    there = calls.select("conv_id", F.col("id").alias("other")).distinct()
+    needs = cut(asked.join(there, ["conv_id", "other"]))
+    # the references of one call are as many as its arguments hold
+    dangling = asked.join(there, ["conv_id", "other"], "left_anti").groupBy("conv_id", "id").agg(F.array_sort(F.collect_set(F.concat(F.lit("unknown reference "), "other"))).alias("dangling"))
     turns = calls.groupBy("conv_id", "id").agg(F.max("turn").cast("long").alias("turn"))
+    known = turns.join(needs, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).alias("level"), F.col("turn").alias("anchor"))
+    known, n = cut(known), -1
     while (now := known.count()) != n:  # each round settles the calls whose needs are all settled
         n = now
         met = needs.join(known.withColumnRenamed("id", "other"), ["conv_id", "other"], "left").join(known.select("conv_id", "id"), ["conv_id", "id"], "left_anti")
         ready = met.groupBy("conv_id", "id").agg(F.max("level").alias("l"), F.max("anchor").alias("a"), F.count_if(F.col("level").isNull()).alias("open")).filter("open = 0")
         ready = ready.join(turns, ["conv_id", "id"]).select("conv_id", "id", (F.col("l") + 1).alias("level"), F.greatest("turn", "a").alias("anchor"))
         known = cut(known.unionByName(ready))
-    return calls.join(known, ["conv_id", "id"], "left").withColumn("anchor", F.coalesce("anchor", F.col("turn").cast("long")))
+    out = calls.join(known, ["conv_id", "id"], "left").join(dangling, ["conv_id", "id"], "left")
+    return out.withColumns({"anchor": F.coalesce("anchor", F.col("turn").cast("long")), "dangling": F.coalesce("dangling", F.array().cast("array<string>"))})
 
 
 def format_chats(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] = SCHEMAS) -> DataFrame:
     """One row for each message (conv_id, turn, role, text): position, kind, level, status, problems and json.
 
-    kind is call, result or message; status of a call is linked, unanswered, duplicate or circular, of a result linked or
-    orphan, else null. json has sorted keys, the text of a plain message as content (null stays null), calls with
-    canonical arguments. A message with several calls has one row, and the worst status of them. Repeated messages are
-    rows of their own; null roles and texts are plain messages; positions count from 0 in each conversation.
+    kind is call, result or message; status of a call is linked, unanswered, duplicate or circular, of a result linked,
+    repeated (its call has an earlier one) or orphan, else null. A reference to a call that isn't there is a problem and
+    orders nothing. json has sorted keys, the text of a plain message as content (null stays null), calls with canonical
+    arguments. A message with several calls has one row, and the worst status of them. Repeated messages (equal turn, role
+    and text) are rows of their own, whose calls count once and whose results are judged alike; a call's id is a duplicate
+    where other messages, or the same one, use it again. Null roles and texts are plain messages, as is all JSON of another
+    shape, however long. Equal turns stand by role and digest of the text; positions count from 0 in each conversation; a
+    null conversation is one like any other for plain messages, but its calls and results find none. An empty table gives
+    no rows; other columns are not read.
     """
     call, result = F.from_json("text", CALLS), F.from_json("text", RESULT)
     rows = messages.select("conv_id", "turn", "role", "text").withColumn("row", F.md5("text"))
@@ -100,15 +147,18 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bo
 
 
 def _linked(rows: DataFrame, call: Column, result: Column, schemas: dict) -> DataFrame:
-    calls = rows.filter("kind = 'call'").select("conv_id", "turn", "row", F.posexplode(call["tool_calls"]).alias("k", "c"))
+    # equal messages have equal calls, which are looked at once
+    distinct = rows.filter("kind = 'call'").dropDuplicates(["conv_id", "turn", "row"])
+    calls = distinct.select("conv_id", "turn", "row", F.posexplode(call["tool_calls"]).alias("k", "c"))
     calls = cut(calls.select("conv_id", "turn", "row", "k", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments")))
     results = rows.filter("kind = 'result'").withColumn("id", result["tool_call_id"])
     counted = calls.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("n_calls"))
-    answered = results.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("n_results"))
-    placed = cut(_levels(calls).withColumn("problems", problems(F.col("name"), F.col("arguments"), schemas)))
+    answered = cut(results.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "row")).alias("first_result")))
+    placed = _levels(calls).withColumn("problems", F.concat(problems(F.col("name"), F.col("arguments"), schemas), "dangling"))
+    placed = cut(placed)
     status = (
         F.when(F.col("id").isNull(), "unanswered").when(F.col("n_calls") > 1, "duplicate").when(F.col("level").isNull(), "circular")
-        .when(F.col("n_results").isNull(), "unanswered").otherwise("linked")
+        .when(F.col("first_result").isNull(), "unanswered").otherwise("linked")
     )
     placed = placed.join(counted, ["conv_id", "id"], "left").join(answered, ["conv_id", "id"], "left").withColumn("status", status)
     one = F.struct("k", F.struct("arguments", "id", "name").alias("c"))
@@ -116,15 +166,17 @@ def _linked(rows: DataFrame, call: Column, result: Column, schemas: dict) -> Dat
     # a message's own calls come together again; a message is one row of bounded size
     asked = placed.withColumn("worst", order).groupBy("conv_id", "turn", "row").agg(
         F.max("anchor").alias("anchor"), (2 * F.coalesce(F.min("level"), F.lit(0))).alias("depth"), F.max("level").alias("level"), F.min(F.struct("worst", "status"))["status"].alias("status"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("problems")))).alias("problems"), F.transform(F.array_sort(F.array_distinct(F.collect_list(one))), lambda x: x["c"]).alias("calls"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("problems")))).alias("problems"), F.transform(F.array_sort(F.collect_list(one)), lambda x: x["c"]).alias("calls"),
     )
-    met = asked.withColumnsRenamed({"conv_id": "v", "turn": "t", "row": "r"})
+    met = cut(asked.withColumnsRenamed({"conv_id": "v", "turn": "t", "row": "r"}))
     ours = rows.filter("kind = 'call'")
     ours = ours.join(met, ours["conv_id"].eqNullSafe(met["v"]) & ours["turn"].eqNullSafe(met["t"]) & (ours["row"] == met["r"]))
     ours = ours.select(*rows.columns, "anchor", "depth", "level", "status", "problems", "calls", F.lit(None).cast("string").alias("answers"))
-    first = placed.groupBy("conv_id", "id").agg(F.max("anchor").alias("call_at"), F.max("level").alias("level"))
+    first = cut(placed.groupBy("conv_id", "id").agg(F.max("anchor").alias("call_at"), F.max("level").alias("level")).join(answered, ["conv_id", "id"]))
+    own = F.struct("turn", "row").eqNullSafe(F.col("first_result"))
     theirs = results.join(first, ["conv_id", "id"], "left").select(
-        *rows.columns, F.coalesce("call_at", F.col("turn").cast("long")).alias("anchor"), (2 * F.coalesce("level", F.lit(0)) + 1).alias("depth"), "level", F.when(F.col("call_at").isNull(), "orphan").otherwise("linked").alias("status"),
+        *rows.columns, F.coalesce("call_at", F.col("turn").cast("long")).alias("anchor"), (2 * F.coalesce("level", F.lit(0)) + 1).alias("depth"), "level",
+        F.when(F.col("call_at").isNull(), "orphan").when(own, "linked").otherwise("repeated").alias("status"),
         F.array().cast("array<string>").alias("problems"), F.lit(None).cast("array<struct<arguments:string,id:string,name:string>>").alias("calls"), F.col("id").alias("answers"),
     )
     return ours.unionByName(theirs)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,31 +14,75 @@ from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset (as in tests), one of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, a local master (as in tests) gets a
+    folder of its own; on a cluster it is an error, since each executor would write to its own disk."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
     checkpoint_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if checkpoint_dir.isDefined():
         return checkpoint_dir.get()
+    if not is_local(spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="spark-docweir-")
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there and no later job computes it again."""
+def is_local(master: str) -> bool:
+    """Whether the driver's process runs the tasks too."""
+    return master == "local" or master.startswith("local[")
+
+
+#: Paths that cut() has written inside the scratch() blocks that are open, the innermost last.
+_open: list[list[str]] = []
+
+
+def write_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, read back, and where it lies."""
     path = f"{shared_dir(df.sparkSession)}/docweir-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Rows that a Python function handles at once: Arrow batches may hold ten thousand long texts.
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back: its lineage ends there and no later job computes it again."""
+    out, path = write_table(df)
+    if _open:
+        _open[-1].append(path)
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end what cut() has written inside: what is made of it must be written by write_table() by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            drop_table(spark, path)
+
+
+#: Rows that a Python function handles at once, and of an Arrow batch: ten thousand long texts would be too many.
 SLICE_ROWS = 512
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold SLICE_ROWS rows at most from now on; a smaller bound of the session's own stays."""
+    if not 0 < int(spark.conf.get(BATCH)) <= SLICE_ROWS:
+        spark.conf.set(BATCH, SLICE_ROWS)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -73,6 +118,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]],
                     columns.append(batch.column(field.name))
             yield pa.RecordBatch.from_arrays(columns, names=target.names)
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -1,4 +1,8 @@
-"""Connected components of a graph that lies in a DataFrame of links."""
+"""Connected components of a graph that lies in a DataFrame of links.
+
+The smallest neighbours are written down before they are joined to the links, so both sides of each join come straight
+from a shuffle and Spark can split the partition of a node that a large class is linked to.
+"""
 
 from __future__ import annotations
 
@@ -11,13 +15,13 @@ from .common import cut
 def _large_star(links: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the smallest node around it."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    least = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of these."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut(links.groupBy("a").agg(F.min("b").alias("m")))
     moved = links.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 

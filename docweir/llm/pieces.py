@@ -4,7 +4,8 @@ Encoding keeps an agenda of adjacent symbol pairs, ordered by score and then by
 neighbours join the agenda, and pairs whose symbols have changed since are passed over. A character that no piece holds
 becomes its bytes' pieces. No piece crosses from a letter to the space mark after it (checked when the vocabulary is
 read, else the whole text is one segment), so segments between such places merge by themselves and are remembered by
-their text. Each segment that is new to a task is checked against the sentencepiece library, a batch at a time.
+their text. Every segment that is new to a worker, lone marks and ends of lines among them, is encoded and decoded by the
+sentencepiece library too, those of a batch in one call, and a difference ends the job.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterable
-from itertools import chain, pairwise
+from itertools import chain, repeat
 from math import inf
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import arrow_map, table
 
 SPACE = "▁"
-#: Segments that a worker remembers before the older half makes room; a worker outlives its task, so this bounds later stages too.
-REMEMBERED = 120_000
+#: Characters, and as many for each segment, that a worker remembers before the older half makes room; a worker outlives its
+#: task, so this bounds later stages too.
+REMEMBERED, OVERHEAD = 4_000_000, 20
 #: Characters of a segment up to which the agenda is a plain list.
 SHORT = 48
 
@@ -61,11 +64,13 @@ class PieceModel:
         ]
         crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         lone = "\n" if not any("\n" in p for p in self.ids) else ""
+        self.lone = "" if crossing else lone
         self.split = re.compile(f"{lone}|{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" if lone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         if crossing:
             self.split = lambda text: [text]
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def merge(self, segment: str) -> tuple[int, ...]:
         """Ids of one segment, in which spaces are marked."""
@@ -94,21 +99,23 @@ class PieceModel:
     def _merge_short(self, segment: str) -> tuple[int, ...]:
         """The same with the agenda as a plain list by place, which is quicker for some dozens of pairs."""
         cost, symbols = self.cost, list(segment)
-        agenda = [cost(a + b, inf) for a, b in pairwise(symbols)]
-        while agenda and (best := min(agenda)) < inf:
+        agenda = [*map(cost, map(add, symbols, symbols[1:]), repeat(inf)), inf]
+        last = len(agenda) - 1
+        while (best := min(agenda)) < inf:
             k = agenda.index(best)
-            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            symbols[k] = piece = symbols[k] + symbols.pop(k + 1)
             del agenda[k]
+            last -= 1
             if k:
-                agenda[k - 1] = cost(symbols[k - 1] + symbols[k], inf)
-            if k < len(agenda):
-                agenda[k] = cost(symbols[k] + symbols[k + 1], inf)
+                agenda[k - 1] = cost(symbols[k - 1] + piece, inf)
+            if k < last:
+                agenda[k] = cost(piece + symbols[k + 1], inf)
         return self._ids_of(symbols)
 
     def _ids_of(self, symbols: Iterable[str]) -> tuple[int, ...]:
         symbols = [*symbols]
         try:
-            return tuple([self.ids[s] for s in symbols])
+            return tuple(map(self.ids.__getitem__, symbols))
         except KeyError:
             own = ([self.ids[s]] if s in self.ids else [self.byte[b] for b in s.encode()] for s in symbols)
             return tuple(chain.from_iterable(own))
@@ -119,17 +126,39 @@ class PieceModel:
         return self.split((SPACE if self.prefix else "") + text.replace(" ", SPACE))
 
     def learn(self, segments: set[str]) -> None:
-        """Merge the segments not known yet and hold them against the library's encoding; a difference is an error."""
-        if len(self.known) > REMEMBERED:  # what the next batches use again comes back from the older half
-            self.older, self.known = self.known, {}
-        new = [s for s in segments if s not in self.known]
-        made = [self.older.get(s) or self.merge(s) for s in new]
-        # the library puts the mark before a text, so what it is asked are the segments that begin with one
-        asked = [k for k, s in enumerate(new) if self.prefix and s[0] == SPACE and len(s) > 1 and s not in self.older]
-        for k, ids in zip(asked, self.library.encode([new[k][1:].replace(SPACE, " ") for k in asked], num_threads=1), strict=True):
-            if tuple(ids) != made[k]:
-                raise ValueError(f"the library encodes {new[k][:100]!r} otherwise")
-        self.known.update(zip(new, made, strict=True))
+        """Merge the segments not known yet and hold all of them against the library, encoded and decoded; a difference is an error."""
+        if self.held > REMEMBERED:  # what the next batches use again comes back from the older half
+            self.older, self.known, self.held = self.known, {}, 0
+        known, older = self.known, self.older
+        missing = [s for s in segments if s not in known]
+        back = {s: older[s] for s in missing if s in older}
+        new = [s for s in missing if s not in back] if back else missing
+        made = list(map(self.merge, new))
+        if new:
+            self.check(new, made)
+        known.update(back)
+        known.update(zip(new, made, strict=True))
+        self.held += sum(map(len, missing)) + OVERHEAD * len(missing)
+
+    def check(self, segments: list[str], made: list[tuple[int, ...]]) -> None:
+        """Compare with the library, in one text whose lines are the segments where a line's end parts them, else one by one."""
+        if not self.lone:
+            asked = [s.replace(SPACE, " ") for s in segments]
+            for s, text, ids in zip(segments, asked, made, strict=True):
+                own = text[1:] if self.prefix and text[:1] == " " else text
+                if tuple(self.library.encode(own, num_threads=1)) != ids or self.library.decode([*ids]) != self.decode([*ids]):
+                    raise ValueError(f"the library treats {s[:100]!r} otherwise")
+            return
+        line = self.merge(self.lone)
+        # the library puts a mark before a text, which stands alone before the first line's end
+        ids = [*(self.merge(SPACE) if self.prefix else ()), *line]
+        for k, own in enumerate(made):
+            if k:
+                ids += line
+            ids += own
+        text = self.lone + self.lone.join(segments).replace(SPACE, " ")
+        if self.library.encode(text, num_threads=1) != ids or self.library.decode(ids) != self.decode(ids):
+            raise ValueError(f"the library treats one of {len(segments)} segments from {segments[0][:100]!r} on otherwise")
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text with the end id last; a null is an empty text."""

@@ -3,8 +3,8 @@
 Every document gets the vote of each labeller (good, bad or none). There are at most 3 ** labellers patterns of votes,
 so the counts of the patterns over all documents hold all that expectation-maximisation needs. It estimates each labeller's
 accuracy and the share of good documents without any given label; the posterior of its pattern is a document's label.
-A linear scorer over hashed words and word shapes is trained on the posteriors of at most TRAIN_ROWS documents and
-scores every whole text.
+A linear scorer over hashed words and word shapes is trained on the posteriors of a sample, which at most TRAIN_ROWS
+documents and TRAIN_FEATURES counts of their features bound, and scores every whole text.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, cut, table
 
-#: The bound of the sample that the scorer is trained on.
-TRAIN_ROWS = 6_000
+#: The bounds of the sample that the scorer is trained on: documents, and counts of distinct features of whole documents.
+TRAIN_ROWS, TRAIN_FEATURES = 6_000, 4_000_000
 HASH_BITS = 18
 KEEP = 0.5
 REMEMBERED = 150_000
@@ -165,10 +165,16 @@ def features(word: str) -> tuple[int, int]:
 AGAIN = zlib.crc32(b"again") & ((1 << HASH_BITS) - 1)
 
 
-def places(text: str | None) -> list[int]:
-    """All features of a text; repeated words add one more each."""
+def places(text: str | None) -> dict[int, int]:
+    """How often each feature of a text occurs; repeated words add one more each."""
     words = (text or "").split()
-    return [p for w in words for p in features(w)] + [AGAIN] * sum(map(eq, words, words[1:]))
+    out: Counter[int] = Counter()
+    for w, n in Counter(words).items():
+        for p in features(w):
+            out[p] += n
+    if again := sum(map(eq, words, words[1:])):
+        out[AGAIN] += again
+    return out
 
 
 class Scorer:
@@ -191,60 +197,88 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.bias + total / len(words)))))
 
 
-def train(rows: list[tuple[float, list[int], int]], rounds: int = 60, rate: float = 40.0, decay: float = 1e-5) -> Scorer:
-    """Logistic regression of posteriors on hashed features a word, from rows of (posterior, places, words).
+def train(y: np.ndarray, sizes: np.ndarray, place: np.ndarray, count: np.ndarray, words: np.ndarray, rounds: int = 60, rate: float = 40.0, decay: float = 1e-5) -> Scorer:
+    """Logistic regression of posteriors y on hashed features a word: sizes[k] places and counts belong to row k of so many words.
 
     By full gradients, with a step scaled by each feature's use.
     """
     weights, bias = np.zeros(1 << HASH_BITS), 0.0
-    if rows:
-        y = np.array([r[0] for r in rows])
-        sizes = np.array([len(r[1]) for r in rows])
-        own = np.repeat(np.arange(len(rows)), sizes)
-        place = np.concatenate([np.asarray(r[1], np.int64) for r in rows])
-        value = np.repeat(1.0 / np.maximum([r[2] for r in rows], 1), sizes)
+    if len(y):
+        own = np.repeat(np.arange(len(y)), sizes)
+        value = count / np.repeat(np.maximum(words, 1), sizes)
         bias = math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
-        scale = np.sqrt(np.bincount(place, value * value, 1 << HASH_BITS)) + 1e-3
+        scale = np.sqrt(np.bincount(place, value * value / np.maximum(count, 1), 1 << HASH_BITS)) + 1e-3
         for _ in range(rounds):
-            z = np.bincount(own, weights[place] * value, len(rows)) + bias
+            z = np.bincount(own, weights[place] * value, len(y)) + bias
             error = y - 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-            weights += rate * np.bincount(place, value * error[own], 1 << HASH_BITS) / scale / len(rows) ** 0.5 - decay * weights
+            weights += rate * np.bincount(place, value * error[own], 1 << HASH_BITS) / scale / len(y) ** 0.5 - decay * weights
             bias += error.mean()
     return Scorer(weights, bias)
 
 
-def classify(docs: DataFrame) -> DataFrame:
-    """(doc_id, votes, posterior, score, keep) for each row; null and empty texts score 0 and aren't kept."""
-    spark = docs.sparkSession
+def label_votes(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, votes) of each row, in the shared folder; digest is that of the text."""
 
     def vote(batch: pa.RecordBatch) -> dict[str, object]:
         return {"votes": [votes(t) for t in batch.column("text").to_pylist()]}
 
-    voted = cut(arrow_map(docs.select("doc_id", "text"), vote, "votes string", ["doc_id"]))
-    patterns = {r.votes: r.n for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}  # 3 ** labellers at most
-    posterior, _, _ = estimate(patterns)
-    own = spark.sparkContext.broadcast(posterior)
-    chosen = voted.filter("doc_id is not null").select("doc_id", "votes").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).dropDuplicates(["doc_id"])
+    return cut(arrow_map(docs.select("doc_id", "text", F.xxhash64("text").alias("digest")), vote, "votes string", ["doc_id", "digest"]))
+
+
+def _sample(docs: DataFrame, voted: DataFrame, posterior: dict[str, float]) -> tuple[np.ndarray, ...]:
+    """What train() takes, of the first rows by a hash, each (doc_id, text) once."""
+    own = docs.sparkSession.sparkContext.broadcast(posterior)
+    order = [F.xxhash64("doc_id", "digest"), "doc_id", "digest"]
+    chosen = voted.filter("doc_id is not null").groupBy("doc_id", "digest").agg(F.min("votes").alias("votes")).orderBy(*order).limit(TRAIN_ROWS)
 
     def featured(batch: pa.RecordBatch) -> dict[str, object]:
         texts = batch.column("text").to_pylist()
-        label = [own.value[v] for v in batch.column("votes").to_pylist()]
-        return {"label": label, "places": [places(t) for t in texts], "words": [len((t or "").split()) for t in texts]}
+        found = [places(t) for t in texts]
+        return {
+            "label": [own.value[v] for v in batch.column("votes").to_pylist()], "places": [[*f] for f in found], "counts": [[*f.values()] for f in found],
+            "words": [len((t or "").split()) for t in texts], "n": [len(f) for f in found],
+        }
+
+    chosen = chosen.withColumnsRenamed({"doc_id": "_dw_id", "digest": "_dw_of"})
+    met = (F.col("doc_id") == F.col("_dw_id")) & (F.xxhash64("text") == F.col("_dw_of"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), met)  # TRAIN_ROWS bounds it
+    rows = rows.groupBy("doc_id", F.col("_dw_of").alias("digest")).agg(F.first("text").alias("text"), F.first("votes").alias("votes"))
+    rows = cut(arrow_map(rows, featured, "label double, places array<int>, counts array<int>, words int, n int", ["doc_id", "digest"]))
+    sizes, total, last = rows.select(*order, "n").orderBy(*order).collect(), 0, None  # TRAIN_ROWS small rows
+    for r in sizes:
+        total += r.n
+        if total > TRAIN_FEATURES:
+            break
+        last = r
+    if last is None:
+        return tuple(np.zeros(0, t) for t in (float, np.int64, np.int64, float, float))
+    first = F.col("h") <= F.lit(last[0])  # rows of equal hashes go together, which is one row but for chance
+    made = rows.withColumn("h", order[0]).filter(first).orderBy(*order).select("label", "places", "counts", "words").toArrow().combine_chunks()
+    flat = lambda c, t: made.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(t)
+    column = lambda c: made.column(c).to_numpy()
+    lengths = np.array([len(x) for x in made.column("places")], np.int64)
+    return column("label"), lengths, flat("places", np.int64), flat("counts", float), column("words")
+
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # the sample is bounded
-    learnt = arrow_map(sample, featured, "label double, places array<int>, words int", [])
-    rows = [(r.label, r.places, r.words) for r in learnt.collect()]
-    sent = spark.sparkContext.broadcast(train(rows))
+def classify(docs: DataFrame) -> DataFrame:
+    """(doc_id, score, keep) for each row, by the whole text.
+
+    Null and empty texts score 0 and aren't kept; a score of exactly KEEP is. Rows of one doc_id with several texts are
+    judged by their own text, repeated rows alike and counted as often as they are there, except in the sample. Other
+    columns are not read; an empty table gives no rows.
+    """
+    voted = label_votes(docs)
+    patterns = {r.votes: r.n for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}  # 3 ** labellers at most
+    posterior, _, _ = estimate(patterns)
+    sent = docs.sparkSession.sparkContext.broadcast(train(*_sample(docs, voted, posterior)))
 
     def score(batch: pa.RecordBatch) -> dict[str, object]:
-        texts = batch.column("text").to_pylist()
-        held = [votes(t) for t in texts]
-        return {"votes": held, "posterior": [own.value[v] for v in held], "score": [sent.value.score(t) for t in texts]}
+        return {"score": [sent.value.score(t) for t in batch.column("text").to_pylist()]}
 
-    out = arrow_map(docs.select("doc_id", "text"), score, "votes string, posterior double, score double", ["doc_id"])
+    out = arrow_map(docs.select("doc_id", "text"), score, "score double", ["doc_id"])
     return out.withColumn("keep", F.col("score") >= KEEP)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's votes, posterior, score and whether it is kept."""
+    """Each document's score and whether it is kept."""
     return classify(table(spark, sf_dir, "documents"))

@@ -4,29 +4,36 @@ The patterns find e-mail addresses, IP addresses, card and phone numbers. Each d
 entity. How much a term t reveals of an entity e is the share of e's information that t carries,
 pmi(e; t) / -log2 p(e), with p estimated over distinct contexts: a context is the CONTEXT words on either side of an
 entity's mention, and elsewhere of the term. p(t) counts both over every text of the corpus, so copies count once on
-either side. A term that carries at least DISCLOSURE of the information
-and was seen with e in SUPPORT distinct contexts or more is hidden wherever it occurs.
+either side. A term that carries at least DISCLOSURE of the information and was seen with e in SUPPORT distinct
+contexts or more is hidden wherever it occurs.
+
+Terms are counted in one pass however many there are: tasks hold a map of bits of fixed size that says which words may
+be candidates, and a join on the word decides.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
-from itertools import chain, islice
+import zlib
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Collection, Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, blocks, cut, slices, table
+from .common import arrow_map, cut, slices, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 8
 SUPPORT = 3
 DISCLOSURE = 0.95
-#: Terms that one broadcast holds; more are handled in several passes.
-BLOCK_TERMS = 200_000
+#: Disclosing terms up to which all tasks hold them; more meet the texts in a join.
+HELD_TERMS = 200_000
+#: Bits of the map of words that may be terms; words that share a bit are told apart by a join.
+MAP_BITS = 1 << 24
 SPANS = "_dw_spans array<struct<start:long,end:long,kind:string>>"
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -91,19 +98,34 @@ def _telling(words: list[str]) -> list[str]:
     return sorted({w.lower() for w in words if len(w) > 2 and not w.isdigit()})
 
 
-def _around(text: str, span: Span) -> tuple[list[str], int, int]:
-    """The words around a mention, and where the first begins and the last ends."""
-    start, end, _ = span
-    at = max(0, start - 40 * CONTEXT)
-    left = [*WORD.finditer(text[at:start])][-CONTEXT:]
-    right = [*islice(WORD.finditer(text[end : end + 40 * CONTEXT]), CONTEXT)]
-    return [m[0] for m in left + right], at + left[0].start() if left else start, end + right[-1].end() if right else end
+class Words:
+    """The words of a text that touch no mention, and those around each mention."""
+
+    def __init__(self, text: str, spans: list[Span]) -> None:
+        self.text, edges, k, far = text, sorted((a, b) for a, b, _ in spans), 0, -1
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for m in WORD.finditer(text):
+            while k < len(edges) and edges[k][0] < m.end():
+                far, k = max(far, edges[k][1]), k + 1
+            if m.start() >= far:
+                self.starts.append(m.start())
+                self.ends.append(m.end())
+
+    def around(self, span: Span) -> tuple[int, int]:
+        """Numbers of the first word around a mention and of the one after the last."""
+        before, after = bisect_right(self.ends, span[0]), bisect_left(self.starts, span[1])
+        return max(0, before - CONTEXT), min(len(self.starts), after + CONTEXT)
+
+    def some(self, a: int, b: int) -> list[str]:
+        return [self.text[self.starts[k] : self.ends[k]] for k in range(max(0, a), min(len(self.starts), b))]
 
 
 def contexts(text: str, spans: list[Span]) -> Iterator[tuple[str, list[str]]]:
-    """Each mention's entity and the distinct words around it that are no part of a mention."""
+    """Each mention's entity and the distinct words around it that are no part of a mention, however far they are."""
+    words = Words(text, spans)
     for span in spans:
-        yield entity(text, span), _telling(_around(text, span)[0])
+        yield entity(text, span), _telling(words.some(*words.around(span)))
 
 
 def _digest(words: list[str]) -> str:
@@ -128,28 +150,54 @@ def _mentions(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(find, "entity string, context string, terms array<string>")
 
 
-def elsewhere(text: str, wanted: frozenset[str]) -> Iterator[tuple[str, str]]:
+def elsewhere(text: str, wanted: Mapping[str, bool]) -> Iterator[tuple[str, str]]:
     """Each occurrence of a wanted term outside all mentions and their contexts, with the digest of the words around it."""
-    if wanted.isdisjoint(map(str.lower, WORD.findall(text))):
+    if not any(wanted[w] for w in set(map(str.lower, WORD.findall(text)))):
         return
-    taken = [_around(text, span)[1:] for span in base_spans(text)]
-    found = [*WORD.finditer(text)]
-    words = [m[0] for m in found]
-    far, edges, k = -1, sorted(taken), 0
-    for i, m in enumerate(found):
-        while k < len(edges) and edges[k][0] <= m.start():
-            far, k = max(far, edges[k][1]), k + 1
-        if m.start() >= far and (term := m[0].lower()) in wanted:
-            yield term, _digest(_telling(words[max(0, i - CONTEXT) : i + CONTEXT + 1]))
-
-
-def _elsewhere_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(term, n_out): distinct contexts, outside those of mentions, of each of some terms over all texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
+    spans = base_spans(text)
+    words = Words(text, spans)
+    near, far = sorted(map(words.around, spans)), 0
+    near.append((len(words.starts), len(words.starts)))
+    for a, b in near:
+        for k in range(far, a):
+            if wanted[term := words.some(k, k + 1)[0].lower()]:
+                yield term, _digest(_telling(words.some(k - CONTEXT, k + CONTEXT + 1)))
+        far = max(far, b)
+
+
+class BitMap(dict):
+    """Whether the bit of a word is set; remembers its answers for some words."""
+
+    def __init__(self, bits: bytes) -> None:
+        super().__init__()
+        self.bits = bits
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 100_000:
+            self.clear()
+        at = zlib.crc32(word.encode()) % (8 * len(self.bits))
+        found = self[word] = bool(self.bits[at >> 3] >> (at & 7) & 1)
+        return found
+
+
+def bit_map(terms: DataFrame, size: int = MAP_BITS) -> bytes:
+    """Bits of all terms: size / 8 bytes, whatever the number of terms."""
+    place = F.crc32(F.col("term").cast("binary")) % F.lit(size)
+    # a row for each 64 bits at most
+    rows = terms.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def _elsewhere_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n_out): distinct contexts, outside those of mentions, of the terms, and of words that share a bit with one."""
+    sent = docs.sparkSession.sparkContext.broadcast(bit_map(terms))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = BitMap(sent.value)
         for batch in slices(batches):
-            rows = {x for text in batch.column("text").to_pylist() if text for x in elsewhere(text, sent.value)}
+            rows = {x for text in batch.column("text").to_pylist() if text for x in elsewhere(text, wanted)}
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.string()) for k in (0, 1)], names=["term", "around"])
 
     rows = docs.select("text").mapInArrow(count, "term string, around string").distinct()
@@ -157,25 +205,25 @@ def _elsewhere_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(term): terms that carry at least the given share of a protected entity's information, in the shared folder."""
+    """(term): terms that carry at least the given share of a protected entity's information, in the shared folder.
+
+    What is joined is written down first, so that Spark can split the rows of an entity or a term that most pages have.
+    """
     found = cut(_mentions(docs).dropDuplicates(["entity", "context"]))
     total = found.count()
-    seen = found.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
-    pairs = found.join(seen, "entity").select("entity", "n_e", F.explode("terms").alias("term"))
-    joint = pairs.groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
-    inside = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_in"))
+    seen = cut(found.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support))
+    each = found.select("entity", F.explode("terms").alias("term"))
+    joint = cut(each.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support))
+    inside = cut(each.groupBy("term").agg(F.count(F.lit(1)).alias("n_in")).filter(F.col("n_in") >= support))
     # p(e|t) over all distinct contexts of t, held against p(e) over all contexts of mentions
     share = lambda n: 1 + F.log2(F.least(F.lit(1.0), F.col("n_et") / n)) / -F.log2(F.col("n_e") / F.lit(total + 1.0))
     # what fails by the contexts of mentions alone fails by all
-    joint = cut(joint.join(inside, "term").filter(share(F.col("n_in")) >= disclosure))
-    out = None
-    for block in blocks(joint.select("term").distinct(), lambda _: 1, BLOCK_TERMS):
-        terms = [r.term for r in block]
-        own = joint.join(docs.sparkSession.createDataFrame([(t,) for t in terms], "term string"), "term", "left_semi")
-        own = own.join(_elsewhere_counts(docs, terms), "term", "left").fillna(0, ["n_out"])
-        own = own.filter(share(F.col("n_in") + F.col("n_out")) >= disclosure).select("term")
-        out = own if out is None else out.unionByName(own)
-    return cut(out.distinct()) if out is not None else joint.select("term").limit(0)
+    joint = cut(joint.join(seen, "entity").join(inside, "term").filter(share(F.col("n_in")) >= disclosure))
+    if joint.isEmpty():
+        return joint.select("term")
+    outside = cut(_elsewhere_counts(docs, joint))
+    joint = joint.join(outside, "term", "left").fillna(0, ["n_out"])
+    return cut(joint.filter(share(F.col("n_in") + F.col("n_out")) >= disclosure).select("term").distinct())
 
 
 def _with_terms(text: str, spans: list[Span], wanted: Callable[[str], bool]) -> list[Span]:
@@ -192,25 +240,46 @@ def find_personal(docs: DataFrame, terms: DataFrame | None = None, keep: list[st
     """
     keep = list(docs.columns if keep is None else keep)
     columns = [*dict.fromkeys([*keep, "text"])]
-    terms = disclosing_terms(docs) if terms is None else terms
-    found = blocks(terms, lambda _: 1, BLOCK_TERMS)
-    out, passes = docs.select(*columns), 0
-    for block in chain([next(found, [])], found):
-        sent = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in block))
-
-        def find(batch: pa.RecordBatch, sent=sent, again=passes > 0) -> dict[str, object]:
-            made = []
-            old = batch.column("_dw_spans").to_pylist() if again else None
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                spans = [(s["start"], s["end"], s["kind"]) for s in old[k]] if again else base_spans(text)
-                if text and sent.value:
-                    spans = _with_terms(text, spans, sent.value.__contains__)
-                made.append([{"start": a, "end": b, "kind": c} for a, b, c in spans])
-            return {"_dw_spans": made}
-
-        names = [*columns, "_dw_spans"] if passes else columns
-        out, passes = arrow_map(out, find, SPANS, names), passes + 1
-    return out.select(*keep, "_dw_spans")
+    terms = (disclosing_terms(docs) if terms is None else terms).toDF("term")
+    few = [r.term for r in terms.limit(HELD_TERMS + 1).collect()]
+    if len(few) > HELD_TERMS:
+        return _found_by_join(docs.select(*columns), terms).select(*keep, "_dw_spans")
+    sent = docs.sparkSession.sparkContext.broadcast(frozenset(few))
+
+    def find(batch: pa.RecordBatch) -> dict[str, object]:
+        return {"_dw_spans": [_as_structs(text, sent.value) for text in batch.column("text").to_pylist()]}
+
+    return arrow_map(docs.select(*columns), find, SPANS, columns).select(*keep, "_dw_spans")
+
+
+def _as_structs(text: str | None, wanted: Collection[str]) -> list[dict[str, object]]:
+    spans = base_spans(text)
+    if text and wanted:
+        spans = _with_terms(text, spans, wanted.__contains__)
+    return [{"start": a, "end": b, "kind": c} for a, b, c in spans]
+
+
+def _found_by_join(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """docs with _dw_spans, where the terms are too many for a task: each distinct text meets its own terms by its digest."""
+    sent = docs.sparkSession.sparkContext.broadcast(bit_map(terms))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = BitMap(sent.value)
+        for batch in slices(batches):
+            texts = dict(zip(batch.column("_dw_of").to_pylist(), batch.column("text").to_pylist(), strict=True))
+            rows = [(k, w) for k, t in texts.items() if t for w in set(map(str.lower, WORD.findall(t))) if wanted[w]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["_dw_of", "term"])
+
+    keyed = docs.withColumn("_dw_of", F.sha2(F.col("text").cast("binary"), 256))
+    may = cut(keyed.select("_dw_of", "text").mapInArrow(pick, "_dw_of string, term string").distinct())
+    own = may.join(cut(terms.distinct()), "term").groupBy("_dw_of").agg(F.collect_list("term").alias("_dw_terms"))  # a text's own words
+
+    def find(batch: pa.RecordBatch) -> dict[str, object]:
+        columns = batch.column("text").to_pylist(), batch.column("_dw_terms").to_pylist()
+        return {"_dw_spans": [_as_structs(text, frozenset(own or ())) for text, own in zip(*columns, strict=True)]}
+
+    met = keyed.join(cut(own), "_dw_of", "left").select(*docs.columns, "_dw_terms")
+    return arrow_map(met, find, SPANS, docs.columns)
 
 
 def redact(text: str, spans: list[Span]) -> str:

@@ -10,7 +10,8 @@ queries. Trees travel by the shuffle's key and never through the driver.
 
 near_copies() adds the links of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, most of
 which lie outside three bits. Candidates share one of BANDS bands of ROWS least hashes each, and every candidate is
-checked on the shingles themselves. A pair at 0.8 shares no band with a chance of (1 - 0.8 ** 4) ** 20 < 0.00003.
+checked on the shingles themselves, if their sketches don't rule it out. A pair at 0.8 shares no band with a chance of
+(1 - 0.8 ** 4) ** 20 < 0.00003.
 """
 
 from __future__ import annotations
@@ -23,16 +24,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, table
+from .common import arrow_map, cut, slices, table
 from .components import connected_components
 
 SHINGLE = 3
 RADIUS = 3
 TREE_LIMIT = 20_000
-#: Of near_copies(): words of a shingle, the least similarity, bands and their least hashes, bits of a sketch and how many may differ.
+#: Of near_copies(): words of a shingle, the least similarity, bands and their least hashes, hashes of a sketch, which keeps
+#: four bits of each, and how many of these may differ. At a similarity of 0.8 24 differ, 45 or more with a chance of 0.00001.
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
-SKETCH, SKETCH_RADIUS = 128, 32
+SKETCH, SKETCH_RADIUS = 128, 44
+NIBBLES = 0x1111111111111111
 FACTORS = np.random.default_rng(42).integers(1 << 62, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -240,44 +243,61 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prints = cut(fingerprints(docs, ["doc_id"]))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    return _classed(prints, distinct, _roots(distinct)).select("doc_id", "fp", "component_id")
+    return _classed(prints, distinct, _roots(distinct), "doc_id").select("doc_id", "fp", "component_id")
 
 
-def _classed(prints: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
-    """prints with component_id, the smallest doc_id among the fingerprints of one root."""
+def _classed(prints: DataFrame, distinct: DataFrame, roots: DataFrame, own: str) -> DataFrame:
+    """prints with component_id, the smallest value of the column own among the fingerprints of one root."""
     labelled = distinct.join(roots, "fp", "left").select("fp", "least", "n", "root")
     least = labelled.filter("root is not null").groupBy("root").agg(F.min("least").alias("_dw_least"))
     # a fingerprint that one row has and that has no link needs no lookup
     classes = labelled.filter("root is not null or n > 1").join(least, "root", "left")
     classes = cut(classes.select(F.col("fp").alias("_dw_fp"), F.coalesce("_dw_least", "least").alias("_dw_class")))
     joined = prints.join(classes, prints["fp"] == classes["_dw_fp"], "left")
-    return joined.select(*(prints[c] for c in prints.columns), F.coalesce("_dw_class", "doc_id").alias("component_id"))
+    return joined.select(*(prints[c] for c in prints.columns), F.coalesce("_dw_class", own).alias("component_id"))
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
     """Each row's doc_id, fingerprint, digests of the text and of its shingle set, the set's size, sketch and bands."""
+    shifts = np.arange(0, 64, 4, dtype=np.uint64)
 
     def add(batch: pa.RecordBatch) -> dict[str, object]:
-        out: dict[str, list] = {c: [] for c in ("fp", "set", "size", "low", "high", "bands")}
+        out: dict[str, list] = {c: [] for c in ("fp", "set", "size", "sketch", "bands")}
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             shingles = shingle_set(text)
             out["fp"].append(fingerprint(text))
             out["set"].append(int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 42)).view(np.int64)))
             out["size"].append(len(shingles))
             least = least_hashes(shingles) if len(shingles) else np.zeros(SKETCH, np.uint64)
-            bits = np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(bool)).view(np.int64)
-            out["low"].append(int(bits[0]))
-            out["high"].append(int(bits[1]))
+            parts = (least >> np.uint64(20) & np.uint64(15)).reshape(-1, 16) << shifts
+            out["sketch"].append(np.bitwise_or.reduce(parts, axis=1).view(np.int64).tolist())
             bands = [xxhash.xxh64_digest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)] if len(shingles) else []
             out["bands"].append(np.frombuffer(b"".join(bands), np.int64).tolist())
         return out
 
     read = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
-    return arrow_map(read, add, "fp long, set long, size int, low long, high long, bands array<long>", ["doc_id", "digest"])
-
-
-def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): of pairs (a, b, set_a, set_b) those whose shingle sets are as similar as SIMILAR."""
+    return arrow_map(read, add, "fp long, set long, size int, sketch array<long>, bands array<long>", ["doc_id", "digest"])
+
+
+def _differing(a: F.Column, b: F.Column) -> F.Column:
+    """In how many least hashes two sketches differ."""
+    out = F.lit(0)
+    for k in range(SKETCH // 16):
+        x = F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))
+        for by in (1, 2, 3):
+            x = x.bitwiseOR(F.shiftrightunsigned(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))), by))
+        out = out + F.bit_count(x.bitwiseAND(F.lit(NIBBLES)))
+    return out
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): of pairs (a, b, set_a, set_b) those whose shingle sets are as similar as SIMILAR, checked on their texts."""
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    asked = pairs.select(F.col("set_a").alias("set")).unionByName(pairs.select(F.col("set_b").alias("set"))).distinct()
+    asked = cut(asked.join(sets.select("set", "digest"), "set"))
+    texts = docs.select("text", F.xxhash64("text").alias("digest")).join(asked.hint("shuffle_hash"), "digest")
+    texts = cut(texts.groupBy("set").agg(F.min("text").alias("text")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -289,7 +309,7 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 known[key] = shingle_set(text.encode())
             return known[key]
 
-        for batch in batches:
+        for batch in slices(batches, 64):
             links = [
                 (a, b)
                 for a, b, set_a, set_b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b", "x", "y")), strict=True)
@@ -302,44 +322,60 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): the classes of near_duplicates(), joined where texts are as similar as SIMILAR.
+    """(row, fp, component_id): the classes of near_duplicates(), joined where texts are as similar as SIMILAR.
 
-    Links are looked for between classes only: first each member of a band against the band's first one, which joins
+    row is struct<nameless, doc_id, digest>, which rows of one doc_id and one text share and no others do; component_id is
+    the smallest row of the class, so rows without a doc_id come last. Null and empty texts are alike. Other columns are not
+    read, and an empty table gives no rows. Links are looked for between classes only: first each member of a band against the band's first one, which joins
     large groups of copies by as many checks as they have members, and then all members whose classes still differ.
     """
-    prints = cut(_sketches(docs))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    prints = cut(_sketches(docs).withColumn("row", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")))
+    distinct = cut(prints.groupBy("fp").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = _roots(distinct)
-    marks = F.struct("size", "low", "high", "bands", "digest")  # a set's texts differ in order or case at most
+    marks = F.struct("size", "sketch", "bands", "digest")  # a set's texts differ in order or case at most
     of_set = prints.groupBy("set", "fp").agg(F.min(marks).alias("m")).join(roots, "fp", "left")
     of_set = cut(of_set.select("set", F.coalesce("root", "fp").alias("node"), "m"))
     sets = cut(of_set.groupBy("set").agg(F.min("node").alias("node"), F.max("node").alias("far"), F.min("m").alias("m")).select("set", "node", "far", "m.*"))
     links = of_set.join(sets.filter("node < far").select("set", F.col("node").alias("b")), "set").select(F.col("node").alias("a"), "b").filter("a <> b")
-    members = sets.select("set", "node", "size", "low", "high", "digest", F.explode("bands").alias("band"))
-    crowded = members.groupBy("band").agg(F.min(F.struct("node", "set", "size", "low", "high")).alias("head"), F.max("node").alias("far"))
-    members = cut(members.join(crowded.filter("head.node < far").select("band", "head"), "band"))
+    members = sets.select("set", "node", "size", "sketch", "digest", F.explode("bands").alias("band"))
+    crowded = members.groupBy("band").agg(F.min(F.struct("node", "set", "size", "sketch")).alias("head"), F.max("node").alias("far"))
+    # written down, so that Spark can split the rows of a band that very many texts share
+    members = cut(members.join(cut(crowded.filter("head.node < far").select("band", "head")), "band"))
     if members.isEmpty() and links.isEmpty():
-        return _classed(prints.select("doc_id", "fp"), distinct, roots)
-    wanted = members.select("set", "digest").distinct()
-    texts = docs.select("text", F.xxhash64("text").alias("digest")).join(wanted.hint("merge"), "digest")
-    texts = cut(texts.groupBy("set").agg(F.min("text").alias("text")))
-    bits = lambda a, b: F.bit_count(F.col(f"{a}low").bitwiseXOR(F.col(f"{b}low"))) + F.bit_count(F.col(f"{a}high").bitwiseXOR(F.col(f"{b}high")))
-    near = lambda a, b: (F.least(f"{a}size", f"{b}size") >= F.greatest(f"{a}size", f"{b}size") * SIMILAR - 0.001) & (bits(a, b) <= SKETCH_RADIUS)
+        return _classed(prints.select("row", "fp"), distinct, roots, "row")
+    near = lambda a, b: (F.least(f"{a}size", f"{b}size") >= F.greatest(f"{a}size", f"{b}size") * SIMILAR - 0.001) & (_differing(F.col(f"{a}sketch"), F.col(f"{b}sketch")) <= SKETCH_RADIUS)
     first = members.filter((F.col("node") != F.col("head.node")) & near("", "head."))
     first = cut(first.select(F.col("node").alias("a"), F.col("head.node").alias("b"), F.col("set").alias("set_a"), F.col("head.set").alias("set_b")).distinct())
-    links = cut(links.unionByName(_alike(first, texts)))
+    links = cut(links.unionByName(_alike(first, docs, sets)))
     joined = cut(connected_components(links).toDF("node", "top"))
-    members = members.select("band", "set", "node", "size", "low", "high").join(joined, "node", "left").withColumn("top", F.coalesce("top", "node"))
+    members = members.select("band", "set", "node", "size", "sketch").join(joined, "node", "left").withColumn("top", F.coalesce("top", "node"))
     open_ = members.groupBy("band").agg(F.min("top").alias("low_top"), F.max("top").alias("high_top")).filter("low_top < high_top").select("band")
     members = cut(members.join(open_, "band"))
     x, y = members.alias("x"), members.alias("y")
     rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.top") < F.col("y.top")) & near("x.", "y."))
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.set").alias("set_a"), F.col("y.set").alias("set_b")).distinct()
-    links = links.unionByName(_alike(cut(rest), texts))
+    links = links.unionByName(_alike(cut(rest), docs, sets))
     # fingerprints of one class share a node; the new links join nodes
     joined = cut(connected_components(links).toDF("root", "top"))
     classes = distinct.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")).join(joined, "root", "left")
-    return _classed(prints.select("doc_id", "fp"), distinct, cut(classes.select("fp", F.coalesce("top", "root").alias("root"))))
+    return _classed(prints.select("row", "fp"), distinct, cut(classes.select("fp", F.coalesce("top", "root").alias("root"))), "row")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The row of docs with the smallest (doc_id, digest of the text) of each class of near_copies(), once if it is repeated.
+
+    Rows without a doc_id stay only in classes without any other. All columns of docs stay as they are.
+    """
+    named = docs.columns
+    kept = near_copies(docs).filter("row = component_id").groupBy("row.doc_id", "row.digest").agg(F.count(F.lit(1)).alias("n"))
+    kept = cut(kept.select(F.col("doc_id").alias("_dw_id"), F.col("digest").alias("_dw_of"), F.col("n").alias("_dw_n")))
+    # the kept rows grow with the documents, so they are never broadcast, however few they are; hashing them saves a sort of the texts
+    met = docs["doc_id"].eqNullSafe(kept["_dw_id"]) & (F.xxhash64(docs["text"]) == kept["_dw_of"])
+    if kept.filter("_dw_n > 1").isEmpty():
+        return docs.join(kept.hint("shuffle_hash"), met, "left_semi").select(*named)
+    met = docs.join(kept.hint("shuffle_hash"), met).select(F.struct(*(docs[c] for c in named)).alias("_dw_row"), "_dw_id", "_dw_of", "_dw_n")
+    again = met.filter("_dw_n > 1").groupBy("_dw_id", "_dw_of").agg(F.first("_dw_row").alias("_dw_row"))
+    return met.filter("_dw_n = 1").select("_dw_row").unionByName(again.select("_dw_row")).select("_dw_row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

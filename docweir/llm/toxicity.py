@@ -1,8 +1,8 @@
 """Toxicity of whole texts, scored after a noisy-channel decoder has restored disguised words.
 
 The channel writes letters as look-alike signs, repeats them, and puts separators between them. Every reading of a
-token that shows such marks is a path through a lattice of characters; Viterbi's algorithm takes the likeliest path under
-a letter trigram model counted over all texts of the corpus. Tokens without such marks have one path, which is
+token that shows such marks, however long, is a path through a lattice of characters; Viterbi's algorithm takes the
+likeliest path under a letter trigram model counted over all texts of the corpus. Tokens without such marks have one path, which is
 themselves. Restored words and their beginnings are evidence; at most TRAIN_ROWS labelled rows, near copies taken out,
 give each its purity if it is too frequent among toxic rows for chance, and a document's score joins the words found as
 independent causes.
@@ -26,8 +26,8 @@ from .common import arrow_map, cut, slices, table
 
 #: The bound of the labelled sample that the evidence is weighed by.
 TRAIN_ROWS = 20_000
-#: Evidence that is weighed, most frequent in toxic rows first, the least number of toxic rows that show it, and its least purity.
-EVIDENCE, SUPPORT, PURE = 50_000, 8, 0.8
+#: The least number of toxic rows that show a piece of evidence, its least purity, and the odds of chance that it must be below.
+SUPPORT, PURE, CHANCE = 8, 0.8, 2e-7
 THRESHOLD = 0.3
 #: The score of a text without evidence.
 BASE = 0.01
@@ -47,7 +47,7 @@ JOINED = re.compile(r"[^\s._*~·/\\,'`^=#&%:;?()\[\]{}<>\"-]+")
 SPELT = re.compile(r"(?<![^._/-])[^\s._/-](?:[._/-]{1,2}[^\s._/-]){2,}(?![^._/-])")
 PARTS = re.compile(r"[^\W\d_]+")
 REMEMBERED, REMEMBERED_LENGTH = 50_000, 200
-#: Letters of a run that are looked at from each of its letters on; tokens above it are taken apart at the signs that join them too.
+#: Letters of a run without word edges that are looked at from each of its letters on.
 LONG = 40
 
 
@@ -166,11 +166,10 @@ class Reader:
                 found = (core,)
             elif not any(c.isalpha() for c in core):
                 found = tuple(PARTS.findall(core))
-            elif len(core) > LONG:
-                pieces = dict.fromkeys([core, *PARTS.findall(core), *JOINED.findall(core)])
-                found = (*(restore(p, self.model) for p in pieces), *(w for m in SPELT.finditer(core) for w in endings(restore(m[0], self.model))))
             else:
-                found = tuple(dict.fromkeys([restore(core, self.model), *(restore(p, self.model) for p in PARTS.findall(core))]))
+                pieces = dict.fromkeys([core, *PARTS.findall(core), *JOINED.findall(core)])
+                spelt = (w for m in SPELT.finditer(core) for w in endings(restore(m[0], self.model)))
+                found = tuple(dict.fromkeys([*(restore(p, self.model) for p in pieces), *spelt]))
             if len(token) > REMEMBERED_LENGTH:
                 return found
             if len(self.known) > REMEMBERED:
@@ -243,7 +242,7 @@ def weigh(found: list[tuple[str, int, int]], rows: int, toxic: int) -> dict[str,
     if not rows or not toxic:
         return {}
     rate = (toxic + 1) / (rows + 10)
-    limit = math.log(0.01 / EVIDENCE)
+    limit = math.log(CHANCE)
     purity = lambda n, t: (t + 2 * rate) / (n + 2)
     found = sorted(found)
     out = {}
@@ -283,7 +282,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     sample = _without_copies(cut(sample))
     rows, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     often = _evidence_counts(sample.filter("toxic = 1"), counts).filter(F.col("n") >= SUPPORT)
-    wanted = frozenset(r.e for r in often.orderBy(F.desc("n"), "e").limit(EVIDENCE).select("e").collect())
+    # of a sample of so many rows; each piece is in SUPPORT of them at least
+    wanted = frozenset(r.e for r in often.select("e").collect())
     found = _evidence_counts(sample, counts, wanted).filter("2 * t >= n").collect() if wanted else []
     return ToxicityModel(counts, weigh([(r.e, r.n, r.t) for r in found], rows, toxic), BASE)
 

@@ -97,6 +97,6 @@ def test_near_copies_at_similarity(spark):
         for a, b in bits | shared:
             least[a] = least[b] = min(least[a], least[b])
     docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in s.near_copies(docs).collect()} == least
+    assert {r.row.doc_id: r.component_id.doc_id for r in s.near_copies(docs).collect()} == least
     kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert {r.doc_id for r in kept} == {*least.values()}

@@ -1,5 +1,11 @@
+import math
+import random
+import re
+from collections import Counter, defaultdict
 from urllib.parse import urlsplit
 
+import pytest
+
 from docweir.llm import url_filter as u
 
 URLS = [
@@ -55,3 +61,72 @@ def test_rare_segments_become_wildcards(spark):
     urls += [(1000 + k, "http://s.com/user/admin/home") for k in range(300)]
     found = {r.page_id: r.template for r in u.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int")).collect()}
     assert found[5] == "/{*}/*/home" and found[1000] == "/{*}/admin/home"
+
+
+def brute_verdicts(urls, bad):
+    """{url: (template, verdict)} by the method as stated, a host and a level at a time."""
+    look = re.compile(r"^[0-9][0-9_.-]*(\.[A-Za-z]{2,5})?$|^[0-9a-fA-F-]{16,}$|[0-9]{4,}")
+    parts = {}
+    for x in urls:
+        host, path = brute(x)
+        own = ["*" if look.search(p) else p for p in path.split("/") if p]
+        parts[x] = host, tuple(own if len(own) <= u.DEPTH else [*own[: u.DEPTH], "/".join(own[u.DEPTH :])])
+    n = Counter(urls)
+    labelled = Counter(urls[k] for k in bad)
+    wrong = Counter(urls[k] for k, b in bad.items() if b)
+    rate = sum(wrong.values()) / sum(labelled.values()) if labelled else 0.0
+    made = dict.fromkeys(n, ())
+    for level in range(max(len(p) for _, p in parts.values())):
+        branches = defaultdict(Counter)
+        for x in n:
+            if len(parts[x][1]) > level:
+                branches[parts[x][0], made[x]][parts[x][1][level]] += n[x]
+        for x in n:
+            if len(parts[x][1]) > level:
+                seen, segment = branches[parts[x][0], made[x]], parts[x][1][level]
+                rare = len(seen) > u.CROWDED and seen[segment] < u.RARE * sum(seen.values())
+                made[x] = (*made[x], "*" if rare else segment)
+    nodes = defaultdict(lambda: [0, 0])
+    for x in n:
+        node = nodes[parts[x][0], made[x]]
+        node[0] += labelled[x]
+        node[1] += wrong[x]
+    up = lambda t: next(((*t[:i], "{*}", *t[i + 1 :]) for i, s in enumerate(t) if s != "*"), t)
+    family, group, merged = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), {}
+    for (host, t), (a, b) in nodes.items():
+        family[host, up(t)][0] += a
+        family[host, up(t)][1] += b
+    for (host, t), (a, b) in nodes.items():
+        total, bads = family[host, up(t)]
+        share = bads / total if total else 0.0
+        spread = math.sqrt(a * share * (1 - share))
+        merged[host, t] = up(t) if not a or not spread or abs(b - a * share) < u.SIMILAR_Z * spread else t
+        group[host, merged[host, t]][0] += a
+        group[host, merged[host, t]][1] += b
+    out = {}
+    for x in n:
+        key = parts[x][0], merged[parts[x][0], made[x]]
+        purity = (group[key][1] + u.PRIOR_ROWS * rate) / (group[key][0] + u.PRIOR_ROWS)
+        out[x] = "/" + "/".join(key[1]), "block" if purity >= u.REJECT else "allow"
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_verdicts_by_brute_force(spark, seed):
+    """A host with most pages and slugs that don't look variable, sections of their own purity, paths deeper than DEPTH."""
+    rng = random.Random(seed)
+    urls, bad = [], {}
+    shares = {s: rng.choice((0.02, 0.05, 0.5, 0.9, 1.0)) for s in ("news", "shop", "play", "talk", "wiki", "x/y/z/q/r/s/t")}
+    for k in range(1500):
+        host = "big.com" if rng.random() < 0.6 else f"h{rng.randrange(9)}.com"
+        section = rng.choice([*shares])
+        slug = rng.choice((f"slug{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}", str(k), "index", "a/" * 20 + rng.choice("bc")))
+        urls.append(f"http://{host}/{section}/{slug}")
+        if rng.random() < 0.6:
+            bad[k] = int(rng.random() < shares[section])
+    pages = spark.createDataFrame([*enumerate(urls)], "page_id long, url string")
+    rows = u.judge_urls(pages, spark.createDataFrame([*bad.items()], "page_id long, bad int"), []).collect()
+    want = brute_verdicts(urls, bad)
+    assert {r.page_id: (r.template, r.verdict) for r in rows} == {k: want[x] for k, x in enumerate(urls)}
+    verdicts = Counter(r.verdict for r in rows)
+    assert len(rows) == len(urls) and min(verdicts["allow"], verdicts["block"]) > 100
