@@ -1,17 +1,22 @@
 """Approximate nearest neighbours by cosine: a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on the driver to at most SAMPLE_ROWS vectors; every vector is put into the leaf that it reaches by
-nearest centroids. A query walks the tree with a priority queue of nodes by nearness, so it meets leaves from the
-likeliest on. How many leaves it visits is widened until CALIBRATION queries, whose true neighbours are found by brute
-force over all vectors, reach TARGET recall, and further for a query whose leaves hold too few candidates. Queries and
-vectors meet by leaf; leaves over CHUNK rows are split. Of equal vectors only the k + 1 smallest ids can be among k
-nearest, so the others need no place in a leaf.
+The tree is fitted to at most SAMPLE_ROWS vectors on the driver; leaves that more than LEAF_ROWS vectors fall into get
+subtrees, each fitted in a task to at most about SUB_ROWS of the leaf's own vectors, so leaves keep their size as the
+table grows. Its centroids are sent to all tasks, which TREE_LEAVES bounds; beyond that leaves grow. Every vector is
+put into the leaf that it reaches by nearest centroids. A query walks the tree with a priority queue of nodes by
+nearness, so it meets leaves from the likeliest on. How many leaves it visits is widened until CALIBRATION queries,
+whose true neighbours are found by brute force over all vectors, reach TARGET recall, and further for a query whose
+leaves hold too few candidates. Queries and vectors meet by twig, the leaves below one node, in parts of at most about
+CHUNK rows and QUERIES queries. Of equal vectors only the k + 1 smallest ids can be among k nearest, so the others need
+no place in a leaf.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +31,9 @@ QUERY_EVERY = 50
 SAMPLE_ROWS = 20_000
 BRANCHES = 12
 LEAF_SAMPLES = 40
-CHUNK = 20_000
-CALIBRATION, TARGET = 300, 0.985
+LEAF_ROWS, SUB_ROWS, TREE_LEAVES = 4_000, 8_000, 100_000
+CHUNK, QUERIES = 20_000, 20_000
+CALIBRATION, TARGET = 300, 0.95
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -45,8 +51,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of the rows of b with a; equal rows get equal values."""
-    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum(axis=1)))
+    """Cosines of the rows of a and b; equal rows get equal values."""
+    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
 class KMeansTree:
@@ -56,27 +62,38 @@ class KMeansTree:
         self.centroids: list[np.ndarray] = []
         self.children: list[list[int]] = []
         self.leaves = 0
+        self.twigs: list[int] = []  # of each leaf, the node above it
         self.rng = np.random.default_rng(seed)
         self._grow(unit(sample) if len(sample) else np.zeros((1, 1)), branches, leaf_rows, root=True)
 
-    def _grow(self, x: np.ndarray, branches: int, leaf_rows: int, root: bool = False) -> int:
+    def _grow(self, x: np.ndarray, branches: int, leaf_rows: int, root: bool = False, above: int = 0) -> int:
         if not root and len(x) <= leaf_rows:
-            self.leaves += 1
-            return -self.leaves
+            return self._leaf(above)
         centres, own = self._kmeans(x, min(branches, len(x)))
         if not root and len(centres) < 2:
-            self.leaves += 1
-            return -self.leaves
+            return self._leaf(above)
         node = len(self.centroids)
         self.centroids.append(centres)
         self.children.append([])
-        self.children[node] = [self._grow(x[own == k], branches, leaf_rows) if len(centres) > 1 else self._leaf() for k in range(len(centres))]
+        self.children[node] = [self._grow(x[own == k], branches, leaf_rows, above=node) if len(centres) > 1 else self._leaf(node) for k in range(len(centres))]
         return node
 
-    def _leaf(self) -> int:
+    def _leaf(self, above: int) -> int:
+        self.twigs.append(above)
         self.leaves += 1
         return -self.leaves
 
+    def graft(self, leaf: int, other: KMeansTree) -> None:
+        """Put another tree in a leaf's place; its first leaf takes the leaf's number, the others new ones."""
+        node, above = len(self.centroids), self.twigs[leaf]
+        number = [leaf, *range(self.leaves, self.leaves + other.leaves - 1)]
+        self.children[above][self.children[above].index(-1 - leaf)] = node
+        self.centroids += other.centroids
+        self.children += [[node + c if c >= 0 else -1 - number[-1 - c] for c in own] for own in other.children]
+        self.twigs[leaf] = node + other.twigs[0]
+        self.twigs += [node + t for t in other.twigs[1:]]
+        self.leaves += other.leaves - 1
+
     def _kmeans(self, x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
         centres = x[self.rng.choice(len(x), k, replace=False)]
         for _ in range(rounds):
@@ -128,16 +145,41 @@ def usable(vectors: DataFrame) -> DataFrame:
     return fine if len(sizes) < 2 else fine.filter(F.size("embedding") == sizes[0].d)
 
 
-def _best(ids: np.ndarray, x: np.ndarray, u: np.ndarray, query: int, q: np.ndarray, k: int) -> list[tuple[int, float]]:
-    """A query's k nearest among some rows: a quick pass finds who can be among them, an exact one ranks these."""
-    near = u @ (q / np.abs(q).max() / np.linalg.norm(q / np.abs(q).max()))
-    near[ids == query] = -np.inf
-    n = len(ids)
-    worst = np.partition(near, n - k)[n - k] if n > k else -np.inf
-    rows = np.flatnonzero((near >= worst - 1e-9) & (near > -np.inf))
-    score = exact_cosine(q, x[rows])
-    order = np.lexsort((ids[rows], -score))[:k]
-    return [(int(ids[rows[i]]), float(score[i])) for i in order]
+def best_of(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of each query's k nearest rows of x: a quick pass finds who can be among them, an exact one ranks these.
+
+    allowed says for each query and row whether the query asks for the row.
+    """
+    out, u, v = [], unit(x), unit(q)
+    step = max(1, 4_000_000 // max(1, len(x)))
+    for at in range(0, len(q), step):  # bounds the matrix
+        near = v[at : at + step] @ u.T
+        near[query_ids[at : at + step, None] == ids] = -np.inf
+        if allowed is not None:
+            near[~allowed[at : at + step]] = -np.inf
+        worst = np.partition(near, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(near), -np.inf)
+        who, row = np.nonzero((near >= worst[:, None] - 1e-9) & (near > -np.inf))
+        who += at
+        score = exact_cosine(q[who], x[row])
+        order = np.lexsort((ids[row], -score, who))
+        who, row, score = who[order], row[order], score[order]
+        first = np.searchsorted(who, who)  # where the query's rows begin
+        kept = np.arange(len(who)) - first < k
+        out.append((who[kept], row[kept], score[kept]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def together(batches: Iterator[pa.RecordBatch], rows: int = 8_192) -> Iterator[pa.RecordBatch]:
+    """Batches joined to some thousands of rows, for which a product of matrices pays."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def true_neighbours(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
@@ -145,72 +187,125 @@ def true_neighbours(vectors: DataFrame, queries: list[tuple[int, list[float]]],
     sent = vectors.sparkSession.sparkContext.broadcast(queries)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, x = batch.column("vec_id").to_numpy(), matrix(batch.column("embedding"))
-            if not len(ids):
-                continue
-            u = unit(x)
-            rows = [(a, b, s) for a, q in sent.value for b, s in _best(ids, x, u, a, np.array(q, np.float64), k)]
-            place = {int(v): i for i, v in enumerate(ids)}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), batch.column("embedding").take(pa.array([place[r[1]] for r in rows], pa.int64()))],
-                names=["query_id", "vec_id", "score", "embedding"],
-            )
-
-    found = vectors.mapInArrow(search, "query_id long, vec_id long, score double, embedding array<float>")
+        query_ids, q = np.array([i for i, _ in sent.value]), np.array([v for _, v in sent.value], np.float64)
+        for batch in together(batches):
+            ids = batch.column("vec_id").to_numpy()
+            who, row, score = best_of(ids, matrix(batch.column("embedding")), query_ids, q, k)
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[who]), pa.array(ids[row]), pa.array(score), batch.column("embedding").take(pa.array(row))], names=["query_id", "vec_id", "score", "embedding"])
+
+    kind = dict(vectors.dtypes)["embedding"]
+    found = vectors.mapInArrow(search, f"query_id long, vec_id long, score double, embedding {kind}")
     return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, target: float = TARGET) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for each row whose vec_id is divisible by every.
+@dataclass(frozen=True)
+class Index:
+    tree: KMeansTree
+    counts: dict[int, int]
+    visits: int
+    placed: DataFrame
 
-    Rows with equal vec_id are one row each but never each other's neighbour. Null, zero, non-finite and odd-sized
-    vectors take no part; an empty table gives no rows; fewer candidates than k are all returned.
-    """
-    vectors = cut(usable(vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))))
+    def leaves_of(self, q: np.ndarray, k: int) -> list[int]:
+        """The leaves that a query of length one visits."""
+        return _visited(self.tree, q, self.counts, self.visits, k)
+
+
+def _in_leaves(vectors: DataFrame, tree: KMeansTree) -> DataFrame:
+    sent = vectors.sparkSession.sparkContext.broadcast(tree)
+
+    def leaf(batch: pa.RecordBatch) -> dict[str, object]:
+        return {"leaf": sent.value.assign(unit(matrix(batch.column("embedding")))) if batch.num_rows else []}
+
+    return cut(arrow_map(vectors, leaf, "leaf long", ["vec_id", "embedding"]))
+
+
+def build_index(vectors: DataFrame, k: int = NEAREST, target: float = TARGET) -> Index | None:
+    """The tree, its leaves' rows, and how many leaves a query visits; None without vectors. vectors is what usable() gives."""
     spark = vectors.sparkSession
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).collect()
     if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return None
     tree = KMeansTree(np.array([r.embedding for r in sample], np.float64))
-    sent = spark.sparkContext.broadcast(tree)
     same = W.partitionBy("embedding").orderBy("vec_id")
     kept = vectors.withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1).drop("n")
+    placed = _in_leaves(kept, tree)
+    large = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LEAF_ROWS)  # fewer than leaves
+    if not large.isEmpty():
+        room = max(LEAF_SAMPLES, SUB_ROWS * min(1.0, TREE_LEAVES / (tree.leaves * SUB_ROWS / LEAF_SAMPLES)))
+
+        def fit(key: tuple, rows: pa.Table) -> pa.Table:
+            own = KMeansTree(matrix(rows.column("embedding").combine_chunks()), seed=key[0].as_py())
+            return pa.table({"leaf": [key[0].as_py()], "tree": [pickle.dumps(own)]}, pa.schema([("leaf", pa.int64()), ("tree", pa.binary())]))
+
+        chance = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000
+        some = placed.join(F.broadcast(large.withColumn("share", F.lit(room) / F.col("n"))), "leaf").filter(chance).select("leaf", "embedding")
+        for r in some.groupBy("leaf").applyInArrow(fit, "leaf long, tree binary").toLocalIterator():
+            tree.graft(r.leaf, pickle.loads(r.tree))
+        placed = _in_leaves(kept, tree)
+    counts = {r.leaf: r.n for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as leaves
+    return Index(tree, counts, _calibrate(vectors, sample, tree, counts, k, target), placed)
 
-    def leaf(batch: pa.RecordBatch) -> dict[str, object]:
-        return {"leaf": sent.value.assign(unit(matrix(batch.column("embedding")))) if batch.num_rows else []}
 
-    placed = cut(arrow_map(kept, leaf, "leaf long", ["vec_id", "embedding"]))
-    counts = {r.leaf: r.n for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as leaves
-    visits = _calibrate(vectors, sample, tree, counts, k, target)
-    sent_counts = spark.sparkContext.broadcast(counts)
+def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, target: float = TARGET) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found for each row whose vec_id is divisible by every.
+
+    Rows with equal vec_id are one row each but never each other's neighbour. Equal scores stand by the smaller vec_id.
+    Null, zero, non-finite and odd-sized vectors take no part; an empty table gives no rows; fewer candidates than k are
+    all returned. Floats and doubles are scored as they are, other numbers as doubles. Other columns are not read.
+    """
+    kind = dict(vectors.dtypes)["embedding"]
+    own = F.col("embedding") if kind in ("array<float>", "array<double>") else F.col("embedding").cast("array<double>")
+    vectors = cut(usable(vectors.select("vec_id", own.alias("embedding"))))
+    spark, index = vectors.sparkSession, build_index(vectors, k, target)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sent = spark.sparkContext.broadcast((index.tree, index.counts, index.visits))
 
     def route(batch: pa.RecordBatch) -> dict[str, object]:
+        tree, counts, visits = sent.value
         out = []
         for q in unit(matrix(batch.column("embedding"))) if batch.num_rows else []:
-            out.append(_visited(sent.value, q, sent_counts.value, visits, k))
-        return {"leaves": out}
+            twigs: dict[int, list[int]] = {}
+            for leaf in _visited(tree, q, counts, visits, k):
+                twigs.setdefault(tree.twigs[leaf], []).append(leaf)
+            out.append([{"twig": t, "leaves": own} for t, own in twigs.items()])
+        return {"asked": out}
+
+    def twig(batch: pa.RecordBatch) -> dict[str, object]:
+        return {"twig": np.array(sent.value[0].twigs, np.int64)[batch.column("leaf").to_numpy()]}
 
     queries = vectors.filter(F.col("vec_id") % every == 0)
-    routed = arrow_map(queries, route, "leaves array<long>", ["vec_id", "embedding"])
-    large = {leaf: -(-n // CHUNK) for leaf, n in counts.items() if n > CHUNK}
-    chunks = F.lit(1)
-    for at, n in large.items():  # at most rows / CHUNK leaves
-        chunks = F.when(F.col("leaf") == at, n).otherwise(chunks)
-    asked = routed.select(F.col("vec_id").alias("query_id"), "embedding", F.explode("leaves").alias("leaf"))
-    asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    held = placed.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks).cast("int"))
+    routed = arrow_map(queries, route, "asked array<struct<twig:long,leaves:array<long>>>", ["vec_id", "embedding"])
+    asked = cut(routed.select(F.col("vec_id").alias("query_id"), "embedding", F.inline("asked")))
+    held = cut(arrow_map(index.placed, twig, "twig long", ["vec_id", "embedding", "leaf"]))
+    # parts of a twig: as many rows as the tree has nodes at most
+    parts = lambda df, out, most: df.groupBy("twig").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(out))
+    sizes = F.broadcast(cut(parts(held, "chunks", CHUNK).join(parts(asked, "lots", QUERIES), "twig")))
+    dealt = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = asked.join(sizes, "twig").withColumn("lot", dealt("query_id", "lots")).withColumn("chunk", every_one("chunks")).select("query_id", "embedding", "leaves", "twig", "lot", "chunk")
+    held = held.join(sizes, "twig").withColumn("chunk", dealt("vec_id", "chunks")).withColumn("lot", every_one("lots")).select("vec_id", "embedding", "leaf", "twig", "lot", "chunk")
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, rows = right.column("vec_id").to_numpy(), []
-        if len(ids) and left.num_rows:
-            x = matrix(right.column("embedding").combine_chunks())
-            u = unit(x)
-            for a, q in zip(left.column("query_id").to_pylist(), matrix(left.column("embedding").combine_chunks()), strict=True):
-                rows += [(a, b, s) for b, s in _best(ids, x, u, a, q, k)]
-        return pa.table({"query_id": pa.array([r[0] for r in rows], pa.int64()), "vec_id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([r[2] for r in rows], pa.float64())})
-
-    met = asked.groupBy("leaf", "chunk").cogroup(held.groupBy("leaf", "chunk")).applyInArrow(search, "query_id long, vec_id long, score double")
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        ids, query_ids = right.column("vec_id").to_numpy(), left.column("query_id").to_numpy()
+        leaves, place = np.unique(right.column("leaf").to_numpy(), return_inverse=True)
+        wanted = np.zeros((len(query_ids), len(leaves)), bool)
+        of = left.column("leaves").combine_chunks()
+        flat, who = of.flatten().to_numpy(), np.repeat(np.arange(len(query_ids)), np.diff(of.offsets.to_numpy()))
+        at = np.searchsorted(leaves, flat)
+        here = (at < len(leaves)) & (leaves[np.minimum(at, len(leaves) - 1)] == flat)
+        wanted[who[here], at[here]] = True
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        x, q = matrix(right.column("embedding").combine_chunks()), matrix(left.column("embedding").combine_chunks())
+        step = max(1, 4_000_000 // len(ids))
+        for a in range(0, len(q), step):
+            who, row, score = best_of(ids, x, query_ids[a : a + step], q[a : a + step], k, wanted[a : a + step][:, place])
+            found = [np.concatenate([f, new]) for f, new in zip(found, (query_ids[a : a + step][who], ids[row], score), strict=True)]
+        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2])})
+
+    met = asked.groupBy("twig", "lot", "chunk").cogroup(held.groupBy("twig", "lot", "chunk")).applyInArrow(search, "query_id long, vec_id long, score double")
     met = met.dropDuplicates(["query_id", "vec_id"])
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -45,3 +45,38 @@ def test_small_tables(spark):
     assert [(r["rank"], r.vec_id) for r in n.nearest(df).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert n.nearest(df.limit(1)).count() == 0
     assert n.nearest(df.limit(0)).count() == 0
+
+
+def test_doubles_stay_doubles(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 8))
+    x[7] = x[3] + 1e-12 * rng.normal(size=8)  # equal as floats
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in n.nearest(df, every=1).collect()}
+    assert got[3, 1][0] == 7 and got[7, 1][0] == 3
+    for (q, _), (j, score) in got.items():
+        assert score == n.exact_cosine(x[q : q + 1], x[j : j + 1])[0]
+
+
+@pytest.mark.parametrize("sub", [False, True])
+def test_clustered_data_is_read_in_part(spark, monkeypatch, sub):
+    """Leaves grow with the rows, and a query reads few of them where vectors have clusters."""
+    monkeypatch.setattr(n, "SAMPLE_ROWS", 600 if sub else 20_000)
+    monkeypatch.setattr(n, "LEAF_ROWS", 200 if sub else 4_000)
+    monkeypatch.setattr(n, "QUERIES", 7)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 24))
+    x = (centres[rng.integers(0, 60, 6000)] + 0.35 * rng.normal(size=(6000, 24))).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want = brute([(k, v) for k, v in enumerate(x)], 50, 5)
+    got = {}
+    for r in n.nearest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & {j for j, _ in w}) for q, w in want.items()) >= 0.95 * 5 * len(want)
+    index = n.build_index(df)
+    assert sum(index.counts.values()) == 6000 and index.tree.leaves == len(index.tree.twigs)
+    if sub:
+        assert index.tree.leaves > 60  # fifteen or so before
+    read = [sum(index.counts[leaf] for leaf in index.leaves_of(n.unit(x[q : q + 1].astype(float))[0], 5)) for q in want]
+    assert np.mean(read) < 0.2 * 6000
+    assert {*map(int, index.tree.assign(n.unit(x.astype(float))))} == {*index.counts}
