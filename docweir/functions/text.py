@@ -110,18 +110,127 @@ def is_contents_page(text: Column) -> Column:
 
 
 def guess_language(text: Column) -> Column:
-    """A first guess by script and frequent words over the first 20,000 characters; English if nothing speaks against it."""
-    start = F.concat(F.lit(" "), F.lower(F.substring(text, 1, 20_000)), F.lit(" "))
-    held = lambda *xs: sum((F.when(F.contains(start, F.lit(f" {x} ")), 1).otherwise(0) for x in xs), F.lit(0))
+    """A first guess over the first 20,000 characters; null for a blank text, English if nothing speaks against it."""
+    start = F.lower(F.substring(text, 1, 20_000))
+    held = lambda *xs: F.regexp_like(start, F.lit("|".join(xs)))
     return (
-        F.when(F.regexp_like(start, F.lit(r"[Ѐ-ӿ]{3,}")), "Bulgarian")
-        .when(held("el", "los", "las", "del", "por") >= 2, "Spanish")
-        .when(held("le", "les", "des", "du", "et") >= 2, "French")
+        F.when(text.isNull() | (F.trim(collapse(start)) == ""), None)
+        .when(held("[Ѐ-ӿ]"), "Bulgarian")
+        .when(held(*SPANISH), "Spanish")
+        .when(held(*FRENCH), "French")
         .otherwise("English")
     )
 
 
+#: Beginnings of words that speak for a language.
+SPANISH = ("transformaci", "polit", "digitalizaci")
+FRENCH = ("strat", "numer", "gouvernance")
+
+
+def unfenced(text: Column) -> Column:
+    """A model's reply without the fence of a code block around it."""
+    bare = collapse_ends(text)
+    opened = F.regexp_replace(bare, r"^```(?:json)?", "")
+    return F.when(F.startswith(bare, F.lit("```")), collapse_ends(F.regexp_replace(collapse_ends(opened), "```$", ""))).otherwise(bare)
+
+
+def collapse_ends(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def json_object(text: Column) -> Column:
-    """The first JSON object in a reply that may have fences or words around it, as a string; null if there is none."""
-    body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.when(F.try_parse_json(body).isNotNull() & (body != ""), body)
+    """The JSON object of a reply: the whole without its fence, else what stands from the first { to the last }; null if there is none."""
+    bare = unfenced(text)
+    body = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    is_object = lambda c: F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))
+    return F.when(is_object(bare), bare).when(F.try_parse_json(bare).isNotNull(), "{}").when(is_object(body), body)
+
+
+def clean_list(values: Column) -> Column:
+    """Items of a JSON array in a text, trimmed, none blank; no items for anything else."""
+    items = F.from_json(values, "array<string>")
+    return F.coalesce(F.filter(F.transform(items, lambda x: collapse_ends(x)), lambda x: x != ""), F.array().cast("array<string>"))
+
+
+def clean_date(value: Column) -> Column:
+    """A date as YYYY-MM-DD, or null."""
+    bare = collapse_ends(value)
+    return F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_timestamp(bare, F.lit("yyyy-MM-dd")).isNotNull(), bare)
+
+
+def suggestions(text: Column) -> Column:
+    """Strings of a JSON array in a reply: of the whole, else of what stands between the first [ and the last ]; of an array
+    that was cut off all strings that are complete."""
+    bare = unfenced(text)
+    block = F.regexp_extract(bare, r"(?s)(\[.*\])", 1)
+    listed = lambda c: F.when(F.startswith(collapse_ends(c), F.lit("[")) & F.try_parse_json(c).isNotNull(), F.from_json(c, "array<string>"))
+    literals = F.regexp_extract_all(bare, F.lit(r'"(?:[^"\\]|\\.)*"'), 0)
+    single = F.transform(literals, lambda x: F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), F.lit(0)))
+    found = F.coalesce(listed(bare), listed(block), single)
+    return F.filter(F.transform(found, lambda x: collapse_ends(x)), lambda x: x.isNotNull() & (x != ""))
+
+
+def cut_question(text: Column, size: int) -> Column:
+    """A suggested question, trimmed and cut to size characters."""
+    bare = collapse_ends(text)
+    return F.when(F.length(bare) > size, F.regexp_replace(F.left(bare, F.lit(size)), r"(?U)\s+$", "")).otherwise(bare)
+
+
+def header(text: Column, size: int = 240) -> Column:
+    """A chunk's header as it is stored: one line, no quotation marks around it, size characters at most."""
+    bare = F.regexp_replace(collapse(text), '^"+|"+$', "")
+    return F.left(F.trim(bare), F.lit(size))
+
+
+def vector_literal(vector: Column) -> Column:
+    """A vector as text, eight decimals a number."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda v: F.format_string("%.8f", v.cast("double"))), ","), F.lit("]"))
+
+
+def humanized(name: Column) -> Column:
+    """An identifier as a title."""
+    return F.initcap(F.trim(F.translate(name, "_-", "  ")))
+
+
+def english_display(value: Column, fallback: Column, translations: dict[str, str] | None = None) -> Column:
+    """A name as it is, unless it has Han signs and no ASCII letter or digit: then its translation or the fallback."""
+    only_han = value.rlike("[一-鿿]") & ~value.rlike("[A-Za-z0-9]")
+    known = fallback
+    for name, meaning in (translations or {}).items():
+        known = F.when(value == name, meaning).otherwise(known)
+    return F.when(F.coalesce(only_han, F.lit(False)), known).otherwise(value)
+
+
+def holds(json: Column, query: Column) -> Column:
+    """Whether a key or a value of a JSON text, however deep, contains a lower-case query; keys and values are looked at one by one."""
+    tokens = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false'), 0)
+    plain = F.transform(tokens, lambda x: F.when(F.startswith(x, F.lit('"')), F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), F.lit(0))).otherwise(x))
+    return F.coalesce(F.exists(plain, lambda x: F.contains(F.lower(x), query)), F.lit(False))
+
+
+def question_spans(question: Column) -> Column:
+    """Words of a question with their places: array of {span_id, start, end, text}, in characters, end exclusive."""
+    # each word's place is the length of what stands before it
+    words_ = F.regexp_extract_all(question, F.lit(r"(?U)\S+"), 0)
+    gaps = F.split(question, r"(?U)\S+")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<span_id:string,start:int,end:int,text:string>>").alias("out"))
+    joined = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(words_), F.lit(1))), words_, lambda g, w: F.struct(g.alias("g"), w.alias("w")))
+
+    def step(acc: Column, x: Column) -> Column:
+        a = acc["at"] + F.length(x["g"])
+        b = a + F.length(x["w"])
+        one = F.struct(F.concat(F.lit("q"), F.size(acc["out"]).cast("string")).alias("span_id"), a.alias("start"), b.alias("end"), x["w"].alias("text"))
+        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    return F.when(F.size(words_) > 0, F.aggregate(joined, start, step)["out"]).otherwise(start["out"])
+
+
+def paragraphs(text: Column, most: int = 8) -> Column:
+    """The first paragraphs that aren't blank, trimmed; a blank line ends one."""
+    return F.slice(F.filter(F.transform(F.split(text, "\n\n"), lambda x: collapse_ends(x)), lambda x: x != ""), 1, most)
+
+
+def query_words(text: Column) -> Column:
+    """Distinct words of letters and digits of any script, in lower case, in the order of their first place."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w&&[^_]]+"), 0))

@@ -16,15 +16,27 @@ MIME_TYPES = {
 }
 
 
+def _decoded(part: Column) -> Column:
+    return F.coalesce(F.try_url_decode(part), part)
+
+
+def _encoded(part: Column) -> Column:
+    """Percent encoding of a query's parts: letters, digits and _.-~ stay, a space is +."""
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical(url: Column) -> Column:
-    """Scheme and host in lower case, no fragment, no slash at the path's end (an empty path is /), query pairs sorted."""
+    """Scheme and host in lower case, no fragment and no parameters of the last segment, no slash at the path's end (an empty
+    path is /), query pairs decoded, sorted and encoded again; a name without a value has an empty one."""
     bare = F.regexp_replace(url, "#.*$", "")
     scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     host = F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1))
-    path = F.regexp_replace(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1), "/+$", "")
+    path = F.regexp_replace(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1), ";[^/]*$", "")
+    path = F.regexp_replace(path, "/+$", "")
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    pairs = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: p != "")), "&")
-    return F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(pairs != "", F.concat(F.lit("?"), pairs)).otherwise(""))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(_decoded(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), _decoded(F.regexp_replace(p, "^[^=]*=?", "")).alias("v")))
+    joined = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
+    return F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(""))
 
 
 def host(url: Column) -> Column:
@@ -59,6 +71,36 @@ def page_numbers(total: Column, size: int, first: int = 1) -> Column:
     return F.when(last > first, F.sequence(F.lit(first + 1), last)).otherwise(F.array().cast("array<int>"))
 
 
+def last_page(expected: Column, size: int, first: int = 1) -> Column:
+    """The number of the last result page."""
+    return F.lit(first) + F.greatest(F.ceil(expected / size).cast("int"), F.lit(1)) - 1
+
+
+def numbered_pages(url: Column, last: Column, parameter: str = "page", first: int = 1) -> Column:
+    """Urls of the result pages from first to last: the parameter set to each number, the other pairs as they are."""
+    base, query = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
+    others = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.startswith(p, F.lit(f"{parameter}=")))
+    of = lambda n: F.concat(base, F.lit("?"), F.array_join(F.concat(others, F.array(F.concat(F.lit(f"{parameter}="), n.cast("string")))), "&"))
+    return F.when(last >= first, F.transform(F.sequence(F.lit(first), last), of)).otherwise(F.array().cast("array<string>"))
+
+
+def template_pages(template: str, last: Column, first: int = 1, sign: str = "{page}") -> Column:
+    """Urls of the result pages from first to last by a template with a sign for the number."""
+    of = lambda n: F.replace(F.lit(template), F.lit(sign), n.cast("string"))
+    return F.when(last >= first, F.transform(F.sequence(F.lit(first), last), of)).otherwise(F.array().cast("array<string>"))
+
+
+def stated_total(text: Column, label: str = "") -> Column:
+    """The first number of a text, after a label if one is given, with commas between its thousands; null if there is none."""
+    found = F.regexp_extract(text, label + r"(?s).*?(\d[\d,]*)" if label else r"(\d[\d,]*)", 1)
+    return F.replace(F.nullif(found, F.lit("")), F.lit(","), F.lit("")).try_cast("bigint")
+
+
+def next_page(current: Column, total: Column, size: int = 20) -> Column:
+    """The number of the next result page, or null where the current one is the last."""
+    return F.when(current < F.ceil(total / size), current + 1)
+
+
 def _as_regex(pattern: str) -> str:
     """A pattern that is no regular expression is a glob."""
     import fnmatch
