@@ -36,6 +36,8 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 SKETCH, SKETCH_RADIUS = 128, 44
 NIBBLES = 0x1111111111111111
+#: Rounds with one head for each band, and for each member the pairs that are few enough to be compared at once.
+HEAD_ROUNDS, PAIRS_A_MEMBER = 8, 2
 FACTORS = np.random.default_rng(42).integers(1 << 62, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -321,13 +323,50 @@ def _alike(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(first, "set_a").join(second, "set_b").select("a", "b", "set_a", "set_b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
+def _near(a: str, b: str) -> F.Column:
+    """Whether sizes and sketches allow the least similarity."""
+    sizes = F.least(f"{a}size", f"{b}size") >= F.greatest(f"{a}size", f"{b}size") * SIMILAR - 0.001
+    return sizes & (_differing(F.col(f"{a}sketch"), F.col(f"{b}sketch")) <= SKETCH_RADIUS)
+
+
+def _undecided(members: DataFrame) -> DataFrame:
+    """Members of the bands that still hold several classes."""
+    open_ = members.groupBy("band").agg(F.min("top").alias("low"), F.max("top").alias("high")).filter("low < high").select("band")
+    # written down, so that Spark can split the rows of a band that very many texts share
+    return cut(members.join(cut(open_), "band"))
+
+
+def _cross_pairs(members: DataFrame) -> int:
+    """Pairs of members of one band and two classes, counted by classes."""
+    each = members.groupBy("band", "top").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    total = each.groupBy("band").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"))
+    return int(total.agg(F.sum("pairs")).first()[0] / 2)
+
+
+def _head_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b, set_a, set_b): each member with its band's head, the first one by node, later others by a hash, if it is of another class."""
+    head = F.struct("node", "set", "size", "sketch", "top")
+    chosen = F.min(head) if turn == 0 else F.min_by(head, F.xxhash64("set", F.lit(turn)))
+    heads = cut(members.groupBy("band").agg(chosen.alias("head")))
+    met = members.join(heads, "band").filter((F.col("top") != F.col("head.top")) & _near("", "head."))
+    return cut(met.select(F.col("node").alias("a"), F.col("head.node").alias("b"), F.col("set").alias("set_a"), F.col("head.set").alias("set_b")).distinct())
+
+
+def _all_pairs(members: DataFrame) -> DataFrame:
+    """(a, b, set_a, set_b): members of one band and two classes."""
+    x, y = members.alias("x"), members.alias("y")
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.top") < F.col("y.top")) & _near("x.", "y."))
+    return cut(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.set").alias("set_a"), F.col("y.set").alias("set_b")).distinct())
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(row, fp, component_id): the classes of near_duplicates(), joined where texts are as similar as SIMILAR.
 
     row is struct<nameless, doc_id, digest>, which rows of one doc_id and one text share and no others do; component_id is
     the smallest row of the class, so rows without a doc_id come last. Null and empty texts are alike. Other columns are not
-    read, and an empty table gives no rows. Links are looked for between classes only: first each member of a band against the band's first one, which joins
-    large groups of copies by as many checks as they have members, and then all members whose classes still differ.
+    read, and an empty table gives no rows. Links are looked for between classes only: first each member of a band against
+    one head of the band, with another head in each round, which joins large groups of copies by as many checks as they
+    have members, and then all members whose classes still differ.
     """
     prints = cut(_sketches(docs).withColumn("row", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")))
     distinct = cut(prints.groupBy("fp").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n")))
@@ -337,24 +376,19 @@ def near_copies(docs: DataFrame) -> DataFrame:
     of_set = cut(of_set.select("set", F.coalesce("root", "fp").alias("node"), "m"))
     sets = cut(of_set.groupBy("set").agg(F.min("node").alias("node"), F.max("node").alias("far"), F.min("m").alias("m")).select("set", "node", "far", "m.*"))
     links = of_set.join(sets.filter("node < far").select("set", F.col("node").alias("b")), "set").select(F.col("node").alias("a"), "b").filter("a <> b")
-    members = sets.select("set", "node", "size", "sketch", "digest", F.explode("bands").alias("band"))
-    crowded = members.groupBy("band").agg(F.min(F.struct("node", "set", "size", "sketch")).alias("head"), F.max("node").alias("far"))
-    # written down, so that Spark can split the rows of a band that very many texts share
-    members = cut(members.join(cut(crowded.filter("head.node < far").select("band", "head")), "band"))
-    if members.isEmpty() and links.isEmpty():
-        return _classed(prints.select("row", "fp"), distinct, roots, "row")
-    near = lambda a, b: (F.least(f"{a}size", f"{b}size") >= F.greatest(f"{a}size", f"{b}size") * SIMILAR - 0.001) & (_differing(F.col(f"{a}sketch"), F.col(f"{b}sketch")) <= SKETCH_RADIUS)
-    first = members.filter((F.col("node") != F.col("head.node")) & near("", "head."))
-    first = cut(first.select(F.col("node").alias("a"), F.col("head.node").alias("b"), F.col("set").alias("set_a"), F.col("head.set").alias("set_b")).distinct())
-    links = cut(links.unionByName(_alike(first, docs, sets)))
-    joined = cut(connected_components(links).toDF("node", "top"))
-    members = members.select("band", "set", "node", "size", "sketch").join(joined, "node", "left").withColumn("top", F.coalesce("top", "node"))
-    open_ = members.groupBy("band").agg(F.min("top").alias("low_top"), F.max("top").alias("high_top")).filter("low_top < high_top").select("band")
-    members = cut(members.join(open_, "band"))
-    x, y = members.alias("x"), members.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.top") < F.col("y.top")) & near("x.", "y."))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.set").alias("set_a"), F.col("y.set").alias("set_b")).distinct()
-    links = links.unionByName(_alike(cut(rest), docs, sets))
+    links = cut(links)
+    members = sets.select("set", "node", "size", "sketch", F.col("node").alias("top"), F.explode("bands").alias("band"))
+    for turn in range(HEAD_ROUNDS + 1):
+        members = _undecided(members)
+        n = members.count()
+        if not n:
+            break
+        last = turn == HEAD_ROUNDS or turn > 0 and _cross_pairs(members) <= PAIRS_A_MEMBER * n
+        links = cut(links.unionByName(_alike(_all_pairs(members) if last else _head_pairs(members, turn), docs, sets)))
+        if last:
+            break
+        joined = cut(connected_components(links).toDF("node", "_dw_top"))
+        members = members.drop("top").join(joined, "node", "left").withColumn("top", F.coalesce("_dw_top", "node")).drop("_dw_top")
     # fingerprints of one class share a node; the new links join nodes
     joined = cut(connected_components(links).toDF("root", "top"))
     classes = distinct.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")).join(joined, "root", "left")

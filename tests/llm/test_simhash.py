@@ -100,3 +100,30 @@ def test_near_copies_at_similarity(spark):
     assert {r.row.doc_id: r.component_id.doc_id for r in s.near_copies(docs).collect()} == least
     kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert {r.doc_id for r in kept} == {*least.values()}
+
+
+def test_a_cloud_of_near_copies(spark, monkeypatch):
+    """Copies of one text that are near to some of the others only: as few pairs as rounds of heads leave, and no link lost."""
+    rng = random.Random(11)
+    words = [f"word{k}" for k in range(900)]
+    base = rng.choices(words, k=150)
+    texts = []
+    for _ in range(160):
+        copy = list(base)
+        for k in rng.sample(range(150), rng.randrange(1, 5)):
+            copy[k] = rng.choice(words)
+        texts.append(" ".join(copy))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for t in texts]
+    prints = [s.fingerprint(t.encode()) & (1 << 64) - 1 for t in texts]
+    linked = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 3
+    edges = [(a, b) for a in range(len(texts)) for b in range(a) if linked(a, b)]
+    least = [*range(len(texts))]
+    for _ in texts:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    pairs = []
+    monkeypatch.setattr(s, "_alike", lambda p, *a, f=s._alike: pairs.append(p.count()) or f(p, *a))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.row.doc_id: r.component_id.doc_id for r in s.near_copies(docs).collect()}
+    assert got == dict(enumerate(least)) and len(edges) > 1000
+    assert sum(pairs) < len(edges)
