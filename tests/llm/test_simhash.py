@@ -126,4 +126,4 @@ def test_a_cloud_of_near_copies(spark, monkeypatch):
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     got = {r.row.doc_id: r.component_id.doc_id for r in s.near_copies(docs).collect()}
     assert got == dict(enumerate(least)) and len(edges) > 1000
-    assert sum(pairs) < len(edges)
+    assert sum(pairs) < 160 * 159 / 2  # each round has a head for each of twenty bands at most
