@@ -16,6 +16,7 @@ checked on the shingles themselves, if their sketches don't rule it out. A pair
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,8 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 SKETCH, SKETCH_RADIUS = 128, 44
 NIBBLES = 0x1111111111111111
-#: Rounds with one head for each band, and for each member the pairs that are few enough to be compared at once.
-HEAD_ROUNDS, PAIRS_A_MEMBER = 8, 2
+#: Members of a band that are compared in pairs; a band with more is compared in parts of so many members.
+SMALL_BAND, PART = 48, 1_000
 FACTORS = np.random.default_rng(42).integers(1 << 62, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
 BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -292,14 +293,18 @@ def _differing(a: F.Column, b: F.Column) -> F.Column:
     return out
 
 
+def _texts(asked: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set, text): one text of each shingle set asked for."""
+    asked = cut(asked.join(sets.select("set", "digest"), "set"))
+    texts = docs.select("text", F.xxhash64("text").alias("digest")).join(asked.hint("shuffle_hash"), "digest")
+    return cut(texts.groupBy("set").agg(F.min("text").alias("text")))
+
+
 def _alike(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): of pairs (a, b, set_a, set_b) those whose shingle sets are as similar as SIMILAR, checked on their texts."""
     if pairs.isEmpty():
         return pairs.select("a", "b")
-    asked = pairs.select(F.col("set_a").alias("set")).unionByName(pairs.select(F.col("set_b").alias("set"))).distinct()
-    asked = cut(asked.join(sets.select("set", "digest"), "set"))
-    texts = docs.select("text", F.xxhash64("text").alias("digest")).join(asked.hint("shuffle_hash"), "digest")
-    texts = cut(texts.groupBy("set").agg(F.min("text").alias("text")))
+    texts = _texts(pairs.select(F.col("set_a").alias("set")).unionByName(pairs.select(F.col("set_b").alias("set"))).distinct(), docs, sets)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -317,7 +322,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
                 for a, b, set_a, set_b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b", "x", "y")), strict=True)
                 if jaccard(shingles(set_a, x), shingles(set_b, y)) >= SIMILAR
             ]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield _as_links(links)
 
     first, second = texts.toDF("set_a", "x").hint("merge"), texts.toDF("set_b", "y").hint("merge")
     return pairs.join(first, "set_a").join(second, "set_b").select("a", "b", "set_a", "set_b", "x", "y").mapInArrow(check, "a long, b long").distinct()
@@ -330,43 +335,118 @@ def _near(a: str, b: str) -> F.Column:
 
 
 def _undecided(members: DataFrame) -> DataFrame:
-    """Members of the bands that still hold several classes."""
-    open_ = members.groupBy("band").agg(F.min("top").alias("low"), F.max("top").alias("high")).filter("low < high").select("band")
+    """Members of the bands that still hold several classes, with n, how many the band has."""
+    open_ = members.groupBy("band").agg(F.min("top").alias("low"), F.max("top").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("band", "n")
     # written down, so that Spark can split the rows of a band that very many texts share
     return cut(members.join(cut(open_), "band"))
 
 
-def _cross_pairs(members: DataFrame) -> int:
-    """Pairs of members of one band and two classes, counted by classes."""
-    each = members.groupBy("band", "top").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    total = each.groupBy("band").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"))
-    return int(total.agg(F.sum("pairs")).first()[0] / 2)
-
-
-def _head_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b, set_a, set_b): each member with its band's head, the first one by node, later others by a hash, if it is of another class."""
-    head = F.struct("node", "set", "size", "sketch", "top")
-    chosen = F.min(head) if turn == 0 else F.min_by(head, F.xxhash64("set", F.lit(turn)))
-    heads = cut(members.groupBy("band").agg(chosen.alias("head")))
+def _head_pairs(members: DataFrame) -> DataFrame:
+    """(a, b, set_a, set_b): each member with its band's first one by node, if it is of another class."""
+    heads = cut(members.groupBy("band").agg(F.min(F.struct("node", "set", "size", "sketch", "top")).alias("head")))
     met = members.join(heads, "band").filter((F.col("top") != F.col("head.top")) & _near("", "head."))
     return cut(met.select(F.col("node").alias("a"), F.col("head.node").alias("b"), F.col("set").alias("set_a"), F.col("head.set").alias("set_b")).distinct())
 
 
-def _all_pairs(members: DataFrame) -> DataFrame:
-    """(a, b, set_a, set_b): members of one band and two classes."""
+def _small_pairs(members: DataFrame) -> DataFrame:
+    """(a, b, set_a, set_b): members of two classes in bands of SMALL_BAND members or fewer, so each meets few others."""
     x, y = members.alias("x"), members.alias("y")
     met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.top") < F.col("y.top")) & _near("x.", "y."))
     return cut(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.set").alias("set_a"), F.col("y.set").alias("set_b")).distinct())
 
 
+class Block:
+    """The shingle sets of some members of one band, by which all similarities with one more set are counted at once."""
+
+    def __init__(self, nodes: list[int], tops: list[int], sets: list[np.ndarray]) -> None:
+        self.nodes, self.tops, self.sets = nodes, tops, sets
+        self.sizes = np.array([len(x) for x in sets])
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(every, kind="stable")
+        self.values, self.owners = every[order], owner[order]
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def links_of(self, node: int, top: int, shingles: np.ndarray) -> list[tuple[int, int]]:
+        """Links of a member, its own or another part's, that join classes not joined so far."""
+        low, high = np.searchsorted(self.values, shingles, "left"), np.searchsorted(self.values, shingles, "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(self.owners[at], minlength=len(self.nodes))
+        out = []
+        for k in np.flatnonzero(both >= SIMILAR * (self.sizes + len(shingles) - both)).tolist():
+            x, y = self.root(top), self.root(self.tops[k])
+            if x != y:
+                self.parent[max(x, y)] = min(x, y)
+                out.append((node, self.nodes[k]))
+        return out
+
+    def links(self) -> list[tuple[int, int]]:
+        """Links among the members: those of the largest class need no comparison with each other."""
+        largest = Counter(self.tops).most_common(1)[0][0]
+        return [x for k in range(len(self.nodes)) if self.tops[k] != largest for x in self.links_of(self.nodes[k], self.tops[k], self.sets[k])]
+
+
+def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (band, part, query): the members of a part, then those that other parts send to it."""
+    at, held, block, known = None, [], None, {}
+
+    def done() -> list[tuple[int, int]]:
+        return Block(*map(list, zip(*held, strict=True))).links() if held and block is None else []
+
+    for batch in slices(batches, 64):
+        links: list[tuple[int, int]] = []
+        for band, part, query, set_, node, top, text in zip(*(batch.column(c).to_pylist() for c in ("band", "part", "query", "set", "node", "top", "text")), strict=True):
+            if (band, part) != at:
+                links += done()
+                at, held, block = (band, part), [], None
+            if set_ not in known:
+                if len(known) > PART:
+                    known.clear()
+                known[set_] = shingle_set(text.encode())
+            if not query:
+                held.append((node, top, known[set_]))
+                continue
+            if block is None:
+                block = Block(*map(list, zip(*held, strict=True))) if held else None
+                links += block.links() if block else []
+            if block:
+                links += block.links_of(node, top, known[set_])
+        yield _as_links(links)
+    yield _as_links(done())
+
+
+def _as_links(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _large_links(members: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links in bands of more members, which are dealt into parts of about PART; each two parts meet once."""
+    if members.isEmpty():
+        return members.select(F.col("node").alias("a"), F.col("top").alias("b"))
+    parts = F.ceil(F.col("n") / PART).cast("long")
+    own = members.withColumn("all", parts).withColumn("own", F.pmod(F.xxhash64("set"), F.col("all")))
+    texts = _texts(members.select("set").distinct(), docs, sets)
+    sent = own.select("band", "set", "node", "top", "own", F.explode(F.sequence(F.col("own"), F.col("all") - 1)).alias("part"))
+    sent = sent.select("band", "part", (F.col("part") != F.col("own")).alias("query"), "set", "node", "top").join(texts.hint("shuffle_hash"), "set")
+    dealt = sent.select("band", "part", "query", "set", "node", "top", "text").repartition("band", "part").sortWithinPartitions("band", "part", "query")
+    return dealt.mapInArrow(_search_blocks, "a long, b long")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(row, fp, component_id): the classes of near_duplicates(), joined where texts are as similar as SIMILAR.
 
     row is struct<nameless, doc_id, digest>, which rows of one doc_id and one text share and no others do; component_id is
     the smallest row of the class, so rows without a doc_id come last. Null and empty texts are alike. Other columns are not
     read, and an empty table gives no rows. Links are looked for between classes only: first each member of a band against
-    one head of the band, with another head in each round, which joins large groups of copies by as many checks as they
-    have members, and then all members whose classes still differ.
+    one head of the band, which joins most copies by as many checks as there are members; then, in bands whose classes still
+    differ, all members of different classes, in pairs where the band is small, else in blocks that count a member's
+    similarities with all others at once.
     """
     prints = cut(_sketches(docs).withColumn("row", F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")))
     distinct = cut(prints.groupBy("fp").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n")))
@@ -378,17 +458,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     links = of_set.join(sets.filter("node < far").select("set", F.col("node").alias("b")), "set").select(F.col("node").alias("a"), "b").filter("a <> b")
     links = cut(links)
     members = sets.select("set", "node", "size", "sketch", F.col("node").alias("top"), F.explode("bands").alias("band"))
-    for turn in range(HEAD_ROUNDS + 1):
-        members = _undecided(members)
-        n = members.count()
-        if not n:
-            break
-        last = turn == HEAD_ROUNDS or turn > 0 and _cross_pairs(members) <= PAIRS_A_MEMBER * n
-        links = cut(links.unionByName(_alike(_all_pairs(members) if last else _head_pairs(members, turn), docs, sets)))
-        if last:
-            break
-        joined = cut(connected_components(links).toDF("node", "_dw_top"))
-        members = members.drop("top").join(joined, "node", "left").withColumn("top", F.coalesce("_dw_top", "node")).drop("_dw_top")
+    members = _undecided(members)
+    links = cut(links.unionByName(_alike(_head_pairs(members), docs, sets)))
+    joined = cut(connected_components(links).toDF("node", "_dw_top"))
+    members = members.drop("top", "n").join(joined, "node", "left").withColumn("top", F.coalesce("_dw_top", "node")).drop("_dw_top")
+    members = _undecided(members)
+    links = links.unionByName(_alike(_small_pairs(members.filter(F.col("n") <= SMALL_BAND)), docs, sets))
+    links = cut(links.unionByName(_large_links(members.filter(F.col("n") > SMALL_BAND), docs, sets)))
     # fingerprints of one class share a node; the new links join nodes
     joined = cut(connected_components(links).toDF("root", "top"))
     classes = distinct.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")).join(joined, "root", "left")
