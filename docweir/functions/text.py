@@ -233,4 +233,4 @@ def paragraphs(text: Column, most: int = 8) -> Column:
 
 def query_words(text: Column) -> Column:
     """Distinct words of letters and digits of any script, in lower case, in the order of their first place."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w&&[^_]]+"), 0))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0))

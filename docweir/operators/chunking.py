@@ -1,93 +1,101 @@
-"""Chunks of documents under a token budget, with overlap."""
+"""Chunks of documents under a token budget, with overlap.
+
+A document becomes a list of parts, each with its tokens: paragraphs that fit whole, else groups of their sentences, else
+slices. Running sums over the parts give every chunk's end, and where its overlap begins, by bisection.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+")
 Count = Callable[[str], int]
+Part = tuple[str, int]
 
 
 def count_words(text: str) -> int:
     return len(text.split())
 
 
-def fitting(text: str, budget: int, count: Count, from_end: bool = False) -> int:
-    """The most characters from one end of a text that stay within the budget, by bisection; at least one."""
-    low, high = 1, len(text)
-    while low < high:
-        mid = (low + high + 1) // 2
-        if count(text[-mid:] if from_end else text[:mid]) <= budget:
-            low = mid
-        else:
-            high = mid - 1
-    return low
+def reach(text: str, at: int, budget: int, count: Count, step: int = 1) -> int:
+    """How far a slice from at on (to its left, if step is -1) can go within the budget; a slice has one character at least.
 
+    Lengths are doubled until the budget is passed, and the last doubling is bisected, so the cost follows the slice.
+    """
+    room = len(text) - at if step > 0 else at
+    slice_ = lambda n: text[at : at + n] if step > 0 else text[at - n : at]
+    fits = lambda n: count(slice_(n)) <= budget
+    low = 1
+    while low < room and fits(min(room, 2 * low)):
+        low = min(room, 2 * low)
+    return low + bisect_left(range(low + 1, min(room, 2 * low) + 1), True, key=lambda n: not fits(n))
 
-def pieces(paragraph: str, budget: int, count: Count) -> Iterator[str]:
-    """A paragraph whole, if it fits; else sentences filled up to the budget; a sentence that is too long by characters."""
-    if count(paragraph) <= budget:
-        yield paragraph
-        return
-    held = ""
+
+def sentences(paragraph: str, budget: int, count: Count) -> Iterator[Part]:
+    """Sentences with their tokens; one over the budget in slices."""
     for sentence in filter(None, map(str.strip, SENTENCE_END.split(paragraph))):
-        if held and count(held) + count(sentence) > budget:
-            yield held
-            held = ""
-        while count(sentence) > budget:
-            n = fitting(sentence, budget, count)
-            yield sentence[:n].strip()
-            sentence = sentence[n:].strip()
-        held = f"{held} {sentence}".strip()
-    if held:
-        yield held
-
-
-def overlap_of(items: list[str], budget: int, count: Count) -> list[str]:
-    """What the next chunk repeats: whole paragraphs from the end, else sentences, else a slice, within the budget."""
-    out: list[str] = []
-    room = budget
-    for item in reversed(items):
-        if (n := count(item)) > room:
-            break
-        out.insert(0, item)
-        room -= n
-    if out or not items or budget <= 0:
-        return out
-    tail: list[str] = []
-    for sentence in reversed(list(filter(None, map(str.strip, SENTENCE_END.split(items[-1]))))):
-        if (n := count(sentence)) > room:
-            break
-        tail.insert(0, sentence)
-        room -= n
-    text = " ".join(tail) or items[-1][-fitting(items[-1], budget, count, from_end=True) :].strip()
-    return [text] if text and count(text) <= budget else []
-
-
-def chunks_of(text: str | None, largest: int = 480, overlap: int = 120, count: Count = count_words) -> list[tuple[str, int]]:
-    """(text, tokens) of a document's chunks. Every piece leaves room for the overlap before it, so no chunk is over largest."""
-    largest = max(64, largest)
-    overlap = max(0, min(overlap, largest // 2))
-    out: list[tuple[str, int]] = []
-    current: list[str] = []
-    fresh = used = 0
-    for raw in re.split(r"\n\s*\n+", text or ""):
-        if not (paragraph := " ".join(raw.split())):
+        size = count(sentence)
+        if size <= budget:
+            yield sentence, size
             continue
-        for piece in pieces(paragraph, largest - overlap, count):
-            n = count(piece)
-            if fresh and used + n > largest:
-                out.append(("\n\n".join(current), used))
-                current = overlap_of(current, overlap, count)
-                used, fresh = sum(map(count, current)), 0
-            current.append(piece)
-            used, fresh = used + n, fresh + 1
-    if fresh:
-        out.append(("\n\n".join(current), used))
+        at = 0
+        while at < len(sentence):
+            end = at + reach(sentence, at, budget, count)
+            if piece := sentence[at:end].strip():
+                yield piece, count(piece)
+            at = end
+
+
+def parts_of(paragraph: str, budget: int, count: Count) -> Iterator[Part]:
+    """A paragraph whole, if it fits, else as many of its sentences at a time as do."""
+    size = count(paragraph)
+    if size <= budget:
+        yield paragraph, size
+        return
+    each = list(sentences(paragraph, budget, count))
+    sums = [0, *accumulate(n for _, n in each)]
+    at = 0
+    while at < len(each):
+        end = max(at + 1, bisect_right(sums, sums[at] + budget) - 1)
+        text = " ".join(t for t, _ in each[at:end])
+        yield text, count(text)
+        at = end
+
+
+def tail(text: str, budget: int, count: Count) -> list[Part]:
+    """The last sentences of a text that stay within the budget; without any, its last characters."""
+    each = list(sentences(text, budget, count))
+    sums = [0, *accumulate(n for _, n in each)]
+    first = bisect_left(sums, sums[-1] - budget)
+    out = " ".join(t for t, _ in each[first:]) or text[len(text) - reach(text, len(text), budget, count, -1) :].strip()
+    return [(out, n)] if out and (n := count(out)) <= budget else []
+
+
+def chunks_of(text: str | None, largest: int = 480, overlap: int = 120, count: Count = count_words) -> list[Part]:
+    """(text, tokens) of a document's chunks. Every part leaves room for the overlap before it, so no chunk is over largest.
+
+    largest is 64 at least, the overlap half of it at most; a chunk begins with what the one before ended with.
+    """
+    largest = max(largest, 64)
+    overlap = min(max(overlap, 0), largest // 2)
+    paragraphs = filter(None, (" ".join(p.split()) for p in re.split(r"\n\s*\n+", text or "")))
+    parts = [part for p in paragraphs for part in parts_of(p, largest - overlap, count)]
+    sums = [0, *accumulate(n for _, n in parts)]
+    out: list[Part] = []
+    fresh, again, lead = 0, 0, []  # the first part that is new, the first that is repeated, and a tail instead of parts
+    while fresh < len(parts):
+        used = sum(n for _, n in lead)
+        end = max(fresh + 1, bisect_right(sums, sums[again] + largest - used) - 1)
+        out.append(("\n\n".join(t for t, _ in [*lead, *parts[again:end]]), used + sums[end] - sums[again]))
+        again = max(again, bisect_left(sums, sums[end] - overlap)) if overlap else end
+        lead = tail(parts[end - 1][0], overlap, count) if again >= end and overlap else []
+        fresh, again = end, min(again, end)
     return out
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from itertools import combinations
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,33 +32,58 @@ def label_scores(rankings: DataFrame, gold: DataFrame) -> DataFrame:
     return first.select("query_id", "first_rank", hit(5), hit(20), F.when(F.col("first_rank") <= 10, 1 / F.col("first_rank")).otherwise(0.0).alias("rr_10"))
 
 
-def resolve_anchors(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(quote_id, id): the chunks of the quoted document whose pages meet the quote's and whose text holds it."""
-    q = quotes.select("quote_id", F.col("document").alias("_d"), F.col("page_start").alias("_a"), F.col("page_end").alias("_b"), "quote")
-    met = (chunks["document"] == F.col("_d")) & (chunks["page_start"] <= F.col("_b")) & (chunks["page_end"] >= F.col("_a"))
-    return q.join(chunks, met & F.contains(chunks["text"], F.col("quote"))).select("quote_id", "id")
+#: Words of a quote, but for its first, by which texts that may hold it are found.
+RUN = 8
+
 
+def resolve_anchors(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(quote_id, id): the chunks of the quoted document whose pages meet the quote's and whose text holds it.
 
-def minimum_cover(groups: Iterable[frozenset]) -> int:
-    """The fewest ids that meet every group; groups are few."""
-    groups = [g for g in groups]
-    if any(not g for g in groups):
-        return -1
-    ids = sorted({i for g in groups for i in g}, key=str)
-    for n in range(len(groups) + 1):
-        if any(all(set(c) & g for g in groups) for c in combinations(ids, n)):
-            return n
-    return -1
+    A text that holds a quote holds the run of words after its first one, so quotes and texts meet by document and the
+    digest of that run. Quotes of fewer words are looked for in all chunks of their document.
+    """
+    q = quotes.select("quote_id", F.col("document").alias("_d"), F.col("page_start").alias("_a"), F.col("page_end").alias("_b"), "quote").withColumn("_w", F.split("quote", r"\s+"))
+    run = lambda words, at: F.xxhash64(F.array_join(F.slice(words, at, RUN), " "))
+    long_, short = q.filter(F.size("_w") >= RUN + 2), q.filter(F.size("_w") < RUN + 2)
+    meets = lambda c: (c["document"] == F.col("_d")) & (c["page_start"] <= F.col("_b")) & (c["page_end"] >= F.col("_a"))
+    words = F.split("text", r"\s+")
+    runs = F.when(F.size(words) >= RUN, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - RUN + 1), lambda k: run(words, k))))
+    wanted = long_.select("quote_id", "_d", "_a", "_b", "quote", run(F.col("_w"), F.lit(2)).alias("_run"))
+    # only runs that a quote has are matched, so what goes on are the few texts that may hold one
+    each = chunks.select("id", "document", "page_start", "page_end", F.explode(runs).alias("_r"))
+    hits = each.join(wanted, meets(each) & (F.col("_r") == F.col("_run"))).select("quote_id", "quote", F.col("id").alias("_id")).distinct()
+    found = hits.join(chunks.select("id", "text"), F.col("_id") == F.col("id")).filter(F.contains("text", F.col("quote"))).select("quote_id", "id")
+    rest = short.join(chunks, meets(chunks) & F.contains(chunks["text"], F.col("quote"))).select("quote_id", "id")
+    return found.unionByName(rest)
+
+
+def minimum_cover(masks: Iterable[int], full: int) -> int:
+    """The fewest masks whose bits make up full; -1 if all of them don't. States are sums of bits, of which few groups have few."""
+    masks, reached, n = set(masks), {0}, 0
+    while full not in reached:
+        further = {r | m for r in reached for m in masks} - reached
+        if not further:
+            return -1
+        reached, n = reached | further, n + 1
+    return n
 
 
 def minimum_covers(groups: DataFrame) -> DataFrame:
-    """(query_id, n_cover) by minimum_cover() for each query's (group_id, id) rows."""
+    """(query_id, n_cover): the fewest ids that meet every group of each query's (group_id, id) rows; a query has 62 groups at most.
+
+    What an id meets becomes a mask of bits in a grouped sum, so a query is as many masks as differ, however many ids it has.
+    """
+    bit = F.dense_rank().over(W.partitionBy("query_id").orderBy("group_id")) - 1
+    bits = groups.select("query_id", "group_id").distinct().withColumn("bit", bit)
+    full = bits.groupBy("query_id").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("full"))
+    met = groups.join(bits, ["query_id", "group_id"]).groupBy("query_id", "id").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    masks = met.groupBy("query_id").agg(F.collect_set("mask").alias("masks")).join(full, "query_id")
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        held = [frozenset(g["id"]) for _, g in rows.groupby("group_id")]
-        return pd.DataFrame({"query_id": [rows["query_id"].iloc[0]], "n_cover": [minimum_cover(held)]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"query_id": batch["query_id"], "n_cover": [minimum_cover(map(int, m), int(f)) for m, f in zip(batch["masks"], batch["full"], strict=True)]})
 
-    return groups.groupBy("query_id").applyInPandas(one, f"query_id {dict(groups.dtypes)['query_id']}, n_cover int")
+    return masks.mapInPandas(run, f"query_id {dict(groups.dtypes)['query_id']}, n_cover int")
 
 
 def calibrate(cases: DataFrame) -> DataFrame:

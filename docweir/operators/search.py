@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import words
+from ..functions.text import query_words, words
 
 #: Words that a lexical query leaves out; must, should, may and not stay, since they carry a rule's force. Fixed values.
 STOP_WORDS = "a an and are as at be by for from in is it of on or that the this to was were what which who with".split()
@@ -32,6 +32,12 @@ def query_terms(queries: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataF
     return queries.select("query_id", F.explode(kept).alias("term"))
 
 
+def lexical_terms(queries: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
+    """(query_id, term): the distinct words of letters and digits of any script that aren't stop words."""
+    kept = F.array_except(query_words(F.col("text")), F.array(*map(F.lit, stop_words)).cast("array<string>"))
+    return queries.select("query_id", F.explode(kept).alias("term"))
+
+
 def bm25(docs: DataFrame, terms: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, id, score) for rows of docs (id, text) that hold a query's terms (query_id, term).
 

@@ -11,6 +11,7 @@ from ..functions.vectors import norm, valid
 from ..operators import evidence, search, selection
 from . import query, table
 
+_TERMS = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
 _CITED = "SELECT conv_id, turn, event_id, row_number() OVER (PARTITION BY conv_id, turn ORDER BY event_id) AS pos, event_type AS source FROM conversations JOIN events ON user_id = conv_id WHERE event_id % 40 = turn"
 
 
@@ -34,10 +35,10 @@ def citation_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.first_identities(_cited(spark, sf_dir).select("answer_id", "position", "source"), ["answer_id", "source"])
 
 
-@query("SELECT item_id AS query_id, string_agg(term, ' ' ORDER BY term) AS terms FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) WHERE term NOT IN (" + ", ".join(f"'{w}'" for w in search.STOP_WORDS) + ") GROUP BY 1")
+@query(f"SELECT item_id AS query_id, string_agg(term, ' ' ORDER BY term) AS terms FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark) WHERE term NOT IN ({_TERMS}) GROUP BY 1")
 def lexical_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct terms that each item asks for."""
-    terms = search.query_terms(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    """The distinct terms of any script that each item asks for."""
+    terms = search.lexical_terms(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
     return terms.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("terms"))
 
 
@@ -78,10 +79,10 @@ def trace_last_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clicks.select("user_id", "event_id", "event_type", (F.col("event_id") == last).alias("done"))
 
 
-@query("SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS tiers FROM (SELECT user_id, event_type, min(event_id) AS first FROM events WHERE value > 20 GROUP BY ALL) GROUP BY 1")
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY first) AS tiers FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL) GROUP BY 1")
 def evidence_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of evidence in the order in which each user first brought one."""
-    first = table(spark, sf_dir, "events").filter("value > 20").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
+    first = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
     order = F.array_sort(F.collect_list(F.struct("first", "event_type")))  # as many as there are kinds
     return first.groupBy("user_id").agg(F.array_join(F.transform(order, lambda x: x["event_type"]), ",").alias("tiers"))
 
@@ -117,19 +118,18 @@ def prompt_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(total.alias("tokens"), (total + 16 * F.count(F.lit(1)) + 40 <= 200).alias("fits"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, chr(10)) THEN string_split(text, chr(10))[1] ELSE string_split(text, ',')[1] END AS first_item FROM documents WHERE NOT contains(text, ';') AND trim(CASE WHEN contains(text, chr(10)) THEN string_split(text, chr(10))[1] ELSE string_split(text, ',')[1] END) <> ''")
+@query("SELECT doc_id, len(items) AS n_items, items[1] AS first_item FROM (SELECT doc_id, list_filter(list_transform(string_split(text, CASE WHEN contains(text, chr(10)) THEN chr(10) WHEN contains(text, ';') THEN ';' ELSE ',' END), lambda x: trim(x)), lambda x: x <> '') AS items FROM documents)")
 def list_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first item of each text that is read as a list."""
-    d = table(spark, sf_dir, "documents").filter(~F.contains("text", F.lit(";")))
-    first = d.select("doc_id", F.get(tx.string_list(F.col("text")), F.lit(0)).alias("first_item"), F.get(F.split("text", "[\n,]"), F.lit(0)).alias("f"))
-    return first.filter("trim(f) <> ''").select("doc_id", "first_item")
+    """Each text read as a list: its number of items and the first."""
+    items = tx.string_list(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(items).cast("long").alias("n_items"), F.get(items, F.lit(0)).alias("first_item"))
 
 
-@query("SELECT o_custkey AS query_id, o_orderkey AS id, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n <= 10")
+@query("SELECT o_custkey AS query_id, o_orderkey AS id, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n <= 10")
 def latest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten jobs of each owner."""
+    """The latest ten jobs of each owner."""
     jobs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), "o_orderdate")
-    return search.top_k(jobs, ["query_id"], ["o_orderdate", "id"], 10).select("query_id", "id", "rank")
+    return search.top_k(jobs, ["query_id"], [F.desc("o_orderdate"), "id"], 10).select("query_id", "id", "rank")
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS mean_discount, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")

@@ -26,10 +26,10 @@ def exact_dup_keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.keep_best(docs, F.col("hash"), [-F.col("n_chars"), F.col("doc_id")]).select("doc_id", "keep")
 
 
-@query("SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5('{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}'), 1, 12) AS BIGINT)) AS DECIMAL(38,0)) AS digest FROM nation")
+@query("SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5('{\"o_custkey\":' || o_custkey || ',\"o_orderkey\":' || o_orderkey || ',\"o_orderpriority\":\"' || o_orderpriority || '\",\"o_orderstatus\":\"' || o_orderstatus || '\"}'), 1, 12) AS BIGINT)) AS DECIMAL(38,0)) AS digest FROM orders")
 def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order-free digest of a table."""
-    return dedup.fingerprint(table(spark, sf_dir, "nation"))
+    return dedup.fingerprint(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
 
 
 _CANON = """lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1))

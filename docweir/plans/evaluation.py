@@ -87,13 +87,13 @@ def nearest_label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def evidence_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smallest sets of events that prove each user's needs, a need being an event type and a bundle an hour of it."""
-    e = table(spark, sf_dir, "events").filter("value > 80")
+    e = table(spark, sf_dir, "events")
     bundles = e.select(F.col("user_id").alias("query_id"), F.col("event_type").alias("requirement"), F.date_trunc("hour", "ts").cast("string").alias("bundle"), F.col("event_id").alias("id"), F.length("props").alias("tokens"))
     return evidence.evidence_sets(bundles)
 
 
-@query()
+@query("WITH RECURSIVE g AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS b FROM (SELECT DISTINCT event_type FROM events)), m AS (SELECT user_id, bit_or(1::BIGINT << b) AS mask FROM events JOIN g USING (event_type) GROUP BY user_id, CAST(ts AS DATE)), d AS (SELECT DISTINCT * FROM m), f AS (SELECT user_id, bit_or(mask) AS whole FROM m GROUP BY 1), r AS (SELECT user_id, 0::BIGINT AS mask, 0 AS n FROM f UNION SELECT r.user_id, r.mask | d.mask, r.n + 1 FROM r JOIN d ON r.user_id = d.user_id JOIN f ON f.user_id = r.user_id WHERE r.mask <> f.whole AND r.n < 6) SELECT user_id AS query_id, min(n) AS n_cover FROM r JOIN f USING (user_id) WHERE mask = whole GROUP BY 1")
 def minimum_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fewest days that hold an event of each type for each user."""
-    e = table(spark, sf_dir, "events").filter("value > 60")
+    e = table(spark, sf_dir, "events")
     return metrics.minimum_covers(e.select(F.col("user_id").alias("query_id"), F.col("event_type").alias("group_id"), F.to_date("ts").cast("string").alias("id")).distinct())

