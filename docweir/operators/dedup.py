@@ -44,3 +44,20 @@ def import_matches(new: DataFrame, known: DataFrame) -> DataFrame:
     met = new.join(w("url"), new["url"] == F.col("_url"), "left").join(w("hash"), new["hash"] == F.col("_hash"), "left")
     by = F.when(F.col("by_url").isNotNull(), "url").when(F.col("by_hash").isNotNull(), "hash").otherwise("none")
     return met.select(*(new[c] for c in new.columns), F.coalesce("by_url", "by_hash").alias("existing_id"), by.alias("matched_by"))
+
+
+def import_chain(new: DataFrame, known: DataFrame, vectors: DataFrame, limit: float = 0.05) -> DataFrame:
+    """import_matches() and, for rows that neither url nor hash knows, the nearest known row within limit by vector.
+
+    vectors has id and embedding of new and known rows alike.
+    """
+    from .search import batch_knn
+
+    first = import_matches(new, known)
+    rest = first.filter("matched_by = 'none'").select(F.col("id").alias("query_id"))
+    asked = vectors.join(rest, vectors["id"] == rest["query_id"]).select("query_id", "embedding")
+    held = vectors.join(known.select("id").distinct(), "id", "left_semi")
+    near = batch_knn(held, asked, 1, exclude_self=True).filter(F.col("distance") <= limit).select(F.col("query_id").alias("_q"), F.col("id").alias("_near"))
+    met = first.join(near, first["id"] == near["_q"], "left")
+    by = F.when((F.col("matched_by") == "none") & F.col("_near").isNotNull(), "vector").otherwise(F.col("matched_by"))
+    return met.select(*(first[c] for c in new.columns), F.coalesce("existing_id", "_near").alias("existing_id"), by.alias("matched_by"))

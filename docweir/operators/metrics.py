@@ -119,3 +119,18 @@ def first_in_window(df: DataFrame, within: str, when, order: str) -> DataFrame:
     """Add from_last: whether a row stands at or after the last row of its group for which when holds."""
     last = F.max(F.when(when, F.col(order))).over(W.partitionBy(within))
     return df.withColumn("from_last", F.col(order) >= F.coalesce(last, F.lit(-1)))
+
+
+def unresolved_anchors(quotes: DataFrame, found: DataFrame) -> DataFrame:
+    """quote_id of quotes that no chunk holds: a set with any isn't fit for scoring."""
+    return quotes.select("quote_id").join(found.select("quote_id").distinct(), "quote_id", "left_anti")
+
+
+def replay_states(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(query_id, state) of two runs' cases (query_id, complete): recovered, regressed, kept or open; one run's alone are new or gone."""
+    a, b = before.select("query_id", F.col("complete").alias("a")), after.select("query_id", F.col("complete").alias("b"))
+    state = (
+        F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "gone").when(~F.col("a") & F.col("b"), "recovered")
+        .when(F.col("a") & ~F.col("b"), "regressed").when(F.col("b"), "kept").otherwise("open")
+    )
+    return a.join(b, "query_id", "full").select("query_id", state.alias("state"))

@@ -298,3 +298,49 @@ def library_order(documents: DataFrame, order: str) -> DataFrame:
         "year_desc": [F.desc_nulls_last("year"), new], "chunks_desc": [F.desc_nulls_last("chunk_count"), new],
     }
     return documents.orderBy(*orders.get(order, orders["uploaded_desc"]), "id")
+
+
+#: The fields of a library's search, in the order in which matches name them.
+LIBRARY_FIELDS = ("filename", "title", "summary", "country_region", "source_type", "source_organisation", "policy_areas", "keywords", "year")
+
+
+def library_search(documents: DataFrame, query: str) -> DataFrame:
+    """Documents whose fields hold the query, whatever the case, with match_fields; a blank query finds all.
+
+    Signs of LIKE in the query stand for themselves; lists are joined by spaces; a year is looked at as text.
+    """
+    kinds, bare = dict(documents.dtypes), query.strip()
+    text = lambda c: F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c).cast("string")
+    pattern = tx.like_pattern(F.lit(bare))
+    found = F.array_compact(F.array(*(F.when(F.ilike(text(c), pattern, F.lit("!")), c) for c in LIBRARY_FIELDS if c in kinds)))
+    out = documents.withColumn("match_fields", found)
+    return out.filter(F.size("match_fields") > 0) if bare else out.withColumn("match_fields", F.array().cast("array<string>"))
+
+
+def parents_of(children: DataFrame, sections: DataFrame) -> DataFrame:
+    """children (id, document_id, section_id) with text of their section and problem: a section that isn't there, or another document's."""
+    s = sections.select(F.col("id").alias("_s"), F.col("document_id").alias("_d"), F.col("text").alias("parent_text"))
+    met = children.join(s, children["section_id"] == F.col("_s"), "left")
+    foreign = F.col("_d") != F.col("document_id")
+    problem = F.when(F.col("section_id").isNotNull() & F.col("_s").isNull(), "missing section").when(foreign, "section of another document")
+    return met.select(*(children[c] for c in children.columns), F.when(problem.isNull(), F.col("parent_text")).alias("parent_text"), problem.alias("problem"))
+
+
+def crawl_batches(details: DataFrame, size: int = 5) -> DataFrame:
+    """details (crawl_id, position, url) with batch: so many pages in each, in the order of their finding."""
+    n = F.row_number().over(W.partitionBy("crawl_id").orderBy("position", "url")) - 1
+    return details.withColumn("batch", F.floor(n / size).cast("int"))
+
+
+def crawled_totals(batches: DataFrame) -> DataFrame:
+    """(crawl_id, batch, n_pages, so_far) by batch: what each brings, and what a crawl has by then."""
+    each = batches.groupBy("crawl_id", "batch").agg(F.count(F.lit(1)).alias("n_pages"))
+    return each.withColumn("so_far", F.sum("n_pages").over(W.partitionBy("crawl_id").orderBy("batch").rowsBetween(W.unboundedPreceding, 0)))
+
+
+def section_audit(sections: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row: shares of sections (id, tokens) with one child and under 100 tokens, and children for each section that has any."""
+    n = chunks.groupBy("section_id").agg(F.count(F.lit(1)).alias("n"))
+    met = sections.join(n, sections["id"] == n["section_id"], "left")
+    every = F.count(F.lit(1))
+    return met.agg(every.alias("n_sections"), (F.count_if(F.col("n") == 1) / every).alias("single_share"), (F.count_if(F.col("tokens") < 100) / every).alias("tiny_share"), F.avg("n").alias("mean_children"))

@@ -158,3 +158,22 @@ def nearest_of(vectors: DataFrame, few: DataFrame) -> DataFrame:
         return best(rows) if rows else vectors.limit(0).selectExpr("query_id", f"cast(null as {kinds[0]}) as id", "cast(null as double) as distance")
     out = out.unionByName(best(rows)) if rows else out
     return top_k(out, ["query_id"], ["distance", "id"], 1).drop("rank")
+
+
+def hybrid(docs: DataFrame, vectors: DataFrame, terms: DataFrame, queries: DataFrame, limit: int, constant: int = 60) -> DataFrame:
+    """(query_id, id, rrf_score, n_sources, dense_rank, lexical_rank, distance): both branches' first limit, fused by reciprocal ranks.
+
+    docs is the scope (id, text), whose rows the vectors (id, embedding) belong to; terms (query_id, term) and queries
+    (query_id, embedding) ask. distance is that to the query's own vector, also of candidates that words alone found; one
+    without a vector has none.
+    """
+    from ..functions.vectors import distance
+
+    own = vectors.join(docs.select("id"), "id", "left_semi")
+    dense = batch_knn(own, queries, limit).select("query_id", "id", "rank")
+    scored = bm25(docs, terms).withColumn("score", F.round("score", 6))
+    lexical = top_k(scored, ["query_id"], [F.desc("score"), "id"], limit).select("query_id", "id", "rank")
+    both = fuse({"dense": dense, "lexical": lexical}, constant)
+    asked, held = queries.select("query_id", F.col("embedding").alias("_q")), own.select("id", F.col("embedding").alias("_v"))
+    met = both.join(asked, "query_id", "left").join(held, "id", "left")
+    return met.select("query_id", "id", F.round("rrf_score", 9).alias("rrf_score"), "n_sources", "dense_rank", "lexical_rank", F.round(distance(F.col("_q"), F.col("_v")), 6).alias("distance"))

@@ -28,6 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    from . import audits, catalog, changes, evaluation, records, retrieval, texts  # noqa: F401
+    from . import answers, audits, catalog, changes, evaluation, records, retrieval, texts  # noqa: F401
 
     return QUERIES

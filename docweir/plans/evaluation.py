@@ -97,3 +97,17 @@ def minimum_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fewest days that hold an event of each type for each user."""
     e = table(spark, sf_dir, "events")
     return metrics.minimum_covers(e.select(F.col("user_id").alias("query_id"), F.col("event_type").alias("group_id"), F.to_date("ts").cast("string").alias("id")).distinct())
+
+
+@query("WITH a AS (SELECT user_id, bool_or(value > 40) AS c FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id, bool_or(value > 40) AS c FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT user_id AS query_id, CASE WHEN a.c IS NULL THEN 'new' WHEN b.c IS NULL THEN 'gone' WHEN NOT a.c AND b.c THEN 'recovered' WHEN a.c AND NOT b.c THEN 'regressed' WHEN b.c THEN 'kept' ELSE 'open' END AS state FROM a FULL JOIN b USING (user_id)")
+def replay_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each case from one run to the next."""
+    e = table(spark, sf_dir, "events")
+    run = lambda odd: e.filter(F.col("event_id") % 2 == odd).groupBy(F.col("user_id").alias("query_id")).agg(F.bool_or(F.col("value") > 40).alias("complete"))
+    return metrics.replay_states(run(0), run(1))
+
+
+@query("SELECT item_id AS quote_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))")
+def anchors_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that no document holds word for word."""
+    return metrics.unresolved_anchors(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id")), anchor_resolution(spark, sf_dir))

@@ -321,3 +321,33 @@ def paragraph_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first paragraphs of texts."""
     p = tx.paragraphs(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(p).cast("long").alias("n"), F.get(p, F.lit(0)).alias("first"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(lower('file_' || doc_id), '1_') THEN 'filename' END, CASE WHEN contains(lower(left(text, 60)), '1_') THEN 'title' END, CASE WHEN contains(lang || ' 1_' || source, '1_') THEN 'keywords' END], lambda x: x IS NOT NULL), ',') AS fields FROM documents")
+def library_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a query, which has a sign of LIKE, in any of a library's fields."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("File_"), F.col("doc_id").cast("string")).alias("filename"), F.left("text", F.lit(60)).alias("title"), F.array("lang", F.concat(F.lit("1_"), F.col("source"))).alias("keywords"), (F.col("doc_id") % 30 + 1990).alias("year"))
+    return r.library_search(d, " 1_ ").select("doc_id", F.array_join("match_fields", ",").alias("fields"))
+
+
+@query("SELECT l_orderkey AS id, l_partkey % 50 AS document_id, CASE WHEN o_orderkey IS NULL THEN 'missing section' WHEN o_custkey % 50 <> l_partkey % 50 THEN 'section of another document' END AS problem, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON o_orderkey = l_orderkey GROUP BY ALL")
+def parent_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks whose section isn't their document's."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 50).alias("document_id"), F.col("l_orderkey").alias("section_id"))
+    o = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("document_id"), F.lit("t").alias("text"))
+    return r.parents_of(li, o).groupBy("id", "document_id", "problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id AS crawl_id, CAST(n // 5 AS INTEGER) AS batch, count(*) AS n_pages, least(5 * (n // 5 + 1), max(total)) AS so_far FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n, count(*) OVER (PARTITION BY user_id) AS total FROM events) GROUP BY user_id, n // 5")
+def crawl_detail_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detail pages of crawls in batches of five, and what each crawl has by then."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("crawl_id"), F.col("event_id").alias("position"), F.col("event_id").cast("string").alias("url"))
+    return r.crawled_totals(r.crawl_batches(e))
+
+
+@query("SELECT count(*) AS n_sections, round(count(*) FILTER (WHERE n = 1) / count(*), 9) AS single_share, round(count(*) FILTER (WHERE o_totalprice < 100000) / count(*), 9) AS tiny_share, round(avg(n), 9) AS mean_children FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def section_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of sections that tell of a bad split."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("tokens"))
+    found = r.section_audit(o, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("section_id")))
+    return found.select("n_sections", *(F.round(c, 9).alias(c) for c in ("single_share", "tiny_share", "mean_children")))

@@ -161,3 +161,33 @@ def backfilled_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("unit"))
     found = fused(spark, sf_dir).withColumn("position", F.coalesce("bm25_rank", F.lit(1000)) * 100 + F.coalesce("overlap_rank", F.lit(99)))
     return selection.protected_backfill(found.join(docs, "id"), 10)
+
+
+_HYBRID = f"""WITH {_TERMS}, {_WORDS},
+ l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_bm25_sql()})),
+ d AS (SELECT q.vec_id AS query_id, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS}, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND v.vec_id IN (SELECT doc_id FROM documents)),
+ f AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score, count(*) AS n_sources, max(CASE WHEN src = 0 THEN rank END) AS dense_rank, max(CASE WHEN src = 1 THEN rank END) AS lexical_rank
+       FROM (SELECT 0 AS src, * FROM d WHERE rank <= 20 UNION ALL SELECT 1, * FROM l WHERE rank <= 20) GROUP BY ALL)
+ SELECT f.*, {_COS} AS distance FROM f LEFT JOIN embeddings q ON q.vec_id = query_id LEFT JOIN embeddings v ON v.vec_id = id"""
+
+
+@query(_HYBRID)
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for each benchmark item by words and by vectors (an item's is that of its number), fused."""
+    v, items = _vectors(spark, sf_dir).select("id", "embedding"), table(spark, sf_dir, "benchmark").select("item_id")
+    asked = items.join(v, F.col("item_id") == F.col("id")).select(F.col("item_id").alias("query_id"), "embedding")
+    return search.hybrid(_docs(spark, sf_dir), v, _terms(spark, sf_dir), asked, 20)
+
+
+@query(
+    f"""WITH n AS (SELECT * FROM documents WHERE doc_id % 10 = 3), k AS (SELECT * FROM documents WHERE doc_id % 10 <> 3),
+ u AS (SELECT source || lang AS url, min(doc_id) AS m FROM k WHERE doc_id % 100 = 1 GROUP BY 1), h AS (SELECT sha256(text) AS hash, min(doc_id) AS m FROM k GROUP BY 1),
+ v AS (SELECT q.vec_id AS query_id, min_by(v.vec_id, ({_COS}, v.vec_id)) AS m, min({_COS}) AS d FROM embeddings q, embeddings v WHERE q.vec_id % 10 = 3 AND v.vec_id IN (SELECT doc_id FROM k) GROUP BY 1)
+ SELECT doc_id AS id, coalesce(u.m, h.m, CASE WHEN d <= 0.62 THEN v.m END) AS existing_id, CASE WHEN u.m IS NOT NULL THEN 'url' WHEN h.m IS NOT NULL THEN 'hash' WHEN d <= 0.62 THEN 'vector' ELSE 'none' END AS matched_by
+ FROM n LEFT JOIN u ON u.url = source || lang LEFT JOIN h ON h.hash = sha256(text) LEFT JOIN v ON v.query_id = doc_id"""
+)
+def import_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New documents that a library has by url, by text, or nearly by vector."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat("source", "lang").alias("url"), F.sha2("text", 256).alias("hash"))
+    known = d.filter("id % 10 <> 3").withColumn("url", F.when(F.col("id") % 100 == 1, F.col("url")))
+    return dedup.import_chain(d.filter("id % 10 = 3"), known, _vectors(spark, sf_dir).select("id", "embedding"), 0.62).select("id", "existing_id", "matched_by")

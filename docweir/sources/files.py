@@ -106,3 +106,31 @@ def catalogue_problems(entries: DataFrame) -> DataFrame:
 def write_groups(new: DataFrame, path: str, key: str) -> None:
     """Replace whole groups of a dataset that is partitioned by key; other groups' files stay as they are."""
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def unknown_kinds(files: DataFrame) -> DataFrame:
+    """Files (path, suffix) that no extractor takes."""
+    return files.filter(~F.coalesce(F.col("suffix"), F.lit("")).isin(*SUFFIXES)).select("path", F.lit("no extractor for this kind of file").alias("problem"))
+
+
+def extracted_pages(files: DataFrame) -> DataFrame:
+    """(sha256, page, text) of all files, by the extractor of their kind; a kind without one ends the job when it is met.
+
+    PDF files need a library that reads them, so here they are such a kind; unknown_kinds() and this select tell beforehand.
+    """
+    known = F.col("suffix").isin("txt", "md", "docx")
+    checked = files.withColumn("suffix", F.when(known, F.col("suffix")).otherwise(F.raise_error(F.concat(F.lit("no extractor for "), F.col("path")))))
+    return text_pages(checked).unionByName(docx_pages(checked))
+
+
+STORE = """documents array<struct<id:string, canonical_url:string, url:string, title:string, summary:string, country:string, metadata:string, last_seen_at:timestamp>>,
+ versions array<struct<document_id:string, policy_id:string, version:int, clean_markdown:string>>, assets array<struct<document_id:string, policy_id:string, original_url:string, mime_type:string>>"""
+
+
+def document_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """documents, versions and assets of a JSON store in one file; a name that older stores used stands in for the newer one."""
+    whole = spark.read.schema(STORE).option("multiLine", True).json(path)
+    each = lambda name: whole.select(F.inline(name))
+    documents = each("documents").withColumn("canonical_url", F.coalesce("canonical_url", "url")).drop("url")
+    owned = lambda name: each(name).withColumn("document_id", F.coalesce("document_id", "policy_id")).drop("policy_id")
+    return {"documents": documents, "versions": owned("versions"), "assets": owned("assets")}

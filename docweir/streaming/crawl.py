@@ -65,3 +65,22 @@ def event_windows(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Beyond parity: events of each type in five-minute windows, late ones within the delay counted."""
     w = events.withWatermark("ts", late).groupBy(F.window("ts", "5 minutes"), "event_type")
     return w.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
+
+
+CHECKPOINTS = "thread_id string, step long, state string"
+
+
+def thread_states(checkpoints: DataFrame) -> DataFrame:
+    """The latest state of each thread in a stream of checkpoints (CHECKPOINTS), from which an interrupted thread goes on.
+
+    Run it in update mode: a batch gives the threads that it changed. Equal steps count once, by the greater state.
+    """
+    last = F.max(F.struct("step", "state")).alias("m")
+    return checkpoints.groupBy("thread_id").agg(last, F.count(F.lit(1)).alias("n_checkpoints")).select("thread_id", "m.step", "m.state", "n_checkpoints")
+
+
+def resumed(states: DataFrame, messages: DataFrame) -> DataFrame:
+    """Messages (thread_id, step, ...) that came after their thread's state, which are still to be handled."""
+    held = states.select(F.col("thread_id").alias("_t"), F.col("step").alias("_s"))
+    met = messages.join(held, messages["thread_id"] == held["_t"], "left")
+    return met.filter(F.col("_s").isNull() | (F.col("step") > F.col("_s"))).drop("_t", "_s")
