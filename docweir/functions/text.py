@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def collapse(text: Column) -> Column:
@@ -234,3 +238,13 @@ def paragraphs(text: Column, most: int = 8) -> Column:
 def query_words(text: Column) -> Column:
     """Distinct words of letters and digits of any script, in lower case, in the order of their first place."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0))
+
+
+@F.pandas_udf(T.StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def compatible(text: Column) -> Column:
+    """The text in Unicode's compatible form with single spaces, by an Arrow-batched function, as Spark has none for it."""
+    return collapse(_nfkc(text))

@@ -177,3 +177,36 @@ def hybrid(docs: DataFrame, vectors: DataFrame, terms: DataFrame, queries: DataF
     asked, held = queries.select("query_id", F.col("embedding").alias("_q")), own.select("id", F.col("embedding").alias("_v"))
     met = both.join(asked, "query_id", "left").join(held, "id", "left")
     return met.select("query_id", "id", F.round("rrf_score", 9).alias("rrf_score"), "n_sources", "dense_rank", "lexical_rank", F.round(distance(F.col("_q"), F.col("_v")), 6).alias("distance"))
+
+
+def rerank(candidates: DataFrame, scores: DataFrame, limit: int) -> DataFrame:
+    """(query_id, id, score, rank): candidates (query_id, id, position, text) with text, best score first, ties in their order.
+
+    scores (query_id, id, score) come from a model; a candidate that it didn't score has 0.
+    """
+    held = candidates.filter(F.trim(F.coalesce("text", F.lit(""))) != "").select("query_id", "id", "position")
+    scored = held.join(scores.select("query_id", "id", "score"), ["query_id", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return top_k(scored, ["query_id"], [F.desc("score"), F.asc("position")], limit).select("query_id", "id", "score", "rank")
+
+
+def exact_labels(values: DataFrame, leaves: DataFrame, other: str = "Other") -> DataFrame:
+    """(owner, labels): the leaves (label) that an owner's values (owner, position, value) name, whatever the case, each once, in
+    order; other for an owner without any."""
+    by_name = leaves.groupBy(F.lower("label").alias("_name")).agg(F.max("label").alias("label"))
+    met = values.join(by_name, F.lower(F.trim("value")) == F.col("_name"), "left")
+    first = met.groupBy("owner", "label").agg(F.min("position").alias("at"))
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("at", "label")))), lambda x: x["label"])
+    return first.groupBy("owner").agg(F.when(F.count("label") > 0, listed).otherwise(F.array(F.lit(other))).alias("labels"))
+
+
+def nearest_labels(values: DataFrame, leaves: DataFrame, least: float = 0.5, most: int = 6) -> DataFrame:
+    """(owner, labels): each value's (owner, position, value, embedding) nearest leaf (label, embedding) if it is near enough, each
+    once, most at most; exact_labels() for an owner without any."""
+    asked = values.select(F.struct("owner", "position").alias("query_id"), "embedding").filter("embedding is not null")
+    keyed = asked.withColumn("query_id", F.to_json("query_id"))
+    near = nearest_of(keyed, leaves.select(F.col("label").alias("id"), "embedding")).filter(F.col("distance") <= 1 - least)
+    back = values.withColumn("_k", F.to_json(F.struct("owner", "position"))).join(near, F.col("_k") == F.col("query_id"))
+    first = back.groupBy("owner", "id").agg(F.min("position").alias("at"))
+    found = first.groupBy("owner").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]), 1, most).alias("near"))
+    exact = exact_labels(values, leaves)
+    return exact.join(found, "owner", "left").select("owner", F.coalesce("near", "labels").alias("labels"))

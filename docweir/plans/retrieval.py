@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import dedup, search, selection
+from ..operators import dedup, search, selection, stemming
 from . import query, table
 
 STOP = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
@@ -191,3 +191,29 @@ def import_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat("source", "lang").alias("url"), F.sha2("text", 256).alias("hash"))
     known = d.filter("id % 10 <> 3").withColumn("url", F.when(F.col("id") % 100 == 1, F.col("url")))
     return dedup.import_chain(d.filter("id % 10 = 3"), known, _vectors(spark, sf_dir).select("id", "embedding"), 0.62).select("id", "existing_id", "matched_by")
+
+
+@query("SELECT user_id AS query_id, event_id AS id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS rank FROM (SELECT user_id, event_id, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE value END AS score FROM events WHERE event_type <> 'view')) WHERE rank <= 8")
+def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with text by a model's scores, of which some are missing."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("id"), "event_type", F.col("value").alias("score"))
+    text = F.when(F.col("event_type") == "view", " ").otherwise(F.col("event_type"))
+    return search.rerank(e.select("query_id", "id", F.col("id").alias("position"), text.alias("text")), e.filter("id % 4 > 0").select("query_id", "id", "score"), 8)
+
+
+@query("WITH l AS (SELECT c_custkey AS owner, n_name AS label, p FROM customer, (VALUES (0, 0), (1, 3), (2, 0)) v(p, step) JOIN nation ON n_nationkey = (c_custkey + step) % 40 WHERE n_nationkey < 25) SELECT c_custkey AS owner, coalesce((SELECT string_agg(label, ',' ORDER BY p) FROM (SELECT label, min(p) AS p FROM l WHERE l.owner = c_custkey GROUP BY label)), 'Other') AS labels FROM customer")
+def labels_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that free names stand for, Other where there is none."""
+    c, names = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    asked = c.select(F.col("c_custkey").alias("owner"), F.posexplode(F.array(F.lit(0), F.lit(3), F.lit(0))).alias("position", "step"))
+    named = asked.withColumn("key", (F.col("owner") + F.col("step")) % 40).join(names, F.col("key") == F.col("n_nationkey"), "left")
+    values = named.select("owner", "position", F.concat(F.lit(" "), F.lower(F.coalesce("n_name", F.lit("none")))).alias("value"))
+    return search.exact_labels(values, names.select(F.col("n_name").alias("label"))).select("owner", F.array_join("labels", ",").alias("labels"))
+
+
+@query()
+def stemmed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item over stems; the stemmer has no SQL."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    scored = stemming.stemmed_bm25(_docs(spark, sf_dir), items).withColumn("score", F.round("score", 6))
+    return search.top_k(scored, ["query_id"], [F.desc("score"), "id"], 20)

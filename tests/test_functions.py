@@ -112,3 +112,7 @@ def test_result_pages(spark):
     assert total("Found 1,234 items of 9") == 1234 and total("none") is None
     assert one(spark, urls.next_page(F.lit(2), F.lit(41)), t="") == 3 and one(spark, urls.next_page(F.lit(3), F.lit(41)), t="") is None
     assert one(spark, urls.last_page(F.lit(101), 50), t="") == 3
+
+
+def test_compatible_forms(spark):
+    assert one(spark, text.compatible(F.col("t")), t=" \ufb01ne\u00a0 \u2460 \uff21 ") == "fine 1 A" and one(spark, text.compatible(F.col("t")), t=None) is None

@@ -2,6 +2,7 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from docweir.sources import files
@@ -79,3 +80,33 @@ def test_streamed_counts(spark, tmp_path):
     q = crawl.conversation_counts(stream).writeStream.outputMode("update").format("memory").queryName("counted").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.role, r.n) for r in spark.sql("select * from counted").collect()) == [("assistant", 1), ("user", 1)]
+
+
+def test_kinds_without_an_extractor(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("text")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1")
+    found = files.discover(spark, str(tmp_path))
+    assert [r.text for r in files.extracted_pages(found.filter("suffix = 'txt'")).collect()] == ["text"]
+    with pytest.raises(Exception, match="no extractor"):
+        files.extracted_pages(found).collect()
+    assert files.unknown_kinds(found).count() == 0 and files.unknown_kinds(found.withColumn("suffix", F.lit("exe"))).count() == 2
+
+
+def test_document_stores(spark, tmp_path):
+    store = {"documents": [{"id": "a", "url": "http://old"}, {"id": "b", "canonical_url": "http://new"}], "versions": [{"policy_id": "a", "version": 1}], "assets": [{"document_id": "b", "original_url": "u"}]}
+    (tmp_path / "store.json").write_text(json.dumps(store, indent=1))
+    got = files.document_store(spark, str(tmp_path / "store.json"))
+    assert {(r.id, r.canonical_url) for r in got["documents"].collect()} == {("a", "http://old"), ("b", "http://new")}
+    assert got["versions"].first().document_id == "a" and got["assets"].first().document_id == "b"
+
+
+def test_threads_go_on(spark, tmp_path):
+    for k, rows in enumerate([[("t", 1, "a"), ("u", 1, "x")], [("t", 2, "b"), ("t", 2, "b")]]):
+        spark.createDataFrame(rows, crawl.CHECKPOINTS).write.json(str(tmp_path / "in" / f"{k}"))
+    stream = spark.readStream.schema(crawl.CHECKPOINTS).option("recursiveFileLookup", True).json(str(tmp_path / "in"))
+    query = crawl.thread_states(stream).writeStream.outputMode("complete").format("memory").queryName("threads").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    held = spark.table("threads")
+    assert {tuple(r) for r in held.collect()} == {("t", 2, "b", 3), ("u", 1, "x", 1)}
+    said = spark.createDataFrame([("t", 2, "old"), ("t", 3, "new"), ("v", 1, "first")], "thread_id string, step long, text string")
+    assert {r.text for r in crawl.resumed(held, said).collect()} == {"new", "first"}
