@@ -17,7 +17,7 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Collection, Iterator, Mapping
+from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -150,9 +150,10 @@ def _mentions(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(find, "entity string, context string, terms array<string>")
 
 
-def elsewhere(text: str, wanted: Mapping[str, bool]) -> Iterator[tuple[str, str]]:
+def elsewhere(text: str, bits: BitMap) -> Iterator[tuple[str, str]]:
     """Each occurrence of a wanted term outside all mentions and their contexts, with the digest of the words around it."""
-    if not any(wanted[w] for w in set(map(str.lower, WORD.findall(text)))):
+    wanted = bits.among(set(map(str.lower, WORD.findall(text))))
+    if not wanted:
         return
     spans = base_spans(text)
     words = Words(text, spans)
@@ -160,23 +161,23 @@ def elsewhere(text: str, wanted: Mapping[str, bool]) -> Iterator[tuple[str, str]
     near.append((len(words.starts), len(words.starts)))
     for a, b in near:
         for k in range(far, a):
-            if wanted[term := words.some(k, k + 1)[0].lower()]:
+            if (term := words.some(k, k + 1)[0].lower()) in wanted:
                 yield term, _digest(_telling(words.some(k - CONTEXT, k + CONTEXT + 1)))
         far = max(far, b)
 
 
-class BitMap(dict):
-    """Whether the bit of a word is set; remembers its answers for some words."""
+class BitMap:
+    """Which words have their bits set; remembers some that don't."""
 
     def __init__(self, bits: bytes) -> None:
-        super().__init__()
-        self.bits = bits
-
-    def __missing__(self, word: str) -> bool:
-        if len(self) > 100_000:
-            self.clear()
-        at = zlib.crc32(word.encode()) % (8 * len(self.bits))
-        found = self[word] = bool(self.bits[at >> 3] >> (at & 7) & 1)
+        self.bits, self.unset = bits, set()
+
+    def among(self, words: set[str]) -> set[str]:
+        fresh, n = words - self.unset, 8 * len(self.bits)
+        found = {w for w in fresh if self.bits[(at := zlib.crc32(w.encode()) % n) >> 3] >> (at & 7) & 1}
+        if len(self.unset) > 200_000:
+            self.unset = set()
+        self.unset |= fresh - found
         return found
 
 
@@ -267,7 +268,7 @@ def _found_by_join(docs: DataFrame, terms: DataFrame) -> DataFrame:
         wanted = BitMap(sent.value)
         for batch in slices(batches):
             texts = dict(zip(batch.column("_dw_of").to_pylist(), batch.column("text").to_pylist(), strict=True))
-            rows = [(k, w) for k, t in texts.items() if t for w in set(map(str.lower, WORD.findall(t))) if wanted[w]]
+            rows = [(k, w) for k, t in texts.items() if t for w in wanted.among(set(map(str.lower, WORD.findall(t))))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["_dw_of", "term"])
 
     keyed = docs.withColumn("_dw_of", F.sha2(F.col("text").cast("binary"), 256))

@@ -325,7 +325,11 @@ def _evidence_counts(sample: DataFrame, counts: dict[str, int], wanted: frozense
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all, if not said) with _dw_score; null and empty texts have the base score."""
+    """The kept columns (all, if not said) with _dw_score; null and empty texts have the base score.
+
+    Every row is scored by its whole text, however long, so rows with equal texts score alike, and repeated rows stay. Other
+    columns, score among them, stay as they are; an empty table gives no rows.
+    """
     keep = list(docs.columns if keep is None else keep)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
