@@ -16,6 +16,8 @@ from .quality import op5_quality
 from .sanitise import op9_pii
 from .sharding import op10_shards
 from .simhash import op2_simhash
+from .substrings import ORACLE as SUBSTRINGS_SQL
+from .substrings import op11_substrings
 from .toxicity import op3_toxicity
 from .url_filter import op4_urls
 
@@ -30,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chats": op8_chats,
     "op9_pii": op9_pii,
     "op10_shards": op10_shards,
+    "op11_substrings": op11_substrings,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": DECONTAMINATE_SQL, "op8_chats": CHATS_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": DECONTAMINATE_SQL, "op8_chats": CHATS_SQL, "op11_substrings": SUBSTRINGS_SQL}
