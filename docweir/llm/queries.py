@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12_alignment
 from .chat_format import ORACLE as CHATS_SQL
 from .chat_format import op8_chats
 from .decontaminate import ORACLE as DECONTAMINATE_SQL
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_shards": op10_shards,
     "op11_substrings": op11_substrings,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": DECONTAMINATE_SQL, "op8_chats": CHATS_SQL, "op11_substrings": SUBSTRINGS_SQL}
