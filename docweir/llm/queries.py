@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .alignment import op12_alignment
 from .chat_format import ORACLE as CHATS_SQL
 from .chat_format import op8_chats
+from .collocations import ORACLE as COLLOCATIONS_SQL
+from .collocations import op13_collocations
 from .decontaminate import ORACLE as DECONTAMINATE_SQL
 from .decontaminate import op1_decontaminate
 from .neighbours import op7_neighbours
@@ -35,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_shards": op10_shards,
     "op11_substrings": op11_substrings,
     "op12_alignment": op12_alignment,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": DECONTAMINATE_SQL, "op8_chats": CHATS_SQL, "op11_substrings": SUBSTRINGS_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": DECONTAMINATE_SQL, "op8_chats": CHATS_SQL, "op11_substrings": SUBSTRINGS_SQL, "op13_collocations": COLLOCATIONS_SQL}
