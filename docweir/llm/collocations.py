@@ -258,18 +258,19 @@ def brute_force(rows: list[tuple[str | None, str | None]], longest: int = LONGES
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SCORE = f"CAST({SCALE}::HUGEINT * a * a // (l::HUGEINT * r) AS BIGINT)"
 ORACLE = rf"""
-WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
- w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
- g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, w[i : i + k - 1] AS g FROM (SELECT lang, k, w, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k)),
- f AS (SELECT lang, k, phrase, any_value(g) AS g, count(*) AS a FROM g GROUP BY lang, k, phrase),
- c AS (SELECT * FROM f WHERE k > 1 AND a >= {LEAST}),
- cuts AS (SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, cut, CAST({SCALE}::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a) AS BIGINT) AS score FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM c) c
-  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.g[1 : cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.g[cut + 1 : c.k], ' ')),
- low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
- inner_ AS (SELECT lang, array_to_string(g[1 : 2], ' ') AS phrase, a AS more FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(g[2 : 3], ' '), a FROM c WHERE k = 3),
- gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN inner_ i ON i.lang = c.lang AND i.phrase = c.phrase WHERE c.k = 2 AND 100 * more >= {SHARE} * c.a),
- n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang)
-SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
-FROM low ANTI JOIN gone USING (lang, phrase) JOIN n USING (lang) QUALIFY rank <= {BEST}
+WITH p AS (SELECT lang, row_number() OVER () AS pid, piece FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+ u AS (SELECT lang, pid, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM (SELECT lang, pid, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p)),
+ t AS MATERIALIZED (SELECT lang, w1, lead(w1, 1) OVER q AS w2, lead(w1, 2) OVER q AS w3 FROM u WINDOW q AS (PARTITION BY pid ORDER BY i)),
+ f1 AS MATERIALIZED (SELECT lang, w1, count(*) AS a FROM t GROUP BY ALL),
+ f2 AS MATERIALIZED (SELECT lang, w1, w2, count(*) AS a FROM t WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= {LEAST}),
+ f3 AS MATERIALIZED (SELECT lang, w1, w2, w3, count(*) AS a FROM t WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= {LEAST}),
+ c2 AS (SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.a, x.a AS l, y.a AS r, 1 AS k FROM f2 JOIN f1 x USING (lang, w1) JOIN f1 y ON y.lang = f2.lang AND y.w1 = f2.w2
+  ANTI JOIN (SELECT lang, w1, w2, max(a) AS more FROM (SELECT lang, w1, w2, a FROM f3 UNION ALL SELECT lang, w2, w3, a FROM f3) GROUP BY ALL) i ON i.lang = f2.lang AND i.w1 = f2.w1 AND i.w2 = f2.w2 AND 100 * more >= {SHARE} * f2.a),
+ c3 AS (SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3 AS phrase, f3.a, x.a AS l, y.a AS r, 1 AS k FROM f3 JOIN f1 x USING (lang, w1) JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = f3.w3
+  UNION ALL SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.a, x.a, y.a, 2 FROM f3 JOIN f2 x USING (lang, w1, w2) JOIN f1 y ON y.lang = f3.lang AND y.w1 = f3.w3),
+ low AS (SELECT *, {_SCORE} AS score FROM (SELECT * FROM c2 UNION ALL SELECT * FROM c3) QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM low JOIN n USING (lang) QUALIFY rank <= {BEST}
 """
