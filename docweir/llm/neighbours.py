@@ -8,7 +8,7 @@ nearness, so it meets leaves from the likeliest on. How many leaves it visits is
 whose true neighbours are found by brute force over all vectors, reach TARGET recall, and further for a query whose
 leaves hold too few candidates. Queries and vectors meet by twig, the leaves below one node, in parts of at most about
 CHUNK rows and QUERIES queries. Of equal vectors only the k + 1 smallest ids can be among k nearest, so the others need
-no place in a leaf.
+no place in a leaf. An id with several vectors is one candidate, as near as its nearest vector.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, table
+from .common import arrow_map, blocks, cut, table
 
 NEAREST = 5
 QUERY_EVERY = 50
@@ -136,31 +136,41 @@ class KMeansTree:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of vectors that take part: of the table's most frequent length, finite, and not all zero."""
+    """(vec_id, embedding), each once, of vectors that take part: of the table's most frequent length (of equally frequent ones the
+    shorter), finite, and not all zero."""
     fine = vectors.filter(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
         & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    ).select("vec_id", "embedding")
+    ).select("vec_id", "embedding").distinct()
     sizes = fine.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(2).collect()
     return fine if len(sizes) < 2 else fine.filter(F.size("embedding") == sizes[0].d)
 
 
 def best_of(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of each query's k nearest rows of x: a quick pass finds who can be among them, an exact one ranks these.
+    """(query, row, score) of each query's k nearest ids of x: a quick pass finds who can be among them, an exact one ranks these.
 
-    allowed says for each query and row whether the query asks for the row.
+    An id with several rows counts once, by its nearest. allowed says for each query and row whether the query asks for the row.
     """
     out, u, v = [], unit(x), unit(q)
+    by_id = np.argsort(ids, kind="stable")
+    begins = np.flatnonzero(np.append(True, ids[by_id][1:] != ids[by_id][:-1])) if len(ids) else np.zeros(0, int)
     step = max(1, 4_000_000 // max(1, len(x)))
     for at in range(0, len(q), step):  # bounds the matrix
         near = v[at : at + step] @ u.T
         near[query_ids[at : at + step, None] == ids] = -np.inf
         if allowed is not None:
             near[~allowed[at : at + step]] = -np.inf
-        worst = np.partition(near, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(near), -np.inf)
+        of_id = near if len(begins) == len(ids) else np.maximum.reduceat(near[:, by_id], begins, axis=1)
+        n = of_id.shape[1]
+        worst = np.partition(of_id, n - k, axis=1)[:, n - k] if n > k else np.full(len(near), -np.inf)
         who, row = np.nonzero((near >= worst[:, None] - 1e-9) & (near > -np.inf))
         who += at
         score = exact_cosine(q[who], x[row])
+        if len(begins) < len(ids):
+            order = np.lexsort((-score, ids[row], who))
+            who, row, score = who[order], row[order], score[order]
+            again = np.append(False, (who[1:] == who[:-1]) & (ids[row][1:] == ids[row][:-1])) if len(who) else np.zeros(0, bool)
+            who, row, score = who[~again], row[~again], score[~again]
         order = np.lexsort((ids[row], -score, who))
         who, row, score = who[order], row[order], score[order]
         first = np.searchsorted(who, who)  # where the query's rows begin
@@ -195,6 +205,7 @@ def true_neighbours(vectors: DataFrame, queries: list[tuple[int, list[float]]],
 
     kind = dict(vectors.dtypes)["embedding"]
     found = vectors.mapInArrow(search, f"query_id long, vec_id long, score double, embedding {kind}")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.max_by("embedding", "score").alias("embedding"))
     return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
 
 
@@ -247,11 +258,14 @@ def build_index(vectors: DataFrame, k: int = NEAREST, target: float = TARGET) ->
 
 
 def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, target: float = TARGET) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for each row whose vec_id is divisible by every.
-
-    Rows with equal vec_id are one row each but never each other's neighbour. Equal scores stand by the smaller vec_id.
-    Null, zero, non-finite and odd-sized vectors take no part; an empty table gives no rows; fewer candidates than k are
-    all returned. Floats and doubles are scored as they are, other numbers as doubles. Other columns are not read.
+    """(query_id, rank, vec_id, score): the k nearest found for each vec_id that is divisible by every.
+
+    A vec_id is one query and one candidate, however many rows it has: repeated rows count once, and of several vectors the
+    nearest pair of a query's and a candidate's counts. No row is a neighbour of its own vec_id. Equal scores stand by the
+    smaller vec_id. Vectors that are null, zero, hold a null or a non-finite component, or aren't of the table's most
+    frequent length (of equally frequent lengths the shorter counts) take no part; an empty table gives no rows; fewer
+    candidates than k are all returned, and a query whose leaves held fewer ids is answered by brute force. Floats and
+    doubles are scored as they are, other numbers as doubles. Other columns are not read, whatever they are called.
     """
     kind = dict(vectors.dtypes)["embedding"]
     own = F.col("embedding") if kind in ("array<float>", "array<double>") else F.col("embedding").cast("array<double>")
@@ -306,9 +320,20 @@ def nearest(vectors: DataFrame, every: int = QUERY_EVERY, k: int = NEAREST, targ
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2])})
 
     met = asked.groupBy("twig", "lot", "chunk").cogroup(held.groupBy("twig", "lot", "chunk")).applyInArrow(search, "query_id long, vec_id long, score double")
-    met = met.dropDuplicates(["query_id", "vec_id"])
+    found = cut(_ranked(met, k))
+    fewer = min(k, vectors.select("vec_id").distinct().limit(k + 1).count() - 1)
+    answered = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= fewer).select(F.col("query_id").alias("vec_id"))
+    for block in blocks(queries.join(answered, "vec_id", "left_anti"), lambda r: 1, CALIBRATION):
+        more = true_neighbours(vectors, [(r.vec_id, [float(v) for v in r.embedding]) for r in block], k)
+        found = found.unionByName(more.select("query_id", "rank", "vec_id", "score"))
+    return _ranked(found, k)
+
+
+def _ranked(met: DataFrame, k: int) -> DataFrame:
+    """The k best ids of each query, each by its best score."""
+    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _visited(tree: KMeansTree, q: np.ndarray, counts: dict[int, int], visits: int, k: int) -> list[int]:
@@ -324,7 +349,7 @@ def _visited(tree: KMeansTree, q: np.ndarray, counts: dict[int, int], visits: in
 
 def _calibrate(vectors: DataFrame, sample: list, tree: KMeansTree, counts: dict[int, int], k: int, target: float) -> int:
     """Leaf visits at which the calibration queries' true neighbours are met at the target share."""
-    queries = [(r.vec_id, [float(v) for v in r.embedding]) for r in sample[:CALIBRATION]]
+    queries = list({r.vec_id: [float(v) for v in r.embedding] for r in sample[:CALIBRATION]}.items())
     truth: dict[int, list] = {}
     for r in true_neighbours(vectors, queries, k).collect():  # CALIBRATION * k rows
         truth.setdefault(r.query_id, []).append(r.embedding)

@@ -80,3 +80,40 @@ def test_clustered_data_is_read_in_part(spark, monkeypatch, sub):
     read = [sum(index.counts[leaf] for leaf in index.leaves_of(n.unit(x[q : q + 1].astype(float))[0], 5)) for q in want]
     assert np.mean(read) < 0.2 * 6000
     assert {*map(int, index.tree.assign(n.unit(x.astype(float))))} == {*index.counts}
+
+
+def by_ids(rows, every, k):
+    """Brute force where an id is one candidate and one query, by its nearest vectors."""
+    held = [(i, np.array(v, np.float32).astype(float)) for i, v in rows]
+    out = {}
+    for i in {i for i, _ in held if i % every == 0}:
+        best = {}
+        for j, w in held:
+            if j != i:
+                score = max(float((v * w).sum() / (np.sqrt((v * v).sum()) * np.sqrt((w * w).sum()))) for q, v in held if q == i)
+                best[j] = max(best.get(j, -2.0), score)
+        out[i] = [j for _, j in sorted((-s, j) for j, s in best.items())[:k]]
+    return out
+
+
+def test_repeated_rows_and_ids(spark):
+    """Five ids for each query wherever there are five: with copies of rows, ids with other vectors, and queries that repeat."""
+    rng = np.random.default_rng(8)
+    same = rng.normal(size=6).astype(np.float32).tolist()
+    rows = [(1, same)] * 7 + [(2, same)] * 7 + [(k, rng.normal(size=6).astype(np.float32).tolist()) for k in range(40, 101)]
+    rows += [(3, rng.normal(size=6).astype(np.float32).tolist()) for _ in range(9)] + [(3, same)] + [(50, same)] + [(50, rows[20][1])] * 3
+    df = spark.createDataFrame([(i, v, 0.5, "q") for i, v in rows], "vec_id long, embedding array<float>, score double, query_id string").repartition(5)
+    got = {}
+    for r in n.nearest(df).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    want = by_ids(rows, n.QUERY_EVERY, n.NEAREST)
+    assert {q: [i for _, i in sorted(found)] for q, found in got.items()} == want
+
+
+def test_one_id_with_most_rows(spark):
+    """A query whose leaves hold one id over and over still gets its five."""
+    rng = np.random.default_rng(9)
+    near = [(7, (np.array([1.0, 0, 0, 0]) + 0.001 * rng.normal(size=4)).astype(np.float32).tolist()) for _ in range(2500)]
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + near + [(100 + k, rng.normal(size=4).astype(np.float32).tolist()) for k in range(30)]
+    found = n.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).filter("query_id = 0").orderBy("rank").collect()
+    assert len({r.vec_id for r in found}) == len(found) == 5 and found[0].vec_id == 7
