@@ -6,20 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import reachable
 
-def reachable(seeds: DataFrame, links: DataFrame, depth: int) -> DataFrame:
-    """(url, depth): pages that links (source, target) reach from seeds (url) in at most depth steps, with the fewest steps.
-
-    Each step joins the last step's pages with the links and leaves out pages already met. The plan grows by a join a
-    step; depths are small.
-    """
-    met = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    last = met
-    for step in range(1, depth + 1):
-        found = links.join(last, links["source"] == last["url"]).select(F.col("target").alias("url")).distinct()
-        last = found.join(met, "url", "left_anti").withColumn("depth", F.lit(step))
-        met = met.unionByName(last)
-    return met
+__all__ = ["best_per_owner", "complete", "layout_hints", "reachable"]
 
 
 def complete(errors: Column, expected: Column, discovered: Column, fetched: Column, capped: Column, exhausted: Column) -> Column:

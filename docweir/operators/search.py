@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import query_words, words
+from . import metric
 
 #: Words that a lexical query leaves out; must, should, may and not stay, since they carry a rule's force. Fixed values.
 STOP_WORDS = "a an and are as at be by for from in is it of on or that the this to was were what which who with".split()
-#: Queries that one broadcast of batch_knn holds.
-QUERY_BLOCK = 4096
 
 
 def top_k(df: DataFrame, within: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -79,85 +74,14 @@ def fuse(rankings: dict[str, DataFrame], constant: int = 60) -> DataFrame:
 def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest of vectors (id, embedding) by cosine for each query (query_id, embedding).
 
-    Exact. Queries go to the tasks in blocks of QUERY_BLOCK; a task ranks its own rows with one matrix product for each
-    batch and hands on k of them for each query. A zero vector is at distance 1 from everything.
+    Exact, by the metric index: see metric.nearest().
     """
-    spark, out = vectors.sparkSession, None
-    rows: list = []
-    asked = to_arrow_type(queries.schema["query_id"].dataType)
-
-    def search(block: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(([r.query_id for r in block], np.array([r.embedding for r in block], np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            length = np.linalg.norm(q, axis=1)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                size = np.outer(length, np.linalg.norm(x, axis=1))
-                near = np.divide(q @ x.T, size, out=np.zeros_like(size), where=size > 0)
-                own = batch.column("id").to_numpy(zero_copy_only=False)
-                if exclude_self:
-                    near[np.equal.outer(np.array(ids), own)] = -np.inf
-                m = min(k, len(own))
-                worst = -np.sort(-near, axis=1)[:, m - 1]
-                a, b = np.nonzero((near >= worst[:, None] - 1e-12) & (near > -np.inf))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(ids)[a].tolist(), asked), batch.column("id").take(pa.array(b)), pa.array(1 - near[a, b])], names=["query_id", "id", "distance"]
-                )
-
-        kinds = dict(vectors.dtypes)["id"], dict(queries.dtypes)["query_id"]
-        return vectors.select("id", "embedding").mapInArrow(run, f"query_id {kinds[1]}, id {kinds[0]}, distance double")
-
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        rows.append(row)
-        if len(rows) == QUERY_BLOCK:
-            out, rows = (search(rows) if out is None else out.unionByName(search(rows))), []
-    if rows or out is None:
-        out = search(rows) if out is None else out.unionByName(search(rows))
-    ranked = out.withColumn("distance", F.round("distance", 6) + F.lit(0.0))
-    return top_k(ranked, ["query_id"], [F.col("distance"), F.col("id")], k)
+    return metric.nearest(vectors, queries, k, exclude_self)
 
 
 def nearest_of(vectors: DataFrame, few: DataFrame) -> DataFrame:
-    """(query_id, id, distance): for each of many vectors (query_id, embedding) the nearest of a few (id, embedding).
-
-    The few go to the tasks in blocks of QUERY_BLOCK, and every vector hands on one row for each block.
-    """
-    spark = vectors.sparkSession
-    kinds = dict(few.dtypes)["id"], dict(vectors.dtypes)["query_id"]
-    kind = to_arrow_type(few.schema["id"].dataType)
-
-    def best(block: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(([r.id for r in block], np.array([r.embedding for r in block], np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, centres = sent.value
-            length = np.linalg.norm(centres, axis=1)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                size = np.outer(np.linalg.norm(x, axis=1), length)
-                far = np.round(1 - np.divide(x @ centres.T, size, out=np.zeros_like(size), where=size > 0), 6) + 0.0
-                own = far.argmin(axis=1)  # the first of equals; the few come in order of id
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("query_id"), pa.array([ids[i] for i in own], kind), pa.array(far[np.arange(len(own)), own])], names=["query_id", "id", "distance"]
-                )
-
-        return vectors.select("query_id", "embedding").mapInArrow(run, f"query_id {kinds[1]}, id {kinds[0]}, distance double")
-
-    out, rows = None, []
-    for row in few.select("id", "embedding").orderBy("id").toLocalIterator():
-        rows.append(row)
-        if len(rows) == QUERY_BLOCK:
-            out, rows = (best(rows) if out is None else out.unionByName(best(rows))), []
-    if out is None:
-        return best(rows) if rows else vectors.limit(0).selectExpr("query_id", f"cast(null as {kinds[0]}) as id", "cast(null as double) as distance")
-    out = out.unionByName(best(rows)) if rows else out
-    return top_k(out, ["query_id"], ["distance", "id"], 1).drop("rank")
+    """(query_id, id, distance): for each of vectors (query_id, embedding) the nearest of few (id, embedding)."""
+    return metric.nearest(few, vectors, 1).drop("rank")
 
 
 def hybrid(docs: DataFrame, vectors: DataFrame, terms: DataFrame, queries: DataFrame, limit: int, constant: int = 60) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import dedup, search, selection, stemming
+from ..operators import dedup, metric, search, selection, stemming
 from . import query, table
 
 STOP = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
@@ -116,6 +116,16 @@ def near_vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_pairs(v, asking, 5, 0.6).select("query_id", "id", "distance")
 
 
+@query(
+    f"""WITH RECURSIVE l AS MATERIALIZED (SELECT q.vec_id AS a, v.vec_id AS b FROM embeddings q, embeddings v WHERE q.vec_id <> v.vec_id AND {_COS} <= 0.05),
+ r(node, root) AS (SELECT a, b FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.root)
+ SELECT vec_id AS id, least(vec_id, coalesce((SELECT min(root) FROM r WHERE node = vec_id), vec_id)) AS class_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links FROM embeddings"""
+)
+def near_vector_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's class of near duplicates and its number of links, over all pairs within 0.05."""
+    return metric.within(_vectors(spark, sf_dir).select("id", "embedding"), 0.05)
+
+
 @query(
     f"""WITH n AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {_COS} AS distance, v.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS}, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
  SELECT query_id, 'section:' || label AS context_id, max(-distance) AS score, count(*) AS n_children, min(rank) AS first_position FROM n WHERE rank <= 12 GROUP BY ALL"""
