@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.urls import canonical
 from ..operators import merge
+from . import manifest
 
 CRAWLED = "url string, ordinal long, title string, markdown string"
 MESSAGES = "conv_id long, turn long, role string, text string, at timestamp"
@@ -19,34 +21,53 @@ def crawl_stream(spark: SparkSession, folder: str, files_per_batch: int = 5) ->
     return spark.readStream.schema(CRAWLED).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
-def state_path(root: str, batch: int) -> str:
-    return f"{root}/state/batch={batch}"
+#: Buckets that a crawl's state is dealt to by its urls; a batch rewrites those that its urls fall into.
+BUCKETS = 256
 
 
-def merge_batches(root: str, now: Callable[[int], str] = lambda batch: "2024-01-01") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that merges each batch into the state after the one before, and appends its history.
+def merge_batches(root: str, now: Callable[[int], str] = lambda batch: "2024-01-01", buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges each batch into the state and appends its history.
 
-    Every batch writes a state of its own, so a batch that is run again after a failure writes the same rows to the same
-    place: the result is the same as if it had run once. mark_missing isn't for batches, which see a part of the pages each.
+    The state lies in buckets by a hash of the url. A batch reads and rewrites the buckets that its urls fall into, beside the
+    old ones, and then commits a manifest that names the directory of every bucket; a batch that fails before that has changed
+    nothing, and one that is run again after its commit does nothing. Directories that neither the last manifest nor
+    the one before names are deleted with the next commit, so disk follows the corpus and not the number of batches.
+    mark_missing isn't for batches, which see a part of the pages each.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.schema(merge.STATE).parquet(state_path(root, number - 1)) if number else spark.createDataFrame([], merge.STATE)
-        merged = merge.sync(before, batch, F.lit(now(number)).cast("timestamp"))
-        merged.drop("change").write.mode("overwrite").parquet(state_path(root, number))
-        again = spark.read.schema(merge.STATE).parquet(state_path(root, number))
-        old = before.select(F.col("canonical_url").alias("u"), F.col("current_version").alias("v"))
-        fresh = again.join(old, again["canonical_url"] == old["u"], "left").filter("v is null or v < current_version")
-        history = fresh.select("canonical_url", F.col("current_version").alias("version"), "title", "content_hash")
-        history.write.mode("overwrite").parquet(f"{root}/versions/batch={number}")
+        known = manifest.last(spark, root, number)
+        if known["batch"] == number:
+            return
+        of_url = lambda url: F.pmod(F.xxhash64(url), F.lit(known.get("buckets_n", buckets))).cast("int")
+        batch = batch.persist()
+        try:
+            touched = sorted(r.b for r in batch.select(of_url(canonical(F.col("url"))).alias("b")).distinct().collect() if r.b is not None)
+            before = manifest.read(spark, known, merge.STATE, touched)
+            merged = merge.sync(before, batch, F.lit(now(number)).cast("timestamp")).withColumn("bucket", of_url("canonical_url"))
+            folder = manifest.fresh(root, number)
+            merged.repartition(max(1, min(len(touched), 64)), "bucket").write.partitionBy("bucket").parquet(folder)
+        finally:
+            batch.unpersist()
+        again = spark.read.schema(f"{merge.STATE}, change string, bucket int").parquet(folder) if touched else spark.createDataFrame([], f"{merge.STATE}, change string")
+        versions = f"{root}/versions/batch={number}"
+        merge.new_versions(again).write.mode("overwrite").parquet(versions)
+        dirs = dict(known["dirs"]) | {str(b): f"{folder}/bucket={b}" for b in touched}
+        manifest.commit(spark, root, {"batch": number, "buckets_n": known.get("buckets_n", buckets), "dirs": dirs})
+        manifest.sweep(spark, root)
 
     return run
 
 
-def start_merging(stream: DataFrame, root: str, **how: str) -> StreamingQuery:
+def state(spark: SparkSession, root: str) -> DataFrame:
+    """The state as the last commit has it."""
+    return manifest.read(spark, manifest.last(spark, root), merge.STATE)
+
+
+def start_merging(stream: DataFrame, root: str, buckets: int = BUCKETS, **how: str) -> StreamingQuery:
     """Run merge_batches() over a stream; its checkpoint makes each file count in one batch."""
-    writer = stream.writeStream.foreachBatch(merge_batches(root)).option("checkpointLocation", f"{root}/checkpoint")
+    writer = stream.writeStream.foreachBatch(merge_batches(root, buckets=buckets)).option("checkpointLocation", f"{root}/checkpoint")
     return writer.trigger(**(how or {"availableNow": True})).start()
 
 
@@ -65,22 +86,3 @@ def event_windows(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Beyond parity: events of each type in five-minute windows, late ones within the delay counted."""
     w = events.withWatermark("ts", late).groupBy(F.window("ts", "5 minutes"), "event_type")
     return w.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
-
-
-CHECKPOINTS = "thread_id string, step long, state string"
-
-
-def thread_states(checkpoints: DataFrame) -> DataFrame:
-    """The latest state of each thread in a stream of checkpoints (CHECKPOINTS), from which an interrupted thread goes on.
-
-    Run it in update mode: a batch gives the threads that it changed. Equal steps count once, by the greater state.
-    """
-    last = F.max(F.struct("step", "state")).alias("m")
-    return checkpoints.groupBy("thread_id").agg(last, F.count(F.lit(1)).alias("n_checkpoints")).select("thread_id", "m.step", "m.state", "n_checkpoints")
-
-
-def resumed(states: DataFrame, messages: DataFrame) -> DataFrame:
-    """Messages (thread_id, step, ...) that came after their thread's state, which are still to be handled."""
-    held = states.select(F.col("thread_id").alias("_t"), F.col("step").alias("_s"))
-    met = messages.join(held, messages["thread_id"] == held["_t"], "left")
-    return met.filter(F.col("_s").isNull() | (F.col("step") > F.col("_s"))).drop("_t", "_s")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweir.sources import files
-from docweir.streaming import crawl
+from docweir.streaming import crawl, threads
 
 
 def docx(paragraphs, rows):
@@ -66,7 +66,7 @@ def test_streamed_merges(spark, tmp_path):
     for k, rows in enumerate(batches):
         (source / f"{k}.json").write_text("\n".join(json.dumps({"url": u, "ordinal": i, "title": "t", "markdown": m}) for i, (u, m) in enumerate(rows)))
         crawl.start_merging(crawl.crawl_stream(spark, str(source), 1), root).awaitTermination()
-    state = {r.canonical_url: r.current_version for r in spark.read.parquet(crawl.state_path(root, 2)).collect()}
+    state = {r.canonical_url: r.current_version for r in crawl.state(spark, root).collect()}
     assert state == {"http://a/1": 2, "http://a/2": 1, "http://a/3": 1}
     assert sorted((r.canonical_url, r.version) for r in crawl.history(spark, root).collect()) == [("http://a/1", 1), ("http://a/1", 2), ("http://a/2", 1), ("http://a/3", 1)]
     crawl.start_merging(crawl.crawl_stream(spark, str(source), 1), root).awaitTermination()
@@ -100,13 +100,82 @@ def test_document_stores(spark, tmp_path):
     assert got["versions"].first().document_id == "a" and got["assets"].first().document_id == "b"
 
 
-def test_threads_go_on(spark, tmp_path):
-    for k, rows in enumerate([[("t", 1, "a"), ("u", 1, "x")], [("t", 2, "b"), ("t", 2, "b")]]):
-        spark.createDataFrame(rows, crawl.CHECKPOINTS).write.json(str(tmp_path / "in" / f"{k}"))
-    stream = spark.readStream.schema(crawl.CHECKPOINTS).option("recursiveFileLookup", True).json(str(tmp_path / "in"))
-    query = crawl.thread_states(stream).writeStream.outputMode("complete").format("memory").queryName("threads").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    held = spark.table("threads")
-    assert {tuple(r) for r in held.collect()} == {("t", 2, "b", 3), ("u", 1, "x", 1)}
-    said = spark.createDataFrame([("t", 2, "old"), ("t", 3, "new"), ("v", 1, "first")], "thread_id string, step long, text string")
-    assert {r.text for r in crawl.resumed(held, said).collect()} == {"new", "first"}
+def _batch(spark, rows):
+    return spark.createDataFrame([(u, i, "t", m) for i, (u, m) in enumerate(rows)], crawl.CRAWLED)
+
+
+def _bytes(folder):
+    return {str(p): p.stat().st_size for p in folder.rglob("*.parquet")}
+
+
+def test_a_batch_writes_what_it_touches(spark, tmp_path):
+    """Bytes follow the batch, old buckets go, and a batch that runs again changes nothing."""
+    root = str(tmp_path / "out")
+    merge_ = crawl.merge_batches(root, buckets=32)
+    merge_(_batch(spark, [(f"http://a/{k}", f"text {k}") for k in range(3000)]), 0)
+    first = _bytes(tmp_path / "out" / "data")
+    for number in range(1, 5):
+        before = _bytes(tmp_path / "out" / "data")
+        merge_(_batch(spark, [("http://a/7", f"new {number}")]), number)
+        written = {p: n for p, n in _bytes(tmp_path / "out" / "data").items() if p not in before}
+        assert len({p.split("bucket=")[1].split("/")[0] for p in written}) == 1
+        assert sum(written.values()) < sum(first.values()) / 10
+    assert len(list((tmp_path / "out" / "manifests").glob("*.json"))) == 2
+    assert sum(_bytes(tmp_path / "out" / "data").values()) < 1.2 * sum(first.values())
+    merge_(_batch(spark, [("http://a/7", "another")]), 4)  # the batch was committed
+    got = {r.canonical_url: r.current_version for r in crawl.state(spark, root).collect()}
+    assert len(got) == 3000 and got["http://a/7"] == 5 and got["http://a/8"] == 1
+    assert crawl.history(spark, root).count() == 3004
+
+
+def test_a_killed_commit_leaves_the_state_as_it_was(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "out")
+    merge_ = crawl.merge_batches(root, buckets=4)
+    merge_(_batch(spark, [("http://a/1", "x"), ("http://a/2", "y")]), 0)
+    kill = lambda *a: (_ for _ in ()).throw(RuntimeError("killed"))
+    with monkeypatch.context() as m:
+        m.setattr(crawl.manifest, "commit", kill)
+        with pytest.raises(RuntimeError):
+            merge_(_batch(spark, [("http://a/1", "z"), ("http://a/3", "w")]), 1)
+    assert {r.canonical_url: r.current_version for r in crawl.state(spark, root).collect()} == {"http://a/1": 1, "http://a/2": 1}
+    merge_(_batch(spark, [("http://a/1", "z"), ("http://a/3", "w")]), 1)
+    assert {r.canonical_url: r.current_version for r in crawl.state(spark, root).collect()} == {"http://a/1": 2, "http://a/2": 1, "http://a/3": 1}
+    assert sorted((r.canonical_url, r.version) for r in crawl.history(spark, root).collect()) == [("http://a/1", 1), ("http://a/1", 2), ("http://a/2", 1), ("http://a/3", 1)]
+    attempts = {p.name.split("-")[0] for p in (tmp_path / "out" / "data").iterdir()}
+    assert len(list((tmp_path / "out" / "data").iterdir())) == len(attempts)  # the killed attempt's directory is gone
+    merge_(_batch(spark, []), 2)
+    assert crawl.state(spark, root).count() == 3
+
+
+def _events(spark, folder, rows):
+    spark.createDataFrame(rows, "thread_id string, step long, at string, kind string, document_id string, chunk_id string, source_url string").write.json(str(folder))
+
+
+def test_threads_go_on_after_restarts(spark, tmp_path):
+    """Each batch is a query of its own, stopped and started again; the threads are those of a recount."""
+    at = lambda m, s=0: f"2024-01-01 00:{m:02d}:{s:02d}"
+    none = (None, None, None)
+    batches = [
+        [("t", 1, at(0), "message", *none), ("t", 2, at(0, 1), "tool", *none), ("t", 3, at(0, 2), "citation", "d", "c", None), ("u", 1, at(0), "message", *none)],
+        [("t", 3, at(0, 2), "citation", "d", "c", None), ("t", 4, at(1), "citation", "d", "c", None), ("t", 5, at(1, 1), "citation", None, None, "http://w"), ("w", 1, at(20), "message", *none)],
+        [("w", 2, at(21), "tool", *none)],
+        [("u", 2, at(22), "message", *none), ("t", 6, at(22, 5), "done", *none)],
+    ]
+    root, source = str(tmp_path / "out"), tmp_path / "in"
+    status = []
+    for k, rows in enumerate(batches):
+        _events(spark, source / str(k), rows)
+        stream = spark.readStream.schema(threads.EVENTS).option("recursiveFileLookup", True).json(str(source))
+        query = threads.start(stream, root)
+        query.awaitTermination(180)
+        assert query.exception() is None
+        status.append({r.thread_id: r.status for r in threads.latest(spark, root).collect()})
+    assert status[0] == {"t": "running", "u": "running"}
+    assert status[2]["u"] == "interrupted" and status[3] == {"t": "done", "u": "running", "w": "running"}
+    got = {r.thread_id: r for r in threads.latest(spark, root).collect()}
+    assert got["u"].n_resumed == 1 and got["t"].citations == [("d", "c", None), (None, None, "http://w")]
+    columns = ["thread_id", "status", "last_step", "n_messages", "n_tools", "citations"]
+    whole = spark.read.schema(threads.EVENTS).option("recursiveFileLookup", True).json(str(source))
+    assert sorted(map(str, threads.latest(spark, root).select(columns).collect())) == sorted(map(str, threads.recount(whole).select(columns).collect()))
+    said = spark.createDataFrame([("t", 6, "old"), ("t", 7, "new"), ("v", 1, "first")], "thread_id string, step long, text string")
+    assert {r.text for r in threads.resumed(threads.latest(spark, root), said).collect()} == {"new", "first"}
