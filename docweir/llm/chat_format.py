@@ -99,6 +99,7 @@ def _levels(calls: DataFrame) -> DataFrame:
     needs = cut(asked.join(there, ["conv_id", "other"]))
     # the references of one call are as many as its arguments hold
     dangling = asked.join(there, ["conv_id", "other"], "left_anti").groupBy("conv_id", "id").agg(F.array_sort(F.collect_set(F.concat(F.lit("unknown reference "), "other"))).alias("dangling"))
+    dangling = cut(dangling)  # written, so that the join can split an id that most calls have
     turns = calls.groupBy("conv_id", "id").agg(F.max("turn").cast("long").alias("turn"))
     known = turns.join(needs, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).alias("level"), F.col("turn").alias("anchor"))
     known, n = cut(known), -1
@@ -152,7 +153,7 @@ def _linked(rows: DataFrame, call: Column, result: Column, schemas: dict) -> Dat
     calls = distinct.select("conv_id", "turn", "row", F.posexplode(call["tool_calls"]).alias("k", "c"))
     calls = cut(calls.select("conv_id", "turn", "row", "k", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments")))
     results = rows.filter("kind = 'result'").withColumn("id", result["tool_call_id"])
-    counted = calls.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("n_calls"))
+    counted = cut(calls.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("n_calls")))
     answered = cut(results.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "row")).alias("first_result")))
     placed = _levels(calls).withColumn("problems", F.concat(problems(F.col("name"), F.col("arguments"), schemas), "dangling"))
     placed = cut(placed)

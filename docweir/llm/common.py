@@ -140,16 +140,18 @@ def gapless(df: DataFrame, within: list[str], order: list[str], out: str) -> Dat
 
     Rows are dealt by ranges of (within, order); each range counts its rows for each group; the counts of the ranges
     before it are its offset. The counts are one row for each pair of range and group that meet, which are at most
-    ranges + groups. order must be a total order for the numbering to be determined. Nulls sort first.
+    ranges + groups. order must be a total order for the numbering to be determined; rows equal in it are parted by their
+    place in the input, so that a row repeated very often spreads over many ranges. Nulls sort first.
     """
     from pyspark.sql import Window as W
 
     n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = cut(df.repartitionByRange(n, *within, *order).withColumn("_dw_range", F.spark_partition_id()))
+    placed = df.withColumn("_dw_place", F.monotonically_increasing_id())
+    dealt = cut(placed.repartitionByRange(n, *within, *order, "_dw_place").withColumn("_dw_range", F.spark_partition_id()))
     counts = dealt.groupBy("_dw_range", *within).agg(F.count(F.lit(1)).alias("_dw_n"))
     before = W.partitionBy(*within).orderBy("_dw_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("_dw_range", *within, F.coalesce(F.sum("_dw_n").over(before), F.lit(0)).alias("_dw_at"))
-    number = F.row_number().over(W.partitionBy("_dw_range", *within).orderBy(*order)) - 1
+    number = F.row_number().over(W.partitionBy("_dw_range", *within).orderBy(*order, "_dw_place")) - 1
     numbered = dealt.withColumn("_dw_in", number)
     condition = numbered["_dw_range"] == offsets["_dw_range"]
     for c in within:

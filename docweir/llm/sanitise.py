@@ -18,6 +18,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Collection, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -229,7 +230,9 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float
 
 def _with_terms(text: str, spans: list[Span], wanted: Callable[[str], bool]) -> list[Span]:
     own = [(m.start(), m.end(), "term") for m in WORD.finditer(text) if wanted(m[0].lower())]
-    free = [s for s in own if not any(a < s[1] and s[0] < b for a, b, _ in spans)]
+    starts, ends = [s[0] for s in sorted(spans)], [*accumulate((s[1] for s in sorted(spans)), max)]
+    # of the spans that begin before a term's end, one reaches into it if the farthest does
+    free = [s for s in own if not (k := bisect_left(starts, s[1])) or ends[k - 1] <= s[0]]
     return sorted([*spans, *free], key=lambda x: (x[0], KINDS.index(x[2])))
 
 

@@ -3,7 +3,7 @@
 The channel writes letters as look-alike signs, repeats them, and puts separators between them. Every reading of a
 token that shows such marks, however long, is a path through a lattice of characters; Viterbi's algorithm takes the
 likeliest path under a letter trigram model counted over all texts of the corpus. Tokens without such marks have one path, which is
-themselves. Restored words and their beginnings are evidence; at most TRAIN_ROWS labelled rows, near copies taken out,
+themselves; so have two words that may be one with a gap in it, since plain text is full of such pairs. Restored words and their beginnings are evidence; at most TRAIN_ROWS labelled rows, near copies taken out,
 give each its purity if it is too frequent among toxic rows for chance, and a document's score joins the words found as
 independent causes.
 """
@@ -41,7 +41,8 @@ START = "".join(SEPARATORS) + "…«»“”„¡¿"
 EDGE = "".join(SEPARATORS) + "!$|+…«»“”„¡¿"
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100)))
 SIGN, SAME, AGAIN, GAP = math.log(0.05), 0.0, math.log(0.3), math.log(0.05)
-SPACED = re.compile(r"(?<!\S)\S(?:[ \t]{1,2}\S){2,}(?!\S)")
+#: Single signs with any white space between them; lines of one sign each are such a run too.
+SPACED = re.compile(r"(?<!\S)\S(?:\s++\S){2,}(?!\S)")
 #: What stands between two of the signs that join tokens, and letters or look-alike signs spelt out between them.
 JOINED = re.compile(r"[^\s._*~·/\\,'`^=#&%:;?()\[\]{}<>\"-]+")
 SPELT = re.compile(r"(?<![^._/-])[^\s._/-](?:[._/-]{1,2}[^\s._/-]){2,}(?![^._/-])")
@@ -296,11 +297,13 @@ def _without_copies(sample: DataFrame) -> DataFrame:
         marks = [least_shingles(t) for t in batch.column("text").to_pylist()]
         return {n: [m[k] for m in marks] for k, n in enumerate(names)}
 
-    kept = arrow_map(sample, mark, ", ".join(f"{n} long" for n in names), ["doc_id", "toxic"]).dropDuplicates(["doc_id"])
-    for n in names:
-        kept = kept.dropDuplicates(["toxic", n])
-    # dropDuplicates may choose another row when it is run again, so what it chose is written down
-    return cut(sample.join(F.broadcast(cut(kept.select("doc_id"))), "doc_id").dropDuplicates(["doc_id"]))
+    sample = sample.withColumn("_dw_text", F.xxhash64("text"))
+    kept = arrow_map(sample, mark, ", ".join(f"{n} long" for n in names), ["doc_id", "toxic", "_dw_text"])
+    chance = F.struct(F.xxhash64("doc_id"), F.col("doc_id"), F.col("_dw_text"))  # the same row of a group in every run
+    for group in (["doc_id"], *(["toxic", n] for n in names)):
+        kept = kept.groupBy(*group).agg(F.min_by(F.struct("doc_id", "toxic", "_dw_text", *names), chance).alias("r")).select("r.*")
+    kept = F.broadcast(cut(kept.select("doc_id", "_dw_text")))  # a bounded sample's
+    return cut(sample.join(kept, ["doc_id", "_dw_text"]).drop("_dw_text").dropDuplicates(["doc_id"]))
 
 
 def _evidence_counts(sample: DataFrame, counts: dict[str, int], wanted: frozenset[str] | None = None) -> DataFrame:
@@ -344,8 +347,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's toxicity by a model of the labels that aren't held out."""
+    """Each document's toxicity by a model of the labels that aren't held out. A null doc_id is held out: nothing is learnt from it."""
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     found = score_toxicity(docs, model, ["doc_id"])
-    return found.select("doc_id", (~learnable()).alias("held_out"), F.col("_dw_score").alias("score"), (F.col("_dw_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return found.select("doc_id", (~F.coalesce(learnable(), F.lit(False))).alias("held_out"), F.col("_dw_score").alias("score"), (F.col("_dw_score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -138,3 +138,17 @@ def test_arguments_against_schemas(spark, arguments, want):
     text = json.dumps({"tool_calls": [{"id": "x", "name": "search", "arguments": arguments}]})
     rows = c.format_chats(spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")).collect()
     assert rows[0].problems == want
+
+
+def test_one_message_repeated_and_one_hot_id(spark):
+    """A message that is most of a conversation is numbered without gaps over several ranges; an id that all calls use is a duplicate."""
+    from docweir.llm.common import gapless
+
+    rows = [("c", 1, "user", "again")] * 4000 + [("c", 2, "user", "end")]
+    out = c.format_chats(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"))
+    assert sorted(r.position for r in out.collect()) == list(range(4001))
+    dealt = gapless(spark.createDataFrame([(1, 2)] * 4000, "k int, v int").repartition(4), ["k"], ["v"], "n")
+    assert sorted(r.n for r in dealt.collect()) == list(range(4000))
+    call = '{"tool_calls": [{"id": "hot", "name": "f", "arguments": "{}"}]}'
+    hot = spark.createDataFrame([("c", k, "assistant", call) for k in range(500)] + [("c", 501, "tool", '{"tool_call_id": "hot", "content": "x"}')], "conv_id string, turn int, role string, text string")
+    assert {r.status for r in c.format_chats(hot).filter("kind = 'call'").collect()} == {"duplicate"}

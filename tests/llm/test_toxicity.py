@@ -37,7 +37,7 @@ def test_held_out_accuracy(spark, fitted):
     assert all((r._dw_score >= t.THRESHOLD) == bool(truth[r.doc_id]) for r in rows)
 
 
-@pytest.mark.parametrize("written", ["1d10t", "i.d.i.o.t", "idiooooot", "m0r0n", "M-O-R-O-N", "i d i o t", "$cum", "!diot,"])
+@pytest.mark.parametrize("written", ["1d10t", "i.d.i.o.t", "idiooooot", "m0r0n", "M-O-R-O-N", "i d i o t", "$cum", "!diot,", "i   d    i o t", "i\nd\ni\no\nt", "m\t0 \n r   0 n"])
 def test_disguises(fitted, written):
     _, model = fitted
     reader = t.Reader(t.LetterModel(model.counts))
@@ -107,3 +107,15 @@ def test_long_runs_are_linear(fitted):
     words = reader.words(" ".join("quietriver" * 2_000))
     assert sum(map(len, words)) < 2_000_000
     assert len(t.restore("1" * 2_000 + "6a!", model=t.LetterModel(model.counts))) > 0
+
+
+def test_the_sample_is_the_same_in_every_run(spark):
+    """Near copies and repeated ids give way to the same rows however the table is dealt; clashing names and repeats stay."""
+    rows = corpus(300)
+    rows += [(i + 5000, x + " extra", y) for i, x, y in rows[::3]] + [(i, x + " other", y) for i, x, y in rows[::10]]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, x, "own", "h") for i, x, _ in rows] * 2, "doc_id long, text string, _dw_text string, score string")
+    models = [t.fit_toxicity(docs.repartition(n, "text"), labels) for n in (1, 7)]
+    assert models[0] == models[1] and models[0].evidence
+    scored = t.score_toxicity(docs, models[0])
+    assert scored.count() == 2 * len(rows) and scored.select("score", "_dw_text").distinct().collect() == [("h", "own")]
