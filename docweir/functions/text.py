@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -213,21 +215,29 @@ def holds(json: Column, query: Column) -> Column:
     return F.coalesce(F.exists(plain, lambda x: F.contains(F.lower(x), query)), F.lit(False))
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("span_id", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])))
+def _question_spans(questions: pa.Array) -> pa.Array:
+    ids, starts, ends, texts, at = [], [], [], [], [0]
+    for question in questions.to_pylist():
+        for k, m in enumerate(_WORD.finditer(question or "")):
+            ids.append(f"q{k}")
+            starts.append(m.start())
+            ends.append(m.end())
+            texts.append(m[0])
+        at.append(len(ids))
+    spans = pa.StructArray.from_arrays([pa.array(ids, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(texts, pa.string())], names=["span_id", "start", "end", "text"])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), spans)
+
+
+_WORD = re.compile(r"\S+")
+
+
 def question_spans(question: Column) -> Column:
-    """Words of a question with their places: array of {span_id, start, end, text}, in characters, end exclusive."""
-    # each word's place is the length of what stands before it
-    words_ = F.regexp_extract_all(question, F.lit(r"(?U)\S+"), 0)
-    gaps = F.split(question, r"(?U)\S+")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<span_id:string,start:int,end:int,text:string>>").alias("out"))
-    joined = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(words_), F.lit(1))), words_, lambda g, w: F.struct(g.alias("g"), w.alias("w")))
-
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["g"])
-        b = a + F.length(x["w"])
-        one = F.struct(F.concat(F.lit("q"), F.size(acc["out"]).cast("string")).alias("span_id"), a.alias("start"), b.alias("end"), x["w"].alias("text"))
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    return F.when(F.size(words_) > 0, F.aggregate(joined, start, step)["out"]).otherwise(start["out"])
+    """Words of a question with their places: array of {span_id, start, end, text}, in characters, end exclusive.
+
+    One pass over texts of any length, in Arrow batches, since an expression would copy what it has at each word.
+    """
+    return _question_spans(question)
 
 
 def paragraphs(text: Column, most: int = 8) -> Column:

@@ -169,9 +169,19 @@ def restored(anchor: str, question: str) -> str | None:
     """An anchor as it stands in the question: word for word, else its only place but for case; else None."""
     if not anchor.strip() or anchor in question:
         return anchor if anchor.strip() else None
-    folded, want = question.casefold(), anchor.casefold()
-    places = [k for k in range(len(question) - len(anchor) + 1) if folded.startswith(want, k)]
-    return question[places[0] : places[0] + len(anchor)] if len(places) == 1 else None
+    want, folded, at = anchor.casefold(), [], [0]
+    for c in question:  # folding may make several characters of one
+        folded.append(c.casefold())
+        at.append(at[-1] + len(folded[-1]))
+    place, text, found = {n: k for k, n in enumerate(at)}, "".join(folded), None
+    k = text.find(want)
+    while k >= 0:
+        if k in place and k + len(want) in place:
+            if found is not None:
+                return None
+            found = question[place[k] : place[k + len(want)]]
+        k = text.find(want, k + 1)
+    return found
 
 
 def restore_anchors(anchors: DataFrame) -> DataFrame:
@@ -193,10 +203,13 @@ def resolve_references(references: DataFrame, spans: DataFrame) -> DataFrame:
     spans has query_id, span_id, position, id, quote.
     """
     s = spans.select(*(F.col(c).alias(f"_{c}") for c in ("query_id", "span_id", "position", "id", "quote")))
-    named = F.col("span_id").isNotNull() & (F.col("span_id") == F.col("_span_id")) & (F.col("id").isNull() | (F.col("id") == F.col("_id"))) & (F.col("quote").isNull() | (F.col("quote") == F.col("_quote")))
-    by_quote = F.col("span_id").isNull() & (F.col("id") == F.col("_id")) & (F.trim("quote") != "") & F.contains("_quote", F.col("quote"))
-    met = references.join(s, (F.col("query_id") == F.col("_query_id")) & (named | by_quote), "left")
-    return met.groupBy(*references.columns).agg(F.min_by("_span_id", "_position").alias("found"))
+    own, r = F.col("query_id") == F.col("_query_id"), references
+    agrees = (F.col("id").isNull() | (F.col("id") == F.col("_id"))) & (F.col("quote").isNull() | (F.col("quote") == F.col("_quote")))
+    holds = (F.trim("quote") != "") & F.contains("_quote", F.col("quote"))
+    # a reference names a span or a chunk, so it meets the spans by one of two keys
+    named = r.filter("span_id is not null").join(s, own & (F.col("span_id") == F.col("_span_id")) & agrees, "left")
+    quoted = r.filter("span_id is null").join(s, own & (F.col("id") == F.col("_id")) & holds, "left")
+    return named.unionByName(quoted).groupBy(*references.columns).agg(F.min_by("_span_id", "_position").alias("found"))
 
 
 def gap_queries(gaps: DataFrame, most: int = 2) -> DataFrame:

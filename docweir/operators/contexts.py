@@ -6,14 +6,17 @@ gates, parents, coverage and routing around it are DataFrame work.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .selection import gate, uncovered
+from .tables import written
 
 #: The texts that the blocks of a context are made of.
 BREAK = "\n\n---\n\n"
@@ -188,24 +191,45 @@ def partial_context(packed: DataFrame, facets: DataFrame, inspected: DataFrame)
 def flat_context(pages: DataFrame, budget: int, tokens: Callable[[Column], Column] = F.octet_length) -> DataFrame:
     """(query_id, context, truncated) of numbered pages (query_id, position, file, page, text), each of which is taken if it still fits.
 
-    A page without text keeps its number and is left out. tokens must add up over joined texts, so that the choice is one
-    pass over a question's bounded pages.
+    A page without text keeps its number and is left out; repeated pages are one. tokens must add up over joined texts. Only
+    sizes are gathered: a question's pages stream by position through a task that keeps what is used, and the texts that it
+    chose, which the budget bounds, are joined afterwards. A question whose pages have no text has an empty context.
     """
-    block = F.concat(F.lit("["), F.col("position").cast("string"), F.lit("] "), F.col("file"), F.lit(", page "), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.lit("\n"), F.col("text"))
-    rows = pages.withColumn("block", F.when(F.coalesce(F.col("text"), F.lit("")) != "", block)).withColumn("size", tokens(F.col("block")).cast("long"))
-    held = F.array_sort(F.collect_list(F.when(F.col("block").isNotNull(), F.struct("position", "block", "size"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("out"), F.lit(False).alias("cut"))
+    page = F.coalesce(F.col("page").cast("string"), F.lit("?"))
+    block = F.concat(F.lit("["), F.col("position").cast("string"), F.lit("] "), F.col("file"), F.lit(", page "), page, F.lit("\n"), F.col("text"))
+    rows = pages.select("query_id", "position", F.when(F.coalesce(F.col("text"), F.lit("")) != "", block).alias("block"))
+    sized = rows.select("query_id", "position", F.xxhash64("block").alias("_h"), F.when(F.col("block").isNotNull(), tokens(F.col("block"))).cast("long").alias("size")).distinct()
+    ordered = sized.repartition("query_id").sortWithinPartitions("query_id", "position", "_h")
     joint = len(BREAK)
 
-    def step(acc: Column, x: Column) -> Column:
-        more = x["size"] + F.when(F.size(acc["out"]) > 0, joint).otherwise(0)
-        fits = acc["used"] + more <= budget
-        return F.struct(
-            F.when(fits, acc["used"] + more).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["out"], F.array(x["block"]))).otherwise(acc["out"]).alias("out"), (acc["cut"] | ~fits).alias("cut")
-        )
-
-    done = rows.groupBy("query_id").agg(F.aggregate(held, start, step).alias("a"))
-    return done.select("query_id", F.array_join("a.out", BREAK).alias("context"), F.col("a.cut").alias("truncated"))
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, used, taken, cut = None, 0, 0, False
+        started = False
+        for batch in batches:
+            who, fits, last = [], [], []
+            for k, (own, size) in enumerate(zip(batch.column("query_id").to_pylist(), batch.column("size").to_pylist(), strict=True)):
+                if not started or own != query:
+                    query, used, taken, started = own, 0, 0, True
+                who.append(k)
+                more = None if size is None else size + (joint if taken else 0)
+                fit = more is not None and used + more <= budget
+                if fit:
+                    used, taken = used + more, taken + 1
+                fits.append(fit)
+                last.append(more is not None and not fit)
+            kept = [batch.column(c) for c in ("query_id", "position", "_h")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(fits, pa.bool_()), pa.array(last, pa.bool_())], names=["query_id", "position", "_h", "fits", "over"])
+
+    schema = T.StructType([*(ordered.schema[c] for c in ("query_id", "position", "_h")), T.StructField("fits", T.BooleanType()), T.StructField("over", T.BooleanType())])
+    chosen = written(ordered.mapInArrow(choose, schema))
+    cut = chosen.groupBy("query_id").agg(F.bool_or("over").alias("truncated"))
+    keys = chosen.filter("fits").select(F.col("query_id").alias("_q"), F.col("position").alias("_p"), F.col("_h").alias("_k"))
+    same = rows["query_id"].eqNullSafe(F.col("_q")) & (rows["position"] == F.col("_p")) & (F.xxhash64("block") == F.col("_k"))
+    texts = rows.join(keys, same).select("query_id", "position", "_k", "block").distinct()
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("position", "_k", "block"))), lambda x: x["block"])
+    held = texts.groupBy("query_id").agg(F.array_join(listed, BREAK).alias("context")).withColumnRenamed("query_id", "_q")
+    met = cut.join(held, cut["query_id"].eqNullSafe(held["_q"]), "left")
+    return met.select("query_id", F.coalesce("context", F.lit("")).alias("context"), "truncated")
 
 
 def flat_citations(chunks: DataFrame, pages: DataFrame, most: float) -> DataFrame:

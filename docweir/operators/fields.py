@@ -24,30 +24,35 @@ CORE = ("title", "summary", "country", "policy_status", "start_year", "end_year"
 PART = re.compile(r"""(?P<tag>^[\w*-]+)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[(?P<name>[\w-]+)(?:(?P<op>[~^$*]?)=["']?(?P<value>[^"'\]]*)["']?)?\]""")
 
 
-@dataclass
+@dataclass(eq=False, repr=False)
 class Element:
     tag: str
     attributes: dict[str, str] = field(default_factory=dict)
     above: Element | None = None
     inside: list = field(default_factory=list)
 
+    def nodes(self) -> Iterator[Element | str]:
+        """All elements and strings below, in the order of their starts; the open ones are a list, so pages may be as deep as they like."""
+        open_ = [iter(self.inside)]
+        while open_:
+            for x in open_[-1]:
+                yield x
+                if isinstance(x, Element):
+                    open_.append(iter(x.inside))
+                    break
+            else:
+                open_.pop()
+
     def walk(self) -> Iterator[Element]:
         """All elements below, in the order of their starts."""
-        for x in self.inside:
-            if isinstance(x, Element):
-                yield x
-                yield from x.walk()
+        return (x for x in self.nodes() if isinstance(x, Element))
 
     def text(self, separator: str = " ") -> str:
         """Strings below, each trimmed, blank ones left out."""
         return separator.join(s for x in self.strings() if (s := x.strip()))
 
     def strings(self) -> Iterator[str]:
-        for x in self.inside:
-            if isinstance(x, Element):
-                yield from x.strings()
-            else:
-                yield x
+        return (x for x in self.nodes() if isinstance(x, str))
 
 
 class Reader(HTMLParser):

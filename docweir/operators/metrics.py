@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def group_scores(rankings: DataFrame, groups: DataFrame, ks: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
@@ -32,56 +35,123 @@ def label_scores(rankings: DataFrame, gold: DataFrame) -> DataFrame:
     return first.select("query_id", "first_rank", hit(5), hit(20), F.when(F.col("first_rank") <= 10, 1 / F.col("first_rank")).otherwise(0.0).alias("rr_10"))
 
 
-#: Words of a quote, but for its first, by which texts that may hold it are found.
-RUN = 8
+#: Bytes of quotes that one automaton holds; more of them take further passes over the texts.
+QUOTE_BYTES = 2_000_000
+
+
+def _quote_blocks(quotes: DataFrame) -> Iterator[list]:
+    held, size = [], 0
+    for row in quotes.toLocalIterator():
+        held.append(row)
+        size += len(row.quote) + 50
+        if size >= QUOTE_BYTES:
+            yield held
+            held, size = [], 0
+    yield held
 
 
 def resolve_anchors(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(quote_id, id): the chunks of the quoted document whose pages meet the quote's and whose text holds it.
+    """(quote_id, id): the chunks (id, document, page_start, page_end, text) of the quoted document whose pages meet the quote's
+    and whose text holds it, whatever its length; quotes has quote_id, document, page_start, page_end, quote.
 
-    A text that holds a quote holds the run of words after its first one, so quotes and texts meet by document and the
-    digest of that run. Quotes of fewer words are looked for in all chunks of their document.
+    An Aho-Corasick automaton over all quotes of a block finds them in one walk through each text, and document and pages
+    decide which of them count, so nothing is joined and no text is shuffled. A null or empty quote stands nowhere; a quote
+    with a null document or page too; repeated quotes and chunks count once each row.
     """
-    q = quotes.select("quote_id", F.col("document").alias("_d"), F.col("page_start").alias("_a"), F.col("page_end").alias("_b"), "quote").withColumn("_w", F.split("quote", r"\s+"))
-    run = lambda words, at: F.xxhash64(F.array_join(F.slice(words, at, RUN), " "))
-    long_, short = q.filter(F.size("_w") >= RUN + 2), q.filter(F.size("_w") < RUN + 2)
-    meets = lambda c: (c["document"] == F.col("_d")) & (c["page_start"] <= F.col("_b")) & (c["page_end"] >= F.col("_a"))
-    words = F.split("text", r"\s+")
-    runs = F.when(F.size(words) >= RUN, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - RUN + 1), lambda k: run(words, k))))
-    wanted = long_.select("quote_id", "_d", "_a", "_b", "quote", run(F.col("_w"), F.lit(2)).alias("_run"))
-    # only runs that a quote has are matched, so what goes on are the few texts that may hold one
-    each = chunks.select("id", "document", "page_start", "page_end", F.explode(runs).alias("_r"))
-    hits = each.join(wanted, meets(each) & (F.col("_r") == F.col("_run"))).select("quote_id", "quote", F.col("id").alias("_id")).distinct()
-    found = hits.join(chunks.select("id", "text"), F.col("_id") == F.col("id")).filter(F.contains("text", F.col("quote"))).select("quote_id", "id")
-    rest = short.join(chunks, meets(chunks) & F.contains(chunks["text"], F.col("quote"))).select("quote_id", "id")
-    return found.unionByName(rest)
+    spark, schema = chunks.sparkSession, T.StructType([quotes.schema["quote_id"], chunks.schema["id"]])
+    kind = to_arrow_type(schema["quote_id"].dataType)
+    wanted = quotes.select("quote_id", "document", "page_start", "page_end", "quote").filter("quote <> '' and document is not null and page_start is not null and page_end is not null")
+    out = None
+    for block in _quote_blocks(wanted):
+        sent = spark.sparkContext.broadcast([(r.quote_id, r.document, r.page_start, r.page_end, r.quote) for r in block])
+
+        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton, of = ahocorasick.Automaton(), {}
+            for quote_id, document, first, last, quote in sent.value:
+                of.setdefault(quote, []).append((quote_id, document, first, last))
+            for quote in of:
+                automaton.add_word(quote, quote)
+            if of:
+                automaton.make_automaton()
+            for batch in batches:
+                who, found = [], []
+                columns = [batch.column(c).to_pylist() for c in ("document", "page_start", "page_end", "text")]
+                for k, (document, first, last, text) in enumerate(zip(*columns, strict=True)):
+                    if not of or not text or first is None or last is None:
+                        continue
+                    for quote in {q for _, q in automaton.iter(text)}:
+                        own = [q for q, d, a, b in of[quote] if d == document and first <= b and last >= a]
+                        who += [k] * len(own)
+                        found += own
+                yield pa.RecordBatch.from_arrays([pa.array(found, kind), batch.column("id").take(pa.array(who, pa.int64()))], names=["quote_id", "id"])
+
+        met = chunks.select("id", "document", "page_start", "page_end", "text").mapInArrow(find, schema)
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def minimum_cover(masks: Iterable[int], full: int) -> int:
-    """The fewest masks whose bits make up full; -1 if all of them don't. States are sums of bits, of which few groups have few."""
-    masks, reached, n = set(masks), {0}, 0
-    while full not in reached:
-        further = {r | m for r in reached for m in masks} - reached
-        if not further:
-            return -1
-        reached, n = reached | further, n + 1
-    return n
+    """The fewest masks whose bits make up full; -1 if all of them don't.
+
+    Branch and bound over the bit that the fewest masks have: masks inside others go, a bit with one mask takes it, and a
+    branch ends where the largest masks left can't beat the best cover known. Bits may be any number.
+    """
+    masks = {m & full for m in masks} - {0}
+    reach = 0
+    for m in masks:
+        reach |= m
+    if reach != full:
+        return -1
+    best = len(masks) + 1 if full else 0
+
+    def search(left: int, masks: set[int], taken: int) -> None:
+        nonlocal best
+        while left:
+            masks = {m & left for m in masks} - {0}
+            ordered = sorted(masks, key=lambda m: -m.bit_count())
+            kept: list[int] = []
+            for m in ordered:
+                if not any(m | k == k for k in kept):
+                    kept.append(m)
+            if taken + -(-left.bit_count() // kept[0].bit_count()) >= best:
+                return
+            holders, rest = None, left
+            while rest:  # the bit that the fewest masks have
+                bit = rest & -rest
+                rest ^= bit
+                own = [m for m in kept if m & bit]
+                if holders is None or len(own) < len(holders):
+                    holders = own
+                    if len(own) == 1:
+                        break
+            if len(holders) > 1:
+                for m in holders:
+                    search(left & ~m, set(kept), taken + 1)
+                return
+            left, masks, taken = left & ~holders[0], set(kept), taken + 1
+        best = min(best, taken)
+
+    search(full, masks, 0)
+    return best
 
 
 def minimum_covers(groups: DataFrame) -> DataFrame:
-    """(query_id, n_cover): the fewest ids that meet every group of each query's (group_id, id) rows; a query has 62 groups at most.
+    """(query_id, n_cover): the fewest ids that meet every group of each query's (group_id, id) rows, however many groups it has.
 
-    What an id meets becomes a mask of bits in a grouped sum, so a query is as many masks as differ, however many ids it has.
+    What an id meets becomes a list of bit numbers in a grouped set, so a query is as many lists as differ, however many ids it has.
     """
     bit = F.dense_rank().over(W.partitionBy("query_id").orderBy("group_id")) - 1
     bits = groups.select("query_id", "group_id").distinct().withColumn("bit", bit)
-    full = bits.groupBy("query_id").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("full"))
-    met = groups.join(bits, ["query_id", "group_id"]).groupBy("query_id", "id").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    full = bits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    met = groups.join(bits, ["query_id", "group_id"]).groupBy("query_id", "id").agg(F.array_sort(F.collect_set("bit")).alias("mask"))
     masks = met.groupBy("query_id").agg(F.collect_set("mask").alias("masks")).join(full, "query_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"query_id": batch["query_id"], "n_cover": [minimum_cover(map(int, m), int(f)) for m, f in zip(batch["masks"], batch["full"], strict=True)]})
+            covers = [minimum_cover((sum(1 << int(b) for b in m) for m in own), (1 << int(n)) - 1) for own, n in zip(batch["masks"], batch["n"], strict=True)]
+            yield pd.DataFrame({"query_id": batch["query_id"], "n_cover": covers})
 
     return masks.mapInPandas(run, f"query_id {dict(groups.dtypes)['query_id']}, n_cover int")
 

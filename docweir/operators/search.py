@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import query_words, words
-from . import metric
+from ..functions.text import query_words
+from . import lexical, metric
 
 #: Words that a lexical query leaves out; must, should, may and not stay, since they carry a rule's force. Fixed values.
 STOP_WORDS = "a an and are as at be by for from in is it of on or that the this to was were what which who with".split()
@@ -23,8 +23,7 @@ def top_k(df: DataFrame, within: list[str], order: list, k: int, rank: str = "ra
 
 def query_terms(queries: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
     """(query_id, term): the distinct terms of each query's text that aren't stop words."""
-    kept = F.array_except(F.array_distinct(words(F.col("text"))), F.array(*map(F.lit, stop_words)).cast("array<string>"))
-    return queries.select("query_id", F.explode(kept).alias("term"))
+    return lexical.asked_terms(queries, lexical.plain, stop_words)
 
 
 def lexical_terms(queries: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
@@ -36,25 +35,15 @@ def lexical_terms(queries: DataFrame, stop_words: list[str] = STOP_WORDS) -> Dat
 def bm25(docs: DataFrame, terms: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, id, score) for rows of docs (id, text) that hold a query's terms (query_id, term).
 
-    Statistics are those of all docs. Only the terms asked for are counted after the words are split, so what is shuffled
-    follows the matches; lengths and their mean are gathered in the same pass as the words.
+    Statistics are those of all docs. Texts are split once, into compatible, lower-case words; see lexical.term_counts(),
+    whose result overlap() can share.
     """
-    split = docs.select("id", words(F.col("text")).alias("words"))
-    scope = split.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean"))
-    wanted = terms.select("term").distinct()
-    hits = split.select("id", F.size("words").alias("length"), F.explode("words").alias("term")).join(wanted, "term", "left_semi")
-    tf = hits.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rate = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = rate * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    weighed = tf.join(df, "term").join(F.broadcast(scope)).withColumn("part", part)  # scope is one row
-    return weighed.join(terms, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score")).filter("score > 0")
+    return lexical.bm25(lexical.term_counts(docs, terms), terms, k1, b)
 
 
 def overlap(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, id, overlap): how many of a query's terms (query_id, term) each row of docs (id, text) holds."""
-    held = docs.select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    return held.join(terms, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("overlap"))
+    return lexical.overlap(lexical.term_counts(docs, terms), terms)
 
 
 def fuse(rankings: dict[str, DataFrame], constant: int = 60) -> DataFrame:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from . import lexical
 from .search import STOP_WORDS
 
 #: Endings and what replaces them, tried from the longest on. Fixed values of the algorithm's steps 2, 3 and 4.
@@ -89,29 +88,38 @@ def stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf(T.StringType())
-def stem_column(words: pd.Series) -> pd.Series:
-    found = {w: stem(w) for w in words.dropna().unique()}
-    return words.map(found)
+_stems: dict[str, str] = {}
+
+
+def stems(text: str) -> list[str]:
+    """The stems of a text's folded words; a worker remembers some hundred thousand of them."""
+    if len(_stems) > 300_000:
+        _stems.clear()
+    out = []
+    for word in lexical.folded(text):
+        found = _stems.get(word)
+        if found is None:
+            found = _stems[word] = stem(word)
+        out.append(found)
+    return out
+
+
+def stemmed_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term): the stems of each query's words that aren't stop words."""
+    kept = lexical.asked_terms(queries, lexical.words, STOP_WORDS)
+    return lexical.asked_terms(kept.select("query_id", F.col("term").alias("text")), stems, [])
 
 
 def stemmed_bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, id, score) over stems, as a full-text index scores: rare stems more, common ones never below a floor.
 
-    docs has id and text, queries query_id and text; words are runs of letters and digits, stop words of queries are left
-    out before stemming. Each document's words are counted before they are stemmed, so a word is stemmed once for a
-    document, in Arrow batches.
+    docs has id and text, queries query_id and text; words are runs of letters and digits, diacritics folded, stop words of
+    queries left out before stemming. Texts are split and stemmed once, in Arrow batches.
     """
-    word = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0)
-    asked = queries.select("query_id", F.explode(F.array_except(F.array_distinct(word), F.array(*map(F.lit, STOP_WORDS)))).alias("w"))
-    terms = asked.select("query_id", stem_column("w").alias("term")).distinct()
-    counted = docs.select("id", F.explode(word).alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).alias("n"))
-    lengths = docs.select(F.size(word).alias("length"), "id")
-    scope = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
-    tf = counted.withColumn("term", stem_column("w")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.sum("n").alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rate = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rate = F.when(rate <= 0, 1e-6).otherwise(rate)
-    part = rate * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    weighed = tf.join(df, "term").join(lengths, "id").join(F.broadcast(scope)).withColumn("part", part)  # scope is one row
-    return weighed.join(terms, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    terms = stemmed_terms(queries)
+
+    def rate(docs: Column, df: Column) -> Column:
+        log = F.log((docs - df + 0.5) / (df + 0.5))
+        return F.when(log <= 0, 1e-6).otherwise(log)
+
+    return lexical.scored(lexical.term_counts(docs, terms, stems), terms, rate, k1, b)

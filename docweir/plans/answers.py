@@ -90,23 +90,24 @@ def claim_evidence_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.claim_evidence(claims, c.select("answer_id", F.col("position").alias("number"), "id", F.col("event_type").alias("quote"))).select("answer_id", "claim", "ids", "resolved", "unresolved")
 
 
-@query("SELECT doc_id AS answer_id, CASE WHEN doc_id % 5 = 4 THEN 'invalid' WHEN doc_id % 3 = 0 OR doc_id % 4 = 0 THEN 'needs_adjudication' ELSE 'reviewed' END AS status, list_filter([CASE WHEN doc_id % 4 = 0 THEN 'citation_out_of_range' END, CASE WHEN doc_id % 3 = 0 THEN 'claim_span_not_exact' END], lambda x: x IS NOT NULL) AS problems FROM documents WHERE length(trim(text)) > 20")
+@query("SELECT doc_id AS answer_id, CASE WHEN doc_id % 5 = 4 THEN 'invalid' WHEN odd OR doc_id % 4 = 0 THEN 'needs_adjudication' ELSE 'reviewed' END AS status, list_filter([CASE WHEN doc_id % 4 = 0 THEN 'citation_out_of_range' END, CASE WHEN odd THEN 'claim_span_not_exact' END], lambda x: x IS NOT NULL) AS problems FROM (SELECT doc_id, doc_id % 3 = 0 OR coalesce(length(text), 0) < 3 AS odd FROM documents)")
 def saved_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews of answers with text, held against these."""
-    d, k = table(spark, sf_dir, "documents").filter("length(trim(text)) > 20"), F.col("doc_id")
+    """Reviews of answers, held against these."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
     verdicts = F.array(*map(F.lit, [*cl.VERDICTS, "other"]))
     span = F.when(k % 3 == 0, F.concat(F.substring("text", 1, 5), F.lit("\u0001"))).otherwise(F.substring("text", 3, 9))
     claims = d.select(k.alias("answer_id"), span.alias("span"), F.array(F.lit(1), F.when(k % 4 == 0, 9).otherwise(2)).alias("numbers"))
     return cl.review_problems(d.select(k.alias("answer_id"), F.get(verdicts, (k % 5).cast("int")).alias("verdict")), claims, d.select(k.alias("answer_id"), "text", F.lit(3).alias("n_citations")))
 
 
-@query(f"WITH c AS (SELECT *, CASE WHEN event_type = 'click' THEN 'internal' WHEN event_type = 'view' THEN 'full_corpus' ELSE 'web' END AS tier, id % 6 AS doc FROM ({_C}) WHERE position <= 8), u AS (SELECT DISTINCT c.answer_id, tier FROM c WHERE position % 2 = 1 AND NOT (tier = 'full_corpus' AND EXISTS (SELECT 1 FROM c i WHERE i.answer_id = c.answer_id AND i.tier = 'internal' AND i.doc = c.doc))) SELECT answer_id, p AS position, tier FROM u JOIN (VALUES (1, 'web'), (2, 'internal'), (3, 'full_corpus')) t(p, tier) USING (tier)")
+@query(f"WITH c AS (SELECT *, CASE WHEN event_type = 'click' THEN 'internal' WHEN event_type = 'view' THEN 'full_corpus' ELSE 'web' END AS tier, id % 6 AS doc FROM ({_C})), u AS (SELECT DISTINCT c.answer_id, tier FROM c WHERE position % 2 = 1 AND NOT (tier = 'full_corpus' AND EXISTS (SELECT 1 FROM c i WHERE i.answer_id = c.answer_id AND i.tier = 'internal' AND i.doc = c.doc))) SELECT answer_id, p AS position, tier FROM u JOIN (VALUES (1, 'web'), (2, 'internal'), (3, 'full_corpus')) t(p, tier) USING (tier)")
 def tiers_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of evidence that answers cite by number."""
-    c = _citations(spark, sf_dir).filter("position <= 8")
+    c = _citations(spark, sf_dir)
     tier = F.when(F.col("event_type") == "click", "internal").when(F.col("event_type") == "view", "full_corpus").otherwise("web")
     own = c.select("answer_id", F.col("position").alias("number"), tier.alias("tier"), (F.col("id") % 6).alias("document_id"))
-    answers = c.select("answer_id").distinct().select("answer_id", F.lit("so [1], [3] and [5][7] say").alias("text"))
+    cited = F.transform(F.array_sort(F.collect_list(F.when(F.col("position") % 2 == 1, F.col("position")))), lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]")))
+    answers = c.groupBy("answer_id").agg(F.concat(F.lit("so "), F.array_join(cited, " and "), F.lit(" say")).alias("text"))
     sources = answers.select("answer_id", F.posexplode(F.array(F.lit("web"), F.lit("internal"), F.lit("full_corpus"))).alias("p", "tier"))
     return cl.cited_tiers(sources.select("answer_id", (F.col("p") + 1).alias("position"), "tier"), own, answers)
 
@@ -171,10 +172,19 @@ def partial_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cx.partial_context(packed, facets, e.filter("query_id % 3 = 0").select("query_id")).select("query_id", "allowed", "coverage_status")
 
 
-@query()
+_BREAK = cx.BREAK.replace("\n", "' || chr(10) || '")
+
+
+@query(
+    f"""WITH RECURSIVE b AS MATERIALIZED (SELECT lang AS query_id, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n, '[' || doc_id || '] ' || source || ', page 1' || chr(10) || text AS block FROM documents WHERE text <> ''),
+ g(query_id, n, used, taken, fits) AS (SELECT DISTINCT query_id, 0::BIGINT, 0::BIGINT, 0, true FROM b
+  UNION ALL SELECT b.query_id, b.n, CASE WHEN f THEN used + more ELSE used END, CASE WHEN f THEN taken + 1 ELSE taken END, f
+  FROM (SELECT b.query_id, b.n, used, taken, strlen(block) + CASE WHEN taken > 0 THEN {len(cx.BREAK)} ELSE 0 END AS more, used + strlen(block) + CASE WHEN taken > 0 THEN {len(cx.BREAK)} ELSE 0 END <= 20000 AS f FROM g JOIN b ON b.query_id = g.query_id AND b.n = g.n + 1) b)
+ SELECT query_id, coalesce(string_agg(block, '{_BREAK}' ORDER BY n) FILTER (WHERE fits), '') AS context, NOT bool_and(fits) AS truncated FROM g JOIN b USING (query_id, n) GROUP BY query_id"""
+)
 def flat_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered blocks of each source's texts up to a budget; a block that doesn't fit is passed over, so without SQL."""
-    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("position"), F.col("source").alias("file"), F.lit(1).alias("page"), "text").filter("position < 500")
+    """Numbered blocks of each language's texts up to a budget; a block that doesn't fit is passed over."""
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("position"), F.col("source").alias("file"), F.lit(1).alias("page"), "text")
     return cx.flat_context(d, 20_000)
 
 

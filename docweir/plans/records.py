@@ -279,10 +279,10 @@ def result_page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT doc_id, len(w) AS n_spans, w[1] AS first, CASE WHEN len(w) > 0 THEN strpos(text, w[1]) - 1 END AS start, w[len(w)] AS last FROM (SELECT doc_id, text, regexp_extract_all(text, '[^\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+') AS w FROM documents WHERE length(text) < 4000)")
+@query("SELECT doc_id, len(w) AS n_spans, w[1] AS first, CASE WHEN len(w) > 0 THEN strpos(text, w[1]) - 1 END AS start, w[len(w)] AS last FROM (SELECT doc_id, text, regexp_extract_all(text, '[^\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+') AS w FROM documents)")
 def question_span_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of questions with their places; a question has fewer than 4,000 characters."""
-    d = table(spark, sf_dir, "documents").filter(F.length("text") < 4000).withColumn("s", tx.question_spans(F.col("text")))
+    """Words of all texts, as of questions, with their places."""
+    d = table(spark, sf_dir, "documents").withColumn("s", tx.question_spans(F.col("text")))
     first, last = F.get("s", F.lit(0)), F.get("s", F.size("s") - 1)
     return d.select("doc_id", F.size("s").cast("long").alias("n_spans"), first["text"].alias("first"), first["start"].cast("long").alias("start"), last["text"].alias("last"))
 

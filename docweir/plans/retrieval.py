@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import dedup, metric, search, selection, stemming
+from ..operators import dedup, lexical, metric, search, selection, stemming
 from . import query, table
 
 STOP = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
@@ -39,10 +39,6 @@ def _by_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(scored, ["query_id"], [F.desc("score"), "id"], 20)
 
 
-def _by_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top_k(search.overlap(_docs(spark, sf_dir), _terms(spark, sf_dir)), ["query_id"], [F.desc("overlap"), "id"], 20)
-
-
 @query(f"WITH {_TERMS}, {_WORDS}, s AS ({_bm25_sql()}) SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 20")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents for each benchmark item by BM25."""
@@ -58,7 +54,12 @@ _FUSED = f"""WITH {_TERMS}, {_WORDS},
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = search.fuse({"bm25": _by_bm25(spark, sf_dir), "overlap": _by_overlap(spark, sf_dir)})
+    terms = _terms(spark, sf_dir)
+    counts = lexical.term_counts(_docs(spark, sf_dir), terms)  # both rankings are made of one pass over the texts
+    scored = lexical.bm25(counts, terms).withColumn("score", F.round("score", 6))
+    by_bm25 = search.top_k(scored, ["query_id"], [F.desc("score"), "id"], 20)
+    by_overlap = search.top_k(lexical.overlap(counts, terms), ["query_id"], [F.desc("overlap"), "id"], 20)
+    both = search.fuse({"bm25": by_bm25, "overlap": by_overlap})
     return both.withColumn("rrf_score", F.round("rrf_score", 9))
 
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from docweir.operators import chunking, evidence, html, merge, metrics, search, selection, stemming, structure
+from docweir.operators import chunking, evidence, html, lexical, merge, metrics, search, selection, stemming, structure
 
 
 def test_fuse_counts_first_ranks(spark):
@@ -143,20 +143,34 @@ def test_stemmed_scores_are_those_of_the_full_text_index(spark):
     import sqlite3
 
     rng = random.Random(5)
-    texts = {k: " ".join(rng.choices(WORDS, k=rng.randrange(3, 60))) for k in range(60)}
+    texts = {k: " ".join(rng.choices([*WORDS, "Café", "naïve", "Ärger", "résumés", "cafe\u0301"], k=rng.randrange(3, 60))) for k in range(60)}
     db = sqlite3.connect(":memory:")
     db.execute("create virtual table t using fts5(x, tokenize='porter unicode61')")
     db.executemany("insert into t(rowid, x) values (?, ?)", texts.items())
-    asked = ["the running policies of universities", "Hopping and happy"]
+    asked = ["the running policies of universities", "Hopping and happy", "cafés or a naive resume"]
     docs = spark.createDataFrame([*texts.items()], "id long, text string")
     got = stemming.stemmed_bm25(docs, spark.createDataFrame([*enumerate(asked)], "query_id long, text string"))
     found = {(r.query_id, r.id): r.score for r in got.collect()}
-    for k, q in enumerate(["running OR policies OR universities", "hopping OR happy"]):
+    for k, q in enumerate(["running OR policies OR universities", "hopping OR happy", "cafés OR naive OR resume"]):
         want = {i: -s for i, s in db.execute("select rowid, bm25(t) from t where t match ?", (q,))}
         assert {i for a, i in found if a == k} == want.keys()
         assert all(found[k, i] == pytest.approx(s, rel=1e-6) for i, s in want.items())
 
 
+def test_compatible_forms_and_terms_in_blocks(spark, monkeypatch):
+    """Full-width and other compatible forms are the plain words; any number of terms takes as many passes as it needs."""
+    docs = spark.createDataFrame([(1, "ﬁne Ｗｏｒｄｓ x²"), (2, "fine"), (3, None), (4, "words words")], "id long, text string")
+    terms = spark.createDataFrame([(9, "fine"), (9, "words"), (9, "x2"), (8, "words")], "query_id long, term string")
+    whole = {(r.query_id, r.id): r.score for r in search.bm25(docs, terms).collect()}
+    assert whole.keys() == {(9, 1), (9, 2), (9, 4), (8, 1), (8, 4)}
+    monkeypatch.setattr(lexical, "TERM_BYTES", 1)
+    again = {(r.query_id, r.id): r.score for r in search.bm25(docs, terms).collect()}
+    assert whole == pytest.approx(again)
+    assert {(r.query_id, r.id): r.overlap for r in search.overlap(docs, terms).collect()} == {(9, 1): 3, (9, 2): 1, (9, 4): 1, (8, 1): 1, (8, 4): 1}
+    assert lexical.plain("ﬁne Ｗｏｒｄｓ x²") == ["fine", "words", "x2"]
+    assert search.bm25(docs.limit(0), terms).collect() == []
+
+
 def test_aspects_and_merges(spark):
     c = spark.createDataFrame([(1, x, k, 0.1 * k, None) for k, x in enumerate("abcdef")], "query_id int, id string, position int, distance double, score double")
     a = spark.createDataFrame([(1, "p", "f", 0), (1, "p", "e", 1), (1, "p", "d", 2), (1, "q", "e", 0), (1, "q", "c", 1)], "query_id int, aspect string, id string, position int")
@@ -193,3 +207,74 @@ def test_layout_hints(spark):
     got = {r.line: r for r in crawl.layout_hints(spans).filter("page = 2").collect()}
     assert got[1].bold and got[1].large and got[1].heading_level == 1 and not got[2].large and got[2].heading_level == 2
     assert got[0].margin and not got[0].footnote and got[3].footnote and not got[3].margin
+
+
+def test_quotes_of_any_length(spark, monkeypatch):
+    docs = {k: t for k, t in enumerate(["the cat sat on the mat", "a cat. sat", "THE CAT", "ünï the cat sat", "", None, "x" * 500 + "needle" + "y" * 500, "aaaa"])}
+    chunks = spark.createDataFrame([(k, "d" if k % 2 == 0 else "e", k, k + 1, t) for k, t in docs.items()], "id long, document string, page_start int, page_end int, text string")
+    asked = [(q, d, 0, 9, t) for q, (d, t) in enumerate([("d", "cat"), ("e", "cat"), ("e", "the cat sat"), ("d", "needle"), ("e", "a"), ("e", "aa"), ("d", ""), ("d", None), (None, "cat"), ("d", "the cat sat on the mat")])]
+    asked += [(20, "e", 3, 3, "cat"), (21, "e", 50, 60, "cat"), (0, "d", 0, 9, "cat")]
+    quotes = spark.createDataFrame(asked, "quote_id long, document string, page_start int, page_end int, quote string")
+    want = sorted((q, k) for q, d, a, b, t in asked for k, x in docs.items() if t and x and d == ("d" if k % 2 == 0 else "e") and k <= b and k + 1 >= a and t in x)
+    assert sorted((r.quote_id, r.id) for r in metrics.resolve_anchors(quotes, chunks).collect()) == want
+    monkeypatch.setattr(metrics, "QUOTE_BYTES", 1)
+    assert sorted((r.quote_id, r.id) for r in metrics.resolve_anchors(quotes, chunks).collect()) == want
+    assert metrics.resolve_anchors(quotes.limit(0), chunks).collect() == []
+
+
+def test_covers_of_many_groups(spark):
+    import itertools
+    import time
+
+    dice = random.Random(6)
+    for _ in range(60):
+        n = dice.randrange(1, 9)
+        masks = [dice.randrange(1, 1 << n) for _ in range(dice.randrange(1, 8))]
+        full = (1 << n) - 1
+        want = next((k for k in range(1, len(masks) + 1) for c in itertools.combinations(masks, k) if sum({b for m in c for b in [1 << i for i in range(n) if m >> i & 1]}) == full), -1)
+        assert metrics.minimum_cover(masks, full) == want
+    began = time.time()
+    assert metrics.minimum_cover([1 << k for k in range(40)], (1 << 40) - 1) == 40 and time.time() - began < 1
+    rows = [(n, g, f"{g // 2}") for n in (63, 64, 70, 200) for g in range(n)] + [(2, g, i) for g in range(70) for i in (("a",) if g < 66 else ("b",))]
+    got = {r.query_id: r.n_cover for r in metrics.minimum_covers(spark.createDataFrame(rows, "query_id int, group_id int, id string")).collect()}
+    assert got == {63: 32, 64: 32, 70: 35, 200: 100, 2: 2}
+
+
+def test_language_model_on_held_out_texts(spark):
+    from docweir.operators import language
+
+    said = {"en": "the quick brown fox jumps over the lazy dog while the wind is blowing", "de": "der schnelle braune Fuchs springt über den faulen Hund während der Wind weht", "fr": "le renard brun rapide saute par dessus le chien paresseux pendant que le vent souffle", "bg": "бързата кафява лисица прескача мързеливото куче докато вятърът духа"}
+    dice = random.Random(1)
+    rows = [(k, lang, " ".join(dice.choices(text.split(), k=12))) for k in range(400) for lang, text in said.items()]
+    rows += [(9000, None, "nobody knows what language this is"), (9001, "en", None), (9002, "en", "short")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language.train(df.filter("doc_id % 4 <> 2").select(F.col("lang").alias("language"), "text"))
+    out = language.detect(df, model).collect()
+    held = [r for r in out if r.doc_id % 4 == 2 and r.doc_id < 9000]
+    assert sum(r.detected == r.lang for r in held) >= 0.99 * len(held)
+    odd = {r.doc_id: r.detected for r in out if r.doc_id >= 9000}
+    assert odd[9000] == "en" and odd[9001] is None and odd[9002] is None
+    assert model.detect("12345 67890 !!! ??? 111 222") is None and model.detect("  " + "a" * 19 + "  ") is None
+    empty = language.train(df.limit(0).select(F.col("lang").alias("language"), "text"))
+    assert {r.detected for r in language.detect(df, empty).collect()} == {None}
+
+
+def test_deep_pages_and_folded_anchors(spark):
+    from docweir.operators import claims, fields
+
+    deep = "<div>" * 100_000 + "<p>at the bottom</p>" + "</div>" * 100_000
+    root = fields.read(deep)
+    assert [e.text() for e in fields.select(root, "p")] == ["at the bottom"] and root.text() == "at the bottom"
+    assert claims.restored("ABC", "straße ßß abc def") == "abc"
+    assert claims.restored("STRASSE", "die Straße hier") == "Straße" and claims.restored("s", "ß") is None
+    assert claims.restored("x", "X and x") == "x" and claims.restored("Q", "q q") is None and claims.restored(" ", "a") is None
+    assert claims.restored("aa", "A" * 100_000) is None
+
+
+def test_flat_contexts_take_what_fits(spark):
+    from docweir.operators import contexts
+
+    pages = [("q", 1, "f", 1, "a" * 30), ("q", 2, "f", None, "b" * 500), ("q", 3, "f", 3, ""), ("q", 4, "f", 4, "d" * 20), ("q", 4, "f", 4, "d" * 20), ("r", 1, "f", 1, None), (None, 1, "g", 1, "null's")]
+    got = {r.query_id: r for r in contexts.flat_context(spark.createDataFrame(pages, "query_id string, position int, file string, page int, text string"), 150).collect()}
+    assert got["q"].context == contexts.BREAK.join(["[1] f, page 1\n" + "a" * 30, "[4] f, page 4\n" + "d" * 20]) and got["q"].truncated
+    assert got["r"].context == "" and not got["r"].truncated and got[None].context == "[1] g, page 1\nnull's"
