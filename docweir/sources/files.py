@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import mime_type
+from ..streaming import manifest
 
 SUFFIXES = ("pdf", "docx", "txt", "md")
 GOLD = """question_id string, split string, question string, answerability string, leakage_group string,
@@ -103,9 +104,31 @@ def catalogue_problems(entries: DataFrame) -> DataFrame:
     return entries.withColumn("problem", wrong).filter("problem is not null")
 
 
-def write_groups(new: DataFrame, path: str, key: str) -> None:
-    """Replace whole groups of a dataset that is partitioned by key; other groups' files stay as they are."""
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def write_groups(new: DataFrame, root: str, key: str, buckets: int = 64) -> None:
+    """Replace whole groups of a dataset that lies in buckets by a hash of its key; all other groups stay as they are.
+
+    The buckets that new's keys fall into are written anew beside the old ones and a manifest is committed, so a reader sees
+    all of it or nothing, and there are as many directories as buckets, however many groups. See read_groups().
+    """
+    spark, number = new.sparkSession, (known := manifest.last(new.sparkSession, root))["batch"] + 1
+    n = known.get("buckets_n", buckets)
+    dealt = new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).persist()
+    try:
+        touched = [r.bucket for r in dealt.select("bucket").distinct().collect()]  # as many as buckets
+        held = manifest.read(spark, known, new.schema, touched)
+        stays = held.join(new.select(key).distinct(), key, "left_anti").select(*new.columns)
+        both = dealt.unionByName(stays.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")))
+        folder = manifest.fresh(root, number)
+        both.repartition(max(1, min(len(touched), 64)), "bucket").write.partitionBy("bucket").parquet(folder)
+    finally:
+        dealt.unpersist()
+    manifest.commit(spark, root, {"batch": number, "buckets_n": n, "dirs": dict(known["dirs"]) | {str(b): f"{folder}/bucket={b}" for b in touched}})
+    manifest.sweep(spark, root)
+
+
+def read_groups(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The groups as the last write_groups() left them."""
+    return manifest.read(spark, manifest.last(spark, root), schema)
 
 
 def unknown_kinds(files: DataFrame) -> DataFrame:

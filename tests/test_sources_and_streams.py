@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from docweir.sources import files
+from docweir.sources import files, library
 from docweir.streaming import crawl, threads
 
 
@@ -54,9 +54,72 @@ def test_gold_and_catalogue(spark, tmp_path):
 
 def test_replacing_groups(spark, tmp_path):
     path = str(tmp_path / "out")
-    files.write_groups(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), path, "k")
-    files.write_groups(spark.createDataFrame([(2, "c")], "k int, v string"), path, "k")
-    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c")]
+    files.write_groups(spark.createDataFrame([(k, f"a{k}") for k in range(500)], "k int, v string"), path, "k", buckets=8)
+    files.write_groups(spark.createDataFrame([(2, "c"), (2, "d")], "k int, v string"), path, "k")
+    got = files.read_groups(spark, path, "k int, v string")
+    assert sorted((r.k, r.v) for r in got.filter("k < 4").collect()) == [(0, "a0"), (1, "a1"), (2, "c"), (2, "d"), (3, "a3")] and got.count() == 501
+    assert len(list((tmp_path / "out").glob("data/*/bucket=*"))) == 9  # of the bucket that was replaced the old one is still there for readers
+    files.write_groups(spark.createDataFrame([], "k int, v string"), path, "k")
+    assert files.read_groups(spark, path, "k int, v string").count() == 501
+
+
+def _library(tmp_path):
+    folder = tmp_path / "lib"
+    (folder / "deep").mkdir(parents=True)
+    (folder / "a.txt").write_text(" plain \n")
+    (folder / "deep" / "b.docx").write_bytes(docx(["one"], [["x", "y"]]))
+    (folder / "deep" / "c.docx").write_bytes(b"PK broken")
+    (folder / "d.exe").write_bytes(b"MZ")
+    (folder / "e").write_bytes(b"none")
+    (folder / "f.txt").write_bytes(b"nul \x00")
+    (folder / "gold.jsonl").write_text('{"question_id": "q1"}\n\n{"question_id": "q2"}\n')
+    (folder / "bad.jsonl").write_text('{"question_id": "q1"}\nnot json\n')
+    (folder / "store.json").write_text('{"documents": [{"id": "x"}, {"id": "y"}]}')
+    (folder / "_hidden.txt").write_text("no")
+    return folder
+
+
+def test_a_library_is_a_data_source(spark, tmp_path, monkeypatch):
+    folder = _library(tmp_path)
+    library.register(spark, {"rot": lambda content: [content.decode()[::-1]]})
+    (folder / "own.rot").write_text("olleh")
+    rows = spark.read.format(library.FORMAT).load(str(folder)).collect()
+    name = lambda r: r.path.rpartition("/")[2]
+    good = {(name(r), r.page): r.text for r in rows if r.error is None}
+    assert good[("a.txt", 1)] == "plain" and good[("b.docx", 1)] == "one\n\nx | y" and good[("own.rot", 1)] == "hello"
+    assert json.loads(good[("gold.jsonl", 2)]) == {"question_id": "q2"} and json.loads(good[("store.json", 1)]) == {"id": "x"} and len(good) == 7
+    bad = {name(r): r.error for r in rows if r.error}
+    assert bad.keys() == {"c.docx", "d.exe", "e", "f.txt", "bad.jsonl"} and bad["d.exe"] == "no extractor for exe" and "JSON" in bad["bad.jsonl"]
+
+
+def test_filters_choose_files_and_partitions_are_planned(spark, tmp_path, monkeypatch):
+    folder = _library(tmp_path)
+    reader = library.Reader(str(folder), library.EXTRACTORS)
+    left = list(reader.pushFilters([library.EqualTo(("suffix",), "txt"), library.EqualTo(("page",), 1)]))
+    assert [f.attribute for f in left] == [("page",)]
+    assert sorted(p.rpartition("/")[2] for part in reader.partitions() for p, _, _ in part.files) == ["a.txt", "f.txt"]
+    monkeypatch.setattr(library, "PARTITION_BYTES", 1)
+    assert len(library.Reader(str(folder), library.EXTRACTORS).partitions()) == 9
+    library.register(spark)
+    held = spark.read.format(library.FORMAT).load(str(folder)).filter("suffix in ('txt', 'exe') and error is null")
+    assert [r.text for r in held.collect()] == ["plain"]
+    assert spark.read.format(library.FORMAT).load(str(folder / "deep")).filter("suffix = 'none'").count() == 0
+
+
+def test_a_library_is_followed(spark, tmp_path):
+    folder = _library(tmp_path)
+    library.register(spark)
+    seen = []
+    stream = lambda: spark.readStream.format(library.FORMAT).load(str(folder)).filter("error is null")
+    for k in range(2):
+        query = stream().writeStream.foreachBatch(lambda df, n: seen.extend((r.path.rpartition("/")[2], r.page) for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+        if not k:
+            assert sorted(seen) == [("a.txt", 1), ("b.docx", 1), ("gold.jsonl", 1), ("gold.jsonl", 2), ("store.json", 1), ("store.json", 2)]
+            seen.clear()
+            (folder / "deep" / "new.md").write_text("# new")
+    assert seen == [("new.md", 1)]
 
 
 def test_streamed_merges(spark, tmp_path):
