@@ -117,10 +117,25 @@ def test_html_to_markdown(spark):
     <span hidden>gone</span></p><ul><li>i</li><li>j</li></ul><ol><li>k</li></ol><table><tr><td>1</td><td>2</td></tr></table><script>z</script></main><footer>no</footer></body></html>"""
     row = html.clean_pages(spark.createDataFrame([(1, "http://h/p/", page), (2, None, None)], "page_id int, url string, html string")).orderBy("page_id").collect()
     assert row[0].title == "A T" and row[0].links == ["http://h/x?a=1"]
-    assert row[0].markdown == "## Head\n\none **two** [link](http://h/x?a=1)\nthree\n\n- i\n- j\n\n1. k\n\n| 1 | 2 |"
+    assert row[0].markdown == "## Head\n\none **two** [link](http://h/x?a=1) three\n\n- i\n- j\n\n1. k\n\n| 1 | 2 |\n| --- | --- |"
     assert (row[1].title, row[1].markdown, row[1].links) == (None, "", [])
 
 
+def test_pages_by_selectors_and_their_assets(spark):
+    page = """<body><div class="side">side</div><div id="text"><p><i class="fa fa-home"></i>go <em> far </em><code>x  y</code></p><blockquote>a<br>b</blockquote>
+    <pre>one
+      two</pre><p>** Added by: someone</p><p>** -</p><a href="/f.PDF?x=1#p"> the <b>file</b></a><a href="n.html" download>N</a><a href="n.html" download>again</a><a href="plain.html">p</a>
+    <div class="ad">buy</div><div class="share"><a href="s.pdf">s</a></div></div></body>"""
+    df = spark.createDataFrame([(1, "http://h/d/", page)], "page_id int, url string, html string")
+    row = html.clean_pages(df, "#text", ".ad, .none").first()
+    assert row.markdown == "go *far*`x y`\n\n> a\n> b\n\n```\none\n two\n```\n**Added by:** someone\n\n[the **file**](http://h/f.PDF?x=1#p) [N](http://h/d/n.html) [again](http://h/d/n.html) [p](http://h/d/plain.html)".replace("\n two", "\ntwo")
+    assert [tuple(a) for a in row.assets] == [("http://h/f.PDF?x=1#p", "pdf", "the file", "application/pdf"), ("http://h/d/n.html", "attachment", "N", None)]
+    assert html.clean_pages(df, "#nothing").first().markdown == "" and "side" in html.clean_pages(df).first().markdown
+    assert html.normalise("a \r\n\r b\rc\n ** -\n\n\nd") == "a\n\nb\nc\n\nd"
+    deep = "<div>" * 20_000 + "end"
+    assert html.clean_page(deep, "")[1] == "end"
+
+
 WORDS = """caresses ponies ties cats feed agreed plastered motoring sing conflated troubled sized hopping falling hissing failing filing happy sky relational
 conditional rational valenci digitizer conformabli radicalli differentli vileli analogousli vietnamization predication operator feudalism decisiveness hopefulness
 callousness formaliti sensitiviti sensibiliti triplicate formative formalize electriciti electrical hopeful goodness revival allowance inference airliner gyroscopic
