@@ -49,30 +49,22 @@ def structure_unit(section_id: Column, path: Column, id_: Column) -> Column:
     return F.coalesce(F.concat(F.lit("section:"), section_id), joined, F.concat(F.lit("chunk:"), id_.cast("string")))
 
 
-def backfill_sections(rows: pd.DataFrame, limit: int, protected: int = 6) -> pd.DataFrame:
-    """Greedy choice for one query: the first few stay, then chunks of sections not seen yet by rrf_score, then the rest by it.
+def protected_backfill(candidates: DataFrame, limit: int, protected: int = 6) -> DataFrame:
+    """(query_id, id, rank, reason): of candidates (query_id, id, position, rrf_score, unit) the first few by position, then the best
+    fused one of each unit that isn't among them yet, then the best of the others, limit in all.
 
-    A function for applyInPandas; rows are one query's bounded candidates.
+    Taking the best of a new unit again and again is taking each unit's first in the order of the scores, so windows say it.
+    An id that stands twice counts by its first position; rows without a unit are of one unit.
     """
-    rows = rows.sort_values("position").drop_duplicates("id")
-    kept = rows.head(min(protected, limit)).assign(reason="protected")
-    rest = rows.iloc[len(kept) :].sort_values(["rrf_score", "position"], ascending=[False, True])
-    covered, chosen = set(kept["unit"]), []
-    while len(kept) + len(chosen) < limit and len(rest):
-        fresh = rest[~rest["unit"].isin(covered)]
-        row = (fresh if len(fresh) else rest).iloc[0]
-        chosen.append({**row.to_dict(), "reason": "new section" if len(fresh) else "same section"})
-        covered.add(row["unit"])
-        rest = rest[rest["id"] != row["id"]]
-    out = pd.concat([kept, pd.DataFrame(chosen, columns=[*rows.columns, "reason"])]) if chosen else kept
-    return out.assign(rank=range(1, len(out) + 1))[["query_id", "id", "rank", "reason"]]
-
-
-def protected_backfill(candidates: DataFrame, limit: int, protected: int = 6) -> DataFrame:
-    """(query_id, id, rank, reason) by backfill_sections() for each query."""
-    kinds = dict(candidates.dtypes)
-    schema = f"query_id {kinds['query_id']}, id {kinds['id']}, rank int, reason string"
-    return candidates.select("query_id", "id", "position", "rrf_score", "unit").groupBy("query_id").applyInPandas(lambda x: backfill_sections(x, limit, protected), schema)
+    over = lambda *keys: W.partitionBy("query_id", *keys)
+    once = candidates.select("query_id", "id", "position", "rrf_score", "unit").withColumn("_n", F.row_number().over(over("id").orderBy("position"))).filter("_n = 1")
+    placed = once.withColumn("_p", F.row_number().over(over().orderBy("position", "id"))).withColumn("_kept", F.col("_p") <= min(protected, limit))
+    order = [F.desc("rrf_score"), F.asc("position"), F.asc("id")]
+    first = F.row_number().over(over("unit", "_kept").orderBy(*order)) == 1
+    marked = placed.withColumn("_new", ~F.col("_kept") & first & ~F.max("_kept").over(over("unit")))
+    rank = F.row_number().over(over().orderBy(F.desc("_kept"), F.when(F.col("_kept"), F.col("_p")), F.desc("_new"), *order))
+    reason = F.when(F.col("_kept"), "protected").when(F.col("_new"), "new section").otherwise("same section")
+    return marked.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query_id", "id", "rank", reason.alias("reason"))
 
 
 def parents(children: DataFrame, largest: int = 1500) -> DataFrame:

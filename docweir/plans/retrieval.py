@@ -163,18 +163,35 @@ def gate_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.sufficiency(found.select("query_id", "distance", score.alias("score"), F.lit("x" * 30).alias("text")), 0.55, 1.0)
 
 
-@query()
+@query(
+    f"""{_FUSED.replace("WITH ", "WITH RECURSIVE ", 1)},
+ k AS MATERIALIZED (SELECT query_id, CAST(id AS VARCHAR) AS context_id, source AS document, CAST(floor(strlen(text) / 4) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, CAST(id AS VARCHAR)) AS n FROM f JOIN documents ON doc_id = id),
+ g(query_id, n, used, cnt, docs, reason) AS (SELECT DISTINCT query_id, 0::BIGINT, 0::BIGINT, 0, []::VARCHAR[], '' FROM k
+  UNION ALL SELECT query_id, n, CASE WHEN why = 'packed' THEN used + tokens ELSE used END, CASE WHEN why = 'packed' THEN cnt + 1 ELSE cnt END, CASE WHEN why = 'packed' THEN list_append(docs, document) ELSE docs END, why
+  FROM (SELECT k.query_id, k.n, used, cnt, docs, tokens, document, CASE WHEN cnt >= 8 THEN 'over the cap' WHEN len(list_filter(docs, lambda x: x = document)) >= 2 THEN 'over the document''s cap' WHEN used + tokens > 6000 THEN 'over the budget' ELSE 'packed' END AS why FROM g JOIN k ON k.query_id = g.query_id AND k.n = g.n + 1)),
+ p AS MATERIALIZED (SELECT * FROM g WHERE n > 0),
+ l AS MATERIALIZED (SELECT p.query_id, p.n, tokens, row_number() OVER (PARTITION BY p.query_id ORDER BY p.n) AS j FROM p JOIN k USING (query_id, n) WHERE reason = 'over the document''s cap'),
+ h(query_id, j, used, cnt, fits) AS (SELECT query_id, 0::BIGINT, arg_max(used, n), arg_max(cnt, n), false FROM p GROUP BY query_id
+  UNION ALL SELECT query_id, j, CASE WHEN ok THEN used + tokens ELSE used END, CASE WHEN ok THEN cnt + 1 ELSE cnt END, ok FROM (SELECT l.query_id, l.j, used, cnt, tokens, cnt < 8 AND used + tokens <= 6000 AS ok FROM h JOIN l ON l.query_id = h.query_id AND l.j = h.j + 1))
+ SELECT p.query_id, context_id, n AS place, CASE WHEN fits THEN 'packed late' ELSE reason END AS reason FROM p JOIN k USING (query_id, n) LEFT JOIN l USING (query_id, n) LEFT JOIN h USING (query_id, j)"""
+)
 def pack_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fused documents packed into each item's context under a token budget; order-dependent, so without SQL."""
+    """Fused documents packed into each item's context under a token budget."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("document_id"), F.floor(F.octet_length("text") / 4).cast("int").alias("tokens"))
     found = fused(spark, sf_dir).join(docs, "id")
     blocks = found.select("query_id", F.col("id").cast("string").alias("context_id"), "document_id", "tokens", F.col("rrf_score").alias("score"))
     return selection.pack_contexts(blocks, 6000, 8, 2, backfill=True)
 
 
-@query()
+@query(
+    f"""{_FUSED}, c AS (SELECT query_id, id, source AS unit, rrf_score, coalesce(bm25_rank, 1000) * 100 + coalesce(overlap_rank, 99) AS position FROM f JOIN documents ON doc_id = id),
+ p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position, id) AS p FROM c),
+ m AS (SELECT *, p <= 6 AS kept, bool_or(p <= 6) OVER (PARTITION BY query_id, unit) AS has, row_number() OVER (PARTITION BY query_id, unit, p <= 6 ORDER BY rrf_score DESC, position, id) = 1 AS first FROM p),
+ r AS (SELECT *, NOT kept AND NOT has AND first AS fresh, row_number() OVER (PARTITION BY query_id ORDER BY kept DESC, CASE WHEN kept THEN p END, (NOT kept AND NOT has AND first) DESC, rrf_score DESC, position, id) AS rank FROM m)
+ SELECT query_id, id, rank, CASE WHEN kept THEN 'protected' WHEN fresh THEN 'new section' ELSE 'same section' END AS reason FROM r WHERE rank <= 10"""
+)
 def backfilled_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fused documents, the first few protected, then one of each source not seen yet; greedy, so without SQL."""
+    """Fused documents, the first few protected, then one of each source not seen yet."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("unit"))
     found = fused(spark, sf_dir).withColumn("position", F.coalesce("bm25_rank", F.lit(1000)) * 100 + F.coalesce("overlap_rank", F.lit(99)))
     return selection.protected_backfill(found.join(docs, "id"), 10)

@@ -50,10 +50,32 @@ def test_packing_skips_and_backfills():
     assert plain["b"] == "over the budget" and plain["c"] == "packed"
 
 
-def test_backfill_prefers_new_sections():
-    rows = pd.DataFrame({"query_id": 1, "id": list("abcdef"), "position": range(6), "rrf_score": [9, 8, 7, 6, 5, 4.0], "unit": list("ssstut")})
-    got = selection.backfill_sections(rows, 4, protected=2)
-    assert list(got["id"]) == ["a", "b", "d", "e"] and list(got["reason"])[2:] == ["new section"] * 2
+def test_backfill_prefers_new_sections(spark):
+    rows = [(1, i, p, float(9 - p), u) for p, (i, u) in enumerate(zip("abcdef", "ssstut", strict=True))]
+    one = spark.createDataFrame(rows, "query_id int, id string, position int, rrf_score double, unit string")
+    got = selection.protected_backfill(one, 4, protected=2).orderBy("rank").collect()
+    assert [r.id for r in got] == ["a", "b", "d", "e"] and [r.reason for r in got][2:] == ["new section"] * 2
+
+
+def test_backfill_is_the_greedy_choice(spark):
+    """Windows choose what taking the best of a new unit again and again does."""
+    dice = random.Random(2)
+    rows, want = [], []
+    for q in range(25):
+        own = [(q, f"i{k}", k, dice.choice([1.0, 2.0, 3.0]) + k / 1000, dice.choice(["a", "b", "c", "d", None])) for k in range(dice.randrange(1, 15))]
+        rows += own
+        kept, rest = own[:3], sorted(own[3:], key=lambda r: (-r[3], r[2]))
+        units, chosen = {r[4] for r in kept}, [(r, "protected") for r in kept]
+        while len(chosen) < 8 and rest:
+            fresh = [r for r in rest if r[4] not in units]
+            row = (fresh or rest)[0]
+            chosen.append((row, "new section" if fresh else "same section"))
+            units.add(row[4])
+            rest.remove(row)
+        want += [(q, r[1], n + 1, why) for n, (r, why) in enumerate(chosen)]
+    rows += rows[:5]
+    frame = spark.createDataFrame(rows, "query_id int, id string, position int, rrf_score double, unit string")
+    assert sorted(tuple(r) for r in selection.protected_backfill(frame, 8, 3).collect()) == sorted(want)
 
 
 @pytest.mark.parametrize("seed", range(20))
