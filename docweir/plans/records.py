@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls
-from ..operators import records as r
+from ..operators import metadata, records as r
 from . import query, table
 
 
@@ -351,3 +351,26 @@ def section_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("tokens"))
     found = r.section_audit(o, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("section_id")))
     return found.select("n_sections", *(F.round(c, 9).alias(c) for c in ("single_share", "tiny_share", "mean_children")))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS id, source || '.txt' AS name, strlen(text) AS size, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime(ts, '%f') <> '000000' THEN '.' || strftime(ts, '%f') ELSE '' END AS uploaded_at, CASE WHEN event_type <> 'error' THEN strftime(ts, '%Y-%m-%d') END AS publication_date, [lang, source] AS keywords, [] AS policy_areas, coalesce(CASE WHEN n_chars > 1000 THEN n_chars // 1000 END, 0) AS page_count, true AS approved
+ FROM documents LEFT JOIN events ON event_id = doc_id""")
+def metadata_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as their metadata is shown, with the time of the event of their number."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    d = table(spark, sf_dir, "documents").join(e, F.col("doc_id") == F.col("event_id"), "left")
+    rows = d.select(
+        F.col("doc_id").alias("id"), F.concat("source", F.lit(".txt")).alias("original_filename"), F.octet_length("text").cast("long").alias("file_size"), F.col("ts").alias("uploaded_at"),
+        F.when(F.col("event_type") != "error", F.to_date("ts")).alias("publication_date"), F.concat_ws("; ", "lang", "source").alias("keywords"), F.when(F.col("n_chars") > 1000, F.floor(F.col("n_chars") / 1000)).alias("page_count"),
+    )
+    return metadata.projection(rows).select("id", "name", "size", "uploaded_at", "publication_date", "keywords", "policy_areas", "page_count", "approved")
+
+
+@query("SELECT event_id FROM events WHERE contains(event_type, 'i') OR contains(json_extract_string(props, '$.k'), '7')")
+def metadata_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose nested metadata has a query in a key or a value at any depth: their kind is a key, their properties below it."""
+    e = table(spark, sf_dir, "events")
+    nested = F.concat(F.lit('{"'), F.col("event_type"), F.lit('":[{"'), F.lit('in":'), F.col("props"), F.lit("}]}"))
+    held = metadata.parsed(e.select("event_id", nested.alias("json")), "json")
+    both = metadata.leaves(held, "event_id", "metadata").filter("name is null or name <> 'in'")
+    return both.filter("contains(name, 'i') or contains(value, '7')").select("event_id").distinct()
