@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls
-from ..operators import metadata, records as r
+from ..operators import grams, metadata
+from ..operators import records as r
 from . import query, table
 
 
@@ -374,3 +375,12 @@ def metadata_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = metadata.parsed(e.select("event_id", nested.alias("json")), "json")
     both = metadata.leaves(held, "event_id", "metadata").filter("name is null or name <> 'in'")
     return both.filter("contains(name, 'i') or contains(value, '7')").select("event_id").distinct()
+
+
+@query("SELECT item_id AS query_id, doc_id AS id FROM (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN substr(text, 2, 2) ELSE substr(text, 4, 3 + item_id % 9) END AS q FROM benchmark) JOIN documents ON contains(lower(text), lower(q)) WHERE q <> ''")
+def substring_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold pieces of benchmark items, long and short, by a trigram index."""
+    b, k = table(spark, sf_dir, "benchmark"), F.col("item_id")
+    piece = F.when(k % 5 == 0, F.substr("text", F.lit(2), F.lit(2))).otherwise(F.substr("text", F.lit(4), (3 + k % 9).cast("int")))
+    index = grams.build(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), F.col("text"))
+    return grams.search(index, b.select(k.alias("query_id"), piece.alias("query")))
