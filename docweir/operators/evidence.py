@@ -19,8 +19,14 @@ def best_cover(options: dict[str, list[frozenset]], tokens: dict, limit: int) ->
 
     Requirements are few and bundles small; of one state the choice that covers most is held, and of all at most STATES.
     """
+    return _cover(options, tokens, limit)[:2]
+
+
+def _cover(options: dict[str, list[frozenset]], tokens: dict, limit: int) -> tuple[frozenset, list[str], bool]:
+    """best_cover() and whether states were dropped on its way, so that a better one may have been missed."""
     cost = lambda ids: (len(ids), sum(tokens.get(i, 0) for i in ids), sorted(ids, key=str))
     states: dict[frozenset, tuple[str, ...]] = {frozenset(): ()}
+    dropped = False
     for name, bundles in options.items():
         minimal = [b for b in bundles if b and not any(o < b for o in bundles if o)]
         after = dict(states)
@@ -30,24 +36,37 @@ def best_cover(options: dict[str, list[frozenset]], tokens: dict, limit: int) ->
                 if len(merged) <= limit and len(covered) + 1 > len(after.get(merged, ())):
                     after[merged] = (*covered, name)
         order = sorted(after.items(), key=lambda x: (-len(x[1]), *cost(x[0])))
+        dropped |= len(order) > STATES
         states = dict(order[:STATES])
     ids, covered = min(states.items(), key=lambda x: (-len(x[1]), *cost(x[0])))
-    return ids, list(covered)
+    return ids, list(covered), dropped
 
 
 def evidence_sets(bundles: DataFrame, limit: int = 8) -> DataFrame:
-    """(query_id, ids, covered, uncovered) from (query_id, requirement, bundle, id, tokens): ORs of bundles of ANDed ids."""
+    """(query_id, ids, covered, uncovered, dropped) from (query_id, requirement, bundle, id, tokens): ORs of bundles of ANDed ids.
+
+    A bundle becomes one row with its set of ids; those of more than limit ids, which can't be used, and repeated sets go
+    before a query's sets come together. dropped says that the search had more states than STATES, the first of which it held.
+    """
+    sets = bundles.groupBy("query_id", "requirement", "bundle").agg(F.array_sort(F.collect_set(F.struct("id", "tokens"))).alias("held"))
+    usable = sets.filter(F.size("held") <= limit).groupBy("query_id", "requirement", "held").agg(F.min("bundle").alias("bundle"))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         options: dict[str, list[frozenset]] = {}
-        for (need, _), g in rows.groupby(["requirement", "bundle"], sort=True):
-            options.setdefault(need, []).append(frozenset(g["id"]))
-        ids, covered = best_cover(options, dict(zip(rows["id"], rows["tokens"], strict=True)), limit)
-        return pd.DataFrame({"query_id": [rows["query_id"].iloc[0]], "ids": [sorted(ids)], "covered": [covered], "uncovered": [[n for n in options if n not in covered]]})
+        tokens: dict = {}
+        for r in rows.sort_values(["requirement", "bundle"]).itertuples():
+            options.setdefault(r.requirement, []).append(frozenset(x["id"] for x in r.held))
+            tokens |= {x["id"]: x["tokens"] for x in r.held}
+        ids, covered, dropped = _cover(options, tokens, limit)
+        return pd.DataFrame({"query_id": [rows["query_id"].iloc[0]], "ids": [sorted(ids)], "covered": [covered], "dropped": [dropped]})
 
     kinds = dict(bundles.dtypes)
-    schema = f"query_id {kinds['query_id']}, ids array<{kinds['id']}>, covered array<string>, uncovered array<string>"
-    return bundles.groupBy("query_id").applyInPandas(one, schema)
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    found = usable.groupBy("query_id").applyInPandas(one, f"query_id {kinds['query_id']}, ids array<{kinds['id']}>, covered array<string>, dropped boolean")
+    named = bundles.groupBy("query_id").agg(F.array_sort(F.collect_set("requirement")).alias("names"))  # a query's few requirements
+    met = named.join(found, "query_id", "left")
+    covered = F.coalesce("covered", none("string"))
+    return met.select("query_id", F.coalesce("ids", none(kinds["id"])).alias("ids"), covered.alias("covered"), F.array_except("names", covered).alias("uncovered"), F.coalesce("dropped", F.lit(False)).alias("dropped"))
 
 
 def audit_citations(answers: DataFrame, citations: DataFrame) -> DataFrame:

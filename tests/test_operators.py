@@ -90,6 +90,21 @@ def test_best_cover_is_best(seed):
     assert (met(got), -len(got)) == best and len(covered) == best[0]
 
 
+def test_evidence_sets_of_queries(spark):
+    rows = [("q", "r1", "b1", i, 1) for i in "ab"] + [("q", "r1", "b2", i, 1) for i in "ab"] + [("q", "r1", "b3", "c", 9), ("q", "r2", "b1", "a", 1), ("q", "r3", "b1", "z", 2)]
+    rows += [("q", "r4", "big", f"x{k}", 1) for k in range(9)] + [("p", "r1", "big", f"x{k}", 1) for k in range(9)]
+    got = {r.query_id: r for r in evidence.evidence_sets(spark.createDataFrame(rows, "query_id string, requirement string, bundle string, id string, tokens int"), 4).collect()}
+    assert (got["q"].ids, got["q"].covered, got["q"].uncovered, got["q"].dropped) == (["a", "b", "z"], ["r1", "r2", "r3"], ["r4"], False)
+    assert (got["p"].ids, got["p"].covered, got["p"].uncovered) == ([], [], ["r1"])
+
+
+def test_dropped_states_are_told(monkeypatch):
+    options = {f"r{k}": [frozenset({f"a{k}"}), frozenset({f"b{k}"})] for k in range(5)}
+    assert not evidence._cover(options, {}, 8)[2]
+    monkeypatch.setattr(evidence, "STATES", 4)
+    assert evidence._cover(options, {}, 8)[2]
+
+
 def test_audits(spark):
     answers = spark.createDataFrame([("a", "see [1] and [4]"), ("b", "none")], "answer_id string, text string")
     cites = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "answer_id string, number int")
