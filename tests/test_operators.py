@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from docweir.operators import chunking, evidence, html, lexical, merge, metrics, search, selection, stemming, structure
+from docweir.operators import chunking, evidence, html, lexical, merge, metric, metrics, search, selection, stemming, structure
 
 
 def test_fuse_counts_first_ranks(spark):
@@ -17,7 +17,8 @@ def test_fuse_counts_first_ranks(spark):
 
 
 def test_knn_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(metric, "PART", 2)
+    monkeypatch.setattr(metric, "VISITORS", 2)
     v = spark.createDataFrame([(k, [float(k % 3), 1.0]) for k in range(9)], "id long, embedding array<double>")
     q = v.filter("id < 5").select(F.col("id").alias("query_id"), "embedding")
     rows = search.batch_knn(v, q, 2, exclude_self=True).collect()
