@@ -48,15 +48,15 @@ def languages_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH RECURSIVE h AS MATERIALIZED (SELECT DISTINCT url, unnest(regexp_extract_all(html, '<a\\b[^>]*\\bhref="([^"]*)"', 1)) AS href FROM pages),
  e AS MATERIALIZED (SELECT url AS source, href AS target FROM h UNION SELECT href, url FROM h),
- r(url, depth) AS (SELECT DISTINCT url, 0 FROM pages WHERE page_id = 1 UNION SELECT target, depth + 1 FROM r JOIN e ON source = url WHERE depth < 20)
+ r(url, depth) AS (SELECT DISTINCT url, 0 FROM pages WHERE contains(url, '/de/') UNION SELECT target, depth + 1 FROM r JOIN e ON source = url WHERE depth < 20)
  SELECT url, min(depth) AS depth FROM r GROUP BY url"""
 )
 def page_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages and menu entries that lead to each other, by the fewest steps from one page, twenty at most."""
+    """Pages and menu entries that lead to each other, by the fewest steps from the pages of one language, twenty at most."""
     page = table(spark, sf_dir, "pages")
     held = page.select("url", F.explode(html.hrefs(F.col("html"))).alias("href"))
     links = held.select(F.col("url").alias("source"), F.col("href").alias("target"))
-    return graph.reachable(page.filter("page_id = 1").select("url"), links.unionByName(links.select(F.col("target").alias("source"), F.col("source").alias("target"))), 20)
+    return graph.reachable(page.filter("contains(url, '/de/')").select("url"), links.unionByName(links.select(F.col("target").alias("source"), F.col("source").alias("target"))), 20)
 
 
 @query("SELECT source AS doc, key AS line_key, count(DISTINCT doc_id) AS n_pages FROM (SELECT source, doc_id, lower(regexp_replace(trim(regexp_replace(line, '\\s+', ' ', 'g')), '\\d+', '#', 'g')) AS key, pos, n FROM (SELECT source, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos, len(ls) AS n FROM (SELECT source, doc_id, list_filter(string_split('Journal of Notes, page ' || doc_id || chr(10) || text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents))) JOIN (SELECT source, greatest(3, count(*) // 4) AS needed FROM documents GROUP BY 1) USING (source) WHERE (pos < 3 OR pos >= n - 3) AND length(key) BETWEEN 4 AND 120 GROUP BY source, key, needed HAVING count(DISTINCT doc_id) >= needed")
