@@ -114,6 +114,18 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(table(spark, sf_dir, "documents"), 120, 30)
 
 
+_SOLID = "[^\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+
+
+@query(f"SELECT doc_id, len(list_distinct(w)) AS n_distinct, true AS fits FROM (SELECT doc_id, regexp_extract_all(text, '{_SOLID}') AS w FROM documents) WHERE len(w) > 0")
+def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What chunks must keep: all words of a document and no others, and the budget."""
+    words = F.regexp_extract_all(F.col("text"), F.lit(_SOLID), 0)
+    made = chunking.chunk(table(spark, sf_dir, "documents"), 120, 30).select("doc_id", words.alias("w"), "tokens")
+    fits = F.bool_and((F.col("tokens") <= 120) & (F.size("w") == F.col("tokens")))
+    return made.groupBy("doc_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.array_distinct("w"))))).cast("long").alias("n_distinct"), fits.alias("fits"))
+
+
 @query()
 def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of the pages' Markdown with their generation parents."""
