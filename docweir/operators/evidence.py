@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import citation_numbers
@@ -24,7 +25,7 @@ def best_cover(options: dict[str, list[frozenset]], tokens: dict, limit: int) ->
 
 def _cover(options: dict[str, list[frozenset]], tokens: dict, limit: int) -> tuple[frozenset, list[str], bool]:
     """best_cover() and whether states were dropped on its way, so that a better one may have been missed."""
-    cost = lambda ids: (len(ids), sum(tokens.get(i, 0) for i in ids), sorted(ids, key=str))
+    cost = lambda ids: (len(ids), sum(tokens.get(i, 0) for i in ids), sorted((i is not None, i) for i in ids))
     states: dict[frozenset, tuple[str, ...]] = {frozenset(): ()}
     dropped = False
     for name, bundles in options.items():
@@ -45,11 +46,20 @@ def _cover(options: dict[str, list[frozenset]], tokens: dict, limit: int) -> tup
 def evidence_sets(bundles: DataFrame, limit: int = 8) -> DataFrame:
     """(query_id, ids, covered, uncovered, dropped) from (query_id, requirement, bundle, id, tokens): ORs of bundles of ANDed ids.
 
-    A bundle becomes one row with its set of ids; those of more than limit ids, which can't be used, and repeated sets go
-    before a query's sets come together. dropped says that the search had more states than STATES, the first of which it held.
+    A bundle becomes one row with its set of ids; those of more than limit ids, which can't be used, go. Of a requirement's
+    bundles with the same ids of other requirements only the one of fewest ids, fewest tokens, smallest ids stays, since
+    any other in its place makes a cover worse, so a query's sets come together by as many as its requirements can share. An
+    id's tokens are the most that any row states. dropped says that the search had more states than STATES, the first of
+    which it held.
     """
-    sets = bundles.groupBy("query_id", "requirement", "bundle").agg(F.array_sort(F.collect_set(F.struct("id", "tokens"))).alias("held"))
-    usable = sets.filter(F.size("held") <= limit).groupBy("query_id", "requirement", "held").agg(F.min("bundle").alias("bundle"))
+    of_id = W.partitionBy("query_id", "id")
+    named_by = F.struct("requirement")
+    known = bundles.select("query_id", "requirement", "bundle", "id", F.max("tokens").over(of_id).alias("tokens"), (F.min(named_by).over(of_id) != F.max(named_by).over(of_id)).alias("shared"))
+    sets = known.groupBy("query_id", "requirement", "bundle").agg(F.array_sort(F.collect_set(F.struct("id", "tokens", "shared"))).alias("held")).filter(F.size("held") <= limit)
+    total = F.aggregate("held", F.lit(0).cast("long"), lambda acc, x: acc + F.coalesce(x["tokens"], F.lit(0)))
+    cheapest = F.min(F.struct(F.size("held").alias("n"), total.alias("total"), "held", "bundle")).alias("best")
+    shared = F.transform(F.filter("held", lambda x: x["shared"]), lambda x: x["id"])
+    usable = sets.groupBy("query_id", "requirement", shared.alias("_shared")).agg(cheapest).select("query_id", "requirement", "best.held", "best.bundle")
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         options: dict[str, list[frozenset]] = {}

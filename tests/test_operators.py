@@ -1,5 +1,5 @@
 import random
-from itertools import combinations
+from itertools import combinations, product
 
 import pandas as pd
 import pytest
@@ -99,6 +99,24 @@ def test_evidence_sets_of_queries(spark):
     assert (got["p"].ids, got["p"].covered, got["p"].uncovered) == ([], [], ["r1"])
 
 
+def test_evidence_sets_are_best_and_few(spark):
+    """What comes to a query's search is one set for what its requirements share, and covers are those of all bundles."""
+    dice, rows, want = random.Random(5), [], {}
+    for q in range(12):
+        ids = list(range(30))
+        cost = {i: dice.randrange(1, 4) for i in ids}
+        bundles = {r: [frozenset(dice.sample(ids[8 * k : 8 * k + 10], dice.randrange(1, 4))) for _ in range(5)] for k, r in enumerate("abc")}
+        rows += [(q, r, f"b{n}", i, cost[i]) for r, own in bundles.items() for n, b in enumerate(own) for i in b]
+        every = [frozenset().union(*(b for b in pick if b)) for pick in product(*([None, *own] for own in bundles.values()))]
+        met = lambda s: sum(any(b <= s for b in own) for own in bundles.values())  # noqa: B023, E731
+        want[q] = sorted(min((s for s in every if len(s) <= 5), key=lambda s: (-met(s), len(s), sum(cost[i] for i in s), sorted(s))))  # noqa: B023
+    rows += [(99, r, str(n), n * 10 + k, 1) for k, r in enumerate("abcde") for n in range(200)]
+    frame = spark.createDataFrame(rows, "query_id int, requirement string, bundle string, id long, tokens int")
+    got = {r.query_id: r for r in evidence.evidence_sets(frame, 5).collect()}
+    assert {q: got[q].ids for q in want} == want
+    assert got[99].ids == [0, 1, 2, 3, 4] and not got[99].dropped
+
+
 def test_dropped_states_are_told(monkeypatch):
     options = {f"r{k}": [frozenset({f"a{k}"}), frozenset({f"b{k}"})] for k in range(5)}
     assert not evidence._cover(options, {}, 8)[2]
