@@ -2,6 +2,7 @@ import re
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,14 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], schema).select(column).first()[0]
 
 
+def test_vector_literals_round_as_c_does(spark):
+    """Halfway values go to even, and those a little under or over halfway to their side."""
+    dice = random.Random(3)
+    values = [k / 512 for k in range(-700, 700)] + [k * 1e-8 + 5e-9 for k in range(200)] + [-1.5e-8, 0.0, 2.5e-9, 40_000_000.001953125]
+    values += [dice.uniform(-2, 2) for _ in range(300)] + [dice.uniform(-1e4, 1e4) for _ in range(300)]
+    assert one(spark, text.vector_literal(F.col("v")), v=values) == "[" + ",".join(f"{v:.8f}" for v in values) + "]"
+
+
 @pytest.mark.parametrize("raw", ["  A b\n\tC ", "", "x" * 600, "é É"])
 def test_normalised_hash_and_preview(spark, raw):
     flat = " ".join(raw.split())
