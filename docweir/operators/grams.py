@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import batched, slices, written
 
 SIZE, EDGE = 3, "\x02"
 #: Of a query's grams so many are looked up, the rarest.
@@ -37,7 +37,7 @@ def build(documents: DataFrame, text: Column, key: str = "id") -> Index:
     texts = written(documents.select(F.col(key).alias("id"), F.lower(F.coalesce(text, F.lit(""))).alias("text")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             who, grams = [], []
             for k, own in enumerate(batch.column("text").to_pylist()):
                 own = f"{EDGE}{own}{EDGE}"
@@ -47,7 +47,7 @@ def build(documents: DataFrame, text: Column, key: str = "id") -> Index:
             yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), batch.column("id").take(pa.array(who, pa.int64()))], names=["gram", "id"])
 
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    postings = texts.mapInArrow(cut, f"gram string, id {kind}").repartitionByRange(parts, "gram", "id").sortWithinPartitions("gram", "id")
+    postings = batched(texts).mapInArrow(cut, f"gram string, id {kind}").repartitionByRange(parts, "gram", "id").sortWithinPartitions("gram", "id")
     postings = written(postings)
     return Index(texts, postings, written(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))))
 

@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import batched
+
 #: Letters that stand together in a gram, the grams that each language keeps, and the languages that a model may have.
 SIZES, KEPT, LANGUAGES = (1, 2, 3), 6_000, 200
 #: Characters below which nothing is said of a text, and those that are looked at. Fixed values.
@@ -89,7 +91,7 @@ def train(samples: DataFrame) -> Model:
         yield from _rows(held)
 
     rows = samples.select("language", "text").filter("language is not null and text is not null")
-    summed = rows.mapInArrow(count, "language string, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
+    summed = batched(rows).mapInArrow(count, "language string, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
     first = F.row_number().over(W.partitionBy("language").orderBy(F.desc("n"), "gram"))
     kept = summed.withColumn("r", first).filter(F.col("r") <= KEPT).groupBy("language").agg(F.collect_list(F.struct("gram", "n")).alias("grams"))
     found = kept.limit(LANGUAGES + 1).collect()
@@ -119,4 +121,4 @@ def detect(docs: DataFrame, model: Model, out: str = "detected") -> DataFrame:
             found = pa.array([sent.value.detect(t) for t in batch.column("text").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return batched(docs).mapInArrow(run, schema)

@@ -48,3 +48,31 @@ def test_empty_index_and_queries(spark):
     none = spark.createDataFrame([], "query_id long, term string")
     assert postings.search(postings.build(docs), none, 3).collect() == []
     assert postings.search(postings.build(docs.limit(0)), spark.createDataFrame([(1, "w0")], "query_id long, term string"), 3).collect() == []
+
+
+def test_workers_hold_few_texts_at_once(spark, monkeypatch):
+    """Batches are bounded by bytes and read in slices, however many rows a task has; results stay."""
+    import pyarrow as pa
+
+    from docweir.functions.text import question_spans
+    from docweir.operators import chunking, grams, metrics, structure, tables
+
+    spark.conf.unset(tables.BYTES)
+    docs = spark.range(900).repartition(1).select("id", F.repeat(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" ")), 1000).alias("text"))
+
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    most = lambda df: max(r.n for r in df.mapInArrow(size, "n long").collect())
+    assert most(docs) > 2 * tables.BATCH_BYTES and most(tables.batched(docs)) < 1.1 * tables.BATCH_BYTES
+    held = pa.RecordBatch.from_arrays([pa.array(["x" * 10_000] * 900)], names=["text"])
+    pieces = list(tables.slices([held, held.slice(0, 0)]))
+    assert sum(b.num_rows for b in pieces) == 900 and max(b.num_rows for b in pieces) <= 50
+    named = docs.select(F.col("id").alias("doc_id"), F.lit("t").alias("title"), "text")
+    for use in (lambda: chunking.chunk(named), lambda: structure.parent_children(named), lambda: structure.sections(named), lambda: lexical.term_counts(docs, spark.createDataFrame([("word",)], "term string")), lambda: grams.build(docs.limit(5), F.col("text")), lambda: metrics.minimum_covers(spark.createDataFrame([(1, 1, 1)], "query_id int, group_id int, id int"))):
+        spark.conf.unset(tables.BYTES)
+        use()
+        assert int(spark.conf.get(tables.BYTES)) == tables.BATCH_BYTES
+    spans = spark.createDataFrame([("a  b c",), (None,), ("",)] * 20, "t string").select(F.size(question_spans(F.col("t"))).alias("n"))
+    assert [r.n for r in spans.collect()] == [3, 0, 0] * 20
