@@ -116,3 +116,19 @@ def test_components_and_reachable(spark):
     steps = [(f"n{k}", f"n{k + 1}") for k in range(30)] + [("n3", "n0"), ("n5", "n9"), ("x", "y"), ("n1", None)]
     out = graph.reachable(spark.createDataFrame([("n0",), ("n0",)], "url string"), spark.createDataFrame(steps, "source string, target string"), 20)
     assert {r.url: r.depth for r in out.collect()} == {f"n{k}": min(k, k - 3 if k >= 9 else k) for k in range(24)}
+
+
+def test_a_vector_travels_once_to_each_block(spark):
+    """Where no ring can be left out, a visitor is a row for each BLOCK rows, not for each ring, and bounds are worked out in small lots."""
+    rng = np.random.default_rng(8)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(9000, 6)))]
+    index = metric.build(spark.createDataFrame(rows, "id long, embedding array<double>").repartition(1))
+
+    def which(bounds, batch, least):
+        assert least.size <= metric.ROUTED
+        return metric._cells(bounds, np.ones(least.shape, bool))
+
+    assert len(index.bounds.cell) * 9000 > 2 * metric.ROUTED
+    routed = metric._routed(index, index.placed.select("id", "unit").repartition(1), ["id", "unit"], which)
+    most, cells = routed.selectExpr("max(size(blocks))", "max(aggregate(blocks, 0, (n, b) -> n + size(b.cells)))").first()
+    assert most <= 9000 // metric.BLOCK + 1 and cells == len(set(index.bounds.cell.tolist()))
