@@ -7,7 +7,8 @@ before it, and an offset where both end closes a group. A second pass weighs eac
 documents that hold their pair of ids, which the first has counted.
 
 Texts are encoded in segments that neither tokenizer's tokens cross: a word with the blank or the line's end before it,
-where only single blanks and line ends stand between words. Segments are remembered by their text.
+where only single blanks and line ends stand between words. The distinct segments of some megabytes of texts are encoded
+once, A's many in one call and cut by their bytes.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,13 +30,14 @@ from .common import arrow_map, blocks, bound_batches, cut, slices, table
 
 #: Bytes of text in one block of events.
 RANGE = 65_536
-#: Segments that a worker remembers before the older half makes room.
-REMEMBERED = 150_000
+#: Bytes of texts whose distinct segments are encoded together, and segments in one call of A.
+READ, JOINED = 8_000_000, 1_000
 #: Pairs counted in a task before they are handed on, and of one broadcast of the second pass.
 COUNTED, SENT = 4_000_000, 4_000_000
 #: Unicode's white space, by code points. Fixed values.
 BLANKS = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_UNEVEN = re.compile(f"[{BLANKS}]{{2}}|[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]|\\A[{BLANKS}]|[{BLANKS}]\\Z")
+#: A segment that is one word with the line's end before it or nothing, in the syntax of Arrow's expressions.
+_WORD = r"\A\n?[^" + re.sub(r"\\u(....)", r"\\x{\1}", BLANKS) + r"]+\z"
 _BORDER = re.compile(f"(?<=[^{BLANKS}])(?=[ \\n][^{BLANKS}])")
 SPACE = "▁"
 
@@ -68,58 +71,109 @@ class Encoder:
         self.mark = self.b.piece_to_id(SPACE)
         # segments stand by themselves if no piece goes on after a word with a mark, or holds a line's end
         self.apart = not any("\n" in p or re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-        self.odd: set[str] = set()
 
     def segments(self, text: str) -> list[str]:
         """The segments of a blank and the text; one that begins with a blank and a word is called by what follows the blank."""
-        if not self.apart:
-            return [" " + text]
-        if not _UNEVEN.search(text):
-            return text.replace("\n", " \n").split(" ")
-        return [s[1:] if s[0] == " " and s[1:2] and not re.match(f"[{BLANKS}]", s[1:]) else s for s in _BORDER.split(" " + text)]
-
-    def learn(self, segments: set[str]) -> None:
-        """Encode the segments that aren't known yet."""
-        if len(self.known[0]) > REMEMBERED:
-            self.older, self.known = self.known, ({}, {})
-        (known_a, known_b), (older_a, older_b) = self.known, self.older
-        new = [s for s in segments if s not in known_a]
-        for s in new:
-            if s in older_a:
-                known_a[s], known_b[s] = older_a[s], older_b[s]
-        new = [s for s in new if s not in known_a]
-        if not new:
-            return
-        whole = [s if s[0] in " \n" else " " + s for s in new]
-        found_a = [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)]
-        found_b = self.b.encode([s[1:] if s[0] == " " else s for s in whole], num_threads=1)
-        for s, text, a, b in zip(new, whole, found_a, found_b, strict=True):
-            if text[0] == "\n":  # the library puts a mark before it
-                if b[0] != self.mark:
-                    raise ValueError(f"the library joins the mark to {text[:100]!r}")
-                b = b[1:]
-            known_a[s], known_b[s] = np.array(a, self.kind).tobytes(), np.array(b, self.kind).tobytes()
-            own = text.encode()
-            if b"".join(map(self.bytes_a.__getitem__, a)) != own or b"".join(map(self.bytes_b.__getitem__, b)) != own:
-                self.odd.add(s)
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        return [s[1:] if s[0] == " " and s[1:2] and not re.match(f"[{BLANKS}]", s[1:]) else s for s in _BORDER.split(" " + text)] if self.apart else [" " + text]
+
+    def _split(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The segments of all texts, one after the other, and how many each text has: those between blanks and before line ends
+        where they are words, else by segments()."""
+        listed = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        counts, flat = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False).astype(np.int64), listed.flatten()
+        coded = flat.dictionary_encode()
+        odd = ~_words(coded.dictionary) if self.apart else np.ones(len(coded.dictionary), bool)
+        if odd.any():
+            before = np.concatenate([[0], np.cumsum(counts)])
+            pieces, at = [], 0
+            for k in np.unique(np.searchsorted(before, np.flatnonzero(odd[coded.indices.to_numpy()]), "right") - 1).tolist():
+                own = self.segments(text) if (text := texts[k].as_py()) else []
+                pieces += [flat.slice(at, int(before[k]) - at), pa.array(own, flat.type)]
+                at, counts[k] = int(before[k + 1]), len(own)
+            coded = pa.concat_arrays([*pieces, flat.slice(at)]).dictionary_encode()
+        return coded, counts
+
+    def _ids_a(self, whole: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of segments, one after the other, and how many each has. The words, which come first, are encoded many at once where
+        their bytes come back and each ends with a token."""
+        calls = [whole[k : min(k + JOINED, words)] for k in range(0, words, JOINED)] + [[s] for s in whole[words:]]
+        ids, counts = [], []
+        for own, found in zip(calls, self.a.encode_batch_fast(["".join(c) for c in calls], add_special_tokens=False), strict=True):
+            got = [found.ids]
+            if len(own) > 1:
+                bytes_of = list(map(self.bytes_a.__getitem__, got[0]))
+                ends = np.cumsum(np.fromiter(map(len, bytes_of), np.int64, len(bytes_of)))
+                want = np.cumsum([len(s.encode()) for s in own])
+                if b"".join(bytes_of) == "".join(own).encode() and np.isin(want, ends).all():
+                    ids.append(np.array(got[0], self.kind))
+                    counts.append(np.diff(np.searchsorted(ends, want, "right"), prepend=0))
+                    continue
+                got = [e.ids for e in self.a.encode_batch_fast(own, add_special_tokens=False)]
+            ids += [np.array(x, self.kind) for x in got]
+            counts.append(np.array(list(map(len, got)), np.int64))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _ids_b(self, whole: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """B's ids of segments, one after the other, and how many each has."""
+        found = self.b.encode([s[1:] if s[0] == " " else s for s in whole], num_threads=1)
+        for k, s in enumerate(whole):
+            if s[0] == "\n":  # the library puts a mark before it
+                if found[k][0] != self.mark:
+                    raise ValueError(f"the library joins the mark to {s[:100]!r}")
+                del found[k][0]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for own in found for i in own), self.kind, int(counts.sum())), counts
+
+    def encode(self, texts: list[str | None] | pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """The ids of A and of B for each text; None for one without tokens."""
-        held = [self.segments(t) if t else [] for t in texts]
-        self.learn(set().union(*held))
-        for text, own in zip(texts, held, strict=True):
-            if not own:
-                yield None
-                continue
-            a, b = (np.frombuffer(b"".join(map(known.__getitem__, own)), self.kind) for known in self.known)
-            if self.odd and not self.odd.isdisjoint(own):
-                want = (" " + text).encode()
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        coded, counts = self._split(texts)
+        if not len(coded):
+            yield from [None] * len(texts)
+            return
+        # words first, so that few calls have others
+        word, named = _words(coded.dictionary), coded.dictionary.to_pylist()
+        order = np.argsort(~word, kind="stable")
+        whole = [s if s[0] in " \n" else " " + s for s in map(named.__getitem__, order.tolist())]
+        of = np.empty(len(order), np.int64)
+        of[order] = np.arange(len(order))
+        of = of[coded.indices.to_numpy()]
+        sides, spans, odd = [], [], np.zeros(len(whole), bool)
+        for (ids, n), entries in ((self._ids_a(whole, int(word.sum())), self.bytes_a), (self._ids_b(whole), self.bytes_b)):
+            starts = np.cumsum(n) - n
+            odd |= _differing(whole, ids, starts, n, entries)
+            own = n[of]
+            ends = np.cumsum(own)
+            sides.append(ids[np.arange(ends[-1]) + np.repeat(starts[of] - (ends - own), own)])
+            spans.append(np.append(0, ends)[np.append(0, np.cumsum(counts))].tolist())
+        differs = np.append(0, np.cumsum(odd[of]))[np.append(0, np.cumsum(counts))]
+        for k, n in enumerate(counts.tolist()):
+            a, b = (ids[at[k] : at[k + 1]] for ids, at in zip(sides, spans, strict=True))
+            if n and differs[k + 1] > differs[k]:
+                want = (" " + texts[k].as_py()).encode()
                 if b"".join(map(self.bytes_a.__getitem__, a)) != want or b"".join(map(self.bytes_b.__getitem__, b)) != want:
-                    yield None
-                    continue
-            yield a, b
+                    n = 0
+            yield (a, b) if n else None
+
+
+def _words(segments: pa.Array) -> np.ndarray:
+    """Which segments are a word with the line's end before it or nothing."""
+    return pc.match_substring_regex(segments, _WORD).to_numpy(zero_copy_only=False)
+
+
+def _differing(whole: list[str], ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, entries: list[bytes]) -> np.ndarray:
+    """Which segments are not the bytes of their tokens, looked at one by one only where a stretch of them differs."""
+    out = np.zeros(len(whole), bool)
+    for k in range(0, len(whole), JOINED):
+        own, begin, n = whole[k : k + JOINED], starts[k : k + JOINED], counts[k : k + JOINED]
+        tokens = list(map(entries.__getitem__, ids[begin[0] : begin[-1] + n[-1]].tolist()))
+        ends = np.append(0, np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens))))
+        cuts = ends[np.append(begin - begin[0], len(tokens))]
+        encoded = [s.encode() for s in own]
+        if b"".join(tokens) != b"".join(encoded) or (np.diff(cuts) != np.array(list(map(len, encoded)))).any():
+            at = np.append(begin - begin[0], len(tokens)).tolist()
+            out[k : k + JOINED] = [b"".join(tokens[x:y]) != s for x, y, s in zip(at, at[1:], encoded, strict=False)]
+    return out
 
 
 _encoders: dict[bytes, Encoder] = {}
@@ -187,19 +241,45 @@ class Sweep:
             self.counts[2] += len(closed)
             self._close(closed)
 
+    def whole(self, squeezed: list[tuple[bytes, bytes]]) -> tuple[list[dict[str, object]], np.ndarray]:
+        """What end() says of documents that are one range each, taken together: they have as many bytes on either side, so their
+        tokens in a row link as if they were one text. And the pairs of each, once a document."""
+        held = [[np.frombuffer(_unsqueezed(x[k]), self.kind) for x in squeezed] for k in (0, 1)]
+        n = [np.array(list(map(len, h)), np.int64) for h in held]
+        ids = [np.concatenate(h) for h in held]
+        ends = [np.cumsum(length[i]) for i, length in zip(ids, self.lengths, strict=True)]
+        at, a, b, both = links(*ends)
+        closed, over = at[both], ends[0][np.cumsum(n[0]) - 1]
+        linked = np.diff(np.searchsorted(at, over, "right"), prepend=0)
+        grouped = np.diff(np.searchsorted(closed, over, "right"), prepend=0)
+        text = self._written(ids, ends, closed)
+        cuts = np.append(0, np.cumsum(n[0] + n[1])).tolist()
+        digests = [hashlib.sha256(text[x:y].tobytes().replace(b"\0", b"")[:-1]).hexdigest() for x, y in zip(cuts, cuts[1:], strict=False)]
+        names = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a_ids", "b_ids")
+        rows = zip(*(x.tolist() for x in (*n, grouped, linked)), digests, *zip(*squeezed, strict=True), strict=True)
+        size = len(self.lengths[0]) * self.pairs_of
+        own = np.sort(np.repeat(np.arange(len(n[0])), linked) * size + ids[0][a].astype(np.int64) * self.pairs_of + ids[1][b])
+        return [dict(zip(names, r, strict=True)) for r in rows], own[np.append(True, own[1:] != own[:-1])] % size
+
+    def _written(self, ids: list[np.ndarray], ends: list[np.ndarray], closed: np.ndarray) -> np.ndarray:
+        """The texts of tokens whose groups end at these offsets, in the order of groups, with the signs behind them."""
+        rows, order = [], []
+        for k in (0, 1):
+            group = np.searchsorted(closed, ends[k])
+            last = np.append(group[1:] != group[:-1], True)
+            rows.append(self.texts[np.where(last, 1 + k, 0), ids[k]])
+            order.append(2 * group + k)
+        return np.concatenate(rows)[np.argsort(np.concatenate(order), kind="stable")]
+
     def _close(self, closed: np.ndarray) -> None:
         """Write the groups that end at these offsets; what lies behind stays open."""
-        rows, order = [], []
+        done = []
         for k in (0, 1):
             ids, ends = self.open[k]
             n = int(np.searchsorted(ends, closed[-1], "right"))
-            group = np.searchsorted(closed, ends[:n])
-            last = np.append(group[1:] != group[:-1], True)
-            rows.append(self.texts[np.where(last, 1 + k, 0), ids[:n]])
-            order.append(2 * group + k)
+            done.append((ids[:n], ends[:n]))
             self.open[k] = ids[n:], ends[n:]
-        by = np.argsort(np.concatenate(order), kind="stable")
-        text = np.concatenate(rows)[by].tobytes().replace(b"\0", b"")
+        text = self._written(*map(list, zip(*done, strict=True)), closed).tobytes().replace(b"\0", b"")
         self.digest.update(text[:-1] if self.first else b";" + text[:-1])
         self.first = False
 
@@ -232,6 +312,19 @@ EVENTS = "_dw_row long, _dw_at long, _dw_side byte, _dw_start long, _dw_ids bina
 SWEPT = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a_ids binary, b_ids binary"
 
 
+def _joined(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about so many bytes in a column."""
+    held, n = [], 0
+    for batch in slices(batches, 64):
+        held.append(batch)
+        n += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if n >= size or len(held) * 64 >= size // 256:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _events(docs: DataFrame, sent: object, keep: list[str]) -> DataFrame:
     """The union of A's and B's end events, in blocks by range; a text without tokens has one block of neither."""
     schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(EVENTS)])
@@ -242,10 +335,10 @@ def _events(docs: DataFrame, sent: object, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(sent.value)
         sizes = [np.array(list(map(len, x)), np.int64) for x in (encoder.bytes_a, encoder.bytes_b)]
-        for batch in slices(batches, 128):
+        for batch in _joined(batches, "_dw_text", READ):
             source, rows = [], []
             numbers = batch.column("_dw_row").to_pylist()
-            for k, found in enumerate(encoder.encode(batch.column("_dw_text").to_pylist())):
+            for k, found in enumerate(encoder.encode(batch.column("_dw_text"))):
                 if found is None:
                     source.append(k)
                     rows.append((numbers[k], 0, 2, 0, b"", -1, True))
@@ -293,9 +386,16 @@ def sweep(docs: DataFrame, files: tuple[bytes, bytes] | None = None, keep: list[
         block: list[tuple] = []
         for batch in slices(batches, 256):
             side, start, ahead, last = (batch.column(c).to_pylist() for c in ("_dw_side", "_dw_start", "_dw_ahead", "_dw_last"))
-            ids = batch.column("_dw_ids").to_pylist()
-            source, done = [], []
+            ids, at = batch.column("_dw_ids").to_pylist(), batch.column("_dw_at").to_pylist()
+            alone = [k for k in range(batch.num_rows - 1) if side[k] == 0 and last[k] and at[k] == 0]
+            source, done = [k + 1 for k in alone], []
+            if alone:
+                done, pairs = machine.whole([(ids[k], ids[k + 1]) for k in alone])
+                tally.count(pairs)
+            taken = {*alone, *source}
             for k in range(batch.num_rows):
+                if k in taken:
+                    continue
                 if side[k] < 2:
                     block.append((start[k], np.frombuffer(_unsqueezed(ids[k]), encoder.kind), ahead[k]))
                     if side[k] == 0:
@@ -333,11 +433,14 @@ class Tally:
     def add(self, pairs: list[np.ndarray]) -> None:
         if pairs:
             own = np.sort(np.concatenate(pairs))
-            own = own[np.append(True, own[1:] != own[:-1])]
-            self.held.append(own)
-            self.n += len(own)
-            if self.n > COUNTED // 2:
-                self.fold()
+            self.count(own[np.append(True, own[1:] != own[:-1])])
+
+    def count(self, own: np.ndarray) -> None:
+        """Add pairs that come once for each document."""
+        self.held.append(own)
+        self.n += len(own)
+        if self.n > COUNTED // 2:
+            self.fold()
 
     def fold(self) -> None:
         if self.held:

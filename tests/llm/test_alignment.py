@@ -69,3 +69,27 @@ def test_empty_table_and_repeated_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.align(empty).collect() == []
     assert rows(spark, ["same text"] * 3 + [None]) == alignment.brute_force(["same text"] * 3 + [None])
+
+
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.n = inner, 0
+
+    def encode_batch_fast(self, texts, **more):
+        self.n += len(texts)
+        return self.inner.encode_batch_fast(texts, **more)
+
+
+def test_distinct_words_are_encoded_together():
+    """A block's words take few calls of A, uneven texts some more, and the ids are those of whole texts."""
+    encoder = alignment.Encoder(*alignment.read_vocabularies())
+    whole, encoder.a = encoder.a, Counted(encoder.a)
+    dice = random.Random(2)
+    texts = [" ".join(f"w{dice.randrange(10**6)}ñ" for _ in range(200)) + "\nlast" for _ in range(50)] + [None, "", "two  blanks\tand a tab", " \n"]
+    found = list(encoder.encode(texts))
+    assert encoder.a.n < 40
+    for text, own in zip(texts, found, strict=True):
+        assert own is None or own[0].tolist() == whole.encode(" " + text, add_special_tokens=False).ids
+    assert all(own is not None for own in found[:50]) and found[50] is None and found[51] is None
