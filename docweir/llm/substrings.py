@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, cut, drop_table, scratch, shared_dir, slices, table, write_table
+from .common import bound_batches, cut, drop_table, scratch, shared_dir, short_shuffles, slices, table, write_table
 
 WINDOW, PERIOD = 50, 21
 #: Differences of these residues give every residue modulo PERIOD.
@@ -212,7 +212,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    with scratch(spark):
+    with scratch(spark), short_shuffles(spark):
         held, name = _blocks(docs, text_column)
         try:
             return _judged(docs, held, id_column, text_column)

@@ -89,3 +89,24 @@ def test_empty_table_other_columns_and_long_text(spark):
     out = {r.doc_id: r for r in substrings.remove_repeats(frame).collect()}
     assert (out[1]._dw_n_removed, out[1].block, out[1].rows) == (0, "b", 1) and out[1].text == text
     assert (out[2]._dw_n_removed, out[2].text, out[2].spans, out[2]._dw_spans) == (60000, "z", [1], [(0, 60000)])
+
+
+def test_no_shuffle_files_stay(spark):
+    """What one step shuffles is gone before the next needs room; the session's own choice stays."""
+    import time
+
+    from docweir.llm.common import CLEANUP
+
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {held.apply(k).getName() for k in range(held.size()) if held.apply(k).getName().startswith("shuffle_")}
+
+    passage = " ".join(f"w{k}" for k in range(80))
+    frame = spark.createDataFrame([(k, f"a{k} {passage} b{k}") for k in range(40)], "doc_id long, text string")
+    before, chosen = files(), spark.conf.get(CLEANUP, "false")
+    out = substrings.remove_repeats(frame)
+    until = time.time() + 5
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(CLEANUP) == chosen
+    assert sum(r._dw_n_removed for r in out.collect()) == 39 * 80
