@@ -243,28 +243,34 @@ def find_personal(docs: DataFrame, terms: DataFrame | None = None, keep: list[st
     texts have no spans; each row is judged by itself, however long; repeated rows alike.
     """
     keep = list(docs.columns if keep is None else keep)
+    return _with_spans(docs, terms, lambda text, spans: [{"start": a, "end": b, "kind": c} for a, b, c in spans], SPANS, keep)
+
+
+def _with_spans(docs: DataFrame, terms: DataFrame | None, made: Callable[[str | None, list[Span]], object], added: str, keep: list[str]) -> DataFrame:
+    """The kept columns with one more, made of each text and its spans by the worker that finds them: a second function in
+    the task would take a second worker, whose memory outlives it."""
     columns = [*dict.fromkeys([*keep, "text"])]
+    name = added.split()[0]
+    out = [*(c for c in keep if c != name), name]
     terms = (disclosing_terms(docs) if terms is None else terms).toDF("term")
     few = [r.term for r in terms.limit(HELD_TERMS + 1).collect()]
     if len(few) > HELD_TERMS:
-        return _found_by_join(docs.select(*columns), terms).select(*keep, "_dw_spans")
+        return _made_by_join(docs.select(*columns), terms, made, added).select(*out)
     sent = docs.sparkSession.sparkContext.broadcast(frozenset(few))
 
     def find(batch: pa.RecordBatch) -> dict[str, object]:
-        return {"_dw_spans": [_as_structs(text, sent.value) for text in batch.column("text").to_pylist()]}
+        return {name: [made(text, _spans_of(text, sent.value)) for text in batch.column("text").to_pylist()]}
 
-    return arrow_map(docs.select(*columns), find, SPANS, columns).select(*keep, "_dw_spans")
+    return arrow_map(docs.select(*columns), find, added, columns).select(*out)
 
 
-def _as_structs(text: str | None, wanted: Collection[str]) -> list[dict[str, object]]:
+def _spans_of(text: str | None, wanted: Collection[str]) -> list[Span]:
     spans = base_spans(text)
-    if text and wanted:
-        spans = _with_terms(text, spans, wanted.__contains__)
-    return [{"start": a, "end": b, "kind": c} for a, b, c in spans]
+    return _with_terms(text, spans, wanted.__contains__) if text and wanted else spans
 
 
-def _found_by_join(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """docs with _dw_spans, where the terms are too many for a task: each distinct text meets its own terms by its digest."""
+def _made_by_join(docs: DataFrame, terms: DataFrame, made: Callable[[str | None, list[Span]], object], added: str) -> DataFrame:
+    """_with_spans() where the terms are too many for a task: each distinct text meets its own terms by its digest."""
     sent = docs.sparkSession.sparkContext.broadcast(bit_map(terms))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,10 +286,10 @@ def _found_by_join(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     def find(batch: pa.RecordBatch) -> dict[str, object]:
         columns = batch.column("text").to_pylist(), batch.column("_dw_terms").to_pylist()
-        return {"_dw_spans": [_as_structs(text, frozenset(own or ())) for text, own in zip(*columns, strict=True)]}
+        return {added.split()[0]: [made(text, _spans_of(text, frozenset(own or ()))) for text, own in zip(*columns, strict=True)]}
 
     met = keyed.join(cut(own), "_dw_of", "left").select(*docs.columns, "_dw_terms")
-    return arrow_map(met, find, SPANS, docs.columns)
+    return arrow_map(met, find, added, docs.columns)
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -303,18 +309,14 @@ def redact(text: str, spans: list[Span]) -> str:
 
 def sanitise(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """docs with personal data and disclosing terms replaced in text, and n_chars (if there) counted anew."""
-    found = find_personal(docs, terms)
-
-    def replace(batch: pa.RecordBatch) -> dict[str, object]:
-        out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("_dw_spans").to_pylist(), strict=True):
-            while text and spans:
-                text = redact(text, [(s["start"], s["end"], s["kind"]) for s in spans])
-                spans = [{"start": a, "end": b, "kind": c} for a, b, c in base_spans(text)]
-            out.append(text)
-        return {"text": out}
-
-    made = arrow_map(found, replace, "text string", docs.columns)
+
+    def replaced(text: str | None, spans: list[Span]) -> str | None:
+        while text and spans:
+            text = redact(text, spans)
+            spans = base_spans(text)
+        return text
+
+    made = _with_spans(docs, terms, replaced, "text string", docs.columns)
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return made.select(*docs.columns)

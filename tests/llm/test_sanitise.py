@@ -63,6 +63,25 @@ def test_sanitise(spark):
     assert s.redact("ab cd", [(0, 2, "ip"), (1, 4, "card")]) == "[IP]d"
 
 
+def test_one_worker_finds_and_replaces(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*corpus(), *SAMPLES])], "doc_id long, text string")
+    two = spark.createDataFrame([("falconer",), ("wrote",)], "term string")
+    for held in (s.HELD_TERMS, 1):
+        monkeypatch.setattr(s, "HELD_TERMS", held)
+        made = s.sanitise(docs, two)
+        # a task runs a worker for each of its Python functions, and they stay
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        got = {r.doc_id: r.text for r in made.collect()}
+        assert len(got) == docs.count()
+        for r in s.find_personal(docs, two).collect():
+            text, spans = r.text, [(x.start, x.end, x.kind) for x in r._dw_spans]
+            while text and spans:
+                text = s.redact(text, spans)
+                spans = s.base_spans(text)
+            assert got[r.doc_id] == text
+        assert "[TERM]" in got[30] and "[TERM] [EMAIL]" in got[0]
+
+
 def test_disclosing_terms_among_copies(spark):
     rng = random.Random(6)
     filler = [f"filler{k}" for k in range(2000)]
