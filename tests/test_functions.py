@@ -4,9 +4,11 @@ import hashlib
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from docweir import plans
 from docweir.functions import text, urls, vectors
 
 
@@ -24,6 +26,18 @@ def test_vector_literals_round_as_c_does(spark):
     assert one(spark, text.vector_literal(F.col("v")), v=values) == "[" + ",".join(f"{v:.8f}" for v in values) + "]"
 
 
+def test_vectors_are_written_whole(spark, tmp_path):
+    """Every component is in the text, whatever stands before it, and odd ones are written as the SQL writes them."""
+    odd = [None, [], [None], [0.5, None, None, 0.25, -1e-9], [1.0, 2.0, 3.0, float("nan"), float("inf"), -float("inf"), 4.0], [0.0, -0.0]]
+    rows = list(enumerate([[k / 512 for k in range(-32, 32)], *odd]))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = plans.all_queries()["vector_texts"](spark, str(tmp_path)).orderBy("vec_id").collect()
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert [tuple(r) for r in got] == con.sql(f"select vec_id, literal from ({plans.ORACLE_SQL['vector_texts']}) order by 1").fetchall()
+    assert got[0].literal == "[" + ",".join(f"{v:.8f}" for v in rows[0][1]) + "]"
+
+
 @pytest.mark.parametrize("raw", ["  A b\n\tC ", "", "x" * 600, "é É"])
 def test_normalised_hash_and_preview(spark, raw):
     flat = " ".join(raw.split())
